@@ -99,12 +99,36 @@ def _np_log_gamma(a: np.ndarray) -> np.ndarray:
     return 0.5 * np.log(2 * np.pi) + (z + 0.5) * np.log(t) - t + np.log(series)
 
 
+# Temme's uniform expansion of the incomplete gamma ratio for large shapes (two orders).
+TEMME_0 = (-1 / 3, 1 / 12, -2 / 135, 1 / 864, 1 / 2835, -0.000178755144032922, 0.0000391926317852244)
+TEMME_1 = (-1 / 540, -1 / 288, 1 / 378, -0.000990226337448560, 0.000205761316872428)
+LARGE_SHAPE = 1000.0
+
+
+def _large_shape_gamma(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    mu = (x - a) / a
+    half = np.maximum(mu - np.log1p(mu), 0.0)
+    eta = np.sign(mu) * np.sqrt(2 * half)
+    near = np.clip(eta, -0.5, 0.5)
+    first = sum(c * near**i for i, c in enumerate(TEMME_0))
+    second = sum(c * near**i for i, c in enumerate(TEMME_1))
+    tail = np.fromiter((0.5 * math.erfc(v) for v in np.ravel(-eta * np.sqrt(a / 2))), float, a.size).reshape(a.shape)
+    return tail - np.exp(-a * half) / np.sqrt(2 * np.pi * a) * (first + second / a)
+
+
 def regularised_gamma(a: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """P(a, x): power series below a + 1, continued fraction evaluated from its tail above."""
+    """P(a, x): power series below a + 1, continued fraction evaluated from its tail above.
+
+    Both slow down with the square root of a, so shapes above 1000 use the uniform expansion.
+    """
     a, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(x, float))
     out = np.full(a.shape, np.nan)
     known = (a > 0) & (x >= 0)
     out[known & (x == 0)] = 0.0
+    huge = known & (x > 0) & (a > LARGE_SHAPE)
+    if huge.any():
+        out[huge] = _large_shape_gamma(a[huge], x[huge])
+    known = known & (a <= LARGE_SHAPE)
     small = known & (x > 0) & (x < a + 1)
     if small.any():
         s, v = a[small], x[small]

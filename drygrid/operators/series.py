@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from drygrid.operators.common import CELL, Keys
 
@@ -156,7 +156,7 @@ def whittaker(
             frame["lam"] = used
             yield frame
 
-    schema = StructType([*packed.schema.fields]).add("smoothed", "array<double>").add("lam", "double")
+    schema = StructType([*packed.schema.fields]).add("smoothed", ArrayType(DoubleType())).add("lam", DoubleType())
     done = packed.mapInPandas(smooth, schema)
     rows = done.select(*keys, "lam", F.inline(F.arrays_zip("times", "values", "smoothed")))
     clean = F.nanvl(F.col("smoothed"), F.lit(None).cast("double"))
@@ -213,7 +213,7 @@ def full_autocorrelation(df: DataFrame, keys: Keys = CELL, time: str = "time", v
             ]
             yield frame[[*keys, "r"]]
 
-    schema = StructType([packed.schema[k] for k in keys]).add("r", "array<double>")
+    schema = StructType([packed.schema[k] for k in keys]).add("r", ArrayType(DoubleType()))
     rows = packed.mapInPandas(run, schema).select(*keys, F.posexplode("r").alias("_k", "r"))
     return rows.select(*keys, (F.col("_k") + 1).alias("lead"), F.nanvl(F.col("r"), F.lit(None).cast("double")).alias("r"))
 
