@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from drygrid.operators.common import CELL, Keys
 
@@ -50,7 +53,9 @@ def clip_to_regions(
     cells = df.select(*keys, "lat", "lon").distinct()
     if invert:
         cells = cells.withColumnsRenamed({"lat": "lon", "lon": "lat"})
-    inside = assign_region(cells, chosen, column, keys).select(*keys).distinct()
+    # Parity counts within one polygon; overlapping polygons of a country must not cancel.
+    polygon = region_col if region_col in edges.columns else column
+    inside = assign_region(cells, chosen, polygon, keys).select(*keys).distinct()
     return df.join(inside, list(keys), "left_anti" if outside else "left_semi")
 
 
@@ -84,38 +89,54 @@ def fill_nearest_in_space(
 
     Exact, in two passes over lines of the grid: along every meridian the nearest known value north and
     south (running windows), then along every parallel the best of those candidates. No group is larger
-    than one grid line and no pairs are emitted. Ties take the lower latitude, then the lower longitude.
+    than one grid line and no pairs are emitted. Ties (to nine decimals of a
+    degree) take the lower latitude, then the lower longitude.
     """
     column = Window.partitionBy(time, lon)
     known = F.when(F.col(value).isNotNull(), F.struct(F.col(lat).alias("y"), F.col(value).cast("double").alias("v")))
     work = df.withColumn("_k", known)
     work = work.withColumn("_s", F.last("_k", ignorenulls=True).over(column.orderBy(F.col(lat).asc())))
     work = work.withColumn("_n", F.last("_k", ignorenulls=True).over(column.orderBy(F.col(lat).desc())))
-    south, north = F.col(lat) - F.col("_s")["y"], F.col("_n")["y"] - F.col(lat)
+    south, north = F.round(F.col(lat) - F.col("_s")["y"], 9), F.round(F.col("_n")["y"] - F.col(lat), 9)
     best = F.when(F.col("_n").isNull() | (south <= north), F.col("_s")).otherwise(F.col("_n"))
     work = work.withColumn("_c", best).withColumn("_cy", F.col("_c")["y"]).withColumn("_cv", F.col("_c")["v"])
-    work = work.drop("_k", "_s", "_n", "_c")
+    rows = F.array_sort(F.collect_list(F.struct(
+        F.col(lon).cast("double").alias("_x"), F.col(value).cast("double").alias("_v"), "_cy", "_cv",
+        *[F.col(c) for c in df.columns if c != value],
+    )))
+    lines = work.groupBy(F.col(time).alias("_t"), F.col(lat).alias("_y")).agg(rows.alias("_rows"))
+    lines = lines.select(F.col("_y").cast("double").alias("_y"), "_rows", *[F.col("_rows")[c].alias(c) for c in ("_x", "_v", "_cy", "_cv")])
     reach = np.inf if max_distance is None else float(max_distance)
 
-    def line(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(lon, kind="stable").reset_index(drop=True)
-        out = pdf[value].astype(float).to_numpy(copy=True)
-        holes = np.flatnonzero(np.isnan(out))
-        has = np.flatnonzero(pdf["_cv"].notna().to_numpy())
-        if len(holes) and len(has):
-            x = pdf[lon].to_numpy(float)
-            cy, cv, cx = pdf["_cy"].to_numpy(float)[has], pdf["_cv"].to_numpy(float)[has], x[has]
-            y = float(pdf[lat].iloc[0])
-            rise = (cy - y) ** 2
-            for start in range(0, len(holes), 512):
-                part = holes[start:start + 512]
-                far = np.round((x[part, None] - cx[None, :]) ** 2 + rise[None, :], 12)
-                near = far.min(axis=1)
-                tied = np.where(far == near[:, None], cy[None, :], np.inf)
-                pick = tied.argmin(axis=1)
-                hit = near <= reach * reach
-                out[part[hit]] = cv[pick[hit]]
-        pdf[value] = out
-        return pdf[df.columns]
-
-    return work.groupBy(time, lat).applyInPandas(line, df.withColumn(value, F.col(value).cast("double")).schema)
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, v, cy, cv = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("_x", "_v", "_cy", "_cv"))
+            ends = np.concatenate([[0], np.cumsum(batch.column("_x").value_lengths().to_numpy(zero_copy_only=False))]).astype(int)
+            y = batch.column("_y").to_numpy(zero_copy_only=False)
+            out = v.astype(float, copy=True)
+            for i in range(batch.num_rows):
+                s = slice(ends[i], ends[i + 1])
+                out[s] = _fill_line(out[s], x[s], y[i], cy[s], cv[s], reach)
+            filled = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out, from_pandas=True))
+            yield pa.RecordBatch.from_arrays([batch.column("_rows"), filled], ["_rows", "_filled"])
+
+    schema = StructType([lines.schema["_rows"]]).add("_filled", ArrayType(DoubleType()))
+    done = lines.mapInArrow(fill, schema).select(F.inline(F.arrays_zip("_rows", "_filled")))
+    return done.select(*[F.col("_filled").alias(c) if c == value else F.col("_rows")[c].alias(c) for c in df.columns])
+
+
+def _fill_line(v: np.ndarray, x: np.ndarray, y: float, cy: np.ndarray, cv: np.ndarray, reach: float) -> np.ndarray:
+    """Fill the holes of one parallel from the nearest candidate, at most 512 holes at a time."""
+    holes, has = np.flatnonzero(np.isnan(v)), np.flatnonzero(~np.isnan(cv))
+    if not len(holes) or not len(has):
+        return v
+    cy, cv, cx = cy[has], cv[has], x[has]
+    rise = (cy - y) ** 2
+    for start in range(0, len(holes), 512):
+        part = holes[start:start + 512]
+        far = np.round((x[part, None] - cx[None, :]) ** 2 + rise[None, :], 9)
+        near = far.min(axis=1)
+        pick = np.where(far == near[:, None], cy[None, :], np.inf).argmin(axis=1)
+        hit = near <= reach * reach
+        v[part[hit]] = cv[pick[hit]]
+    return v

@@ -37,7 +37,10 @@ def _blur(df: DataFrame, image: Sequence[str], line: str, along: str, columns: S
             w = w + F.when(x["at"] != F.col("_hi"), weight(2 * F.col("_hi") - x["at"] - here)).otherwise(0.0)
         return w
 
-    blurred = [F.aggregate("_near", F.lit(0.0), lambda acc, x, c=c: acc + total(x) * x[c]).alias(c) for c in columns]
+    def summed(name: str) -> Column:
+        return F.aggregate("_near", F.lit(0.0), lambda acc, x: acc + total(x) * x[name])
+
+    blurred = [summed(c).alias(c) for c in columns]
     others = [c for c in df.columns if c not in columns]
     return work.select(*others, *blurred)
 
