@@ -93,27 +93,27 @@ def page_links(pages: DataFrame, html: str = "html", url: str = "url", suffix: s
     return out.withColumn("address", resolved)
 
 
+# Days a ten-day product starts on, and the marks a file template may hold.
 DEKAD_DAYS = (1, 11, 21)
+TEMPLATE_MARKS = {"{year}": "yyyy", "{month}": "MM", "{day}": "dd", "{date}": "yyyyMMdd"}
+
+
+def with_address(days: DataFrame, template: str, time: str = "time") -> DataFrame:
+    """Add the file address of each date from a template with year, month, day and date marks."""
+    out = F.lit(template)
+    for mark, form in TEMPLATE_MARKS.items():
+        out = F.replace(out, F.lit(mark), F.date_format(time, form))
+    return days.withColumn("address", out)
 
 
 def dekad_manifest(spark: SparkSession, first_year: int, last_year: int, template: str) -> DataFrame:
-    """(time, address) for days 1, 11 and 21 of every month; the template takes year, month, day, yyyyMMdd."""
+    """(time, address) for days 1, 11 and 21 of every month."""
     months = spark.range(1).select(
         F.explode(F.sequence(F.lit(f"{first_year}-01-01").cast("date"), F.lit(f"{last_year}-12-01").cast("date"), F.expr("INTERVAL 1 MONTH"))).alias("_m")
     )
-    days = months.select(F.explode(F.array(*[F.date_add("_m", d - 1) for d in DEKAD_DAYS])).alias("time"))
-    return days.withColumn("address", _address(template))
+    return with_address(months.select(F.explode(F.array(*[F.date_add("_m", d - 1) for d in DEKAD_DAYS])).alias("time")), template)
 
 
 def daily_manifest(spark: SparkSession, start, end, template: str) -> DataFrame:
     days = spark.range(1).select(F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("time"))
-    return days.withColumn("address", _address(template))
-
-
-def _address(template: str) -> Column:
-    t = F.col("time")
-    parts = {"{year}": "yyyy", "{month}": "MM", "{day}": "dd", "{date}": "yyyyMMdd"}
-    out = F.lit(template)
-    for mark, form in parts.items():
-        out = F.replace(out, F.lit(mark), F.date_format(t, form))
-    return out
+    return with_address(days, template)
