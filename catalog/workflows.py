@@ -107,15 +107,25 @@ def events_per_product(t):
     return datasets.events_per_product(index, start="1995-06-01", end="2000-12-31", threshold=-0.9).select("product", "latency", "cell_id", "time", r6("severity"), "duration")
 
 
-@query("training_tables", f"""WITH {CUBE}, v AS (SELECT * FROM cube WHERE cell_id % 11 <> 4), w AS (SELECT *, ROW_NUMBER() OVER p - 1 AS i, COUNT(*) OVER (PARTITION BY cell_id) AS n FROM v WINDOW p AS (PARTITION BY cell_id ORDER BY time)),
- s AS (SELECT cell_id, i - 10 AS sample_id, time AS origin FROM w WHERE i >= 10 AND i + 5 < n), d AS (SELECT origin, ROW_NUMBER() OVER (ORDER BY origin) AS r, COUNT(*) OVER () AS n FROM (SELECT DISTINCT origin FROM s)),
- l AS (SELECT s.*, CASE WHEN r <= ROUND_EVEN(0.7 * n, 0) THEN 'train' WHEN r <= ROUND_EVEN(0.7 * n, 0) + ROUND_EVEN(0.15 * n, 0) THEN 'val' ELSE 'test' END AS split FROM s JOIN d ON d.origin = s.origin), m AS (SELECT MAX(sample_id) AS last FROM l),
- p AS (SELECT *, sample_id AS position FROM l UNION ALL SELECT l.*, sample_id + k FROM l, m, range(1, 32) g(k) WHERE sample_id = last AND k <= (32 - (last + 1) % 32) % 32)
-SELECT cell_id, sample_id, origin, split, position, position // 32 AS batch_id FROM p""")
+@query("training_tables", f"""WITH {CUBE}, v AS (SELECT * FROM cube WHERE cell_id % 11 <> 4), d AS (SELECT time, ROW_NUMBER() OVER (ORDER BY time) AS r, COUNT(*) OVER () AS n FROM (SELECT DISTINCT time FROM v)),
+ t AS (SELECT v.*, CASE WHEN r <= ROUND_EVEN(0.7::DOUBLE * n, 0) THEN 'train' WHEN r <= ROUND_EVEN(0.7::DOUBLE * n, 0) + ROUND_EVEN((1 - 0.7::DOUBLE) * 0.333::DOUBLE * n, 0) THEN 'val' ELSE 'test' END AS split FROM v JOIN d ON d.time = v.time),
+ w AS (SELECT *, ROW_NUMBER() OVER p - 1 AS i, COUNT(*) OVER (PARTITION BY cell_id, split) AS n FROM t WINDOW p AS (PARTITION BY cell_id, split ORDER BY time)),
+ l AS (SELECT cell_id, split, i - 10 AS sample_id, time AS origin FROM w WHERE i >= 10 AND i + 5 < n), m AS (SELECT split, MAX(sample_id) AS last FROM l GROUP BY 1),
+ p AS (SELECT *, sample_id AS position FROM l UNION ALL SELECT l.*, sample_id + k FROM l JOIN m ON m.split = l.split, range(1, 32) g(k) WHERE sample_id = last AND k <= (32 - (last + 1) % 32) % 32)
+SELECT cell_id, split, sample_id, origin, position, position // 32 AS batch_id FROM p""")
 def training_tables(t):
     water = t.cells().where("cell_id % 11 = 4")
     out = datasets.training_tables(t.cube(), ["value2"], "value", 10, 5, water=water)
-    return out.select("cell_id", "sample_id", "origin", "split", "position", "batch_id")
+    return out.select("cell_id", "split", "sample_id", "origin", "position", "batch_id")
+
+
+@query("training_tables_by_fold", f"""WITH {CUBE}, d AS (SELECT time, ROW_NUMBER() OVER (ORDER BY time) AS r, COUNT(*) OVER () AS n FROM (SELECT DISTINCT time FROM cube)), f AS (SELECT s // 365 AS fold, s FROM (SELECT MAX(n) AS n FROM d), range(0, n - 1095 + 1, 365) r(s)),
+ t AS (SELECT cube.*, CAST(fold AS INTEGER) AS fold, CASE WHEN r - 1 < s + 730 THEN 'train' ELSE 'test' END AS part FROM cube JOIN d ON d.time = cube.time JOIN f ON r - 1 >= s AND r - 1 < s + 1095),
+ w AS (SELECT *, ROW_NUMBER() OVER p - 1 AS i, COUNT(*) OVER (PARTITION BY cell_id, fold, part) AS n FROM t WINDOW p AS (PARTITION BY cell_id, fold, part ORDER BY time))
+SELECT fold, part, COUNT(*) AS samples, MIN(time) AS first_origin, MAX(time) AS last_origin FROM w WHERE i >= 10 AND i + 5 < n GROUP BY 1, 2""")
+def training_tables_by_fold(t):
+    out = datasets.training_tables(t.cube(), ["value2"], "value", 10, 5, folds=(730, 365, 365)).where("position = sample_id")
+    return out.groupBy("fold", "part").agg(F.count(F.lit(1)).alias("samples"), F.min("origin").alias("first_origin"), F.max("origin").alias("last_origin"))
 
 
 def scenes(t):

@@ -24,8 +24,7 @@ def transitions(
         wet = F.when(wet == 1, F.lit(1.0)).otherwise(spi)
         dry = F.when(dry == 1, F.lit(1.0)).otherwise(spi)
     work = df.withColumn("wet", wet).withColumn("dry", dry)
-    work = work.withColumn("dry_cond", rolling("dry", steps, "sum", keys, time))
-    work = work.withColumn("wet_cond", rolling("wet", steps, "sum", keys, time))
+    work = work.withColumns({"dry_cond": rolling("dry", steps, "sum", keys, time), "wet_cond": rolling("wet", steps, "sum", keys, time)})
     return work.withColumn("dw", F.when((F.col("wet_cond") >= 1) & (F.col("dry") == 1), 1).otherwise(0)).withColumn(
         "wd", F.when((F.col("dry_cond") >= 1) & (F.col("wet") == 1), 1).otherwise(0)
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from drygrid.functions.values import min_max_restore, min_max_scale, z_restore, z_scale
 from drygrid.operators.common import CELL, Keys, one_value, series
@@ -158,16 +158,20 @@ def fold_rows(df: DataFrame, window: int, horizon: int, stride: int = 365, time:
     return df.join(tagged.select(time, F.col("fold").cast("int").alias("fold"), part.alias("part")), time)
 
 
-def batches(samples: DataFrame, size: int, sample: str = "sample_id", pad: bool = True, shuffle_seed: int | None = None) -> DataFrame:
+def batches(
+    samples: DataFrame, size: int, sample: str = "sample_id", pad: bool = True, shuffle_seed: int | None = None, last: Column | None = None
+) -> DataFrame:
     """Add ``position`` and ``batch_id``: every ``size`` consecutive samples form a batch.
 
     ``sample`` is the running number of the window's origin, shared by all cells. ``pad`` repeats the
-    last sample to fill its batch. ``shuffle_seed`` permutes the numbers by a seeded hash; only the
-    distinct numbers (one per date) are sorted for it.
+    last sample to fill its batch; ``last`` gives its number where it is known, else it is looked up,
+    which computes the samples once more. ``shuffle_seed`` permutes the numbers by a seeded hash; only
+    the distinct numbers (one per date) are sorted for it.
     """
     work = samples.withColumn("position", F.col(sample).cast("long"))
     if pad:
-        last = one_value(samples, F.max(sample).cast("long"))
+        if last is None:
+            last = one_value(samples, F.max(sample).cast("long"))
         extra = F.pmod(-(last + 1), F.lit(size))
         copies = F.sequence(F.col("position"), F.col("position") + F.when(F.col("position") == last, extra).otherwise(F.lit(0)))
         work = work.withColumn("position", F.explode(copies))

@@ -26,12 +26,11 @@ def gamma_parameters(
     w = Window.partitionBy(*keys, "_doy")
     work = df.withColumn("pr", rolling(value, window, "mean", keys, time)).withColumn("_doy", F.dayofyear(time))
     positive = F.when(F.col("pr") > 0, F.col("pr"))
-    work = (
-        work.withColumn("prob_zero", F.avg((F.col("pr") == 0).cast("double")).over(w))
-        .withColumn("_mean", F.avg(positive).over(w))
-        .withColumn("_log", F.avg(F.ln(positive)).over(w))
-        .withColumn("_a", F.ln("_mean") - F.col("_log"))
-    )
+    work = work.withColumns({
+        "prob_zero": F.avg((F.col("pr") == 0).cast("double")).over(w),
+        "_mean": F.avg(positive).over(w),
+        "_log": F.avg(F.ln(positive)).over(w),
+    }).withColumn("_a", F.ln("_mean") - F.col("_log"))
     # No spread gives A = 0: no shape. Rounding can leave a tiny positive or negative A there.
     a = F.when(F.col("_a") > 1e-12, F.col("_a"))
     work = work.withColumn("shape", (1 + F.sqrt(1 + 4 * a / 3)) / (4 * a))

@@ -177,10 +177,9 @@ def savitzky_golay(
     basis = np.vander(np.arange(window) - half, order + 1, increasing=True).astype(float)
     weights = basis @ np.linalg.pinv(basis)
     w = series(keys, time)
-    work = df.withColumn("_i", F.row_number().over(w))
+    moved = {f"_o{k + window}": F.lag(value, -k).over(w) if k else F.col(value) for k in range(-(window - 1), window)}
+    work = df.withColumns({"_i": F.row_number().over(w), **moved})
     work = work.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    for offset in range(-(window - 1), window):
-        work = work.withColumn(f"_o{offset + window}", F.lag(value, -offset).over(w) if offset else F.col(value))
 
     def combine(position: int) -> Column:
         total = F.lit(0.0)
@@ -221,8 +220,7 @@ def quarter_extremes(df: DataFrame, keys: Keys = CELL, time: str = "time", value
     w = Window.partitionBy(*keys, "_q")
     return (
         df.withColumn("_q", cal.march_quarter(F.col(time)))
-        .withColumn("wet_max", F.max(value).over(w))
-        .withColumn("dry_min", F.min(value).over(w))
+        .withColumns({"wet_max": F.max(value).over(w), "dry_min": F.min(value).over(w)})
         .withColumn("diff_max", F.col("wet_max") - F.col(value))
         .withColumn("diff_min", F.col(value) - F.col("dry_min"))
         .drop("_q")
@@ -261,8 +259,7 @@ def hourly_to_daily(
     """All daily variables in one aggregate: sums of ``sums``, min and max of ``extremes``."""
     source = hourly
     if shift:
-        for v in [*sums, *extremes]:
-            source = source.withColumn(v, accumulate_shift(v, keys, time))
+        source = source.withColumns({v: accumulate_shift(v, keys, time) for v in [*sums, *extremes]})
     aggs = [sum_or_zero(F.col(v)).alias(v) for v in sums]
     for v in extremes:
         aggs += [F.min(v).alias(f"{v}_min"), F.max(v).alias(f"{v}_max")]

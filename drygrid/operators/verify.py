@@ -255,28 +255,34 @@ def histogram_2d(df: DataFrame, x: str, y: str, bins: int = 50, min_count: int =
     return out.where(F.col("n") >= min_count) if min_count > 1 else out
 
 
-def error_by_percentile(df: DataFrame, metric: str = "rmse", pred: str = "y_pred", truth: str = "y", bands: int = 10, strict: bool = False) -> DataFrame:
-    """Score per band of the truth's quantiles: rmse, bias (truth - prediction), mse or nse as 1/(2 - nse).
+BAND_METRICS = ("rmse", "bias", "mse", "nse")
 
-    The last band includes the maximum unless ``strict``.
+
+def error_by_percentile(
+    df: DataFrame, metric: str | Sequence[str] = "rmse", pred: str = "y_pred", truth: str = "y", bands: int = 10, strict: bool = False, by: Sequence[str] = ()
+) -> DataFrame:
+    """Scores per band of the truth's quantiles: rmse, bias (truth - prediction), mse or nse as 1/(2 - nse).
+
+    Several metrics share one pass. The last band includes the maximum unless ``strict``. ``by`` holds
+    short labels (model, horizon); each gets its own quantiles.
     """
-    if metric not in ("rmse", "bias", "mse", "nse"):
-        raise ValueError("metric must be 'rmse', 'bias', 'mse' or 'nse'")
-    data = df.where(F.col(truth).isNotNull())
-    bounds = exact_quantiles(data, truth, [i / bands for i in range(bands + 1)], name="_q").scalar()
-    r, p = F.col(truth), F.col(pred)
-    work = data.select(r.alias("_r"), p.alias("_p")).withColumn("_b", bounds)
+    metrics = [metric] if isinstance(metric, str) else list(metric)
+    if not set(metrics) <= set(BAND_METRICS):
+        raise ValueError(f"metric must be one of {BAND_METRICS}")
+    by = list(by)
+    data = df.where(F.col(truth).isNotNull()).select(*by, F.col(truth).alias("_r"), F.col(pred).alias("_p"))
+    bounds = exact_quantiles(data, "_r", [i / bands for i in range(bands + 1)], by, "_b", few_keys=bool(by))
+    work = data.join(F.broadcast(bounds), by) if by else data.withColumn("_b", bounds.scalar())
     band = F.size(F.filter("_b", lambda b: b <= F.col("_r"))) - 1
     work = work.withColumn("band", band if strict else F.least(band, F.lit(bands - 1)))
     if strict:
         work = work.where(F.col("band") < bands)
     err = F.col("_r") - F.col("_p")
-    nse = 1 - F.try_divide(F.sum(err * err), F.var_pop("_r") * F.count("_r"))
-    score = {
-        "rmse": F.sqrt(F.avg(err * err)), "bias": F.avg(err), "mse": F.avg(err * err), "nse": F.try_divide(F.lit(1.0), 2 - nse),
-    }[metric]
-    out = work.groupBy("band").agg(F.element_at(F.first("_b"), (F.first("band") + 1).cast("int")).alias("lower"), score.alias(metric))
-    return out.select(F.round(F.col("band") / bands, 6).alias("percentile"), "lower", metric)
+    efficiency = 1 - F.try_divide(F.sum(err * err), F.var_pop("_r") * F.count("_r"))
+    scores = {"rmse": F.sqrt(F.avg(err * err)), "bias": F.avg(err), "mse": F.avg(err * err), "nse": F.try_divide(F.lit(1.0), 2 - efficiency)}
+    out = work.groupBy(*by, "band").agg(F.first("_b").alias("_b"), *[scores[m].alias(m) for m in metrics])
+    lower = F.element_at("_b", (F.col("band") + 1).cast("int"))
+    return out.select(*by, F.round(F.col("band") / bands, 6).alias("percentile"), lower.alias("lower"), *metrics)
 
 
 # --- ensembles -----------------------------------------------------------------------------------------
@@ -338,11 +344,18 @@ def nse(pred: Column, truth: Column) -> Column:
     return 1 - F.try_divide(F.sum(error * error), F.var_pop(t) * F.count(t))
 
 
-def bias_corrected(df: DataFrame, pred: str = "y_pred", truth: str = "y", out: str = "y_corrected") -> DataFrame:
-    """Add slope * pred + intercept of the least-squares line truth ~ pred fitted on the whole table."""
+def bias_corrected(df: DataFrame, pred: str = "y_pred", truth: str = "y", out: str = "y_corrected", by: Sequence[str] = ()) -> DataFrame:
+    """Add slope * pred + intercept of the least-squares line truth ~ pred fitted on the whole table.
+
+    ``by`` fits one line per short label (model, horizon).
+    """
     t, p = F.col(truth), F.col(pred)
-    line = one_value(df, F.struct(F.regr_slope(t, p).alias("slope"), F.regr_intercept(t, p).alias("intercept")))
-    return df.withColumn("_l", line).withColumn(out, p * F.col("_l")["slope"] + F.col("_l")["intercept"]).drop("_l")
+    line = F.struct(F.regr_slope(t, p).alias("slope"), F.regr_intercept(t, p).alias("intercept"))
+    if by:
+        work = df.join(F.broadcast(df.groupBy(*by).agg(line.alias("_l"))), list(by))
+    else:
+        work = df.withColumn("_l", one_value(df, line))
+    return work.withColumn(out, p * F.col("_l")["slope"] + F.col("_l")["intercept"]).drop("_l")
 
 
 def pearson(x: str, y: str) -> Column:

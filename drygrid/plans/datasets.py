@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from drygrid.functions.grid import GridSpec
 from drygrid.operators.common import CELL, Keys
 from drygrid.operators.events import drought_runs
 from drygrid.operators.regrid import lookup_layers, regrid_nearest
-from drygrid.operators.samples import batches, chronological_split, supervised_windows
+from drygrid.operators.samples import batches, chronological_split, fold_rows, supervised_windows
 from drygrid.operators.spatial import clip_to_regions
 from drygrid.operators.subset import between_times, valid_cells
 from drygrid.operators.temporal import weekly_mean
@@ -46,15 +46,23 @@ def events_per_product(indices: DataFrame, edges: DataFrame | None = None, count
 
 
 def training_tables(
-    cube: DataFrame, features: Sequence[str], target: str, length: int, horizon: int, out: int = 1, batch_size: int = 32, train: float = 0.7, val: float = 0.5,
-    water: DataFrame | None = None, keys: Keys = CELL, **windows,
+    cube: DataFrame, features: Sequence[str], target: str, length: int, horizon: int, out: int = 1, batch_size: int = 32, train: float = 0.7, val: float = 0.333,
+    water: DataFrame | None = None, keys: Keys = CELL, folds: tuple[int, int, int] | None = None, **windows,
 ) -> DataFrame:
-    """Valid cells only, windows over each series, split by the date of origin, batch numbers.
+    """Valid cells, chronological split, windows inside each part of each series, batch numbers per part.
 
-    Cells are filtered before the windows; the split is joined on the origin date afterwards.
+    The split comes first, so no window crosses its border. ``folds`` = (window, test length, stride)
+    cuts sliding folds instead; every fold and part is then its own series. The last sample of a part
+    follows from its number of dates, so the windows are computed once.
     """
     cells = valid_cells(cube, target, features, keys, water=water)
     kept = cube.join(cells, list(keys), "left_semi")
-    samples = supervised_windows(kept, features, target, length, horizon, out, keys=keys, **windows)
-    return batches(chronological_split(samples, train, val, time="origin"), batch_size)
-
+    if folds is None:
+        parts, tagged = ["split"], chronological_split(kept, train, val)
+    else:
+        parts, tagged = ["fold", "part"], fold_rows(kept, *folds)
+    longest = tagged.groupBy(*keys, *parts).agg(F.count(F.lit(1)).alias("_n")).groupBy(*parts).agg(F.max("_n").alias("_n"))
+    samples = supervised_windows(tagged, features, target, length, horizon, out, keys=[*keys, *parts], **windows)
+    before = windows.get("diffusion_days") or length
+    numbered = samples.join(longest, parts)
+    return batches(numbered, batch_size, last=F.col("_n") - (before + horizon + out)).drop("_n")

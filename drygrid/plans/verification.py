@@ -59,21 +59,16 @@ def scores_by_cover(
 
 
 def forecast_report(df: DataFrame, horizons: Sequence[int], mask: str | None = "mask", images: Sequence[str] = ("valid_date",), row: str = "row", col: str = "col") -> DataFrame:
-    """(horizon, metric, percentile, lower, value) after linear bias correction, one horizon at a time.
+    """(horizon, metric, percentile, lower, value) after a linear bias correction per horizon.
 
-    Single scores are rmse, nse and ssim; rmse, nse and bias follow per tenth of the truth. Horizons are
-    a short list given by the caller.
+    Single scores are rmse, nse and ssim; rmse, nse and bias follow per tenth of the truth. All horizons
+    and metrics share the same passes.
     """
-    parts = []
-    for h in horizons:
-        fc = bias_corrected(df.where(F.col("horizon") == h)).withColumn("y_pred", F.col("y_corrected"))
-        m = F.col(mask) if mask else None
-        single = fc.agg(F.sqrt(mask_mse(F.col("y_pred"), F.col("y"), m)).alias("rmse"), nse(F.col("y_pred"), F.col("y")).alias("nse"))
-        similar = ssim(fc.withColumnsRenamed({"y_pred": "a", "y": "b"}), image=images, row=row, col=col)
-        single = single.withColumn("ssim", similar.scalar())
-        blank = F.lit(None).cast("double")
-        parts.append(single.unpivot([], ["rmse", "nse", "ssim"], "metric", "value").select(F.lit(h).alias("horizon"), "metric", blank.alias("percentile"), blank.alias("lower"), "value"))
-        for metric in ("rmse", "nse", "bias"):
-            bands = error_by_percentile(fc, metric)
-            parts.append(bands.select(F.lit(h).alias("horizon"), F.lit(metric).alias("metric"), "percentile", "lower", F.col(metric).alias("value")))
-    return union_all(*parts)
+    fc = bias_corrected(df.where(F.col("horizon").isin(*horizons)), by=["horizon"]).withColumn("y_pred", F.col("y_corrected"))
+    m = F.col(mask) if mask else None
+    single = fc.groupBy("horizon").agg(F.sqrt(mask_mse(F.col("y_pred"), F.col("y"), m)).alias("rmse"), nse(F.col("y_pred"), F.col("y")).alias("nse"))
+    similar = ssim(fc.withColumnsRenamed({"y_pred": "a", "y": "b"}), image=["horizon", *images], by=["horizon"], row=row, col=col)
+    blank = F.lit(None).cast("double")
+    whole = single.join(similar, "horizon").unpivot(["horizon"], ["rmse", "nse", "ssim"], "metric", "value")
+    bands = error_by_percentile(fc, ["rmse", "nse", "bias"], by=["horizon"]).unpivot(["horizon", "percentile", "lower"], ["rmse", "nse", "bias"], "metric", "value")
+    return union_all(whole.withColumn("percentile", blank).withColumn("lower", blank), bands).select("horizon", "metric", "percentile", "lower", "value")
