@@ -127,7 +127,8 @@ def axis_name(df: DataFrame, axis: str) -> str | None:
 
 
 def swap_axes(df: DataFrame) -> DataFrame:
-    return df.withColumnsRenamed({"lat": "lon", "lon": "lat"})
+    swapped = {"lat": "lon", "lon": "lat"}
+    return df.select(*[F.col(c).alias(swapped.get(c, c)) for c in df.columns])
 
 
 def reanalysis_names(df: DataFrame, time: str = "time") -> DataFrame:

@@ -202,11 +202,10 @@ def feature_adjacency(
     low_rank, high_rank = math.floor(position) - zeros, math.ceil(position) - zeros
     upto = counts["n"].cumsum().to_numpy()
     bins = counts["bin"].to_numpy()
-    slot = int(np.searchsorted(upto, max(low_rank, 0), side="right"))
-    first_bin = int(bins[slot]) if slot < len(bins) else BINS
+    # Ranks past the pairs lie on the diagonal of ones; the closest pair shares that value and bin.
+    slot, last_slot = (min(int(np.searchsorted(upto, max(r, 0), side="right")), len(bins) - 1) for r in (low_rank, high_rank))
+    first_bin, last_bin = int(bins[slot]), int(bins[last_slot])
     before = int(upto[slot - 1]) if slot > 0 else 0
-    last_slot = int(np.searchsorted(upto, max(high_rank, 0), side="right"))
-    last_bin = int(bins[last_slot]) if last_slot < len(bins) else BINS
 
     def candidates(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for ids_a, ids_b, d, once in _each_block(frames, metric):

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
+from drygrid.operators.align import swap_axes
 from drygrid.operators.common import CELL, Keys
 
 
@@ -52,7 +53,7 @@ def clip_to_regions(
     chosen = edges.where(F.col(column).isin(*names))
     cells = df.select(*keys, "lat", "lon").distinct()
     if invert:
-        cells = cells.withColumnsRenamed({"lat": "lon", "lon": "lat"})
+        cells = swap_axes(cells)
     # Parity counts within one polygon; overlapping polygons of a country must not cancel.
     polygon = region_col if region_col in edges.columns else column
     inside = assign_region(cells, chosen, polygon, keys).select(*keys).distinct()

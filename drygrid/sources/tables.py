@@ -16,11 +16,12 @@ KEY_NAMES = ("cell_id", "lat", "lon", "time", "longitude", "latitude", "x", "y",
 
 def read_files(
     spark: SparkSession, paths: str | Sequence[str], hook: Callable[[DataFrame], DataFrame] | None = None,
-    kind: str = "parquet", skip_corrupt: bool = False, with_path: bool = False, **options,
+    kind: str = "parquet", skip_corrupt: bool = False, with_path: bool = False, schema=None, **options,
 ) -> DataFrame:
     """Scan one or many files with NaN as NULL; ``hook`` transforms the scan (per-file logic uses ``file_path``).
 
-    ``skip_corrupt`` drops unreadable files and fails only when nothing is left.
+    ``skip_corrupt`` drops unreadable files and fails only when nothing is left. Give the ``schema`` then:
+    without one, Parquet footers of all files are read to find it.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     if not paths:
@@ -28,6 +29,10 @@ def read_files(
     reader = spark.read.options(**options)
     if skip_corrupt:
         reader = reader.option("ignoreCorruptFiles", "true")
+        if schema is None and kind == "parquet":
+            reader = reader.option("mergeSchema", "true")
+    if schema is not None:
+        reader = reader.schema(schema)
     df = reader.format(kind).load(paths)
     if with_path or hook is not None:
         df = df.select("*", F.col("_metadata.file_path").alias("file_path"))

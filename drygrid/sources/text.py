@@ -28,7 +28,7 @@ def parse_ascii_grid(texts: DataFrame, text: str = "value", layer: str | Column
         F.posexplode(F.slice("_l", F.lit(ASCII_HEADER_LINES + 1), F.size("_l") - ASCII_HEADER_LINES)).alias("row", "_line"),
     )
     cells = head.select("layer", "row", "x_corner", "y_corner", "cellsize", "_nodata", F.posexplode(F.split(F.trim("_line"), r"\s+")).alias("col", "_t"))
-    return cells.where(F.col("_t") != F.col("_nodata")).select(
+    return cells.where((F.col("_t") != F.col("_nodata")) & (F.col("_t") != "")).select(
         "layer", "row", "col", F.col("_t").cast("double").alias("value"), "x_corner", "y_corner", "cellsize"
     )
 
