@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 ACCURACY = 5000
 SMALL = 2 * ACCURACY
+SLICES = 256
 
 
 def exact_quantiles(
@@ -22,23 +24,24 @@ def exact_quantiles(
 
     A bounded sketch per group brackets every wanted rank. Rows inside a bracket keep their value, rows
     between brackets only count, and both collapse on the map side. The exact rank is then read from the
-    bracket rows: at most a few rows per thousand of a large group, and the whole of a small one.
+    bracket rows: a few rows per thousand of a large group (the whole of a small one), cut into slices of
+    which only those holding a wanted rank are sorted.
     ``few_keys`` says the keys are calendar labels (day of year, month, date), so their brackets may be
     broadcast; other key sets join by shuffle.
     """
-    keys = list(keys)
+    groups = keys = list(keys)
     probs = [float(p) for p in probs]
     slack = 4.0 / ACCURACY
     edges = [min(max(p + s, 0.0), 1.0) for p in probs for s in (-slack, slack)]
     data = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     sketch = F.percentile_approx("_v", F.array(*[F.lit(e) for e in edges]), ACCURACY)
     stats = [F.count("_v").alias("_n"), sketch.alias("_e"), F.min("_v").alias("_min"), F.max("_v").alias("_max")]
-    if keys:
-        brackets = data.groupBy(*keys).agg(*stats)
-        joined = data.join(F.broadcast(brackets) if few_keys else brackets, keys)
-    else:
-        whole = data.agg(F.struct(*stats).alias("_s")).scalar()
-        joined = data.withColumn("_s", whole).select("_v", "_s._n", "_s._e", "_s._min", "_s._max")
+    if not keys:
+        # One group for the whole table. The key is computed, because joining on a literal is a cross join.
+        keys, few_keys = ["_all"], True
+        data = data.withColumn("_all", F.pmod(F.hash("_v"), F.lit(1)))
+    brackets = data.groupBy(*keys).agg(*stats)
+    joined = data.join(F.broadcast(brackets) if few_keys else brackets, keys)
 
     # A bracket that reaches probability 0 or 1 opens to the true end of the group.
     lows = F.array(*[F.col("_min") if edges[2 * i] <= 0 else F.col("_e")[2 * i] for i in range(len(probs))])
@@ -52,24 +55,38 @@ def exact_quantiles(
         .groupBy(*keys, "_n", "_at", "_keep")
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    # Counted-only rows sort just after the bracket end below them.
-    running = Window.partitionBy(*keys).orderBy(F.col("_at").asc_nulls_first(), F.col("_keep").desc())
-    ranked = counted.withColumn("_cum", F.sum("_c").over(running.rowsBetween(Window.unboundedPreceding, 0)))
+    # Counted-only rows sort just after the bracket end below them, so (at, kept first) is the value order.
+    # Equi-depth splitters cut that order into slices. Slice totals give each slice its starting rank, and
+    # only slices that hold a wanted rank are sorted, each in its own task.
+    grid = F.array(*[F.lit(i / SLICES) for i in range(1, SLICES)])
+    cuts = F.percentile_approx(F.when(F.col("_n") > SMALL, F.col("_at")), grid, ACCURACY)
+    splitters = counted.groupBy(*keys).agg(cuts.alias("_s"))
+    sliced = counted.join(F.broadcast(splitters) if few_keys else splitters, keys)
+    inner = F.coalesce(F.size(F.filter("_s", lambda c: c < F.col("_at"))), F.lit(0))
+    sliced = sliced.withColumn("_slice", F.when(F.col("_at").isNull(), F.lit(-1)).otherwise(inner)).drop("_s")
+    totals = sliced.groupBy(*keys, "_slice").agg(F.sum("_c").alias("_total"), F.first("_n").alias("_n"))
+    ends = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
+    totals = totals.withColumn("_before", F.sum("_total").over(ends) - F.col("_total"))
+
+    positions = [F.lit(p) * (F.col("_n") - 1) for p in probs]
+    ranks = [rank for position in positions for rank in (F.floor(position), F.ceil(position))]
+    holds = [(F.col("_before") <= r) & (r < F.col("_before") + F.col("_total")) for r in ranks]
+    wanted = totals.where(reduce(lambda x, y: x | y, holds)).select(*keys, "_slice", "_before")
+    on = [*keys, "_slice"]
+    chosen = sliced.join(F.broadcast(wanted) if few_keys else wanted, on)
+    running = Window.partitionBy(*on).orderBy(F.col("_at").asc_nulls_first(), F.col("_keep").desc())
+    chosen = chosen.withColumn("_cum", F.col("_before") + F.sum("_c").over(running.rowsBetween(Window.unboundedPreceding, 0)))
 
     def at_rank(rank):
-        return F.min(F.when(F.col("_keep") & (F.col("_cum") > rank), F.col("_at")))
+        hit = F.col("_keep") & (F.col("_cum") > rank) & (F.col("_cum") - F.col("_c") <= rank)
+        return F.min(F.when(hit, F.col("_at")))
 
-    picks = []
-    for i, p in enumerate(probs):
-        position = F.lit(p) * (F.col("_n") - 1)
-        picks += [at_rank(F.floor(position)).alias(f"_lo{i}"), at_rank(F.ceil(position)).alias(f"_hi{i}")]
-    out = ranked.groupBy(*keys).agg(F.first("_n").alias("_n"), *picks)
+    out = chosen.groupBy(*keys).agg(F.first("_n").alias("_n"), *[at_rank(r).alias(f"_r{i}") for i, r in enumerate(ranks)])
     results = []
-    for i, p in enumerate(probs):
-        position = F.lit(p) * (F.col("_n") - 1)
-        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+    for i, position in enumerate(positions):
+        lo, hi = F.col(f"_r{2 * i}"), F.col(f"_r{2 * i + 1}")
         results.append(lo + (hi - lo) * (position - F.floor(position)))
-    return out.select(*keys, F.array(*results).alias(name))
+    return out.select(*groups, F.array(*results).alias(name))
 
 
 def quantile_columns(df: DataFrame, value: str, named: dict[str, float], keys: Sequence[str] = (), few_keys: bool = False) -> DataFrame:

@@ -141,3 +141,16 @@ def _fill_line(v: np.ndarray, x: np.ndarray, y: float, cy: np.ndarray, cv: np.nd
         hit = near <= reach * reach
         v[part[hit]] = cv[pick[hit]]
     return v
+
+
+def impute(df: DataFrame, method: str = "constant", value: str = "value", fill: float | None = None, time: str = "time") -> DataFrame:
+    """Fill missing cells: ``constant`` (needs a number), ``nearest`` in space, or ``none``."""
+    if method == "constant":
+        if fill is None:
+            raise ValueError("constant imputation needs a fill value")
+        return df.withColumn(value, F.coalesce(F.col(value), F.lit(float(fill))))
+    if method == "nearest":
+        return fill_nearest_in_space(df, time, value)
+    if method == "none":
+        return df
+    raise NotImplementedError(f"imputation {method} is not defined")

@@ -148,3 +148,14 @@ def test_cloud_mask_values(spark):
     mask = spark.createDataFrame([(0, day, 0), (1, day, 1), (2, day, 2)], "cell_id long, time date, cloud_mask int")
     assert {r.cell_id: r.value for r in sub.apply_cloud_mask(df, mask).collect()} == {0: 1.0, 1: 1.0, 2: None}
     assert {r.cell_id: r.value for r in sub.apply_cloud_mask(df, mask, align=False).collect()} == {0: 1.0, 1: 1.0, 2: None, 3: 1.0}
+
+
+def test_impute(spark):
+    df = spark.createDataFrame([(0, 1.0, 1.0, None), (0, 1.0, 2.0, 5.0)], "time int, lat double, lon double, value double")
+    assert sorted(r.value for r in spatial.impute(df, "constant", fill=-1).collect()) == [-1.0, 5.0]
+    assert [r.value for r in spatial.impute(df, "nearest").collect()] == [5.0, 5.0]
+    assert spatial.impute(df, "none").where("value IS NULL").count() == 1
+    with pytest.raises(ValueError):
+        spatial.impute(df, "constant")
+    with pytest.raises(NotImplementedError):
+        spatial.impute(df, "median")
