@@ -44,11 +44,13 @@ def exact_quantiles(
     joined = data.join(F.broadcast(brackets) if few_keys else brackets, keys)
 
     # A bracket that reaches probability 0 or 1 opens to the true end of the group.
-    lows = F.array(*[F.col("_min") if edges[2 * i] <= 0 else F.col("_e")[2 * i] for i in range(len(probs))])
-    highs = F.array(*[F.col("_max") if edges[2 * i + 1] >= 1 else F.col("_e")[2 * i + 1] for i in range(len(probs))])
-    pairs = F.arrays_zip(lows.alias("lo"), highs.alias("hi"))
-    inside = (F.col("_n") <= SMALL) | F.exists(pairs, lambda b: F.col("_v").between(b["lo"], b["hi"]))
-    below = F.array_max(F.filter(highs, lambda h: h < F.col("_v")))
+    # Plain comparisons, one per bracket: they compile, lambdas over arrays do not.
+    lows = [F.col("_min") if edges[2 * i] <= 0 else F.col("_e")[2 * i] for i in range(len(probs))]
+    highs = [F.col("_max") if edges[2 * i + 1] >= 1 else F.col("_e")[2 * i + 1] for i in range(len(probs))]
+    within = [F.col("_v").between(lo, hi) for lo, hi in zip(lows, highs)]
+    inside = reduce(lambda x, y: x | y, within, F.col("_n") <= SMALL)
+    none = F.lit(None).cast("double")
+    below = F.greatest(none, *[F.when(h < F.col("_v"), h) for h in highs])
     counted = (
         joined.withColumn("_keep", inside)
         .withColumn("_at", F.when(F.col("_keep"), F.col("_v")).otherwise(below))

@@ -7,6 +7,7 @@ tables are long: one row per (model, horizon, date, cell).
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -273,7 +274,7 @@ def error_by_percentile(
     data = df.where(F.col(truth).isNotNull()).select(*by, F.col(truth).alias("_r"), F.col(pred).alias("_p"))
     bounds = exact_quantiles(data, "_r", [i / bands for i in range(bands + 1)], by, "_b", few_keys=bool(by))
     work = data.join(F.broadcast(bounds), by) if by else data.withColumn("_b", bounds.scalar())
-    band = F.size(F.filter("_b", lambda b: b <= F.col("_r"))) - 1
+    band = reduce(lambda x, y: x + y, [(F.col("_b")[i] <= F.col("_r")).cast("int") for i in range(bands + 1)]) - 1
     work = work.withColumn("band", band if strict else F.least(band, F.lit(bands - 1)))
     if strict:
         work = work.where(F.col("band") < bands)
