@@ -224,9 +224,14 @@ def efficiency_and_correlation(t):
     return rows.groupBy("model").agg(r6(vf.nse(F.col("y_pred"), F.col("y")), "nse"), r6(F.corr("y", "y_pred"), "r"))
 
 
-@query("bias_corrected_forecast", f"""WITH {FORECAST}, l AS (SELECT REGR_SLOPE(y, y_pred) AS s, REGR_INTERCEPT(y, y_pred) AS i FROM fc WHERE model = 'last') SELECT valid_date, cell_id, ROUND(y_pred * s + i, 6) AS y_corrected FROM fc, l WHERE model = 'last'""")
+@query("bias_corrected_forecast", f"""WITH {FORECAST}, l AS (SELECT model, REGR_SLOPE(y, y_pred) AS s, REGR_INTERCEPT(y, y_pred) AS i FROM fc GROUP BY 1) SELECT fc.model, valid_date, cell_id, ROUND(y_pred * s + i, 6) AS y_corrected FROM fc JOIN l ON l.model = fc.model""")
 def bias_corrected_forecast(t):
-    return vf.bias_corrected(t.forecast().where("model = 'last'")).select("valid_date", "cell_id", r6("y_corrected"))
+    return vf.bias_corrected(t.forecast(), by=["model"]).select("model", "valid_date", "cell_id", r6("y_corrected"))
+
+
+@query("bias_corrected_together", f"""WITH {FORECAST}, l AS (SELECT REGR_SLOPE(y, y_pred) AS s, REGR_INTERCEPT(y, y_pred) AS i FROM fc) SELECT model, valid_date, cell_id, ROUND(y_pred * s + i, 6) AS y_corrected FROM fc, l""")
+def bias_corrected_together(t):
+    return vf.bias_corrected(t.forecast()).select("model", "valid_date", "cell_id", r6("y_corrected"))
 
 
 @query("correlation_matrix", f"""WITH c AS (SELECT l_quantity AS q, l_extendedprice AS p, l_discount AS d, l_tax AS x FROM lineitem), m AS (SELECT CORR(q, p) AS qp, CORR(q, d) AS qd, CORR(q, x) AS qx, CORR(p, d) AS pd, CORR(p, x) AS px, CORR(d, x) AS dx FROM c)

@@ -79,14 +79,14 @@ def scores_by_cover(t):
     return out.select("level1", *[r6(c) for c in out.columns if c != "level1"])
 
 
-@query("month_distribution_by_cover", f"""WITH {CUBE}, {COVER_SQL}, l AS (SELECT p_partkey, CASE WHEN code BETWEEN 111 AND 116 THEN 11 WHEN code BETWEEN 121 AND 126 THEN 12 ELSE code END AS level1 FROM codes)
+@query("day_distribution_by_cover", f"""WITH {CUBE}, {COVER_SQL}, l AS (SELECT p_partkey, CASE WHEN code BETWEEN 111 AND 116 THEN 11 WHEN code BETWEEN 121 AND 126 THEN 12 ELSE code END AS level1 FROM codes)
 SELECT level1, STRFTIME(time, '%m-%d') AS month_day, COUNT(*) AS n, ROUND(AVG(value), 6) AS mean, ROUND(QUANTILE_CONT(value, 0.25), 6) AS q25, ROUND(MEDIAN(value), 6) AS median, ROUND(QUANTILE_CONT(value, 0.75), 6) AS q75
-FROM cube JOIN l ON p_partkey = cell_id WHERE level1 NOT IN (0, 70, 80, 200) AND MONTH(time) IN (3, 4, 5) GROUP BY 1, 2""")
-def month_distribution_by_cover(t):
+FROM cube JOIN l ON p_partkey = cell_id WHERE level1 NOT IN (0, 70, 80, 200) GROUP BY 1, 2""")
+def day_distribution_by_cover(t):
     from drygrid.functions.cover import NOT_LAND, level_1
 
     classes = cover_codes(t).select(F.col("p_partkey").alias("cell_id"), level_1(F.col("code")).alias("level1")).where(~F.col("level1").isin(*NOT_LAND))
-    out = clim.day_of_year_distribution(t.cube().join(classes, "cell_id"), by=["level1"], months=[3, 4, 5], key="month_day")
+    out = clim.day_of_year_distribution(t.cube().join(classes, "cell_id"), by=["level1"], key="month_day")
     return out.select("level1", "month_day", "n", r6("mean"), r6("q25"), r6("median"), r6("q75"))
 
 
