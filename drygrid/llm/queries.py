@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from drygrid.llm import recompression, setsketch
+from drygrid.llm import line_alignment, packing, recompression, secrets, setsketch
 
 QUERIES = {
+    "op2_best_fit_packing": packing.op2,
+    "op4_secret_scan": secrets.op4,
+    "op5_line_dedup": line_alignment.op5,
     "op6_near_duplicates": setsketch.op6,
     "op8_substring_dedup": recompression.op8,
 }
