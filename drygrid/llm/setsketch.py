@@ -8,10 +8,12 @@ two sets of known sizes is estimated jointly by maximum likelihood.
 1. Documents with equal shingle sets form classes; the smallest id stands for its class.
 2. In every band bucket the smallest id is paired with each other member (never all pairs of a bucket).
 3. Pairs whose estimate is five standard errors below the threshold are dropped, the rest compared on their full sets.
-4. Members that the smallest id did not link are compared with the members of other components of their bucket. After that, every
-   pair that shares a bucket is either in one component or has been compared.
+4. Buckets whose members are still in several components hold texts that share a common passage, or copies just below the
+   threshold. Their members are searched exactly: sets are ordered from rare to frequent shingles, and two sets that reach the
+   threshold share one of the first few, near enough to the front that the rest can still make up the intersection. Such pairs of
+   different components are compared on their full sets. No bucket is capped.
 
-A link at the threshold itself shares a bucket with probability 1 - 2.4e-7.
+A link at the threshold itself shares a bucket with probability 1 - 2.6e-7.
 """
 
 from __future__ import annotations
@@ -25,8 +27,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from drygrid.llm.common import TAG, distinct_per_document, find_words, lists, mix, pieces, row_tag, shingles, written
 from drygrid.llm.components import components
 
-WORDS, BANDS, ROWS = 5, 26, 5
+WORDS, BANDS, ROWS = 5, 32, 6
 REGISTERS = BANDS * ROWS
+SLOTS = 1 << 17  # counters of shingle frequencies for ordering
 BASE, RATE, LIMIT = 1.001, 20.0, (1 << 16) - 1
 _FACTORS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
 
@@ -117,16 +120,9 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, text: str = "text", ke
     of = components(links)
     placed = crowded.join(of, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
     open_ = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("bucket")
-    split = placed.join(open_, "bucket")
-    left, right = split.alias("l"), split.alias("r")
-    rest = left.join(right, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.component") != F.col("r.component")) & (F.col("l.id") < F.col("r.id"))
-                     & (F.lit(100) * F.least("l.n", "r.n") >= F.lit(threshold) * F.greatest("l.n", "r.n"))).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
-    tried = crowded.filter("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    more = written(rest.distinct().join(tried, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        extra = written(_verified(rows, nodes, more, threshold))
-        if not extra.isEmpty():
-            of = components(links.unionByName(extra))
+    extra = written(_rest(rows, placed.join(open_, "bucket").select("id", "n", "component").distinct(), threshold))
+    if not extra.isEmpty():
+        of = components(links.unionByName(extra))
 
     member = found.join(nodes.select("n", "h1", "h2", "id"), ["n", "h1", "h2"], "left").join(of, "id", "left")
     return member.select(
@@ -134,6 +130,51 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, text: str = "text", ke
     ).withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
 
 
+def _rest(rows: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
+    """Links between different components among ``members`` (id, n, component), by prefixes of their sets from rare to frequent."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    members = written(members)
+    sets = rows.select("doc_id", "text").join(members.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_full, f"id {kind}, items array<long>")
+    sets = written(sets.join(members.select("id", "component"), "id"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, dtype=np.int64)
+        for batch in batches:
+            total += np.bincount(batch.column(0).flatten().to_numpy(zero_copy_only=False) & (SLOTS - 1), minlength=SLOTS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["slot", "n"])
+
+    common = np.zeros(SLOTS, dtype=np.int64)  # about how frequent a shingle is; any order of shingles gives right results
+    for slot, n in sets.select("items").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n")).toLocalIterator():
+        common[slot] = n
+
+    def front(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items = batch.column(1)
+            size = items.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = items.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(size)), size)
+            order = np.lexsort((flat, common[flat & (SLOTS - 1)], row))
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+            keep = place < (size + (-threshold * size) // 100 + 1)[row]
+            at = pa.array(row[keep])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(flat[order][keep]), pa.array(size[row[keep]]), pa.array(place[keep])],
+                                             names=["id", "component", "item", "n", "place"])
+
+    fronts = sets.mapInArrow(front, f"id {kind}, component {kind}, item long, n long, place long")
+    left, right = fronts.alias("l"), fronts.alias("r")
+    most = F.least(F.col("l.n") - F.col("l.place"), F.col("r.n") - F.col("r.place"))
+    pairs = left.join(right, (F.col("l.item") == F.col("r.item")) & (F.col("l.component") != F.col("r.component")) & (F.col("l.id") < F.col("r.id"))
+                      & (F.lit(100 + threshold) * most >= F.lit(threshold) * (F.col("l.n") + F.col("r.n")))).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
+    return _compared(pairs, sets, threshold)
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.filter(F.lit(100) * common >= F.lit(threshold) * (F.size("x") + F.size("y") - common)).select("a", "b").distinct()
+
+
 def _verified(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
     """Pairs (a, b) that are links: first by the joint estimate of their sketches, then on full sets."""
     floor = threshold / 100 - 5 * (threshold / 100 * (1 - threshold / 100) / REGISTERS) ** 0.5
@@ -142,9 +183,7 @@ def _verified(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: in
     wanted = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct()
     kind = rows.schema["doc_id"].dataType.simpleString()
     sets = rows.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(_full, f"id {kind}, items array<long>")
-    both = likely.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.filter(F.lit(100) * common >= F.lit(threshold) * (F.size("x") + F.size("y") - common)).select("a", "b").distinct()
+    return _compared(likely, sets, threshold)
 
 
 def keep_one(docs: DataFrame, threshold: int = 85, text: str = "text", key: str = "doc_id") -> DataFrame:
