@@ -6,6 +6,7 @@ run of bytes other than space and the control bytes 9 to 13, the same in UTF-8 a
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -181,6 +182,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished steps; it acts when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def row_tag(text: Column | str = "text") -> Column:
     """With the id, names a row by its content: rows alike in id and text share every result."""
     return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), F.lit(17))

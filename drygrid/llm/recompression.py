@@ -8,7 +8,8 @@ without a dictionary: every task gives equal content the same name. Whether a sy
 * Every window of words stands for the highest symbol whose support lies inside it (least hash, then leftmost). Equal windows have
   equal symbols, so only windows with a symbol that occurs twice can repeat. This leaves few windows.
 * Two neighbouring symbols of the last round cover long stretches. A stretch whose content occurs twice is a repeat as a whole, and
-  its windows need no check of their own; its first row alone still reports them for passages that only partly overlap it.
+  its windows need no check of their own. Only the row with the least tag still reports those of them whose symbol occurs more
+  often than the stretch, for the sake of passages that overlap the stretch in part.
 * The remaining windows are counted by the hash of all their words. This is the exact verification.
 
 Documents are independent in every round, so rounds run inside the tasks; Spark shuffles symbols, never all windows.
@@ -23,10 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from drygrid.llm.common import TAG, Prefix, Words, find_words, lists, mix, null_safe, pieces, row_tag, written
+from drygrid.llm.common import TAG, Prefix, Words, find_words, mix, null_safe, pieces, release, row_tag, written
 
 WINDOW = 35
-LEVELS = 5  # rounds whose symbols stand for windows
+LEVELS = 3  # rounds whose symbols stand for windows
 ROUNDS = 16  # rounds until symbols cover long stretches
 _STRETCH = np.uint64(0x5BF03635DCF1A1C3)
 
@@ -170,76 +171,88 @@ def substring_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     alike in key and text share their result and count as repeats of each other. Empty tables give no rows. Columns of ``docs``
     with the same names as those added are replaced.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("_key"), row_tag(text).alias(TAG), F.col(text).alias("_text"))
+    spans = _spans(rows, docs.schema[key].dataType.simpleString(), window)
+    release(docs.sparkSession)
+    asked = spans.filter("counted")
+    repeated = asked.join(asked.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"), "hash")
+    covered = (
+        repeated.select("_key", TAG, "begin", "end").unionByName(spans.filter("not counted").select("_key", TAG, "begin", "end"))
+        .groupBy("_key", TAG).agg(F.collect_set(F.struct("begin", "end")).alias("_spans"))
+    )
+    kept = docs.drop("n_words", "n_removed", "kept_text").withColumn("_key", F.col(key)).withColumn(TAG, row_tag(text))
+    out = null_safe(kept, covered, ("_key", TAG)).drop("_key", TAG)
+    return out.select(*[c for c in out.columns if c != "_spans"], _cut(F.col(text), F.col("_spans")).alias("_cut")).select(
+        *[c for c in out.columns if c != "_spans"], "_cut.*")
+
+
+def _pair(name: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    return mix(name ^ mix(doc.astype(np.uint64) + np.uint64(1)))
+
+
+def _spans(rows: DataFrame, key_type: str, window: int) -> DataFrame:
+    """Spans of shared stretches (``counted`` false) and windows left to count (with their hash), as a written table."""
 
     def symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows_, data, offsets in pieces(batches, "_text"):
             parse = Parse(find_words(data, offsets), window)
-            doc = np.concatenate((parse.doc, parse.s_doc))
+            doc = pa.array(np.concatenate((parse.doc, parse.s_doc)))
             name = np.concatenate((parse.name, parse.s_name))
-            yield pa.RecordBatch.from_arrays([rows_.column(0).take(pa.array(doc)), rows_.column(1).take(pa.array(doc)), pa.array(_signed(name))], names=["_key", TAG, "name"])
+            yield pa.RecordBatch.from_arrays([rows_.column(0).take(doc), rows_.column(1).take(doc), pa.array(_signed(name))], names=["_key", TAG, "name"])
 
-    key_type = docs.schema[key].dataType.simpleString()
     found = written(rows.mapInArrow(symbols, f"_key {key_type}, {TAG} long, name long"))
-    twice = found.groupBy("name").agg(F.count("*").alias("n"), F.min(F.struct("_key", TAG)).alias("owner")).filter("n > 1").drop("n")
+    twice = found.groupBy("name").agg(F.count("*").alias("n"), F.min(TAG).alias("owner")).filter("n > 1")
     shared = (
-        found.join(twice, "name")
-        .select("_key", TAG, "name", (F.col("_key").eqNullSafe(F.col("owner._key")) & (F.col(TAG) == F.col(f"owner.{TAG}"))).alias("own"))
-        .groupBy("_key", TAG).agg(F.collect_set("name").alias("names"), F.collect_set(F.when(F.col("own"), F.col("name"))).alias("owned"))
+        found.join(twice, "name").select("_key", TAG, F.struct("name", "n", (F.col(TAG) == F.col("owner")).alias("own")).alias("s"))
+        .groupBy("_key", TAG).agg(F.collect_set("s").alias("names"))
     )
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows_, data, offsets in pieces(batches, "_text"):
             parse = Parse(find_words(data, offsets), window)
-            known, owned = _pairs_of(rows_.column(3)), _pairs_of(rows_.column(4))
-            shared_stretch = np.isin(_pair(parse.s_name, parse.s_doc), known)
-            a, b = parse.s_start[shared_stretch], parse.s_stop[shared_stretch]
-            steps = np.zeros(int(parse.first[-1]) + 2, dtype=np.int64)
-            np.add.at(steps, a, 1)
-            np.add.at(steps, np.maximum(b - window + 1, a), -1)
-            sure = np.cumsum(steps)[parse.at] > 0
-            own = shared_stretch & np.isin(_pair(parse.s_name, parse.s_doc), owned)
-            steps = np.zeros(int(parse.first[-1]) + 2, dtype=np.int64)
-            np.add.at(steps, parse.s_start[own], 1)
-            np.add.at(steps, np.maximum(parse.s_stop[own] - window + 1, parse.s_start[own]), -1)
-            report = np.cumsum(steps)[parse.at] > 0
-            likely = np.isin(_pair(parse.name, parse.doc), known)[parse.anchor] if len(parse.at) else np.zeros(0, bool)
-            ask = np.flatnonzero(likely & (~sure | report))
-            start, doc = parse.at[ask], parse.at_doc[ask]
-            s_doc = parse.s_doc[shared_stretch]
+            names = rows_.column(3)
+            row = np.repeat(np.arange(len(names)), names.value_lengths().to_numpy(zero_copy_only=False))
+            name, n, own = (names.flatten().field(f).to_numpy(zero_copy_only=False) for f in ("name", "n", "own"))
+            known = _Known(_pair(name.astype(np.int64).view(np.uint64), row), n, own)
+            s_n, s_own = known(_pair(parse.s_name, parse.s_doc))
+            a_n, _ = known(_pair(parse.name, parse.doc))
+            w_n = a_n[parse.anchor] if len(parse.at) else np.zeros(0, np.int64)
+            held = s_n > 0
+            start, stop = parse.s_start[held], parse.s_stop[held]
+            reach = np.zeros(len(parse.at), dtype=np.int64)  # most occurrences of a shared stretch around the window
+            ours = np.zeros(len(parse.at), dtype=bool)  # whether this row is the one that reports such a stretch
+            i, j = np.searchsorted(parse.at, start), np.searchsorted(parse.at, stop - window, side="right")
+            for first, last, count, mine in zip(i.tolist(), j.tolist(), s_n[held].tolist(), s_own[held].tolist()):
+                np.maximum(reach[first:last], count, out=reach[first:last])
+                if mine:
+                    ours[first:last] = True
+            ask = np.flatnonzero((w_n > 0) & ((reach == 0) | (ours & (w_n > reach))))
+            at, doc, s_doc = parse.at[ask], parse.at_doc[ask], parse.s_doc[held]
             doc_all = pa.array(np.concatenate((doc, s_doc)))
-            begin = np.concatenate((start - parse.first[doc], a - parse.first[s_doc]))
-            end = np.concatenate((start - parse.first[doc] + window, b - parse.first[s_doc]))
-            hashes = np.concatenate((_signed(parse.prefix.span(start, start + window)), np.zeros(len(a), np.int64)))
-            counted = pa.array(np.arange(len(begin)) < len(ask))
+            begin = np.concatenate((at - parse.first[doc], start - parse.first[s_doc])).astype(np.int32)
+            end = np.concatenate((at - parse.first[doc] + window, stop - parse.first[s_doc])).astype(np.int32)
+            hashes = np.concatenate((_signed(parse.prefix.span(at, at + window)), np.zeros(len(start), np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [rows_.column(0).take(doc_all), rows_.column(1).take(doc_all), pa.array(hashes), counted, pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))],
+                [rows_.column(0).take(doc_all), rows_.column(1).take(doc_all), pa.array(hashes), pa.array(np.arange(len(begin)) < len(ask)), pa.array(begin), pa.array(end)],
                 names=["_key", TAG, "hash", "counted", "begin", "end"])
 
-    held = null_safe(rows, shared, ("_key", TAG), "inner").select("_key", TAG, "_text", "names", "owned")
-    spans = written(held.mapInArrow(windows, f"_key {key_type}, {TAG} long, hash long, counted boolean, begin int, end int"))
-    asked = spans.filter("counted")
-    repeated = asked.join(asked.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"), "hash")
-    covered = (
-        repeated.select("_key", TAG, "begin", "end").unionByName(spans.filter("not counted").select("_key", TAG, "begin", "end"))
-        .groupBy("_key", TAG).agg(F.collect_set(F.struct("begin", "end")).alias("_spans"))
-    )
-    kept = docs.drop("n_words", "n_removed", "kept_text").withColumn("_key", F.col(key)).withColumn(TAG, row_tag(text))
-    out = null_safe(kept, covered, ("_key", TAG)).drop("_key", TAG)
-    return out.select(*[c for c in out.columns if c != "_spans"], _cut(F.col(text), F.col("_spans")).alias("_cut")).select(
-        *[c for c in out.columns if c != "_spans"], "_cut.*")
+    held = null_safe(rows, shared, ("_key", TAG), "inner").select("_key", TAG, "_text", "names")
+    return written(held.mapInArrow(windows, f"_key {key_type}, {TAG} long, hash long, counted boolean, begin int, end int"))
 
 
-def _pair(name: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    return mix(name ^ mix(doc.astype(np.uint64) + np.uint64(1)))
+class _Known:
+    """Lookup of a row's shared names: occurrences (0 if not shared) and whether the row reports them."""
 
+    def __init__(self, keys: np.ndarray, n: np.ndarray, own: np.ndarray) -> None:
+        order = np.argsort(keys)
+        self.keys, self.n, self.own = keys[order], n[order].astype(np.int64), own[order].astype(bool)
 
-def _pairs_of(column: pa.Array) -> np.ndarray:
-    """Name and row of every element of a list column, hashed together."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-    rows = np.repeat(np.arange(len(column)), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
-    return _pair(flat, rows)
+    def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        hit = self.keys[at] == keys
+        return np.where(hit, self.n[at], 0), hit & self.own[at]
 
 
 def _cut(text, spans):
