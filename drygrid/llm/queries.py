@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from drygrid.llm import line_alignment, packing, recompression, secrets, setsketch
+from drygrid.llm import containment, factorisation, line_alignment, packing, recompression, secrets, setsketch, target_ratio
 
 QUERIES = {
+    "op1_quality_classifier": factorisation.op1,
     "op2_best_fit_packing": packing.op2,
     "op4_secret_scan": secrets.op4,
     "op5_line_dedup": line_alignment.op5,
     "op6_near_duplicates": setsketch.op6,
+    "op7_quality_rules": target_ratio.op7,
     "op8_substring_dedup": recompression.op8,
+    "op9_decontamination": containment.op9,
 }
 ORACLE_SQL: dict[str, str] = {}
