@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Bytes of text handled at once inside a task; a longer document is handled alone, word by word in pieces of this size.
-PIECE = 4 << 20
+PIECE = (1 << 20) - 1
 TAG = "_row_tag"
 _ROOT = 0x9E3779B97F4A7C15  # odd, so powers have inverses modulo 2**64
 _ROOT_INVERSE = pow(_ROOT, -1, 1 << 64)
@@ -183,9 +184,14 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished steps; it acts when the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner drop the shuffle files of finished steps; it acts when the driver collects its garbage.
+
+    The first pass finds the tables that Python has let go of, the second the shuffles that only they held.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def row_tag(text: Column | str = "text") -> Column:

@@ -7,7 +7,8 @@ without a dictionary: every task gives equal content the same name. Whether a sy
 
 * Every window of words stands for the highest symbol whose support lies inside it (least hash, then leftmost). Equal windows have
   equal symbols, so only windows with a symbol that occurs twice can repeat. This leaves few windows.
-* Two neighbouring symbols of the last round cover long stretches. A stretch whose content occurs twice is a repeat as a whole, and
+* A symbol of the last round and as many followers as hold every window that starts in it form a stretch. A stretch whose content
+  occurs twice is a repeat as a whole, and
   its windows need no check of their own. Only the row with the least tag still reports those of them whose symbol occurs more
   often than the stretch, for the sake of passages that overlap the stretch in part.
 * The remaining windows are counted by the hash of all their words. This is the exact verification.
@@ -28,7 +29,7 @@ from drygrid.llm.common import TAG, Prefix, Words, find_words, mix, null_safe, p
 
 WINDOW = 35
 LEVELS = 3  # rounds whose symbols stand for windows
-ROUNDS = 16  # rounds until symbols cover long stretches
+ROUNDS = 13  # rounds until symbols cover long stretches
 _STRETCH = np.uint64(0x5BF03635DCF1A1C3)
 
 
@@ -126,14 +127,11 @@ class Parse:
         self.doc = np.concatenate(docs) if docs else np.zeros(0, np.int64)
 
     def _stretches(self, top: Symbols) -> None:
-        """Each pair of neighbours of the last round, or a document's only symbol, if it holds a window."""
+        """From each symbol of the last round as many symbols on as hold every window that starts in it, or to the document's end."""
         n = len(top.name)
-        joined = np.zeros(n, dtype=bool)
-        joined[:-1] = top.doc[1:] == top.doc[:-1]
-        alone = ~joined
-        alone[1:] &= ~joined[:-1]
-        i = np.flatnonzero(joined | alone)
-        j = i + joined[i]
+        i = np.arange(n)
+        last = np.searchsorted(top.doc, top.doc, side="right") - 1
+        j = np.minimum(np.searchsorted(top.stop, top.stop + self.window - 1), last)
         keep = top.stop[j] - top.start[i] >= self.window
         i, j = i[keep], j[keep]
         self.s_start, self.s_stop, self.s_doc = top.start[i], top.stop[j], top.doc[i]
@@ -175,9 +173,9 @@ def substring_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     spans = _spans(rows, docs.schema[key].dataType.simpleString(), window)
     release(docs.sparkSession)
     asked = spans.filter("counted")
-    repeated = asked.join(asked.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"), "hash")
+    repeated = asked.select("_key", TAG, "hash", "begin").join(asked.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"), "hash")
     covered = (
-        repeated.select("_key", TAG, "begin", "end").unionByName(spans.filter("not counted").select("_key", TAG, "begin", "end"))
+        repeated.select("_key", TAG, "begin", (F.col("begin") + window).alias("end")).unionByName(spans.filter("not counted").select("_key", TAG, "begin", "end"))
         .groupBy("_key", TAG).agg(F.collect_set(F.struct("begin", "end")).alias("_spans"))
     )
     kept = docs.drop("n_words", "n_removed", "kept_text").withColumn("_key", F.col(key)).withColumn(TAG, row_tag(text))
@@ -198,13 +196,14 @@ def _spans(rows: DataFrame, key_type: str, window: int) -> DataFrame:
             parse = Parse(find_words(data, offsets), window)
             doc = pa.array(np.concatenate((parse.doc, parse.s_doc)))
             name = np.concatenate((parse.name, parse.s_name))
-            yield pa.RecordBatch.from_arrays([rows_.column(0).take(doc), rows_.column(1).take(doc), pa.array(_signed(name))], names=["_key", TAG, "name"])
+            yield pa.RecordBatch.from_arrays([rows_.column(0).take(doc), pa.array(_signed(name))], names=[TAG, "name"])
 
-    found = written(rows.mapInArrow(symbols, f"_key {key_type}, {TAG} long, name long"))
+    # a tag shared by two texts would only add names here; spans below name their rows by key and tag
+    found = written(rows.select(TAG, "_text").mapInArrow(symbols, f"{TAG} long, name long"))
     twice = found.groupBy("name").agg(F.count("*").alias("n"), F.min(TAG).alias("owner")).filter("n > 1")
     shared = (
-        found.join(twice, "name").select("_key", TAG, F.struct("name", "n", (F.col(TAG) == F.col("owner")).alias("own")).alias("s"))
-        .groupBy("_key", TAG).agg(F.collect_set("s").alias("names"))
+        found.join(twice, "name").select(TAG, F.struct("name", "n", (F.col(TAG) == F.col("owner")).alias("own")).alias("s"))
+        .groupBy(TAG).agg(F.collect_set("s").alias("names"))
     )
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +235,7 @@ def _spans(rows: DataFrame, key_type: str, window: int) -> DataFrame:
                 [rows_.column(0).take(doc_all), rows_.column(1).take(doc_all), pa.array(hashes), pa.array(np.arange(len(begin)) < len(ask)), pa.array(begin), pa.array(end)],
                 names=["_key", TAG, "hash", "counted", "begin", "end"])
 
-    held = null_safe(rows, shared, ("_key", TAG), "inner").select("_key", TAG, "_text", "names")
+    held = rows.join(shared, TAG).select("_key", TAG, "_text", "names")
     return written(held.mapInArrow(windows, f"_key {key_type}, {TAG} long, hash long, counted boolean, begin int, end int"))
 
 
