@@ -121,13 +121,12 @@ def _aligned(least_words: int):
 def _removed(rows: DataFrame, kind: str, rare: int, least_words: int) -> DataFrame:
     """Key, tag and the places of the lines that go, as a written table."""
     lines = written(rows.filter("_key is not null").mapInArrow(_lines, f"_key {kind}, {TAG} long, place int, line long, pair long, words int"))
-    counts = lines.groupBy("line").agg(F.count("*").alias("n"), F.min(F.struct("_key", TAG)).alias("lead")).filter("n > 1")
-    shared = lines.join(counts, "line")
-    seldom = shared.filter(F.col("n") <= rare)
-    often = shared.filter(F.col("n") > rare).drop("lead")
-    leads = often.groupBy("pair").agg(F.min(F.struct("_key", TAG)).alias("lead"), F.count("*").alias("m")).filter("m > 1").drop("m")
-    evidence = seldom.select("_key", TAG, "words", "lead").unionByName(often.join(leads, "pair").select("_key", TAG, "words", "lead"))
-    pairs = written(evidence.filter((F.col("words") >= EVIDENCE_WORDS) & (F.col("lead._key") < F.col("_key"))).select("_key", TAG, F.col("lead._key").alias("l_key"), F.col(f"lead.{TAG}").alias("l_tag")).distinct())
+    counts = lines.groupBy("line").agg(F.count("*").alias("n")).filter("n > 1")
+    evidence = F.when(F.col("n") <= rare, F.col("line")).otherwise(F.col("pair"))
+    shared = written(lines.join(counts, "line").select("_key", TAG, "place", "line", "words", evidence.alias("evidence")))
+    leads = shared.filter(F.col("words") >= EVIDENCE_WORDS).groupBy("evidence").agg(F.min(F.struct("_key", TAG)).alias("lead"), F.count("*").alias("m")).filter("m > 1").drop("m")
+    found = shared.filter(F.col("words") >= EVIDENCE_WORDS).join(leads, "evidence").filter(F.col("lead._key") < F.col("_key"))
+    pairs = written(found.select("_key", TAG, F.col("lead._key").alias("l_key"), F.col(f"lead.{TAG}").alias("l_tag")).distinct())
     places = written(shared.groupBy("_key", TAG, "line").agg(F.array_sort(F.collect_set("place")).alias("here"), F.first("words").alias("words")))
     there = places.select(F.col("_key").alias("l_key"), F.col(TAG).alias("l_tag"), "line", F.col("here").alias("there"))
     common = pairs.join(places, ["_key", TAG]).join(there, ["l_key", "l_tag", "line"])
@@ -139,7 +138,8 @@ def _removed(rows: DataFrame, kind: str, rare: int, least_words: int) -> DataFra
 @F.arrow_udf(T.StructType([T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]))
 def _without(texts: pa.Array, gone: pa.Array) -> pa.Array:
     lines, removed, kept = [], [], []
-    for text, places in zip(texts.to_pylist(), gone.to_pylist()):
+    for value, marks in zip(texts, gone):
+        text, places = value.as_py(), marks.as_py()
         parts = (text or "").split("\n")
         worded = [bool(p.encode().split()) for p in parts]
         out = set(places or ())
