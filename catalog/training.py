@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.registry import CUBE, query, r6
-from drygrid.operators import align as al, samples as sa, series as ser
+from drygrid.operators import align as al, samples as sa, series as ser, temporal as tm
 
 
 def as_text(column):
@@ -85,17 +85,25 @@ def fold_rows(t):
     return sa.fold_rows(t.cube(), 730, 90).select("cell_id", "time", "fold", "part")
 
 
-@query("padded_batches", f"""WITH {WINDOW}, s AS (SELECT cell_id, i - 4 AS sample_id FROM w WHERE i >= 4 AND i + 3 < n), m AS (SELECT MAX(sample_id) AS last FROM s), p AS (SELECT cell_id, sample_id, sample_id AS position FROM s UNION ALL
- SELECT cell_id, sample_id, sample_id + k FROM s, m, range(1, 32) r(k) WHERE sample_id = last AND k <= (32 - (last + 1) % 32) % 32) SELECT cell_id, sample_id, position, position // 32 AS batch_id FROM p""")
+BATCH = f"""WITH {CUBE}, d AS (SELECT time, ROW_NUMBER() OVER (ORDER BY time) - 1 AS i, COUNT(*) OVER () AS n FROM (SELECT CAST(UNNEST(generate_series(MIN(time), MAX(time), INTERVAL 1 DAY)) AS DATE) AS time FROM cube)),
+ s AS (SELECT cell_id, i - 4 AS sample_id, time AS origin FROM d, (SELECT DISTINCT cell_id FROM cube) WHERE i >= 4 AND i + 3 < n), m AS (SELECT MAX(sample_id) AS last FROM s),
+ p AS (SELECT cell_id, sample_id, origin, sample_id AS position FROM s UNION ALL SELECT cell_id, sample_id, origin, sample_id + k FROM s, m, range(1, 32) r(k) WHERE sample_id = last AND k <= (32 - (last + 1) % 32) % 32)"""
+
+
+def dated_samples(t):
+    """Windows on one calendar for all cells, so a sample number is one date."""
+    return sa.supervised_windows(tm.common_calendar(t.cube(), values=("value", "value2")), ["value"], "value", 4, 3).select("cell_id", "sample_id", "origin")
+
+
+@query("padded_batches", f"""{BATCH} SELECT cell_id, sample_id, origin, position, position // 32 AS batch_id FROM p""")
 def padded_batches(t):
-    out = sa.supervised_windows(t.cube(), ["value"], "value", 4, 3).select("cell_id", "sample_id")
-    return sa.batches(out, 32)
+    return sa.batches(dated_samples(t), 32)
 
 
-@query("shuffled_batches")
+@query("shuffled_batches", f"""{BATCH}, o AS (SELECT position, ROW_NUMBER() OVER (ORDER BY md5(position::VARCHAR || ':7'), position) - 1 AS place FROM (SELECT DISTINCT position FROM p))
+SELECT cell_id, sample_id, origin, place AS position, place // 32 AS batch_id FROM p JOIN o USING (position)""")
 def shuffled_batches(t):
-    out = sa.supervised_windows(t.cube(), ["value"], "value", 4, 3).select("cell_id", "sample_id")
-    return sa.batches(out, 32, shuffle_seed=7)
+    return sa.batches(dated_samples(t), 32, shuffle_seed=7)
 
 
 @query("scaler_table", f"""WITH {CUBE} SELECT 'value' AS variable, MIN(value) AS low, MAX(value) AS high FROM cube UNION ALL SELECT 'value2', MIN(value2), MAX(value2) FROM cube""")

@@ -27,7 +27,7 @@ def daily_hydrology_on_grid(t):
 
 
 @query("prepared_inputs", f"""WITH {CUBE}, c AS (SELECT * FROM cube WHERE time BETWEEN DATE '1996-01-01' AND DATE '1999-12-31' AND 32.25 + (cell_id % 10) * 0.25::DOUBLE BETWEEN 32 AND 34.1 AND -5.25 + (cell_id // 10) * 0.2::DOUBLE BETWEEN -6 AND -3.9),
- sp AS (SELECT cell_id, MIN(time) AS a, MAX(time) AS b FROM c GROUP BY 1), dy AS (SELECT cell_id, CAST(UNNEST(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS time FROM sp), f AS (SELECT dy.cell_id, dy.time, value FROM dy LEFT JOIN c ON c.cell_id = dy.cell_id AND c.time = dy.time),
+ dy AS (SELECT cell_id, CAST(g.d AS DATE) AS time FROM (SELECT DISTINCT cell_id FROM c), generate_series(DATE '1996-01-01', DATE '1999-12-31', INTERVAL 1 DAY) g(d)), f AS (SELECT dy.cell_id, dy.time, value FROM dy LEFT JOIN c ON c.cell_id = dy.cell_id AND c.time = dy.time),
  g AS (SELECT *, COUNT(value) OVER (PARTITION BY cell_id ORDER BY time ROWS UNBOUNDED PRECEDING) AS k, COUNT(value) OVER (PARTITION BY cell_id ORDER BY time DESC ROWS UNBOUNDED PRECEDING) AS m FROM f),
  p AS (SELECT *, MAX(value) OVER (PARTITION BY cell_id, k) AS pv, MIN(time) OVER (PARTITION BY cell_id, k) AS pt, MAX(value) OVER (PARTITION BY cell_id, m) AS nv, MAX(time) OVER (PARTITION BY cell_id, m) AS nt FROM g),
  i AS (SELECT cell_id, time, CASE WHEN value IS NOT NULL THEN value ELSE pv + (nv - pv) * (time - pt) / (nt - pt) END AS value FROM p), e AS (SELECT MIN(value) AS a, MAX(value) AS b FROM i)
@@ -118,25 +118,31 @@ def events_per_product(t):
     return datasets.events_per_product(index, start="1995-06-01", end="2000-12-31", threshold=-0.9).select("product", "latency", "cell_id", "time", r6("severity"), "duration")
 
 
-@query("training_tables", f"""WITH {CUBE}, v AS (SELECT * FROM cube WHERE cell_id % 11 <> 4), d AS (SELECT time, ROW_NUMBER() OVER (ORDER BY time) AS r, COUNT(*) OVER () AS n FROM (SELECT DISTINCT time FROM v)),
- t AS (SELECT v.*, CASE WHEN r <= ROUND_EVEN(0.7::DOUBLE * n, 0) THEN 'train' WHEN r <= ROUND_EVEN(0.7::DOUBLE * n, 0) + ROUND_EVEN((1 - 0.7::DOUBLE) * 0.333::DOUBLE * n, 0) THEN 'val' ELSE 'test' END AS split FROM v JOIN d ON d.time = v.time),
- w AS (SELECT *, ROW_NUMBER() OVER p - 1 AS i, COUNT(*) OVER (PARTITION BY cell_id, split) AS n FROM t WINDOW p AS (PARTITION BY cell_id, split ORDER BY time)),
- l AS (SELECT cell_id, split, i - 10 AS sample_id, time AS origin FROM w WHERE i >= 10 AND i + 5 < n), m AS (SELECT split, MAX(sample_id) AS last FROM l GROUP BY 1),
- p AS (SELECT *, sample_id AS position FROM l UNION ALL SELECT l.*, sample_id + k FROM l JOIN m ON m.split = l.split, range(1, 32) g(k) WHERE sample_id = last AND k <= (32 - (last + 1) % 32) % 32)
-SELECT cell_id, split, sample_id, origin, position, position // 32 AS batch_id FROM p""")
+DATES = """v AS (SELECT * FROM cube WHERE {valid}), d AS (SELECT time, ROW_NUMBER() OVER (ORDER BY time) AS r, COUNT(*) OVER () AS n FROM (SELECT CAST(UNNEST(generate_series(MIN(time), MAX(time), INTERVAL 1 DAY)) AS DATE) AS time FROM v))"""
+
+
+@query("training_tables", f"""WITH {CUBE}, {DATES.format(valid="cell_id % 11 <> 4")},
+ t AS (SELECT time, CASE WHEN r <= ROUND_EVEN(0.7::DOUBLE * n, 0) THEN 'train' WHEN r <= ROUND_EVEN(0.7::DOUBLE * n, 0) + ROUND_EVEN((1 - 0.7::DOUBLE) * 0.333::DOUBLE * n, 0) THEN 'val' ELSE 'test' END AS split FROM d),
+ w AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY split ORDER BY time) - 1 AS i, COUNT(*) OVER (PARTITION BY split) AS n FROM t),
+ l AS (SELECT cell_id, split, i - 10 AS sample_id, time AS origin, MAX(i - 10) OVER (PARTITION BY split) AS last FROM w, (SELECT DISTINCT cell_id FROM v) WHERE i >= 10 AND i + 5 < n),
+ y AS (SELECT l.*, COALESCE(v.value, -1) AS y FROM l LEFT JOIN v ON v.cell_id = l.cell_id AND v.time = l.origin + 5),
+ p AS (SELECT *, sample_id AS position FROM y UNION ALL SELECT y.*, sample_id + k FROM y, range(1, 32) g(k) WHERE sample_id = last AND k <= (32 - (last + 1) % 32) % 32)
+SELECT cell_id, split, sample_id, origin, position, position // 32 AS batch_id, ROUND(y, 6) AS y FROM p""")
 def training_tables(t):
     water = t.cells().where("cell_id % 11 = 4")
     out = datasets.training_tables(t.cube(), ["value2"], "value", 10, 5, water=water)
-    return out.select("cell_id", "split", "sample_id", "origin", "position", "batch_id")
+    return out.select("cell_id", "split", "sample_id", "origin", "position", "batch_id", r6(F.col("y")[0].cast("double"), "y"))
 
 
-@query("training_tables_by_fold", f"""WITH {CUBE}, d AS (SELECT time, ROW_NUMBER() OVER (ORDER BY time) AS r, COUNT(*) OVER () AS n FROM (SELECT DISTINCT time FROM cube)), f AS (SELECT s // 365 AS fold, s FROM (SELECT MAX(n) AS n FROM d), range(0, n - 1095 + 1, 365) r(s)),
- t AS (SELECT cube.*, CAST(fold AS INTEGER) AS fold, CASE WHEN r - 1 < s + 730 THEN 'train' ELSE 'test' END AS part FROM cube JOIN d ON d.time = cube.time JOIN f ON r - 1 >= s AND r - 1 < s + 1095),
- w AS (SELECT *, ROW_NUMBER() OVER p - 1 AS i, COUNT(*) OVER (PARTITION BY cell_id, fold, part) AS n FROM t WINDOW p AS (PARTITION BY cell_id, fold, part ORDER BY time))
-SELECT fold, part, COUNT(*) AS samples, MIN(time) AS first_origin, MAX(time) AS last_origin FROM w WHERE i >= 10 AND i + 5 < n GROUP BY 1, 2""")
+@query("training_tables_by_fold", f"""WITH {CUBE}, {DATES.format(valid="true")}, f AS (SELECT s // 365 AS fold, s FROM (SELECT MAX(n) AS n FROM d), range(0, n - 1095 + 1, 365) r(s)),
+ t AS (SELECT d.time, CAST(fold AS INTEGER) AS fold, CASE WHEN r - 1 < s + 730 THEN 'train' ELSE 'test' END AS part FROM d JOIN f ON r - 1 >= s AND r - 1 < s + 1095),
+ w AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY fold, part ORDER BY time) - 1 AS i, COUNT(*) OVER (PARTITION BY fold, part) AS n FROM t),
+ l AS (SELECT cell_id, fold, part, i - 10 AS sample_id, time AS origin, MAX(i - 10) OVER (PARTITION BY fold, part) AS last FROM w, (SELECT DISTINCT cell_id FROM v) WHERE i >= 10 AND i + 5 < n),
+ p AS (SELECT *, sample_id AS position FROM l UNION ALL SELECT l.*, sample_id + k FROM l, range(1, 32) g(k) WHERE sample_id = last AND k <= (32 - (last + 1) % 32) % 32)
+SELECT cell_id, fold, part, sample_id, origin, position, position // 32 AS batch_id FROM p""")
 def training_tables_by_fold(t):
-    out = datasets.training_tables(t.cube(), ["value2"], "value", 10, 5, folds=(730, 365, 365)).where("position = sample_id")
-    return out.groupBy("fold", "part").agg(F.count(F.lit(1)).alias("samples"), F.min("origin").alias("first_origin"), F.max("origin").alias("last_origin"))
+    out = datasets.training_tables(t.cube(), ["value2"], "value", 10, 5, folds=(730, 365, 365))
+    return out.select("cell_id", "fold", "part", "sample_id", "origin", "position", "batch_id")
 
 
 def scenes(t):

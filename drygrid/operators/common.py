@@ -29,12 +29,6 @@ def back_from_end(keys: Keys = CELL, time: str = "time") -> WindowSpec:
     return w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def require(df: DataFrame, *columns: str) -> None:
-    missing = [c for c in columns if c not in df.columns]
-    if missing:
-        raise ValueError(f"missing columns {missing}; have {df.columns}")
-
-
 def one_value(df: DataFrame, aggregate: Column) -> Column:
     """Whole-table aggregate as a scalar subquery: one row, no join and no driver round trip."""
     return df.agg(aggregate.alias("_v")).scalar()

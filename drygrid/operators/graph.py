@@ -12,12 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from drygrid.functions.grid import EARTH_RADIUS_KM
 
 BLOCK = 512
-BINS = 65536
 MEASURES = ("euclidean", "mahalanobis", "jensenshannon", "correlation")
 
 
@@ -159,9 +158,10 @@ def feature_adjacency(
 ) -> DataFrame:
     """(src, dst, w, a): inverse distances scaled to [0, 1], kept from the given percentile up; self loops 1.
 
-    The percentile runs over the n x n matrix whose lower triangle is zero, interpolated linearly. A
-    histogram of the pairs locates its rank, a second pass emits the pairs from that bin up, and the
-    exact value is read inside the bin. Nodes at distance 0 count as the closest possible (w = 1).
+    The percentile runs over the n x n matrix whose lower triangle is zero, interpolated linearly. Its ranks are located on the bit
+    patterns of the distances, which sort like the distances: four histograms fix 16 bits each, so however close the closest pair is,
+    the distance at a rank is known exactly and only kept edges leave the tasks. Nodes at distance 0 count as the closest possible (w = 1); nodes
+    whose measure is undefined (NULL elements, zero-sum or constant vectors) are at no finite distance (w = 0).
     """
     if measure not in MEASURES:
         raise ValueError(f"measure must be one of {MEASURES}")
@@ -169,67 +169,70 @@ def feature_adjacency(
     pairs = _block_pairs(base, "id", "v", block)
     power = 2 if measure == "correlation" else 1
 
-    def inverse(d: np.ndarray) -> np.ndarray:
-        with np.errstate(divide="ignore"):
-            return 1.0 / (factor * d**power)
+    def codes(d: np.ndarray) -> np.ndarray:
+        return np.where(np.isnan(d), np.inf, d).astype(np.float64).view(np.int64)
 
-    def largest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, _, d, once in _each_block(frames, metric):
-            v = inverse(d[once])
-            v = v[np.isfinite(v)]
-            if v.size:
-                yield pd.DataFrame({"hi": [v.max()]})
+    def histogram(shift: int, inside: tuple[int, ...] | None):
+        """Counts of 16 bits of the codes (of those whose higher bits are ``inside``) and the least distance above 0."""
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for _, _, d, once in _each_block(frames, metric):
+                d = d[once]
+                bits = codes(d) >> shift
+                if inside is not None:
+                    bits = bits[np.isin(bits >> 16, inside)]
+                found, n = np.unique(bits, return_counts=True)
+                least = d[(d > 0) & np.isfinite(d)].min(initial=np.inf)
+                yield pd.DataFrame({"bits": found, "n": n, "least": least})
+
+        counts = pairs.mapInPandas(run, "bits long, n long, least double").groupBy("bits").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
+        return counts.toPandas().sort_values("bits", ignore_index=True)  # at most 65536 rows for each higher part
 
-    top = pairs.mapInPandas(largest, "hi double").agg(F.max("hi").alias("hi")).first()["hi"]
     loops = base.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("w"), F.lit(1).alias("a"))
-    if top is None:
+    counts = histogram(48, None)
+    if not np.isfinite(least := counts["least"].min()):
         return loops
-
-    def scaled(d: np.ndarray) -> np.ndarray:
-        return np.minimum(inverse(d) / top, 1.0)
-
-    def histogram(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, _, d, once in _each_block(frames, metric):
-            v = scaled(d[once])
-            bins, n = np.unique(np.minimum((v * BINS).astype(int), BINS - 1), return_counts=True)
-            yield pd.DataFrame({"bin": bins, "n": n})
-
-    counts = pairs.mapInPandas(histogram, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas().sort_values("bin")
+    top = 1.0 / (factor * least**power)
     half = int(counts["n"].sum())
-    n = int((1 + math.isqrt(1 + 8 * half)) // 2)
+    n = (1 + math.isqrt(1 + 8 * half)) // 2
     position = percentile / 100.0 * (n * n - 1)
-    zeros = n * (n - 1) // 2
-    low_rank, high_rank = math.floor(position) - zeros, math.ceil(position) - zeros
-    upto = counts["n"].cumsum().to_numpy()
-    bins = counts["bin"].to_numpy()
-    # Ranks past the pairs lie on the diagonal of ones; the closest pair shares that value and bin.
-    slot, last_slot = (min(int(np.searchsorted(upto, max(r, 0), side="right")), len(bins) - 1) for r in (low_rank, high_rank))
-    first_bin, last_bin = int(bins[slot]), int(bins[last_slot])
-    before = int(upto[slot - 1]) if slot > 0 else 0
-
-    def candidates(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # Ranks by closeness: below 0 lie on the diagonal of ones, from `half` on among the zeros of the other triangle.
+    low, high = (half - 1 - (r - n * (n - 1) // 2) for r in (math.floor(position), math.ceil(position)))
+    inner = [r for r in {low, high} if 0 <= r < half]
+
+    def locate(table: pd.DataFrame, before: dict[int, tuple[int, int]]) -> dict[int, tuple[int, int]]:
+        """For each rank the bits that hold it and how many closer pairs come before those bits."""
+        bits, n = table["bits"].to_numpy(), table["n"].to_numpy()
+        out = {}
+        for r in inner:
+            upper, skipped = before.get(r, (None, 0))
+            mine = np.ones(len(bits), bool) if upper is None else bits >> 16 == upper
+            upto = skipped + n[mine].cumsum()
+            at = int(np.searchsorted(upto, r, side="right"))
+            out[r] = int(bits[mine][at]), int(upto[at] - n[mine][at])
+        return out
+
+    spot: dict[int, tuple[int, int]] = {}
+    for shift in (48, 32, 16, 0) if inner else ():
+        spot = locate(counts if shift == 48 else histogram(shift, tuple({b for b, _ in spot.values()})), spot)
+
+    def weight(rank: int) -> float:
+        if rank < 0:
+            return 1.0
+        if rank >= half:
+            return 0.0
+        d = float(np.int64(spot[rank][0]).view(np.float64))
+        return 1.0 if d == 0 else min(1.0 / (factor * d**power) / top, 1.0)
+
+    threshold = weight(low) + (weight(high) - weight(low)) * (position - math.floor(position))
+
+    def kept(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for ids_a, ids_b, d, once in _each_block(frames, metric):
-            v = scaled(d)
-            b = np.minimum((v * BINS).astype(int), BINS - 1)
-            x, y = np.nonzero(once & (b >= first_bin))
-            yield pd.DataFrame({"src": ids_a[x], "dst": ids_b[y], "w": v[x, y], "bin": b[x, y]})
-
-    found = pairs.mapInPandas(candidates, "src long, dst long, w double, bin int")
-    if high_rank < 0:
-        threshold: Column = F.lit(0.0)
-    else:
-        near = found.where(F.col("bin") <= last_bin).groupBy("w").agg(F.count(F.lit(1)).alias("c"))
-        ranked = near.withColumn("cum", F.sum("c").over(Window.orderBy("w").rowsBetween(Window.unboundedPreceding, 0)))
-
-        def at(rank: int) -> Column:
-            # Ranks past the pairs fall on the diagonal ones.
-            return F.coalesce(F.min(F.when(F.col("cum") > rank - before, F.col("w"))), F.lit(1.0))
-
-        low = F.lit(0.0) if low_rank < 0 else at(low_rank)
-        share = position - math.floor(position)
-        threshold = ranked.agg((low + (at(high_rank) - low) * share).alias("t")).scalar()
-    edges = _both_ways(found.where(F.col("w") >= threshold).select("src", "dst", "w"))
-    return edges.where("w > 0").withColumn("a", F.lit(1)).unionByName(loops)
+            with np.errstate(divide="ignore"):
+                w = np.nan_to_num(np.minimum(1.0 / (factor * d**power) / top, 1.0), nan=0.0)
+            x, y = np.nonzero(once & (w >= threshold) & (w > 0))
+            yield pd.DataFrame({"src": ids_a[x], "dst": ids_b[y], "w": w[x, y]})
+
+    return _both_ways(pairs.mapInPandas(kept, "src long, dst long, w double")).withColumn("a", F.lit(1)).unionByName(loops)
 
 
 # --- normalisation -------------------------------------------------------------------------------------

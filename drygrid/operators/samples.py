@@ -176,7 +176,7 @@ def batches(
         copies = F.sequence(F.col("position"), F.col("position") + F.when(F.col("position") == last, extra).otherwise(F.lit(0)))
         work = work.withColumn("position", F.explode(copies))
     if shuffle_seed is not None:
-        order = Window.orderBy(F.xxhash64("position", F.lit(shuffle_seed)), "position")
+        order = Window.orderBy(F.md5(F.concat_ws(":", "position", F.lit(shuffle_seed)).cast("binary")), "position")
         places = work.select("position").distinct().withColumn("_p", (F.row_number().over(order) - 1).cast("long"))
         work = work.join(places, "position").withColumn("position", F.col("_p")).drop("_p")
     return work.withColumn("batch_id", F.floor(F.col("position") / F.lit(size)).cast("long"))

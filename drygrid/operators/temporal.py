@@ -61,6 +61,13 @@ def fill_calendar(
     return _stretch(df, keys, time, start, end).select(*cols)
 
 
+def common_calendar(df: DataFrame, keys: Keys = CELL, time: str = "time", values: Sequence[str] = ("value",), start=None, end=None, fill: float | None = None) -> DataFrame:
+    """:func:`fill_calendar` on one axis for all series: the given period, else the table's first to last day."""
+    first = one_value(df, F.min(time)) if start is None else start
+    last = one_value(df, F.max(time)) if end is None else end
+    return fill_calendar(df, keys, time, values, first, last, fill)
+
+
 def missing_days(df: DataFrame, keys: Keys = CELL, time: str = "time", start=None, end=None) -> DataFrame:
     """Calendar days a series lacks."""
     slots = _stretch(df.select(*keys, time), keys, time, start, end)

@@ -14,7 +14,7 @@ from drygrid.operators.regrid import lookup_layers, regrid_nearest
 from drygrid.operators.samples import batches, chronological_split, fold_rows, supervised_windows
 from drygrid.operators.spatial import clip_to_regions
 from drygrid.operators.subset import between_times, valid_cells
-from drygrid.operators.temporal import weekly_mean
+from drygrid.operators.temporal import common_calendar, weekly_mean
 
 
 def index_soil_dataset(
@@ -47,16 +47,18 @@ def events_per_product(indices: DataFrame, edges: DataFrame | None = None, count
 
 def training_tables(
     cube: DataFrame, features: Sequence[str], target: str, length: int, horizon: int, out: int = 1, batch_size: int = 32, train: float = 0.7, val: float = 0.333,
-    water: DataFrame | None = None, keys: Keys = CELL, folds: tuple[int, int, int] | None = None, **windows,
+    water: DataFrame | None = None, keys: Keys = CELL, folds: tuple[int, int, int] | None = None, fill: float | None = -1.0, **windows,
 ) -> DataFrame:
     """Valid cells, chronological split, windows inside each part of each series, batch numbers per part.
 
-    The split comes first, so no window crosses its border. ``folds`` = (window, test length, stride)
+    All cells are put on one daily calendar first (added days hold ``fill``), so a sample number is one date in every cell. The split
+    comes before the windows, so none crosses its border. ``folds`` = (window, test length, stride)
     cuts sliding folds instead; every fold and part is then its own series. The last sample of a part
     follows from its number of dates, so the windows are computed once.
     """
     cells = valid_cells(cube, target, features, keys, water=water)
-    kept = cube.join(cells, list(keys), "left_semi")
+    values = list(dict.fromkeys([*features, target]))
+    kept = common_calendar(cube.join(cells, list(keys), "left_semi").select(*keys, "time", *values), keys, values=values, fill=fill)
     if folds is None:
         parts, tagged = ["split"], chronological_split(kept, train, val)
     else:

@@ -14,7 +14,7 @@ from drygrid.operators.regrid import regrid_bilinear
 from drygrid.operators.samples import min_max_normalise
 from drygrid.operators.spatial import clip_to_regions
 from drygrid.operators.subset import between_times, corner_crop, drop_water, in_box
-from drygrid.operators.temporal import fill_calendar, hourly_to_daily, interpolate
+from drygrid.operators.temporal import common_calendar, hourly_to_daily, interpolate
 
 
 def hydro_variables(
@@ -41,12 +41,13 @@ def prepare_inputs(
 ) -> DataFrame:
     """Box, period, calendar, interpolation, regridding, scaling to [0, 1], fill value, crop or polygon clip.
 
-    The period is cut before interpolation as the caller gives it; values at its ends are not extrapolated.
+    Every cell gets every day of the period (of the table's common range where it is open). The period is cut before interpolation;
+    values at its ends are not extrapolated.
     """
     work = between_times(declare_missing(cube), start, end)
     if lon is not None and lat is not None:
         work = in_box(work, lon, lat)
-    work = fill_calendar(work.select(*keys, "lat", "lon", "time", *values), keys, values=values)
+    work = common_calendar(work.select(*keys, "lat", "lon", "time", *values), keys, values=values, start=start, end=end)
     if interpolate_gaps:
         for v in values:
             work = interpolate(work, keys, value=v)

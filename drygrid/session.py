@@ -1,10 +1,8 @@
-"""Session settings and lineage cutting."""
+"""Session settings."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def build_session(master: str | None = None, app: str = "drygrid", **conf: str) -> SparkSession:
@@ -23,20 +21,3 @@ def build_session(master: str | None = None, app: str = "drygrid", **conf: str)
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
 
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and read it back.
-
-    The folder is the shared one the cluster names in ``spark.checkpoint.dir``. Only a local session
-    without that setting gets a temporary folder.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-            shared = tempfile.mkdtemp(prefix="drygrid-checkpoint-")
-        context.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)

@@ -15,14 +15,13 @@ def write_csv(df: DataFrame, folder: str, name: str, first_year: int | None = No
     return path
 
 
-def write_cube(df: DataFrame, path: str, time: str = "time", keys: Sequence[str] = ("cell_id",), mode: str = "overwrite", files_per_year: int = 1, dynamic: bool = True) -> None:
-    """Zstd Parquet by year, rows sorted by cell and time.
+def write_cube(df: DataFrame, path: str, time: str = "time", keys: Sequence[str] = ("cell_id",), mode: str = "overwrite", dynamic: bool = True) -> None:
+    """Zstd Parquet by year, rows sorted by cell and time inside each file.
 
-    The shuffle spreads a year over ``files_per_year`` tasks by a hash of the cell, so a year that holds
-    most of the rows does not end in one task. With ``dynamic`` only the years present are replaced.
+    Rows are rebalanced by year: adaptive execution splits a year that exceeds its advisory partition size and joins small ones, so
+    the number of tasks and files follows the data. With ``dynamic`` only the years present are replaced.
     """
-    out = df.withColumn("year", F.year(time)).withColumn("_slot", F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(files_per_year)))
-    out = out.repartition("year", "_slot").sortWithinPartitions("year", *keys, time).drop("_slot")
+    out = df.withColumn("year", F.year(time)).hint("rebalance", "year").sortWithinPartitions("year", *keys, time)
     writer = out.write.mode(mode).option("compression", "zstd").partitionBy("year")
     if dynamic:
         writer = writer.option("partitionOverwriteMode", "dynamic")
@@ -45,5 +44,5 @@ def with_axes(predictions: DataFrame, dates: DataFrame, cells: DataFrame, sample
     return predictions.join(dates.select(sample, "valid_date"), sample).join(cells.select(*keys, "lat", "lon"), list(keys))
 
 
-def write_predictions(predictions: DataFrame, path: str) -> None:
-    write_cube(predictions, path, time="valid_date")
+def write_predictions(predictions: DataFrame, path: str, keys: Sequence[str] = ("cell_id",), mode: str = "overwrite") -> None:
+    write_cube(predictions, path, time="valid_date", keys=keys, mode=mode)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -73,7 +74,7 @@ def load_arrays(
 
 def hourly_reanalysis(spark: SparkSession, path: str, variables: Sequence[str], start, end, lon: tuple[float, float], lat: tuple[float, float]) -> DataFrame:
     """Hourly scan with one day more at the end, so the shifted last day is complete."""
-    last = spark.range(1).select(F.date_add(F.lit(end).cast("date"), 1).cast("string")).first()[0]
+    last = str(date.fromisoformat(str(end)[:10]) + timedelta(days=1))
     return load_arrays(spark, path, variables, start, last, lon, lat)
 
 
@@ -103,27 +104,23 @@ def noon_from_name(path: Column) -> Column:
 # --- products ------------------------------------------------------------------------------------------
 
 
-def product_path(registry: dict[str, dict[str, str]], kind: str, product: str) -> str:
-    """Path of a product from a nested registry, or a message naming what is missing."""
-    try:
-        return registry[kind][product]
-    except KeyError:
-        return f"Path not found for metric '{kind}' and product '{product}'"
+def resolve_products(wanted: DataFrame, registry: DataFrame) -> DataFrame:
+    """``wanted`` (kind, product) with the stored ``path`` of each and, where its file name says so, ``product_name``, ``index_name`` and ``latency``.
 
-
-def precipitation_source(registry: dict[str, dict[str, str]], product: str, folder: str | None = None, form: str = "parquet") -> tuple[str, str | None, int | None]:
-    """(path, file name, latency): ``SPI_`` products name their accumulation days in the path."""
-    import re
-
-    if folder is not None:
-        return f"{product_path(registry, 'PRECIP', product)}/{folder}", None, None
-    if "SPI" in product:
-        path = product_path(registry, "SPI", product.replace("SPI_", ""))
-        match = re.search(r"\d+", path)
-        if match is None:
-            raise ValueError(f"no latency digits in {path}")
-        return path, f"spi_gamma_{match.group()}", int(match.group())
-    return product_path(registry, "PRECIP", product), f"{product}_merged.{form}", None
+    ``registry`` has one row per stored product: kind, product, path. What it does not list keeps NULLs.
+    """
+    stored = registry.groupBy("kind", "product").agg(F.min("path").alias("path"))
+    product, index, latency = spi_name_parts(F.col("path"))
+    found = wanted.join(stored, ["kind", "product"], "left")
+    return found.withColumns({"product_name": product, "index_name": F.nullif(index, F.lit("")), "latency": latency})
+
+
+def read_product(spark: SparkSession, registry: DataFrame, kind: str, product: str, **options) -> DataFrame:
+    """Scan the files that the registry lists for one product."""
+    rows = registry.where((F.col("kind") == kind) & (F.col("product") == product)).select("path").distinct().collect()
+    if not rows:
+        raise LookupError(f"the registry lists no {kind} product called {product}")
+    return read_files(spark, [r.path for r in rows], **options)
 
 
 def spi_name_parts(path: Column) -> tuple[Column, Column, Column]:

@@ -8,7 +8,7 @@ from drygrid.operators import samples as sa, series as ser
 from drygrid.plans import datasets, hydrology, verification
 from drygrid.functions.grid import GridSpec
 from drygrid.sources import sinks, tables as tb, text as tx
-from drygrid.streaming.incremental import days_to_retry, ingest_new_days
+from drygrid.streaming.incremental import days_to_retry, ingest_new_days, ingested
 
 
 @pytest.fixture
@@ -137,11 +137,18 @@ def test_names(spark):
     assert rows[0].t == dt.datetime(2020, 1, 2, 3, 4, 5) and rows[1].t == dt.datetime(2020, 1, 2) and rows[2].t is None
     assert (rows[2].product, rows[2].i, rows[2].l) == ("IMERG", "spi_gamma_90", 90)
     assert rows[3].noon == dt.datetime(2020, 1, 2, 12)
-    registry = {"SPI": {"IMERG": "/d/IMERG_180"}, "PRECIP": {"IMERG": "/p"}}
-    assert tb.precipitation_source(registry, "SPI_IMERG") == ("/d/IMERG_180", "spi_gamma_180", 180)
-    assert tb.precipitation_source(registry, "IMERG") == ("/p", "IMERG_merged.parquet", None)
-    assert tb.precipitation_source(registry, "IMERG", folder="x") == ("/p/x", None, None)
-    assert tb.product_path(registry, "SPI", "GPCC").startswith("Path not found")
+    registry = spark.createDataFrame([("SPI", "IMERG", "/d/IMERG_spi_gamma_180.nc"), ("PRECIP", "IMERG", "/p/IMERG_merged.parquet")], "kind string, product string, path string")
+    wanted = spark.createDataFrame([("SPI", "IMERG"), ("PRECIP", "IMERG"), ("SPI", "GPCC")], "kind string, product string")
+    got = {(r.kind, r.product): (r.path, r.index_name, r.latency) for r in tb.resolve_products(wanted, registry).collect()}
+    assert got == {("SPI", "IMERG"): ("/d/IMERG_spi_gamma_180.nc", "spi_gamma_180", 180), ("PRECIP", "IMERG"): ("/p/IMERG_merged.parquet", None, None), ("SPI", "GPCC"): (None, None, None)}
+    with pytest.raises(LookupError, match="SPI product called GPCC"):
+        tb.read_product(spark, registry, "SPI", "GPCC")
+
+
+def test_product_is_read_by_its_registry_entry(spark, ramp, tmp_path):
+    ramp.write.parquet(str(tmp_path / "x"))
+    registry = spark.createDataFrame([("PRECIP", "IMERG", str(tmp_path / "x"))], "kind string, product string, path string")
+    assert tb.read_product(spark, registry, "PRECIP", "IMERG").count() == ramp.count()
 
 
 def test_corrupt_files(spark, ramp, tmp_path):
@@ -160,7 +167,7 @@ def test_corrupt_files(spark, ramp, tmp_path):
 def test_cube_round_trip_prunes_and_pushes_down(spark, ramp, tmp_path):
     path = str(tmp_path / "cube")
     cube = ramp.withColumn("lat", F.col("cell_id") * 1.0).withColumn("lon", F.lit(5.0))
-    sinks.write_cube(cube, path, files_per_year=2)
+    sinks.write_cube(cube, path)
     got = tb.load_arrays(spark, path, ["b"], "2020-01-05", "2020-01-06", (0.0, 9.0), (0.0, 1.5))
     assert sorted(r.b for r in got.collect()) == [4.0, 5.0]
     plan = got._jdf.queryExecution().executedPlan().toString()
@@ -213,6 +220,14 @@ def test_incremental_ingestion(spark, ramp, tmp_path):
     run()
     run()
     assert spark.read.parquet(cube).count() == 40
+    again = first.where("time = '2020-01-03' AND cell_id = 1").withColumn("value", F.lit(99.0))
+    again.union(again).write.mode("append").parquet(inbox)
+    run()
+    stored = ingested(spark, cube)
+    assert stored.count() == stored.select("cell_id", "time").distinct().count() == spark.read.parquet(cube).select("cell_id", "time").distinct().count()
+    assert stored.where("time = '2020-01-03' AND cell_id = 1").first().value == 99.0
+    plan = days_to_retry(ramp.select("time"), spark.read.parquet(cube))._jdf.queryExecution().executedPlan().toString()
+    assert "value:double" not in plan
 
 
 # --- compositions --------------------------------------------------------------------------------------

@@ -184,3 +184,23 @@ def test_feature_adjacency(spark, measure, percentile):
     assert np.allclose(matrix(out, 13), v)
     with pytest.raises(ValueError):
         gr.feature_adjacency(nodes, measure="cosine")
+
+
+def test_feature_adjacency_with_a_near_copy_and_undefined_vectors(spark):
+    """One pair at 1e-6 must not move the other pairs together; a NULL element puts a node at no distance."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 4))
+    x[1] = x[0] + 5e-7
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(60, [1.0, None, 0.0, 0.0])]
+    nodes = spark.createDataFrame(rows, "node long, vector array<double>")
+    got = {(r.src, r.dst): r.w for r in gr.feature_adjacency(nodes, 97.0, "euclidean", block=16).collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    i, j = np.triu_indices(60, 1)
+    inverse = np.concatenate((1 / d[i, j], np.zeros(60)))
+    w = inverse / inverse.max()
+    threshold = np.quantile(np.concatenate((w, np.zeros(61 * 60 // 2), np.ones(61))), 0.97)
+    want = {(int(a), int(b)): v for a, b, v in zip(i, j, w) if v >= threshold}
+    assert len(want) > 10
+    pairs = {k: v for k, v in got.items() if k[0] < k[1]}
+    assert pairs.keys() == want.keys() and all(pairs[k] == pytest.approx(want[k]) for k in want)
+    assert got[60, 60] == 1.0 and len(got) == 2 * len(want) + 61
