@@ -149,7 +149,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str =
     """
     known = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("_id")).agg(F.min(label).alias("_label"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)  # at most `sample` rows: small enough to broadcast
-    rows = docs.join(F.broadcast(chosen), F.col(key) == F.col("_id")).select(F.col(text).alias("_text"), _chars(docs, metadata).alias("_chars"), F.col("_id").cast("string").alias("_id"), "_label", row_tag(text).alias("_tag"))
+    plain = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), _chars(docs, metadata).alias("_chars"), row_tag(text).alias("_tag"))
+    rows = plain.join(F.broadcast(chosen), F.col("_key") == F.col("_id")).select("_text", "_chars", F.col("_id").cast("string").alias("_id"), "_label", "_tag")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in pieces(batches, "_text"):

@@ -60,7 +60,7 @@ class Cascade:
 
 
 def _hashes(host: Column) -> list[Column]:
-    return [F.xxhash64(host, F.lit(1)).alias("one"), F.xxhash64(host, F.lit(2)).alias("two")]
+    return [F.xxhash64(host, F.lit(1)).alias("_one"), F.xxhash64(host, F.lit(2)).alias("_two")]
 
 
 def _probe(test):
@@ -68,7 +68,7 @@ def _probe(test):
     @F.arrow_udf(T.BooleanType())
     def run(one: pa.Array, two: pa.Array) -> pa.Array:
         return pa.array(test(one.to_numpy(zero_copy_only=False), two.to_numpy(zero_copy_only=False)))
-    return run("one", "two")
+    return run("_one", "_two")
 
 
 def _encode(keys: DataFrame, number: int, n: int) -> Level:
@@ -82,14 +82,14 @@ def _encode(keys: DataFrame, number: int, n: int) -> Level:
         some = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(words[some].view(np.int64))], names=["word", "bits"])
 
-    table = keys.select("one", "two").mapInArrow(bits, "word long, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
+    table = keys.select("_one", "_two").mapInArrow(bits, "word long, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
     words = np.zeros(level.size // 64 + 1, dtype=np.uint64)
     words[table.column("word").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
     return Level(number, level.size, words)
 
 
 def build(universe: DataFrame) -> Cascade:
-    """Cascade over ``universe`` (``one``, ``two``, ``listed``; a written table of distinct hosts)."""
+    """Cascade over ``universe`` (``_one``, ``_two``, ``listed``; a written table of distinct hosts)."""
     levels: list[Level] = []
     mine, others = universe.filter("listed"), universe.filter("not listed")
     while n := mine.count():
@@ -137,7 +137,7 @@ def judge(pages: DataFrame, listed: DataFrame, url: str = "url", rules=RULES, mo
     ready = parts.select("*", rule.alias("rule"), verdict.alias("_verdict"), *_hashes(F.col("host")))
     out = None
     for b in range(blocks):
-        mine = (lambda df: df.filter(F.pmod(F.col("one"), F.lit(blocks)) == b)) if blocks > 1 else (lambda df: df)
+        mine = (lambda df: df.filter(F.pmod(F.col("_one"), F.lit(blocks)) == b)) if blocks > 1 else (lambda df: df)
         part = mine(ready).withColumn("_listed", _probe(build(mine(universe)).listed))
         out = part if out is None else out.unionByName(part)
     return out.select(*columns, "host", "path", "rule", F.coalesce("_verdict", F.when(F.col("_listed"), "block").otherwise("allow")).alias("verdict"))
