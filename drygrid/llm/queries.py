@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from drygrid.llm import containment, factorisation, line_alignment, packing, recompression, secrets, setsketch, target_ratio
+from drygrid.llm import containment, factorisation, line_alignment, packing, recompression, secrets, setsketch, sharding, target_ratio, url_filter
 
 QUERIES = {
     "op1_quality_classifier": factorisation.op1,
     "op2_best_fit_packing": packing.op2,
+    "op3_sharding": sharding.op3,
     "op4_secret_scan": secrets.op4,
     "op5_line_dedup": line_alignment.op5,
     "op6_near_duplicates": setsketch.op6,
     "op7_quality_rules": target_ratio.op7,
     "op8_substring_dedup": recompression.op8,
     "op9_decontamination": containment.op9,
+    "op10_url_filter": url_filter.op10,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op10_url_filter": url_filter.OP10_SQL}
