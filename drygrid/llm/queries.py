@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from drygrid.llm import containment, factorisation, line_alignment, packing, recompression, secrets, setsketch, sharding, target_ratio, url_filter
+from drygrid.llm import containment, factorisation, line_alignment, oracles, packing, recompression, secrets, setsketch, sharding, target_ratio, url_filter
 
 QUERIES = {
     "op1_quality_classifier": factorisation.op1,
@@ -16,4 +16,4 @@ QUERIES = {
     "op9_decontamination": containment.op9,
     "op10_url_filter": url_filter.op10,
 }
-ORACLE_SQL = {"op10_url_filter": url_filter.OP10_SQL}
+ORACLE_SQL = oracles.ORACLE_SQL
