@@ -60,22 +60,23 @@ def rows_without_partner(t):
     return al.without(t.cube().select("cell_id", "time", "value"), orders_cube(t), ["cell_id", "time"])
 
 
-@query("days_without_any_row", f"""WITH {CUBE}, s AS (SELECT CAST(UNNEST(generate_series(MIN(time), MAX(time), INTERVAL 1 DAY)) AS DATE) AS time FROM cube WHERE value > 60) SELECT time FROM s WHERE time NOT IN (SELECT time FROM cube WHERE value > 60)""")
+@query("days_without_any_row", f"""WITH {CUBE}, s AS (SELECT CAST(UNNEST(generate_series(MIN(time), MAX(time), INTERVAL 1 DAY)) AS DATE) AS time FROM (SELECT CASE WHEN value > 60 THEN time END AS time FROM cube)) SELECT time FROM s WHERE time NOT IN (SELECT time FROM cube WHERE value > 60)""")
 def days_without_any_row(t):
-    return al.absent_days(t.cube().where("value > 60"))
+    """Low values have no valid time."""
+    return al.absent_days(t.cube().withColumn("time", F.when(F.col("value") > 60, F.col("time"))))
 
 
-@query("series_on_calendar", f"""WITH {CUBE}, k AS (SELECT time, SUM(value) AS value FROM cube WHERE value > 60 GROUP BY 1), s AS (SELECT CAST(UNNEST(generate_series(MIN(time), MAX(time), INTERVAL 1 DAY)) AS DATE) AS time FROM k) SELECT s.time, value FROM s LEFT JOIN k ON k.time = s.time""")
+@query("series_on_calendar", f"""WITH {CUBE}, k AS (SELECT time, SUM(CASE WHEN value > 60 THEN value END) AS value FROM cube GROUP BY 1), s AS (SELECT CAST(UNNEST(generate_series(MIN(time), MAX(time), INTERVAL 1 DAY)) AS DATE) AS time FROM k) SELECT s.time, value FROM s LEFT JOIN k ON k.time = s.time""")
 def series_on_calendar(t):
-    return al.on_calendar(t.cube().where("value > 60").groupBy("time").agg(F.sum("value").alias("value")))
+    return al.on_calendar(t.cube().groupBy("time").agg(F.sum(F.when(F.col("value") > 60, F.col("value"))).alias("value")))
 
 
-@query("bad_days_not_collected", f"""WITH {CUBE}, b AS (SELECT time FROM cube GROUP BY 1 HAVING COUNT(*) FILTER (value < 5) > 0) SELECT time FROM b WHERE time NOT IN (SELECT CAST(o_orderdate AS DATE) FROM orders WHERE o_orderstatus = 'P')""")
+@query("bad_days_not_collected", f"""WITH {CUBE}, b AS (SELECT time FROM cube GROUP BY 1 HAVING COUNT(*) FILTER (value < 5) > 0) SELECT time FROM b WHERE NOT EXISTS (SELECT 1 FROM orders WHERE CASE WHEN o_orderstatus = 'P' THEN CAST(o_orderdate AS DATE) END = time)""")
 def bad_days_not_collected(t):
     from drygrid.operators.quality import negative_days
 
     bad = negative_days(t.cube().withColumn("value", F.col("value") - 5)).select("time")
-    done = t.orders.where("o_orderstatus = 'P'").select(F.to_date("o_orderdate").alias("time"))
+    done = t.orders.select(F.when(F.col("o_orderstatus") == "P", F.to_date("o_orderdate")).alias("time"))
     return al.without(bad, done, ["time"])
 
 
@@ -162,7 +163,7 @@ def majority_cover(t):
 
 RASTER = """ras AS (SELECT 'elevation' AS layer, p_partkey % 40 AS row, p_partkey % 50 AS col, MAX(p_size - 20)::DOUBLE AS value FROM part GROUP BY ALL
  UNION ALL SELECT 'slope1', p_partkey % 40, p_partkey % 50, MAX(p_size * 100)::DOUBLE FROM part GROUP BY ALL
- UNION ALL SELECT 'FOR_LAND', p_partkey % 40, p_partkey % 50, MAX(p_retailprice) FROM part WHERE p_size > 25 GROUP BY ALL)"""
+ UNION ALL SELECT 'FOR_LAND', p_partkey % 40, p_partkey % 50, MAX(CASE WHEN p_size > 25 THEN p_retailprice END) FROM part GROUP BY ALL)"""
 
 
 @query("soil_layers_looked_up", f"""WITH {RASTER}, c AS (SELECT s_suppkey AS cell_id, -5.25 + (s_suppkey // 10) * 0.2::DOUBLE AS lat, 32.25 + (s_suppkey % 10) * 0.25::DOUBLE AS lon FROM supplier),
@@ -174,7 +175,7 @@ def soil_layers_looked_up(t):
     layers = [
         t.part.groupBy(*at).agg(F.max(F.col("p_size") - 20).cast("double").alias("value")).withColumn("layer", F.lit("elevation")),
         t.part.groupBy(*at).agg(F.max(F.col("p_size") * 100).cast("double").alias("value")).withColumn("layer", F.lit("slope1")),
-        t.part.where("p_size > 25").groupBy(*at).agg(F.max("p_retailprice").alias("value")).withColumn("layer", F.lit("FOR_LAND")),
+        t.part.groupBy(*at).agg(F.max(F.when(F.col("p_size") > 25, F.col("p_retailprice"))).alias("value")).withColumn("layer", F.lit("FOR_LAND")),
     ]
     rasters = layers[0].unionByName(layers[1]).unionByName(layers[2])
     out = regrid.lookup_layers(t.cells(), rasters, 30, 0, 0.25, ["elevation", "slope1", "FOR_LAND"])

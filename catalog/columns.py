@@ -33,12 +33,12 @@ def radiance_by_satellite(t):
 @query("ndvi_irradiance_weighted", f"""WITH {BANDS}, {SAT}
 SELECT l_orderkey, l_linenumber,
        ROUND((channel_2 * i6 - channel_1 * i8)::DOUBLE / NULLIF((channel_2 * i6 + channel_1 * i8)::DOUBLE, 0), 6) AS ndvi
-FROM bands JOIN irr ON substr(product_name, 1, 4) = sat""")
+FROM bands LEFT JOIN irr ON substr(product_name, 1, 4) = sat""")
 def ndvi_irradiance_weighted(t):
     sat = F.substring("product_name", 1, 4)
     i6, i8 = veg.irradiance(sat, 0), veg.irradiance(sat, 1)
     index = veg.ndvi_irradiance_weighted(F.col("channel_1"), F.col("channel_2"), i6, i8)
-    return t.bands().where(i6.isNotNull()).select("l_orderkey", "l_linenumber", r6(index, "ndvi"))
+    return t.bands().select("l_orderkey", "l_linenumber", r6(index, "ndvi"))
 
 
 @query("packed_ndvi_byte", """SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 256 <> 255 THEN ROUND(-0.08 + 0.004::DOUBLE * (l_partkey % 256), 6) END AS ndvi FROM lineitem""")

@@ -67,13 +67,14 @@ def distance_graph(t):
     return gr.distance_adjacency(t.cells()).select("src", "dst", r6("w"))
 
 
-@query("distance_graph_of_valid_cells", """WITH c AS (SELECT s_suppkey AS id, -5.25 + (s_suppkey // 10) * 0.2::DOUBLE AS lat, 32.25 + (s_suppkey % 10) * 0.25::DOUBLE AS lon FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity = 50 AND l_linenumber = 7)),
+@query("distance_graph_of_valid_cells", """WITH c AS (SELECT s_suppkey AS id, -5.25 + (s_suppkey // 10) * 0.2::DOUBLE AS lat, 32.25 + (s_suppkey % 10) * 0.25::DOUBLE AS lon FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem GROUP BY 1 HAVING COUNT(*) FILTER (l_quantity = 50 AND l_linenumber = 7) > 0)),
  p AS (SELECT a.id AS src, b.id AS dst, 2 * 6371.0088::DOUBLE * ASIN(LEAST(SQRT(POW(SIN(RADIANS(b.lat - a.lat) / 2), 2) + COS(RADIANS(a.lat)) * COS(RADIANS(b.lat)) * POW(SIN(RADIANS(b.lon - a.lon) / 2), 2)), 1)) AS d FROM c a CROSS JOIN c b),
  s AS (SELECT STDDEV_POP(d) AS sd FROM p), w AS (SELECT src, dst, EXP(-POW(d / sd, 2)) AS w FROM p, s) SELECT src, dst, ROUND(w, 6) AS w FROM w WHERE w >= 0.05""")
 def distance_graph_of_valid_cells(t):
     from drygrid.operators.subset import keep_cells
 
-    kept = t.lineitem.where("l_quantity = 50 AND l_linenumber = 7").select(F.col("l_suppkey").alias("cell_id")).distinct()
+    hits = F.count_if((F.col("l_quantity") == 50) & (F.col("l_linenumber") == 7))
+    kept = t.lineitem.groupBy(F.col("l_suppkey").alias("cell_id")).agg(hits.alias("hits")).where("hits > 0").select("cell_id")
     return gr.distance_adjacency(keep_cells(t.cells(), kept)).select("src", "dst", r6("w"))
 
 

@@ -46,11 +46,14 @@ def point_service_series(t):
     return tx.point_series(point_documents(t)).withColumn("value", r6("value"))
 
 
-@query("point_service_wide", f"""WITH {POINTS} SELECT CAST(user_id AS DOUBLE) AS lat, time, ROUND(MAX(value) FILTER (event_type = 'click'), 6) AS click, ROUND(MAX(value) FILTER (event_type = 'error'), 6) AS error FROM pt WHERE event_type IN ('click', 'error') GROUP BY 1, 2""")
+EVENT_TYPES = ('click', 'error', 'purchase', 'signup', 'view')
+WIDE = ", ".join(f"ROUND(MAX(value) FILTER (event_type = '{n}'), 6) AS {n}" for n in EVENT_TYPES)
+
+
+@query("point_service_wide", f"""WITH {POINTS} SELECT CAST(user_id AS DOUBLE) AS lat, time, {WIDE} FROM pt GROUP BY 1, 2""")
 def point_service_wide(t):
-    points = tx.point_series(point_documents(t)).where(F.col("parameter").isin("click", "error"))
-    wide = tx.pivot_parameters(points, ["click", "error"], {"click": ("1", "clicks")})
-    return wide.select("lat", "time", r6("click"), r6("error"))
+    wide = tx.pivot_parameters(tx.point_series(point_documents(t)), EVENT_TYPES, {"click": ("1", "clicks")})
+    return wide.select("lat", "time", *[r6(n) for n in EVENT_TYPES])
 
 
 @query("ascii_grid_cells", """SELECT CAST(p_partkey // 200 AS VARCHAR) AS layer, CAST(p_partkey % 200 // 10 AS INTEGER) AS row, CAST(p_partkey % 10 AS INTEGER) AS col, CAST(p_size AS DOUBLE) AS value FROM part WHERE p_size <> 7""")

@@ -70,14 +70,16 @@ def dry_share_cells_kept(t):
     return sub.keep_dry_share(rows, water).drop("cell_id")
 
 
-MASK = """mask AS (SELECT l_suppkey AS cell_id, CAST(l_shipdate AS DATE) AS time, MAX(l_linenumber % 3) AS m FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1, 2)"""
+MASK = """mask AS (SELECT l_suppkey AS cell_id, CAST(l_shipdate AS DATE) AS time, MAX(CASE WHEN l_linenumber <= 4 THEN l_linenumber % 3 END) AS m FROM lineitem GROUP BY 1, 2)"""
 
 
 def cloud_mask(t):
-    return t.lineitem.where("l_linenumber <= 4").select(F.col("l_suppkey").alias("cell_id"), F.col("l_shipdate").alias("time"), (F.col("l_linenumber") % 3).alias("cloud_mask"))
+    """A mask value for every line; from the fifth line of an order on it is missing."""
+    mask = F.when(F.col("l_linenumber") <= 4, F.col("l_linenumber") % 3)
+    return t.lineitem.select(F.col("l_suppkey").alias("cell_id"), F.col("l_shipdate").alias("time"), mask.alias("cloud_mask"))
 
 
-@query("cloud_mask_inner", f"""WITH {CUBE}, {MASK} SELECT cube.cell_id, cube.time, CASE WHEN m <> 2 THEN value END AS value FROM cube JOIN mask ON cube.cell_id = mask.cell_id AND cube.time = mask.time""")
+@query("cloud_mask_inner", f"""WITH {CUBE}, {MASK} SELECT cube.cell_id, cube.time, CASE WHEN m IS NULL OR m <> 2 THEN value END AS value FROM cube JOIN mask ON cube.cell_id = mask.cell_id AND cube.time = mask.time""")
 def cloud_mask_inner(t):
     return sub.apply_cloud_mask(t.cube().select("cell_id", "time", "value"), cloud_mask(t))
 

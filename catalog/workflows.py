@@ -177,6 +177,6 @@ def vegetation_condition(t):
 
 @query("forecast_report")
 def forecast_report(t):
-    fc = t.forecast().where("y_pred IS NOT NULL").withColumn("row", F.floor(F.col("cell_id") / 10)).withColumn("col", F.col("cell_id") % 10)
+    fc = t.forecast().withColumn("row", F.floor(F.col("cell_id") / 10)).withColumn("col", F.col("cell_id") % 10)
     out = verification.forecast_report(fc, [10, 15])
     return out.select("horizon", "metric", "percentile", r6("lower"), r6("value"))

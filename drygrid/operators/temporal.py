@@ -235,7 +235,7 @@ def quarter_extremes(df: DataFrame, keys: Keys = CELL, time: str = "time", value
 
 
 def composite_max(*slots: DataFrame, keys: Keys = CELL, time: str = "time", value: str = "value") -> DataFrame:
-    """Maximum over all acquisition slots of a day."""
+    """Maximum over all acquisition slots of a day: one table with a row for each slot, or a table for each."""
     both = slots[0].select(*keys, time, value)
     for slot in slots[1:]:
         both = both.unionByName(slot.select(*keys, time, value))
