@@ -127,16 +127,20 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Cut batches into runs of rows of about ``PIECE`` bytes of text: the rows, their bytes and their offsets."""
+    """Cut batches into runs of rows of about ``PIECE`` bytes of text: the rows, their bytes and their offsets.
+
+    A batch is let go of before the next one is read, so a worker holds one at a time.
+    """
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        data, offsets = text_bytes(batch.column(batch.schema.get_field_index(text)))
-        row = 0
-        while row < batch.num_rows:
-            stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + PIECE, side="right")) - 1)
-            yield batch.slice(row, stop - row), data, offsets[row : stop + 1]
-            row = stop
+        if batch.num_rows:
+            data, offsets = text_bytes(batch.column(batch.schema.get_field_index(text)))
+            row = 0
+            while row < batch.num_rows:
+                stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + PIECE, side="right")) - 1)
+                yield batch.slice(row, stop - row), data, offsets[row : stop + 1]
+                row = stop
+            del data, offsets
+        del batch
 
 
 def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -140,18 +140,18 @@ def _search(docs: DataFrame, items: list[tuple], threshold: int, item_type):
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_key: str = "item_id", threshold: int = CONTAINED) -> DataFrame:
     """The rows of ``docs`` (same columns) that contain no benchmark item. Rows are filtered where they lie."""
-    columns, schema = docs.columns, docs.schema
+    schema = docs.schema
     for items in _blocks(benchmark, item_text, item_key):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = Index(shared.value, threshold)
-            for rows, data, offsets in pieces(batches, "_text"):
+            for rows, data, offsets in pieces(batches, text):
                 clean = np.ones(rows.num_rows, dtype=bool)
                 clean[[d for d, _, _ in index.contained(*shingles(find_words(data, offsets, lower=True), WORDS), rows.num_rows)]] = False
-                yield pa.RecordBatch.from_arrays(rows.columns[: len(columns)], names=columns).filter(pa.array(clean))
+                yield rows.filter(pa.array(clean))
 
-        docs = docs.withColumn("_text", F.col(text)).mapInArrow(run, schema)
+        docs = docs.mapInArrow(run, schema)
     return docs
 
 

@@ -189,12 +189,12 @@ def score(docs: DataFrame, machine: Machine, text: str = "text", metadata: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Machine.unpack(packed.value)
-        for batch, data, offsets in pieces(batches, "_text"):
+        for batch, data, offsets in pieces(batches, text):
             found = own.probability(*features(data, offsets, _metadata(batch, batch.num_columns - 1)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(found)], names=[*columns, out])
 
     schema = docs.select(*columns).schema.add(out, "double")
-    return docs.select(*columns, F.col(text).cast("string").alias("_text"), _chars(docs, metadata).alias("_chars")).mapInArrow(run, schema)
+    return docs.select(*columns, _chars(docs, metadata).alias("_chars")).mapInArrow(run, schema)
 
 
 def held_out(key: str = "doc_id"):

@@ -121,15 +121,15 @@ def judged(docs: DataFrame, ratio: np.ndarray, text: str = "text", limit: float
     table = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in pieces(batches, "_text"):
+        for rows, data, offsets in pieces(batches, text):
             found = measures(find_words(data, offsets), data, offsets, table.value)
             found["kept"] = ~found["base_failed"] & (found["score"] >= limit)
-            yield pa.RecordBatch.from_arrays([*rows.columns[: len(columns)], *[pa.array(found[m]) for m in MEASURES]], names=[*columns, *MEASURES])
+            yield pa.RecordBatch.from_arrays([*rows.columns, *[pa.array(found[m]) for m in MEASURES]], names=[*columns, *MEASURES])
 
     schema = docs.select(*columns).schema
     for name in MEASURES:
         schema = schema.add(name, "boolean" if name in ("base_failed", "kept") else "double" if name == "score" else "long")
-    return docs.select(*columns, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*columns).mapInArrow(run, schema)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", limit: float = LIMIT) -> DataFrame:
