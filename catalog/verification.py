@@ -16,7 +16,7 @@ def flags(t):
     ship = t.lineitem.groupBy(F.to_date("l_shipdate").alias("time")).agg(F.sum("l_quantity").alias("o"))
     order = t.orders.groupBy(F.to_date("o_orderdate").alias("time")).agg(F.count(F.lit(1)).cast("double").alias("f"))
     both = ship.join(order, "time")
-    mo, mf = exact_quantiles(both, "o", [0.5]).scalar(), exact_quantiles(both, "f", [0.5]).scalar()
+    mo, mf = exact_quantiles(both, "o", [0.5], bounded=True).scalar(), exact_quantiles(both, "f", [0.5], bounded=True).scalar()
     return both.withColumn("_o", mo).withColumn("_f", mf).select(
         "time", (F.col("o") > F.col("_o")[0]).cast("int").alias("obs"), (F.col("f") > F.col("_f")[0]).cast("int").alias("fc"))
 
@@ -129,7 +129,7 @@ def error_by_year(t):
 
 @query("forecast_spread_by_day", f"""WITH {FORECAST} SELECT model, valid_date, ROUND(QUANTILE_CONT(y_pred, 0.25), 6) AS q25, ROUND(MEDIAN(y_pred), 6) AS median, ROUND(QUANTILE_CONT(y_pred, 0.75), 6) AS q75 FROM fc WHERE mask = 1 AND y_pred IS NOT NULL GROUP BY 1, 2""")
 def forecast_spread_by_day(t):
-    return clim.forecast_spread(t.forecast(), ["model", "valid_date"], "y_pred", keep="mask").select("model", "valid_date", r6("q25"), r6("median"), r6("q75"))
+    return clim.forecast_spread(t.forecast(), ["model", "valid_date"], "y_pred", keep="mask", bounded=True).select("model", "valid_date", r6("q25"), r6("median"), r6("q75"))
 
 
 @query("histogram_2d", f"""WITH {FORECAST}, d AS (SELECT y AS x, y_pred AS p FROM fc WHERE y IS NOT NULL AND y_pred IS NOT NULL), e AS (SELECT MIN(x) AS x0, MAX(x) AS x1, MIN(p) AS p0, MAX(p) AS p1 FROM d)

@@ -53,10 +53,10 @@ def condition_index(df: DataFrame, keys: Keys = CELL, time: str = "time", value:
     return work.withColumn(out, F.lit(100.0) * F.try_divide(F.col(value) - low, high - low)).drop("_k")
 
 
-def domain_series(df: DataFrame, by: Sequence[str] = ("time",), value: str = "value") -> DataFrame:
-    """Mean and median over the other axes (space for ``by`` = time, time for ``by`` = cell)."""
+def domain_series(df: DataFrame, by: Sequence[str] = ("time",), value: str = "value", bounded: bool = False) -> DataFrame:
+    """Mean and median over the other axes (space for ``by`` = time, time for ``by`` = cell). ``bounded``: see ``exact_quantiles``."""
     mean = df.groupBy(*by).agg(F.avg(value).alias("mean"))
-    median = quantile_columns(df, value, {"median": 0.5}, by, few_keys=list(by) == ["time"])
+    median = quantile_columns(df, value, {"median": 0.5}, by, bounded)
     return mean.join(median, list(by), "left")
 
 
@@ -71,8 +71,9 @@ def day_of_year_distribution(
     years: Sequence[int] | None = None,
     months: Sequence[int] | None = None,
     key: str = "doy",
+    bounded: bool = False,
 ) -> DataFrame:
-    """Count, mean and quartiles of all cells and years per day of year (``key='month_day'``: MM-dd)."""
+    """Count, mean and quartiles of all cells and years per day of year (``key='month_day'``: MM-dd). ``bounded``: see ``exact_quantiles``."""
     work = df.where(F.col(value).isNotNull())
     if years is not None:
         work = work.where(F.year(time).isin(*years))
@@ -82,10 +83,10 @@ def day_of_year_distribution(
     work = work.select(*by, label.alias(key), F.col(value).alias("_value"))
     groups = [*by, key]
     moments = work.groupBy(*groups).agg(F.count("_value").alias("n"), F.avg("_value").alias("mean"))
-    return moments.join(quantile_columns(work, "_value", QUARTILES, groups, few_keys=not by), groups)
+    return moments.join(quantile_columns(work, "_value", QUARTILES, groups, bounded), groups)
 
 
-def year_against_all(df: DataFrame, year: int, time: str = "time", value: str = "value", drop_last_day: bool = False) -> DataFrame:
+def year_against_all(df: DataFrame, year: int, time: str = "time", value: str = "value", drop_last_day: bool = False, bounded: bool = False) -> DataFrame:
     """Median and mean of one year beside those of every year, per month-day.
 
     The month-day key lines leap and common years up; days the year lacks are left out.
@@ -95,8 +96,8 @@ def year_against_all(df: DataFrame, year: int, time: str = "time", value: str =
     )
     own = F.when(F.col("_own"), F.col("_value"))
     means = work.groupBy("month_day").agg(F.avg(own).alias("year_mean"), F.avg("_value").alias("all_mean"), F.count(own).alias("_n"))
-    medians = quantile_columns(work, "_value", {"all_median": 0.5}, ["month_day"], few_keys=True)
-    mine = quantile_columns(work.where("_own"), "_value", {"year_median": 0.5}, ["month_day"], few_keys=True)
+    medians = quantile_columns(work, "_value", {"all_median": 0.5}, ["month_day"], bounded)
+    mine = quantile_columns(work.where("_own"), "_value", {"year_median": 0.5}, ["month_day"], bounded)
     out = means.where("_n > 0").drop("_n").join(mine, "month_day").join(medians, "month_day")
     return out.where(F.col("month_day") != "12-31") if drop_last_day else out
 
@@ -106,10 +107,10 @@ def flag_share(df: DataFrame, flag: str, by: Sequence[str] = ("product", "latenc
     return df.groupBy(*by, F.dayofyear(time).alias("doy")).agg(F.avg(flag).alias("share"))
 
 
-def forecast_spread(df: DataFrame, by: Sequence[str], value: str = "value", keep: str | None = None) -> DataFrame:
+def forecast_spread(df: DataFrame, by: Sequence[str], value: str = "value", keep: str | None = None, bounded: bool = False) -> DataFrame:
     """Median and interquartile range per group over the cells where ``keep`` is 1."""
     work = df if keep is None else df.where(F.col(keep) == 1)
-    return quantile_columns(work, value, QUARTILES, list(by))
+    return quantile_columns(work, value, QUARTILES, list(by), bounded)
 
 
 __all__ = [

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 ACCURACY = 5000
-SMALL = 2 * ACCURACY
+GRID = 500
 SLICES = 256
 
 
@@ -18,37 +18,48 @@ def exact_quantiles(
     probs: Sequence[float],
     keys: Sequence[str] = (),
     name: str = "quantiles",
-    few_keys: bool = False,
+    bounded: bool = False,
 ) -> DataFrame:
     """Array of quantiles of ``value`` per ``keys``, NULLs ignored.
 
-    A bounded sketch per group brackets every wanted rank. Rows inside a bracket keep their value, rows
-    between brackets only count, and both collapse on the map side. The exact rank is then read from the
-    bracket rows: a few rows per thousand of a large group (the whole of a small one), cut into slices of
-    which only those holding a wanted rank are sorted.
-    ``few_keys`` says the keys are calendar labels (day of year, month, date), so their brackets may be
-    broadcast; other key sets join by shuffle.
+    A bounded sketch per group gives ``GRID`` + 1 evenly spaced quantiles, each at most ``1 / ACCURACY`` of the group off its rank. The
+    grid points a step outside the two ranks of a probability bracket them, whatever the group's size. Rows inside a bracket keep their
+    value, rows between brackets only count, and both collapse on the map side. The exact rank is then read from the bracket rows, cut
+    into slices of which only those holding a wanted rank are sorted. A rank without a row is an error, never a NULL.
+
+    ``bounded`` is the caller's word that the distinct values of a group fit in memory (one cell's calendar, a short list of dates):
+    then Spark's exact ``percentile`` does the same in one aggregate.
     """
     groups = keys = list(keys)
     probs = [float(p) for p in probs]
-    slack = 4.0 / ACCURACY
-    edges = [min(max(p + s, 0.0), 1.0) for p in probs for s in (-slack, slack)]
     data = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    sketch = F.percentile_approx("_v", F.array(*[F.lit(e) for e in edges]), ACCURACY)
-    stats = [F.count("_v").alias("_n"), sketch.alias("_e"), F.min("_v").alias("_min"), F.max("_v").alias("_max")]
+    if bounded:
+        exact = F.percentile("_v", F.array(*[F.lit(p) for p in probs])).alias(name)
+        found = data.groupBy(*keys).agg(exact)
+        return found if keys else found.where(F.col(name).isNotNull())
+    grid = F.percentile_approx("_v", F.array(*[F.lit(i / GRID) for i in range(GRID + 1)]), ACCURACY)
+    stats = [F.count("_v").alias("_n"), grid.alias("_e"), F.min("_v").alias("_min"), F.max("_v").alias("_max")]
     if not keys:
         # One group for the whole table. The key is computed, because joining on a literal is a cross join.
-        keys, few_keys = ["_all"], True
+        keys = ["_all"]
         data = data.withColumn("_all", F.pmod(F.hash("_v"), F.lit(1)))
-    brackets = data.groupBy(*keys).agg(*stats)
-    joined = data.join(F.broadcast(brackets) if few_keys else brackets, keys)
 
-    # A bracket that reaches probability 0 or 1 opens to the true end of the group.
+    def point(index: Column, end: str) -> Column:
+        """Grid value, or the group's true end beyond the grid."""
+        inside = (index > 0) & (index < GRID)
+        return F.when(inside, F.get("_e", index.cast("int"))).otherwise(F.col(end))
+
+    positions = [F.lit(p) * (F.col("_n") - 1) for p in probs]
+    lows = [point(F.floor(F.floor(r) / F.col("_n") * GRID) - 1, "_min") for r in positions]
+    highs = [point(F.ceil((F.ceil(r) + 1) / F.col("_n") * GRID) + 1, "_max") for r in positions]
+    edges = [F.col(f"_b{i}") for i in range(2 * len(probs))]
+    brackets = data.groupBy(*keys).agg(*stats).select(*keys, "_n", *[e.alias(f"_b{i}") for i, e in enumerate([x for pair in zip(lows, highs) for x in pair])])
+    joined = data.join(brackets, keys)
+
     # Plain comparisons, one per bracket: they compile, lambdas over arrays do not.
-    lows = [F.col("_min") if edges[2 * i] <= 0 else F.col("_e")[2 * i] for i in range(len(probs))]
-    highs = [F.col("_max") if edges[2 * i + 1] >= 1 else F.col("_e")[2 * i + 1] for i in range(len(probs))]
-    within = [F.col("_v").between(lo, hi) for lo, hi in zip(lows, highs)]
-    inside = reduce(lambda x, y: x | y, within, F.col("_n") <= SMALL)
+    highs = edges[1::2]
+    within = [F.col("_v").between(lo, hi) for lo, hi in zip(edges[::2], highs)]
+    inside = reduce(lambda x, y: x | y, within)
     none = F.lit(None).cast("double")
     below = F.greatest(none, *[F.when(h < F.col("_v"), h) for h in highs])
     counted = (
@@ -60,28 +71,26 @@ def exact_quantiles(
     # Counted-only rows sort just after the bracket end below them, so (at, kept first) is the value order.
     # Equi-depth splitters cut that order into slices. Slice totals give each slice its starting rank, and
     # only slices that hold a wanted rank are sorted, each in its own task.
-    grid = F.array(*[F.lit(i / SLICES) for i in range(1, SLICES)])
-    cuts = F.percentile_approx(F.when(F.col("_n") > SMALL, F.col("_at")), grid, ACCURACY)
-    splitters = counted.groupBy(*keys).agg(cuts.alias("_s"))
-    sliced = counted.join(F.broadcast(splitters) if few_keys else splitters, keys)
+    even = F.array(*[F.lit(i / SLICES) for i in range(1, SLICES)])
+    splitters = counted.groupBy(*keys).agg(F.percentile_approx("_at", even, ACCURACY).alias("_s"))
+    sliced = counted.join(splitters, keys)
     inner = F.coalesce(F.size(F.filter("_s", lambda c: c < F.col("_at"))), F.lit(0))
     sliced = sliced.withColumn("_slice", F.when(F.col("_at").isNull(), F.lit(-1)).otherwise(inner)).drop("_s")
     totals = sliced.groupBy(*keys, "_slice").agg(F.sum("_c").alias("_total"), F.first("_n").alias("_n"))
     ends = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
     totals = totals.withColumn("_before", F.sum("_total").over(ends) - F.col("_total"))
 
-    positions = [F.lit(p) * (F.col("_n") - 1) for p in probs]
     ranks = [rank for position in positions for rank in (F.floor(position), F.ceil(position))]
     holds = [(F.col("_before") <= r) & (r < F.col("_before") + F.col("_total")) for r in ranks]
     wanted = totals.where(reduce(lambda x, y: x | y, holds)).select(*keys, "_slice", "_before")
     on = [*keys, "_slice"]
-    chosen = sliced.join(F.broadcast(wanted) if few_keys else wanted, on)
+    chosen = sliced.join(wanted, on)
     running = Window.partitionBy(*on).orderBy(F.col("_at").asc_nulls_first(), F.col("_keep").desc())
     chosen = chosen.withColumn("_cum", F.col("_before") + F.sum("_c").over(running.rowsBetween(Window.unboundedPreceding, 0)))
 
     def at_rank(rank):
         hit = F.col("_keep") & (F.col("_cum") > rank) & (F.col("_cum") - F.col("_c") <= rank)
-        return F.min(F.when(hit, F.col("_at")))
+        return F.coalesce(F.min(F.when(hit, F.col("_at"))), F.raise_error(F.lit("a bracket misses its rank")).cast("double"))
 
     out = chosen.groupBy(*keys).agg(F.first("_n").alias("_n"), *[at_rank(r).alias(f"_r{i}") for i, r in enumerate(ranks)])
     results = []
@@ -91,7 +100,7 @@ def exact_quantiles(
     return out.select(*groups, F.array(*results).alias(name))
 
 
-def quantile_columns(df: DataFrame, value: str, named: dict[str, float], keys: Sequence[str] = (), few_keys: bool = False) -> DataFrame:
+def quantile_columns(df: DataFrame, value: str, named: dict[str, float], keys: Sequence[str] = (), bounded: bool = False) -> DataFrame:
     """Quantiles as columns, ``named`` mapping column name to probability."""
-    out = exact_quantiles(df, value, list(named.values()), keys, "_q", few_keys)
+    out = exact_quantiles(df, value, list(named.values()), keys, "_q", bounded)
     return out.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(named)])

@@ -260,20 +260,20 @@ BAND_METRICS = ("rmse", "bias", "mse", "nse")
 
 
 def error_by_percentile(
-    df: DataFrame, metric: str | Sequence[str] = "rmse", pred: str = "y_pred", truth: str = "y", bands: int = 10, strict: bool = False, by: Sequence[str] = ()
+    df: DataFrame, metric: str | Sequence[str] = "rmse", pred: str = "y_pred", truth: str = "y", bands: int = 10, strict: bool = False, by: Sequence[str] = (), bounded: bool = False
 ) -> DataFrame:
     """Scores per band of the truth's quantiles: rmse, bias (truth - prediction), mse or nse as 1/(2 - nse).
 
     Several metrics share one pass. The last band includes the maximum unless ``strict``. ``by`` holds
-    short labels (model, horizon); each gets its own quantiles.
+    short labels (model, horizon); each gets its own quantiles. ``bounded``: see ``exact_quantiles``.
     """
     metrics = [metric] if isinstance(metric, str) else list(metric)
     if not set(metrics) <= set(BAND_METRICS):
         raise ValueError(f"metric must be one of {BAND_METRICS}")
     by = list(by)
     data = df.where(F.col(truth).isNotNull()).select(*by, F.col(truth).alias("_r"), F.col(pred).alias("_p"))
-    bounds = exact_quantiles(data, "_r", [i / bands for i in range(bands + 1)], by, "_b", few_keys=bool(by))
-    work = data.join(F.broadcast(bounds), by) if by else data.withColumn("_b", bounds.scalar())
+    bounds = exact_quantiles(data, "_r", [i / bands for i in range(bands + 1)], by, "_b", bounded)
+    work = data.join(bounds, by) if by else data.withColumn("_b", bounds.scalar())
     band = reduce(lambda x, y: x + y, [(F.col("_b")[i] <= F.col("_r")).cast("int") for i in range(bands + 1)]) - 1
     work = work.withColumn("band", band if strict else F.least(band, F.lit(bands - 1)))
     if strict:
@@ -353,7 +353,7 @@ def bias_corrected(df: DataFrame, pred: str = "y_pred", truth: str = "y", out: s
     t, p = F.col(truth), F.col(pred)
     line = F.struct(F.regr_slope(t, p).alias("slope"), F.regr_intercept(t, p).alias("intercept"))
     if by:
-        work = df.join(F.broadcast(df.groupBy(*by).agg(line.alias("_l"))), list(by))
+        work = df.join(df.groupBy(*by).agg(line.alias("_l")), list(by))
     else:
         work = df.withColumn("_l", one_value(df, line))
     return work.withColumn(out, p * F.col("_l")["slope"] + F.col("_l")["intercept"]).drop("_l")

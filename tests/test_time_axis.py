@@ -103,7 +103,7 @@ def test_year_against_all_uses_month_day(spark):
 @pytest.mark.parametrize("accuracy", [40, 5000])
 def test_exact_quantiles_with_a_hot_group(spark, monkeypatch, accuracy):
     monkeypatch.setattr(quantiles, "ACCURACY", accuracy)
-    monkeypatch.setattr(quantiles, "SMALL", 2 * accuracy)
+    monkeypatch.setattr(quantiles, "GRID", accuracy // 10)
     rng = np.random.default_rng(3)
     groups = {"hot": np.round(rng.normal(size=6000), 2), "ties": np.repeat([1.0, 2.0], [4000, 1000]), "one": np.array([7.0]), "wide": rng.lognormal(0, 5, 3000)}
     rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("hot", None)]
@@ -116,6 +116,20 @@ def test_exact_quantiles_with_a_hot_group(spark, monkeypatch, accuracy):
     assert whole == pytest.approx(list(np.quantile(np.concatenate(list(groups.values())), probs)), rel=1e-12)
 
 
+def test_quantiles_of_groups_of_all_sizes(spark):
+    rng = np.random.default_rng(6)
+    sizes = [1, 2, 3, 4, 5, 7, 10, 33, 100, 499, 500, 501, 999, 4999, 5001, 9999, 10001, 30000]
+    groups = {n: (np.round(rng.normal(size=n), 1) if n % 2 else rng.normal(size=n)) for n in sizes}
+    df = spark.createDataFrame([(n, float(v)) for n, vs in groups.items() for v in vs], "k long, v double").repartition(5)
+    probs = [0.0, 0.01, 0.25, 0.5, 0.9, 0.999, 1.0]
+    for bounded in (False, True):
+        got = {r.k: r.q for r in quantiles.exact_quantiles(df, "v", probs, ["k"], "q", bounded).collect()}
+        for n, vs in groups.items():
+            assert got[n] == pytest.approx(list(np.quantile(vs, probs)), rel=1e-12), n
+    nothing = df.where("k < 0")
+    assert quantiles.exact_quantiles(nothing, "v", probs).collect() == quantiles.exact_quantiles(nothing, "v", probs, bounded=True).collect() == []
+
+
 def test_audits(daily):
     audit = quality.null_audit(daily, ["value"]).first()
     assert (audit.rows, audit.nulls, audit.known) == (30, 14, 16)
