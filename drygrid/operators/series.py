@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StructType
 
 from drygrid.operators.common import CELL, Keys
 
@@ -25,11 +25,11 @@ def apply_series(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], sche
     return df.groupBy(*keys).applyInPandas(sorted_fn, schema)
 
 
-def as_arrays(df: DataFrame, keys: Keys = CELL, time: str = "time", value: str = "value") -> DataFrame:
-    """One row per series: sorted ``times`` and ``values`` (NULL kept)."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col(value).cast("double").alias("v"))))
-    packed = df.groupBy(*keys).agg(rows.alias("_r"))
-    return packed.select(*keys, F.col("_r.t").alias("times"), F.col("_r.v").alias("values"))
+def as_arrays(df: DataFrame, keys: Keys = CELL, time: str = "time", value: str = "value", carry: Sequence[str] = ()) -> DataFrame:
+    """One row per series: sorted ``times`` and ``values`` (NULL kept) and an array of each column in ``carry``."""
+    row = F.struct(F.col(time).alias("t"), F.col(value).cast("double").alias("v"), *[F.col(c).alias(c) for c in carry])
+    packed = df.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("_r"))
+    return packed.select(*keys, F.col("_r.t").alias("times"), F.col("_r.v").alias("values"), *[F.col("_r")[c].alias(c) for c in carry])
 
 
 def from_arrays(df: DataFrame, keys: Keys = CELL, time: str = "time", values: Sequence[str] = ("value",)) -> DataFrame:
@@ -81,9 +81,13 @@ def solve_smoother(y: np.ndarray, w: np.ndarray, lam: np.ndarray) -> np.ndarray:
     return np.moveaxis(z, 0, -1)
 
 
-def asymmetric_smoother(y: np.ndarray, w: np.ndarray, lam: np.ndarray, p: float, rounds: int = 10) -> np.ndarray:
-    """Repeat the solve with weight p above and 1 - p below the curve until it stops moving."""
+def asymmetric_smoother(y: np.ndarray, w: np.ndarray, lam: np.ndarray, p: float, rounds: int = 10) -> tuple[np.ndarray, np.ndarray]:
+    """Repeat the solve with weight p above and 1 - p below the curve until it stops moving, at most ``rounds`` times.
+
+    Returns the curves and whether each has settled.
+    """
     z = np.zeros(np.broadcast_shapes(y.shape[:-1], np.shape(lam)) + (y.shape[-1],))
+    moved = np.ones(z.shape[:-1])
     for _ in range(rounds):
         side = np.where(y > z, p, 1 - p)
         new = solve_smoother(y, w * side, lam)
@@ -91,11 +95,11 @@ def asymmetric_smoother(y: np.ndarray, w: np.ndarray, lam: np.ndarray, p: float,
         z = new
         if not moved.any():
             break
-    return z
+    return z, moved == 0
 
 
-def v_curve_smoother(y: np.ndarray, w: np.ndarray, exponents: np.ndarray, p: float | None) -> tuple[np.ndarray, np.ndarray]:
-    """Smoothed rows and the chosen lambda of each, at the lowest point of the V-curve.
+def v_curve_smoother(y: np.ndarray, w: np.ndarray, exponents: np.ndarray, p: float | None, rounds: int = 10) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Smoothed rows, the chosen lambda of each, at the lowest point of the V-curve, and whether the row has settled.
 
     The V-curve measures the step between neighbouring lambdas in the (log fit, log roughness) plane.
     """
@@ -105,7 +109,7 @@ def v_curve_smoother(y: np.ndarray, w: np.ndarray, exponents: np.ndarray, p: flo
     if p is None:
         z = solve_smoother(cube_y, cube_w, grid)
     else:
-        z = asymmetric_smoother(cube_y, cube_w, grid, p)
+        z, _ = asymmetric_smoother(cube_y, cube_w, grid, p, rounds)
     with np.errstate(divide="ignore", invalid="ignore"):
         fit = np.log((cube_w * (cube_y - z) ** 2).sum(axis=-1))
         rough = np.log((np.diff(z, 2, axis=-1) ** 2).sum(axis=-1))
@@ -113,62 +117,57 @@ def v_curve_smoother(y: np.ndarray, w: np.ndarray, exponents: np.ndarray, p: flo
     step = np.where(np.isfinite(step), step, np.inf) / (np.log(10) * (exponents[1] - exponents[0]))
     best = step.argmin(axis=1)
     chosen = 10.0 ** ((exponents[best] + exponents[best + 1]) / 2)
-    final = solve_smoother(y, w, chosen) if p is None else asymmetric_smoother(y, w, chosen, p)
-    return final, chosen
+    final, settled = (solve_smoother(y, w, chosen), np.ones(len(y), bool)) if p is None else asymmetric_smoother(y, w, chosen, p, rounds)
+    return final, chosen, settled
+
+
+SMOOTHED = StructType().add("smoothed", ArrayType(DoubleType())).add("lam", DoubleType()).add("settled", BooleanType())
 
 
 def whittaker(
     df: DataFrame, keys: Keys = CELL, time: str = "time", value: str = "value", out: str = "smoothed",
-    lam: float | None = None, p: float | None = 0.99, lambda_min: float = -2.0, lambda_max: float = 3.0, step: float = 0.2,
+    lam: float | None = None, p: float | None = 0.99, lambda_min: float = -2.0, lambda_max: float = 3.0, step: float = 0.2, rounds: int = 10, carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Penalised smoother of every series: (keys, time, value, out, lam).
+    """Penalised smoother of every series: (keys, time, value, out, lam, settled) and the columns in ``carry``.
 
     NULL has weight 0 and gets a fitted value. With ``lam`` the penalty is fixed and symmetric; otherwise
     it is chosen per series on exponents lambda_min, +step … below lambda_max, with asymmetric weight
-    ``p`` (None for symmetric). Rows must already form a daily calendar. Series without any value stay NULL.
+    ``p`` (None for symmetric). Asymmetric weights are refined at most ``rounds`` times; ``settled`` tells
+    whether the last round changed nothing. Rows must already form a daily calendar. Series without any
+    value stay NULL. Only the values travel to Python.
     """
-    packed = as_arrays(df, keys, time, value)
+    packed = as_arrays(df, keys, time, value, carry)
     exponents = np.round(np.arange(lambda_min, lambda_max, step), 2)
 
-    def smooth(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            lengths = frame["values"].map(len).to_numpy()
-            result: list = [None] * len(frame)
-            used = np.full(len(frame), np.nan)
-            for n in np.unique(lengths):
-                rows = np.flatnonzero(lengths == n)
-                # Bounds the work array to about 25 million numbers however long the series are.
-                width = max(1, 1_000_000 // max(1, int(n)))
-                for s in range(0, len(rows), width):
-                    part = rows[s:s + width]
-                    y = np.stack([np.asarray(frame["values"].iloc[r], float) for r in part])
-                    w = (~np.isnan(y)).astype(float)
-                    y = np.where(w > 0, y, 0.0)
-                    if lam is not None:
-                        z, chosen = solve_smoother(y, w, np.full(len(part), float(lam))), np.full(len(part), float(lam))
-                    else:
-                        z, chosen = v_curve_smoother(y, w, exponents, p)
-                    for k, r in enumerate(part):
-                        known = w[k].any()
-                        result[r] = z[k] if known else np.full(int(n), np.nan)
-                        used[r] = chosen[k] if known else np.nan
-            frame["smoothed"] = result
-            frame["lam"] = used
-            yield frame
-
-    schema = StructType([*packed.schema.fields]).add("smoothed", ArrayType(DoubleType())).add("lam", DoubleType())
-    done = packed.mapInPandas(smooth, schema)
-    rows = done.select(*keys, "lam", F.inline(F.arrays_zip("times", "values", "smoothed")))
-    clean = F.nanvl(F.col("smoothed"), F.lit(None).cast("double"))
-    return rows.select(*keys, F.col("times").alias(time), F.nanvl(F.col("values"), F.lit(None).cast("double")).alias(value), clean.alias(out), "lam")
-
-
-def smooth_one_cell(df: DataFrame, lat: float, lon: float, year: int, **options) -> DataFrame:
-    """The smoother on one year of the nearest cell."""
-    from drygrid.operators.subset import nearest_cell
-
-    cell = nearest_cell(df, lat, lon).where(F.year(options.get("time", "time")) == year)
-    return whittaker(cell, **options)
+    @F.pandas_udf(SMOOTHED)
+    def smooth(values: pd.Series) -> pd.DataFrame:
+        lengths = values.map(len).to_numpy()
+        result: list = [None] * len(values)
+        used, fixed = np.full(len(values), np.nan), np.ones(len(values), dtype=bool)
+        for n in np.unique(lengths):
+            rows = np.flatnonzero(lengths == n)
+            # Bounds the work array to about 25 million numbers however long the series are.
+            width = max(1, 1_000_000 // max(1, int(n)))
+            for s in range(0, len(rows), width):
+                part = rows[s:s + width]
+                y = np.stack([np.asarray(values.iloc[r], float) for r in part])
+                w = (~np.isnan(y)).astype(float)
+                y = np.where(w > 0, y, 0.0)
+                if lam is not None:
+                    z, chosen, settled = solve_smoother(y, w, np.full(len(part), float(lam))), np.full(len(part), float(lam)), np.ones(len(part), bool)
+                else:
+                    z, chosen, settled = v_curve_smoother(y, w, exponents, p, rounds)
+                known = w.any(axis=1)
+                for k, r in enumerate(part):
+                    result[r] = z[k] if known[k] else np.full(int(n), np.nan)
+                used[part] = np.where(known, chosen, np.nan)
+                fixed[part] = settled | ~known
+        return pd.DataFrame({"smoothed": result, "lam": used, "settled": fixed})
+
+    done = packed.withColumn("_s", smooth("values"))
+    rows = done.select(*keys, F.col("_s.lam").alias("lam"), F.col("_s.settled").alias("settled"), F.inline(F.arrays_zip("times", "values", *carry, F.col("_s.smoothed").alias("smoothed"))))
+    null = F.lit(None).cast("double")
+    return rows.select(*keys, F.col("times").alias(time), F.nanvl("values", null).alias(value), F.nanvl("smoothed", null).alias(out), F.nanvl("lam", null).alias("lam"), "settled", *carry)
 
 
 # --- autocorrelation over all lags ---------------------------------------------------------------------
@@ -188,33 +187,28 @@ def lag_correlations(v: np.ndarray, nlags: int) -> np.ndarray:
     cross = np.fft.irfft(spectrum * np.conj(spectrum), size)[:n]
     first_bad = np.argmax(bad) if bad.any() else n
     last_bad = n - 1 - np.argmax(bad[::-1]) if bad.any() else -1
-    for k in range(1, min(nlags, n - 2) + 1):
-        m = n - k
-        if first_bad < m or last_bad >= k:
-            continue
-        sx, sy = head[m - 1], tail[m - 1]
-        vx, vy = head2[m - 1] - sx * sx / m, tail2[m - 1] - sy * sy / m
-        if vx > 1e-12 * max(1.0, head2[m - 1]) and vy > 1e-12 * max(1.0, tail2[m - 1]):
-            out[k - 1] = (cross[k] - sx * sy / m) / np.sqrt(vx * vy)
+    k = np.arange(1, min(nlags, n - 2) + 1)
+    m = n - k
+    sx, sy, sx2, sy2 = head[m - 1], tail[m - 1], head2[m - 1], tail2[m - 1]
+    vx, vy = sx2 - sx * sx / m, sy2 - sy * sy / m
+    good = (first_bad >= m) & (last_bad < k) & (vx > 1e-12 * np.maximum(1.0, sx2)) & (vy > 1e-12 * np.maximum(1.0, sy2))
+    at = k[good] - 1
+    out[at] = (cross[k[good]] - (sx * sy / m)[good]) / np.sqrt((vx * vy)[good])
     return out
 
 
 def full_autocorrelation(df: DataFrame, keys: Keys = CELL, time: str = "time", value: str = "value", nlags: int | None = None) -> DataFrame:
     """(keys, lead, r) for lags 1..nlags, by default every lag up to the series length minus 2.
 
-    Lag products come from one FFT per series, so no row pairs are formed.
+    Lag products come from one FFT per series, so no row pairs are formed. Only the values travel to Python.
     """
     packed = as_arrays(df, keys, time, value)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            frame["r"] = [
-                lag_correlations(np.asarray(v, float), max(len(v) - 2, 0) if nlags is None else nlags) for v in frame["values"]
-            ]
-            yield frame[[*keys, "r"]]
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def correlations(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: lag_correlations(np.asarray(v, float), max(len(v) - 2, 0) if nlags is None else nlags))
 
-    schema = StructType([packed.schema[k] for k in keys]).add("r", ArrayType(DoubleType()))
-    rows = packed.mapInPandas(run, schema).select(*keys, F.posexplode("r").alias("_k", "r"))
+    rows = packed.select(*keys, F.posexplode(correlations("values")).alias("_k", "r"))
     return rows.select(*keys, (F.col("_k") + 1).alias("lead"), F.nanvl(F.col("r"), F.lit(None).cast("double")).alias("r"))
 
 

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructType
+from pyspark.sql.types import ArrayType, DoubleType
 
 from drygrid.operators.align import swap_axes
 from drygrid.operators.common import CELL, Keys
@@ -109,20 +107,18 @@ def fill_nearest_in_space(
     lines = lines.select(F.col("_y").cast("double").alias("_y"), "_rows", *[F.col("_rows")[c].alias(c) for c in ("_x", "_v", "_cy", "_cv")])
     reach = np.inf if max_distance is None else float(max_distance)
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, v, cy, cv = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("_x", "_v", "_cy", "_cv"))
-            ends = np.concatenate([[0], np.cumsum(batch.column("_x").value_lengths().to_numpy(zero_copy_only=False))]).astype(int)
-            y = batch.column("_y").to_numpy(zero_copy_only=False)
-            out = v.astype(float, copy=True)
-            for i in range(batch.num_rows):
-                s = slice(ends[i], ends[i + 1])
-                out[s] = _fill_line(out[s], x[s], y[i], cy[s], cv[s], reach)
-            filled = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out, from_pandas=True))
-            yield pa.RecordBatch.from_arrays([batch.column("_rows"), filled], ["_rows", "_filled"])
-
-    schema = StructType([lines.schema["_rows"]]).add("_filled", ArrayType(DoubleType()))
-    done = lines.mapInArrow(fill, schema).select(F.inline(F.arrays_zip("_rows", "_filled")))
+    @F.arrow_udf(ArrayType(DoubleType()))
+    def fill(y: pa.Array, x: pa.Array, v: pa.Array, cy: pa.Array, cv: pa.Array) -> pa.Array:
+        ends = np.concatenate([[0], np.cumsum(x.value_lengths().to_numpy(zero_copy_only=False))]).astype(int)
+        y = y.to_numpy(zero_copy_only=False)
+        x, v, cy, cv = (c.flatten().to_numpy(zero_copy_only=False) for c in (x, v, cy, cv))
+        out = v.astype(float, copy=True)
+        for i in range(len(y)):
+            s = slice(ends[i], ends[i + 1])
+            out[s] = _fill_line(out[s], x[s], y[i], cy[s], cv[s], reach)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out, from_pandas=True))
+
+    done = lines.select("_rows", fill("_y", "_x", "_v", "_cy", "_cv").alias("_filled")).select(F.inline(F.arrays_zip("_rows", "_filled")))
     return done.select(*[F.col("_filled").alias(c) if c == value else F.col("_rows")[c].alias(c) for c in df.columns])
 
 

@@ -35,8 +35,7 @@ def smoothed_ndvi(
     ndvi = ndvi_from_reflectance(scenes, keys=keys).select(*keys, "time", "ndvi")
     clear = apply_cloud_mask(ndvi, mask, ["ndvi"], keys)
     daily = gap_streaks(fill_calendar(clear, keys, values=["ndvi"]), keys, value="ndvi")
-    smooth = whittaker(daily.select(*keys, "time", "ndvi"), keys, value="ndvi", lam=lam, **smoother)
-    out = daily.select(*keys, "time", "streaks", "quality_flag").join(smooth, [*keys, "time"])
+    out = whittaker(daily, keys, value="ndvi", lam=lam, carry=("streaks", "quality_flag"), **smoother)
     if max_gap is not None:
         out = out.withColumn("smoothed", drop_long_gaps(F.col("smoothed"), F.col("quality_flag"), max_gap))
     return out
