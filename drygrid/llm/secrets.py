@@ -16,7 +16,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from drygrid.llm.common import TAG, null_safe, row_tag
+from drygrid.llm.common import TAG, null_safe, row_tag, written
 
 #: Kinds in the order in which equal starts are listed: name, pattern, group whose value is judged. Fixed values.
 KINDS = (
@@ -74,6 +74,7 @@ def find_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", reach:
         "_key", TAG, "kind", (F.col("end") - F.col("size")).alias("start"), "end")
     breaks = F.sum((F.col("kind") == len(KINDS) - 1).cast("long")).over(Window.partitionBy("_key", TAG).orderBy("start", "kind"))
     spans = placed.withColumn("scope", breaks).filter(F.col("kind") < len(KINDS) - 1).withColumn("role", _role(F.col("kind"), F.col("end") - F.col("start")))
+    spans = written(spans)  # small, and texts are scanned once
 
     bucket = F.floor(F.col("start") / reach)
     offers = spans.filter("role is not null").select(
