@@ -173,7 +173,8 @@ def substring_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     spans = _spans(rows, docs.schema[key].dataType.simpleString(), window)
     release(docs.sparkSession)
     asked = spans.filter("counted")
-    repeated = asked.select("_key", TAG, "hash", "begin").join(asked.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"), "hash")
+    twice = written(asked.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"))
+    repeated = asked.select("_key", TAG, "hash", "begin").join(twice, "hash")
     covered = (
         repeated.select("_key", TAG, "begin", (F.col("begin") + window).alias("end")).unionByName(spans.filter("not counted").select("_key", TAG, "begin", "end"))
         .groupBy("_key", TAG).agg(F.collect_set(F.struct("begin", "end")).alias("_spans"))
@@ -200,7 +201,8 @@ def _spans(rows: DataFrame, key_type: str, window: int) -> DataFrame:
 
     # a tag shared by two texts would only add names here; spans below name their rows by key and tag
     found = written(rows.select(TAG, "_text").mapInArrow(symbols, f"{TAG} long, name long"))
-    twice = found.groupBy("name").agg(F.count("*").alias("n"), F.min(TAG).alias("owner")).filter("n > 1")
+    # counts are written before they are joined: a join of two plain shuffles can be split where a name is very frequent
+    twice = written(found.groupBy("name").agg(F.count("*").alias("n"), F.min(TAG).alias("owner")).filter("n > 1"))
     shared = (
         found.join(twice, "name").select(TAG, F.struct("name", "n", (F.col(TAG) == F.col("owner")).alias("own")).alias("s"))
         .groupBy(TAG).agg(F.collect_set("s").alias("names"))
