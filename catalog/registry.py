@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from drygrid.operators.temporal import fill_calendar
 
-FAMILIES = ("columns", "selection", "alignment", "resampling", "drought", "verification", "graphs", "training", "records", "workflows")
+FAMILIES = ("columns", "selection", "alignment", "resampling", "drought", "verification", "graphs", "training", "records", "workflows", "stores")
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}

@@ -73,7 +73,7 @@ def load_arrays(
 
 
 def hourly_reanalysis(spark: SparkSession, path: str, variables: Sequence[str], start, end, lon: tuple[float, float], lat: tuple[float, float]) -> DataFrame:
-    """Hourly scan with one day more at the end, so the shifted last day is complete."""
+    """Hourly scan up to the first hour of the day after ``end``, so the last day is complete after the shift of accumulations."""
     last = str(date.fromisoformat(str(end)[:10]) + timedelta(days=1))
     return load_arrays(spark, path, variables, start, last, lon, lat)
 
