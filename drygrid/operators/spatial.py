@@ -25,19 +25,22 @@ def polygon_edges(rings: DataFrame, region: str = "region") -> DataFrame:
 def assign_region(cells: DataFrame, edges: DataFrame, region: str = "region", keys: Keys = CELL, band: float = 1.0) -> DataFrame:
     """(keys, region) for every cell centre inside a region, by ray casting.
 
-    Cells and edges meet on an integer latitude band, an equi-join; each edge enters only the bands it
-    spans. A cell is inside when a ray to the east crosses an odd number of edges. Edges are half open
-    in latitude, so a vertex counts once. ``cells`` are distinct cells, not rows of a series.
+    Only the distinct latitudes of the cells meet the edges, on integer latitude bands (an equi-join; each edge enters the bands it
+    spans), and leave one array of crossing longitudes per region and latitude. Cells join these arrays on their latitude: a cell is
+    inside when a ray to the east crosses an odd number of edges. So rows grow with cells times the regions at their latitude, never
+    with cells times edges. Edges are half open in latitude, so a vertex counts once. ``cells`` are distinct cells, not rows of a series.
     """
     step = F.lit(float(band))
-    points = cells.select(*keys, "lat", "lon").distinct().withColumn("_b", F.floor(F.col("lat") / step))
+    points = cells.select(*keys, "lat", "lon").distinct()
+    rows = points.select("lat").distinct().withColumn("_b", F.floor(F.col("lat") / step))
     spans = edges.where("lat1 <> lat2").withColumn(
         "_b", F.explode(F.sequence(F.floor(F.least("lat1", "lat2") / step), F.floor(F.greatest("lat1", "lat2") / step)))
     )
-    cross_lon = F.col("lon1") + (F.col("lat") - F.col("lat1")) * (F.col("lon2") - F.col("lon1")) / (F.col("lat2") - F.col("lat1"))
-    crosses = ((F.col("lat1") <= F.col("lat")) != (F.col("lat2") <= F.col("lat"))) & (F.col("lon") < cross_lon)
-    hits = points.join(spans.select(region, "lat1", "lon1", "lat2", "lon2", "_b"), "_b").where(crosses)
-    return hits.groupBy(*keys, region).agg((F.count(F.lit(1)) % 2).alias("_odd")).where("_odd = 1").select(*keys, region)
+    crosses = (F.col("lat1") <= F.col("lat")) != (F.col("lat2") <= F.col("lat"))
+    at = F.col("lon1") + (F.col("lat") - F.col("lat1")) * (F.col("lon2") - F.col("lon1")) / (F.col("lat2") - F.col("lat1"))
+    crossings = rows.join(spans.select(region, "lat1", "lon1", "lat2", "lon2", "_b"), "_b").where(crosses).groupBy(region, "lat").agg(F.collect_list(at).alias("_x"))
+    inside = F.size(F.filter("_x", lambda x: x > F.col("lon"))) % 2 == 1
+    return points.join(crossings, "lat").where(inside).select(*keys, region)
 
 
 def clip_to_regions(

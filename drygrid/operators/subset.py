@@ -149,7 +149,7 @@ def random_cells(df: DataFrame, n: int, seed: int = 42, keys: Keys = CELL, value
     """n distinct cells in a seeded hash order, the same on every run; too few cells is an error."""
     source = df if value is None else df.where(F.col(value).isNotNull())
     cells = source.select(*keys).distinct()
-    picked = cells.orderBy(F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)), *keys).limit(n)
+    picked = cells.orderBy(F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))).cast("binary")), *keys).limit(n)
     if check and picked.count() < n:
         raise ValueError(f"fewer than {n} valid cells")
     return picked
