@@ -37,32 +37,24 @@ def merge_variables(*cubes: DataFrame, keys: Keys = CELL, time: str | None = "ti
 def common_period(a: DataFrame, b: DataFrame, time: str = "time", strict: bool = True) -> tuple[DataFrame, DataFrame]:
     """Both tables cut to their common date range.
 
-    ``strict`` fails if a day of the range is missing on either side. Without it, tables that do not
+    The range is a scalar subquery, so no job runs while the plan is built. ``strict`` checks at once that
+    no day of the range is missing on either side and fails otherwise. Without it, tables that do not
     overlap come back unchanged.
     """
+    def ends(df: DataFrame) -> Column:
+        return df.agg(F.struct(F.to_date(F.min(time)).alias("first"), F.to_date(F.max(time)).alias("last")).alias("_v")).scalar()
 
-    def ends(df: DataFrame, side: str) -> DataFrame:
-        return df.agg(F.to_date(F.min(time)).alias(f"{side}0"), F.to_date(F.max(time)).alias(f"{side}1"))
-
-    both = ends(a, "a").withColumn("b", ends(b, "b").select(F.struct("b0", "b1")).scalar())
-    row = both.select(F.greatest("a0", "b.b0").alias("start"), F.least("a1", "b.b1").alias("end")).first()
-    start, end = row["start"], row["end"]
-    if start is None or end is None or start > end:
-        if strict:
-            raise ValueError("the two tables share no dates")
-        return a, b
-
-    def cut(df: DataFrame) -> DataFrame:
-        return df.where(F.to_date(time).between(F.lit(start), F.lit(end)))
-
-    cut_a, cut_b = cut(a), cut(b)
+    one, other = ends(a), ends(b)
+    start, end = F.greatest(one["first"], other["first"]), F.least(one["last"], other["last"])
     if strict:
-        expected = (end - start).days + 1
-        for side in (cut_a, cut_b):
-            days = side.agg(F.count_distinct(F.to_date(time)).alias("n")).first()["n"]
-            if days != expected:
-                raise ValueError(f"{expected - days} days of the common range are missing")
-    return cut_a, cut_b
+        days = [df.where(F.to_date(time).between(start, end)).agg(F.count_distinct(F.to_date(time)).alias("_v")).scalar() for df in (a, b)]
+        row = a.sparkSession.range(1).select((F.date_diff(end, start) + 1).alias("expected"), days[0].alias("a"), days[1].alias("b")).first()
+        if row.expected is None or row.expected < 1:
+            raise ValueError("the two tables share no dates")
+        if missing := row.expected - min(row.a, row.b):
+            raise ValueError(f"{missing} days of the common range are missing")
+    apart = F.coalesce(one["first"].isNull() | other["first"].isNull() | (start > end), F.lit(True))
+    return tuple(df.where(apart | F.to_date(time).between(start, end)) for df in (a, b))
 
 
 def repeat_over_time(df: DataFrame, layer: DataFrame, keys: Keys = CELL) -> DataFrame:
@@ -116,12 +108,14 @@ def append_array(features: DataFrame, extra: DataFrame, on: Sequence[str], into:
 
 def rename_axes(df: DataFrame) -> DataFrame:
     """longitude/x/X to ``lon`` and latitude/y/Y to ``lat``; projection columns dropped."""
+    # Axis names in input files.
     names = {"longitude": "lon", "x": "lon", "X": "lon", "latitude": "lat", "y": "lat", "Y": "lat"}
     return df.withColumnsRenamed({k: v for k, v in names.items() if k in df.columns}).drop("crs", "spatial_ref")
 
 
 def axis_name(df: DataFrame, axis: str) -> str | None:
     """First column that can be the latitude or longitude axis."""
+    # Axis names in input files.
     options = {"lon": ("lon", "longitude", "x", "X"), "lat": ("lat", "latitude", "y", "Y")}[axis]
     return next((c for c in options if c in df.columns), None)
 
@@ -133,6 +127,7 @@ def swap_axes(df: DataFrame) -> DataFrame:
 
 def reanalysis_names(df: DataFrame, time: str = "time") -> DataFrame:
     """Land reanalysis: dates one day later and plain variable names."""
+    # Variable names of the reanalysis files.
     names = {"pev": "potential_evaporation", "e": "evaporation", "t2m": "2m_temperature", "tp": "total_precipitation"}
     return df.withColumn(time, F.date_add(time, 1)).withColumnsRenamed({k: v for k, v in names.items() if k in df.columns})
 

@@ -175,6 +175,7 @@ def contingency(df: DataFrame, observed: str, forecast: str, by: Sequence[str] =
     )
 
 
+# Names of the scores in result tables.
 SCORES = {
     "accuracy_m": "accuracy", "far_m": "false_alarm_rate", "pod_m": "hit_rate", "rmse_m": "rmse", "mse_m": "mse", "bias_m": "bias_score",
 }
