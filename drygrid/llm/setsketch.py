@@ -112,7 +112,8 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, text: str = "text", ke
 
     band = F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("registers", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(BANDS)])).alias("bucket")
     entries = nodes.filter("id is not null").select("id", "n", band)
-    leaders = entries.groupBy("bucket").agg(F.min("id").alias("leader"), F.count("*").alias("size")).filter("size > 1").drop("size")
+    # written before it is joined: a join of two plain shuffles can be split where a bucket is very large
+    leaders = written(entries.groupBy("bucket").agg(F.min("id").alias("leader"), F.count("*").alias("size")).filter("size > 1").drop("size"))
     crowded = written(entries.join(leaders, "bucket"))
     first = _verified(rows, nodes, crowded.filter("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")), threshold)
     links = written(first)
