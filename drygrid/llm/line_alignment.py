@@ -121,18 +121,19 @@ def _aligned(least_words: int):
 def _removed(rows: DataFrame, kind: str, rare: int, least_words: int) -> DataFrame:
     """Key, tag and the places of the lines that go, as a written table."""
     lines = written(rows.filter("_key is not null").mapInArrow(_lines, f"_key {kind}, {TAG} long, place int, line long, pair long, words int"))
-    counts = lines.groupBy("line").agg(F.count("*").alias("n")).filter("n > 1")
+    # aggregates are written before they are joined: a join of two plain shuffles can be split where a line is very frequent
+    counts = written(lines.groupBy("line").agg(F.count("*").alias("n")).filter("n > 1"))
     evidence = F.when(F.col("n") <= rare, F.col("line")).otherwise(F.col("pair"))
     shared = written(lines.join(counts, "line").select("_key", TAG, "place", "line", "words", evidence.alias("evidence")))
-    leads = shared.filter(F.col("words") >= EVIDENCE_WORDS).groupBy("evidence").agg(F.min(F.struct("_key", TAG)).alias("lead"), F.count("*").alias("m")).filter("m > 1").drop("m")
+    leads = written(shared.filter(F.col("words") >= EVIDENCE_WORDS).groupBy("evidence").agg(F.min(F.struct("_key", TAG)).alias("lead"), F.count("*").alias("m")).filter("m > 1").drop("m"))
     found = shared.filter(F.col("words") >= EVIDENCE_WORDS).join(leads, "evidence").filter(F.col("lead._key") < F.col("_key"))
     pairs = written(found.select("_key", TAG, F.col("lead._key").alias("l_key"), F.col(f"lead.{TAG}").alias("l_tag")).distinct())
     places = written(shared.groupBy("_key", TAG, "line").agg(F.array_sort(F.collect_set("place")).alias("here"), F.first("words").alias("words")))
     there = places.select(F.col("_key").alias("l_key"), F.col(TAG).alias("l_tag"), "line", F.col("here").alias("there"))
     common = pairs.join(places, ["_key", TAG]).join(there, ["l_key", "l_tag", "line"])
     aligned = common.groupBy("_key", TAG, "l_key", "l_tag").agg(F.collect_list(F.struct("line", "here", "there", "words")).alias("common"))
-    gone = aligned.select("_key", TAG, _aligned(least_words)("common").alias("gone")).filter(F.size("gone") > 0)
-    return written(gone.groupBy("_key", TAG).agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")))
+    gone = aligned.select("_key", TAG, _aligned(least_words)("common").alias("_gone")).filter(F.size("_gone") > 0)
+    return written(gone.groupBy("_key", TAG).agg(F.array_distinct(F.flatten(F.collect_list("_gone"))).alias("_gone")))
 
 
 @F.arrow_udf(T.StructType([T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]))
@@ -166,7 +167,7 @@ def line_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", rare: i
     gone = _removed(rows, docs.schema[key].dataType.simpleString(), rare, least_words)
     release(docs.sparkSession)
     tagged = docs.select(*columns).withColumn("_key", F.col(key)).withColumn(TAG, row_tag(text))
-    out = null_safe(tagged, gone, ("_key", TAG)).withColumn("_cut", _without(F.col(text), F.col("gone")))
+    out = null_safe(tagged, gone, ("_key", TAG)).withColumn("_cut", _without(F.col(text), F.col("_gone")))
     return out.select(*[F.col("_cut.kept").alias(c) if c == text else F.col(c) for c in columns], "_cut.n_lines", "_cut.n_removed")
 
 
