@@ -75,13 +75,13 @@ fit AS (SELECT *, (1 + SQRT(1 + 4 * a / 3)) / (4 * a) AS shape FROM a)"""
 
 @query("spi_gamma_fit", f"""WITH {GAMMA} SELECT cell_id, time, ROUND(pr, 6) AS pr, ROUND(prob_zero, 6) AS prob_zero, ROUND(1 / shape, 6) AS inverse_shape, ROUND(m / shape, 6) AS scale FROM fit""")
 def spi_gamma_fit(t):
-    fit = sp.gamma_parameters(t.filled(fill=0.0), 30)
+    fit = sp.gamma_parameters(t.filled(fill=0.0), 30, method="APP")
     return fit.select("cell_id", "time", r6("pr"), r6("prob_zero"), r6(1 / F.col("shape"), "inverse_shape"), r6("scale"))
 
 
 @query("standardised_precipitation")
 def standardised_precipitation(t):
-    return sp.spi(t.filled(fill=0.0), 30).select("cell_id", "time", r6("pr"), r6("spi"))
+    return sp.spi(t.filled(fill=0.0), 30, method="APP").select("cell_id", "time", r6("pr"), r6("spi"))
 
 
 @query("spi_by_maximum_likelihood")

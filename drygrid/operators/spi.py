@@ -13,13 +13,13 @@ SPI_LIMIT = 8.21
 
 
 def gamma_parameters(
-    df: DataFrame, window: int = 90, keys: Keys = CELL, time: str = "time", value: str = "value", method: str = "APP"
+    df: DataFrame, window: int = 90, keys: Keys = CELL, time: str = "time", value: str = "value", method: str = "ML"
 ) -> DataFrame:
     """Rolling mean ``pr`` with the gamma fit of its day of year: ``prob_zero``, ``shape``, ``scale``.
 
     The fit needs only mean(x) and mean(ln x) of the positive values, so it is a window aggregate over
-    (series, day of year) that reuses the partitioning of the rolling mean. ``APP`` is the closed form,
-    ``ML`` adds four generalised Newton steps towards the maximum likelihood shape.
+    (series, day of year) that reuses the partitioning of the rolling mean. ``ML`` takes four generalised
+    Newton steps from the closed form to the maximum likelihood shape, ``APP`` is the closed form alone.
     """
     if method not in ("APP", "ML"):
         raise ValueError("method must be 'APP' or 'ML'")
@@ -43,7 +43,7 @@ def gamma_parameters(
 
 
 def spi(
-    df: DataFrame, window: int = 90, keys: Keys = CELL, time: str = "time", value: str = "value", method: str = "APP"
+    df: DataFrame, window: int = 90, keys: Keys = CELL, time: str = "time", value: str = "value", method: str = "ML"
 ) -> DataFrame:
     """Add ``spi``: the normal quantile of p0 + (1 - p0) G(x), NULL until the window is full."""
     fitted = gamma_parameters(df, window, keys, time, value, method)
