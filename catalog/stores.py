@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,7 +21,7 @@ def scratch(t, name: str) -> str:
     """A new folder all executors reach: below ``spark.checkpoint.dir``; only a local session without it gets one of its own."""
     folder = t.spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not t.spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local(\[|$)", t.spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
         folder = tempfile.mkdtemp(prefix="stores-")
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
