@@ -7,6 +7,7 @@ run of bytes other than space and the control bytes 9 to 13, the same in UTF-8 a
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -19,7 +20,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Bytes of text handled at once inside a task; a longer document is handled alone, word by word in pieces of this size.
 PIECE = (1 << 20) - 1
+BATCH_ROWS = 1000
 TAG = "_row_tag"
+_BATCH_LIMIT = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _ROOT = 0x9E3779B97F4A7C15  # odd, so powers have inverses modulo 2**64
 _ROOT_INVERSE = pow(_ROOT, -1, 1 << 64)
 
@@ -173,7 +176,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder all executors reach: ``spark.checkpoint.dir``; only a local session without it gets one of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
         folder = tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -187,6 +190,15 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def lean(spark: SparkSession) -> None:
+    """Send texts to the workers ``BATCH_ROWS`` at a time, not Spark's default of 10,000, so batches stay small beside the heap.
+
+    A session that sets the number itself keeps its own. Results don't depend on it.
+    """
+    if spark.conf.get(_BATCH_LIMIT) == "10000":
+        spark.conf.set(_BATCH_LIMIT, str(BATCH_ROWS))
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of finished steps; it acts when the driver collects its garbage.
 

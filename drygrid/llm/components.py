@@ -33,4 +33,5 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         seen = state
         edges = written(_star(_star(edges, larger=True), larger=False))
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
+    both = edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")))
+    return written(both.distinct())

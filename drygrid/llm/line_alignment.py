@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from drygrid.llm.common import TAG, Prefix, find_words, mix, null_safe, pieces, release, row_tag, written
+from drygrid.llm.common import TAG, Prefix, find_words, lean, mix, null_safe, pieces, release, row_tag, written
 
 RARE, EVIDENCE_WORDS, LEAST_WORDS = 100, 5, 10
 
@@ -162,6 +162,7 @@ def line_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", rare: i
     with each other, repeated rows share their result. A document all of whose lines go keeps its row, with an empty text.
     Columns of ``docs`` called ``n_lines`` or ``n_removed`` are replaced. Empty tables give no rows.
     """
+    lean(docs.sparkSession)
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     rows = docs.select(F.col(key).alias("_key"), row_tag(text).alias(TAG), F.col(text).alias("_text"))
     gone = _removed(rows, docs.schema[key].dataType.simpleString(), rare, least_words)

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from drygrid.llm.common import TAG, Prefix, Words, find_words, mix, null_safe, pieces, release, row_tag, written
+from drygrid.llm.common import TAG, Prefix, Words, find_words, lean, mix, null_safe, pieces, release, row_tag, written
 
 WINDOW = 35
 LEVELS = 3  # rounds whose symbols stand for windows
@@ -169,13 +169,14 @@ def substring_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     alike in key and text share their result and count as repeats of each other. Empty tables give no rows. Columns of ``docs``
     with the same names as those added are replaced.
     """
+    lean(docs.sparkSession)
     rows = docs.select(F.col(key).alias("_key"), row_tag(text).alias(TAG), F.col(text).alias("_text"))
     spans = _spans(rows, docs.schema[key].dataType.simpleString(), window)
     release(docs.sparkSession)
     asked = spans.filter("counted")
     twice = written(asked.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"))
     repeated = asked.select("_key", TAG, "hash", "begin").join(twice, "hash")
-    covered = (
+    covered = written(
         repeated.select("_key", TAG, "begin", (F.col("begin") + window).alias("end")).unionByName(spans.filter("not counted").select("_key", TAG, "begin", "end"))
         .groupBy("_key", TAG).agg(F.collect_set(F.struct("begin", "end")).alias("_spans"))
     )
@@ -203,10 +204,12 @@ def _spans(rows: DataFrame, key_type: str, window: int) -> DataFrame:
     found = written(rows.select(TAG, "_text").mapInArrow(symbols, f"{TAG} long, name long"))
     # counts are written before they are joined: a join of two plain shuffles can be split where a name is very frequent
     twice = written(found.groupBy("name").agg(F.count("*").alias("n"), F.min(TAG).alias("owner")).filter("n > 1"))
-    shared = (
+    # written as well: texts are joined by tag, and a third of them may be the same
+    shared = written(
         found.join(twice, "name").select(TAG, F.struct("name", "n", (F.col(TAG) == F.col("owner")).alias("own")).alias("s"))
         .groupBy(TAG).agg(F.collect_set("s").alias("names"))
     )
+    release(rows.sparkSession)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows_, data, offsets in pieces(batches, "_text"):

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from drygrid.llm.common import TAG, distinct_per_document, find_words, lists, mix, pieces, row_tag, shingles, written
+from drygrid.llm.common import TAG, distinct_per_document, find_words, lean, lists, mix, pieces, row_tag, shingles, written
 from drygrid.llm.components import components
 
 WORDS, BANDS, ROWS = 5, 32, 6
@@ -104,6 +104,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, text: str = "text", ke
     a NULL key joins its component but never names one; alone, its component is NULL. Repeated rows share their result; two texts
     under one key are one node where that key stands for both. Thresholds of 80 and more keep the stated recall.
     """
+    lean(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("doc_id"), row_tag(text).alias(TAG), F.col(text).alias("text"))
     found = written(rows.mapInArrow(_sketch, f"doc_id {kind}, {TAG} long, n long, h1 long, h2 long, registers binary"))
