@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from drygrid.llm.common import distinct_per_document, find_words, mix, pieces, shingles, text_bytes
+from drygrid.llm.common import distinct_per_document, find_words, lean, mix, pieces, shingles, text_bytes
 
 WORDS, HASHES, CONTAINED = 5, 64, 80
 BLOCK_ITEMS, BLOCK_CHARS = 4096, 16 << 20
@@ -113,6 +113,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", key
     Words are lower-cased (A-Z) runs of non-space, shingles have five words, shorter texts are one shingle. NULL and empty texts and
     items match nothing; repeated documents give repeated rows, items repeated under one key count once. Empty tables give no rows.
     """
+    lean(docs.sparkSession)
     kind, item_kind = docs.schema[key].dataType.simpleString(), benchmark.schema[item_key].dataType.simpleString()
     schema = f"`{key}` {kind}, `{item_key}` {item_kind}, n_item long, n_shared long, containment double"
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
@@ -140,6 +141,7 @@ def _search(docs: DataFrame, items: list[tuple], threshold: int, item_type):
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_key: str = "item_id", threshold: int = CONTAINED) -> DataFrame:
     """The rows of ``docs`` (same columns) that contain no benchmark item. Rows are filtered where they lie."""
+    lean(docs.sparkSession)
     schema = docs.schema
     for items in _blocks(benchmark, item_text, item_key):
         shared = docs.sparkSession.sparkContext.broadcast(items)

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from drygrid.llm.common import find_words, mix, pieces, row_tag, written
+from drygrid.llm.common import find_words, lean, mix, pieces, row_tag, written
 
 BUCKETS, FACTORS, WORD_SCALE = 1 << 14, 6, 8.0
 SAMPLE, WORKERS, ROUNDS, PASSES, BATCH, RATE, DECAY = 16384, 4, 6, 2, 32, 0.08, 1e-5
@@ -147,6 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str =
 
     ``sample`` bounds what is learnt from, never what is scored. Without any usable label the machine scores every document alike.
     """
+    lean(docs.sparkSession)
     known = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("_id")).agg(F.min(label).alias("_label"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)  # at most `sample` rows: small enough to broadcast
     plain = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), _chars(docs, metadata).alias("_chars"), row_tag(text).alias("_tag"))
@@ -155,11 +156,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in pieces(batches, "_text"):
             number, value, first = features(data, offsets, _metadata(batch, 1))
-            cuts = pa.array(first.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(4), batch.column(3).cast(pa.int32()), pa.ListArray.from_arrays(cuts, pa.array(number.astype(np.int32))), pa.ListArray.from_arrays(cuts, pa.array(value))],
-                                             names=["id", "tag", "label", "number", "value"])
+            numbers = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(number.astype(np.int32)))
+            # a row's words come first and weigh the same, its statistics weigh 1
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(4), batch.column(3).cast(pa.int32()), numbers, pa.array(value[first[:-1]])],
+                                             names=["id", "tag", "label", "number", "weight"])
 
-    data = rows.mapInArrow(run, "id string, tag long, label int, number array<int>, value array<double>").dropDuplicates(["id"])
+    data = rows.mapInArrow(run, "id string, tag long, label int, number array<int>, weight double").dropDuplicates(["id"])
     data = written(data.withColumn("worker", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(WORKERS))))
     machine = Machine.fresh()
     for number in range(ROUNDS):
@@ -168,7 +170,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str =
         def learn(table: pa.Table) -> pa.Table:
             table = table.sort_by([("id", "ascending")])
             own = Machine.unpack(start)
-            rows_ = [(np.array(a.values), np.array(b.values)) for a, b in zip(table.column("number").combine_chunks(), table.column("value").combine_chunks())]
+            numbers = [a.values.to_numpy() for a in table.column("number").combine_chunks()]
+            values = [np.append(np.full(len(a) - len(STATISTICS), w), np.ones(len(STATISTICS))) for a, w in zip(numbers, table.column("weight").to_pylist())]
+            rows_ = list(zip(numbers, values))
             own.learn(rows_, table.column("label").to_numpy().astype(float), turn)
             return pa.table({"n": pa.array([len(rows_)], pa.int64()), "parameters": pa.array([own.pack()], pa.binary())})
 
@@ -184,6 +188,7 @@ def score(docs: DataFrame, machine: Machine, text: str = "text", metadata: str =
 
     A column ``out`` of ``docs`` is replaced; any other columns pass through. Empty tables give no rows.
     """
+    lean(docs.sparkSession)
     columns = [c for c in docs.columns if c != out]
     packed = docs.sparkSession.sparkContext.broadcast(machine.pack())
 

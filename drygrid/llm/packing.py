@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from drygrid.llm.common import written
+from drygrid.llm.common import lean, written
 
 CAPACITY, END = 1024, 2
 SHARD, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 16384, 3, 3, 5, 4
@@ -196,6 +196,7 @@ _ISLAND = pa.schema([("shard", pa.int64()), ("island", pa.int32()), ("sizes", pa
 def tokenised(docs: DataFrame, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, end: int = END, tokenizer: str | None = None,
               ranks: str | None = None, with_ids: bool = False) -> DataFrame:
     """Per row of ``docs``: key, ``n`` (ids with the end id), ``crcs`` (CRC-32 of each piece's ids) and, if wanted, ``ids`` of each piece."""
+    lean(docs.sparkSession)
     if tokenizer is None:
         tokenizer, ranks = vocabulary()
     kind = docs.schema[key].dataType.simpleString()

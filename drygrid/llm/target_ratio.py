@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from drygrid.llm.common import Prefix, Words, find_words, mix, pieces
+from drygrid.llm.common import Prefix, Words, find_words, lean, mix, pieces
 
 SLOTS = 1 << 17  # half for words, half for pairs
 TRUSTED = 16384
@@ -43,6 +43,7 @@ def trusted_keys(labels: DataFrame, key: str = "doc_id", label: str = "quality",
 
 def log_ratio(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id") -> np.ndarray:
     """Centred log ratio of every slot (``SLOTS`` numbers) from counts over all of ``docs``; ``trusted`` (``_id``) is a bounded list of keys."""
+    lean(docs.sparkSession)
     marked = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(trusted.withColumn("_good", F.lit(True))), F.col("_key") == F.col("_id"), "left")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,6 +118,7 @@ def judged(docs: DataFrame, ratio: np.ndarray, text: str = "text", limit: float
     NULL and empty texts have no words, score 0 and fail the base rules. Repeated rows get the same result. Columns of ``docs`` with
     the names of added ones are replaced; empty tables give no rows.
     """
+    lean(docs.sparkSession)
     columns = [c for c in docs.columns if c not in MEASURES]
     table = docs.sparkSession.sparkContext.broadcast(ratio)
 
