@@ -74,7 +74,8 @@ def distance_adjacency(nodes: DataFrame, node: str = "cell_id", cutoff: float =
     """Edges w = exp(-(d / sigma)^2) over geodesic km, w < cutoff removed, self loops 1.
 
     sigma is the population standard deviation of all n^2 distances, zeros on the diagonal included. It
-    comes from sums per block pair, so no distance is stored; the second pass emits only kept edges.
+    comes from sums per block pair in a scalar subquery, so no distance is stored and no distance job runs
+    while the plan is built; the second pass emits only kept edges.
     """
     points = nodes.select(F.col(node).cast("long").alias("id"), F.array(F.col("lat").cast("double"), F.col("lon").cast("double")).alias("v"))
     pairs = _block_pairs(points, "id", "v", block)
@@ -84,22 +85,24 @@ def distance_adjacency(nodes: DataFrame, node: str = "cell_id", cutoff: float =
             kept = d[once]
             yield pd.DataFrame({"s": [kept.sum()], "q": [(kept**2).sum()], "n": [kept.size]})
 
-    total = pairs.mapInPandas(moments, "s double, q double, n long").agg(F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum("n").alias("n")).first()
-    half = total["n"]
-    count = half * 2 + int((1 + math.isqrt(1 + 8 * half)) // 2)
-    mean = 2 * total["s"] / count
-    sigma = math.sqrt(max(2 * total["q"] / count - mean * mean, 0.0))
+    sums = pairs.mapInPandas(moments, "s double, q double, n long").agg(*[F.sum(c).cast("double").alias(c) for c in "sqn"])
+    # n pairs stem from (1 + sqrt(1 + 8 n)) / 2 nodes; all ordered pairs and the diagonal count.
+    cells = F.col("n") * 2 + F.floor((1 + F.sqrt(1 + 8 * F.col("n"))) / 2)
+    mean = 2 * F.col("s") / cells
+    sigma = sums.select(F.sqrt(F.greatest(2 * F.col("q") / cells - mean * mean, F.lit(0.0))).alias("_sigma")).scalar()
 
     def kept(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for ids_a, ids_b, d, once in _each_block(frames, "geodesic"):
-            w = np.exp(-((d / sigma) ** 2))
-            x, y = np.nonzero(once & (w >= cutoff))
-            yield pd.DataFrame({"src": ids_a[x], "dst": ids_b[y], "w": w[x, y]})
+        for frame in frames:
+            scale = frame["_sigma"].iloc[0] if len(frame) else 0.0
+            if not scale > 0:
+                continue
+            for ids_a, ids_b, d, once in _each_block([frame.drop(columns="_sigma")], "geodesic"):
+                w = np.exp(-((d / scale) ** 2))
+                x, y = np.nonzero(once & (w >= cutoff))
+                yield pd.DataFrame({"src": ids_a[x], "dst": ids_b[y], "w": w[x, y]})
 
     loops = points.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("w"))
-    if sigma == 0:
-        return loops
-    return _both_ways(pairs.mapInPandas(kept, "src long, dst long, w double")).unionByName(loops)
+    return _both_ways(pairs.withColumn("_sigma", sigma).mapInPandas(kept, "src long, dst long, w double")).unionByName(loops)
 
 
 def _prepared(vectors: DataFrame, node: str, vector: str, measure: str) -> tuple[DataFrame, str, float]:
