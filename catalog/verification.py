@@ -252,7 +252,16 @@ def lag_correlation_backwards(t):
     return vf.lag_correlation(t.cube(), "value", "value2", -3).select("cell_id", r6("r"), "n")
 
 
-@query("lag_correlation_significance")
+# Student's t by its finite sum over cos^2 = 1 - r^2: odd degrees of freedom start from the angle, even ones from 1.
+P_VALUE = """WITH {cube}, p AS (SELECT cell_id, value AS x, LEAD(value2, 1) OVER (PARTITION BY cell_id ORDER BY time) AS y FROM cube),
+ c AS (SELECT cell_id, CORR(x, y) AS r, COUNT(y) AS n FROM p WHERE y IS NOT NULL GROUP BY 1), d AS (SELECT *, n - 2 AS v, LN(SQRT(1 - r * r)) AS lc FROM c),
+ a AS (SELECT *, CASE WHEN v % 2 = 1
+   THEN 2 / PI() * (ASIN(ABS(r)) + ABS(r) * COALESCE(list_sum(list_transform(range(0, (v - 1) // 2), lambda k: EXP(LGAMMA(k + 1) - LGAMMA(k + 1.5::DOUBLE) + LN(SQRT(PI()) / 2) + (2 * k + 1) * lc))), 0))
+   ELSE ABS(r) * list_sum(list_transform(range(0, v // 2), lambda k: EXP(LGAMMA(k + 0.5::DOUBLE) - LGAMMA(k + 1) - LN(SQRT(PI())) + 2 * k * lc))) END AS inside FROM d)
+SELECT cell_id, ROUND(r, 6) AS r, n, ROUND(1 - inside, 6) AS p_value FROM a"""
+
+
+@query("lag_correlation_significance", P_VALUE.format(cube=CUBE))
 def lag_correlation_significance(t):
     return vf.lag_correlation(t.cube(), "value", "value2", 1, return_p=True).select("cell_id", r6("r"), "n", r6("p_value"))
 
