@@ -97,17 +97,79 @@ def best_fit(sizes: np.ndarray, items: np.ndarray, bins: np.ndarray, room: list[
             open_rooms |= 1 << left
 
 
+def exact_fill(sizes: np.ndarray, capacity: int, rng: np.random.Generator | None = None) -> np.ndarray:
+    """Longest items first, each bin filled up by one or two items that fit exactly, else by the longest that fits.
+
+    ``rng`` starts the search for pairs at random places, for solutions that differ.
+    """
+    stock: list[list[int]] = [[] for _ in range(capacity + 1)]
+    for item in np.argsort(sizes, kind="stable").tolist():
+        stock[sizes[item]].append(item)
+    bins, number = np.zeros(len(sizes), dtype=np.int64), 0
+    for longest in range(capacity, 0, -1):
+        while stock[longest]:
+            taken, left, most = [stock[longest].pop()], capacity - longest, longest
+            while left:
+                if left <= most and stock[left]:
+                    parts = (left,)
+                else:
+                    low, high = (left + 1) // 2, min(most, left - 1)
+                    first = high if rng is None or high <= low else int(rng.integers(low, high + 1))
+                    pair = next((a for a in (*range(first, low - 1, -1), *range(high, first, -1)) if stock[a] and stock[left - a] and (2 * a != left or len(stock[a]) > 1)), 0)
+                    one = min(most, left)
+                    while not pair and one and not stock[one]:
+                        one -= 1
+                    parts = (pair, left - pair) if pair else (one,) if one else ()
+                if not parts:
+                    break
+                for part in parts:
+                    taken.append(stock[part].pop())
+                    left -= part
+            bins[taken] = number
+            number += 1
+    return bins
+
+
 def _compact(bins: np.ndarray) -> np.ndarray:
     return np.unique(bins, return_inverse=True)[1]
 
 
+def _swap(sizes: np.ndarray, bins: np.ndarray, room: list[int], loose: np.ndarray, capacity: int) -> np.ndarray:
+    """Exchange loose items for smaller ones of bins that they then fill to the brim, one item a bin; what is loose afterwards."""
+    space = np.array(room, dtype=np.int64)
+    held = np.ones(len(bins), dtype=bool)
+    held[loose] = False
+    inside = np.flatnonzero(held)
+    inside = inside[space[bins[inside]] > 0]
+    wanted = sizes[inside] + space[bins[inside]]  # the size that would fill the bin in place of this item
+    order = np.argsort(wanted, kind="stable")
+    inside, wanted = inside[order], wanted[order]
+    at = np.searchsorted(wanted, np.arange(capacity + 2)).tolist()
+    after = []
+    for item in loose[np.argsort(-sizes[loose], kind="stable")].tolist():
+        size = int(sizes[item])
+        k = at[size]
+        while k < at[size + 1] and not room[bins[inside[k]]]:
+            k += 1
+        at[size] = min(k + 1, at[size + 1])
+        if k < at[size + 1]:
+            other = int(inside[k])
+            bins[item], room[bins[other]] = bins[other], 0
+            item = other
+        after.append(item)
+    return np.array(after, dtype=np.int64)
+
+
 def _regroup(sizes: np.ndarray, bins: np.ndarray, loose: np.ndarray, capacity: int) -> np.ndarray:
-    """Best-fit the ``loose`` items into the bins that the others form."""
+    """Swap the ``loose`` items for smaller ones where that fills a bin, then best-fit them into the bins that the others form."""
     child = bins.copy()
     fixed = np.flatnonzero(~loose)
     child[fixed] = _compact(bins[fixed])
     room = (capacity - np.bincount(child[fixed], weights=sizes[fixed])).astype(int).tolist() if len(fixed) else []
-    best_fit(sizes, np.flatnonzero(loose), child, room, capacity)
+    items = np.flatnonzero(loose)
+    if room:
+        items = _swap(sizes, child, room, items, capacity)
+    best_fit(sizes, items, child, room, capacity)
     return child
 
 
@@ -141,19 +203,16 @@ def fitness(sizes: np.ndarray, bins: np.ndarray) -> tuple[int, float]:
 
 
 def evolve(sizes: np.ndarray, population: list[np.ndarray], seed: int, capacity: int = CAPACITY, generations: int = GENERATIONS, keep: int = POPULATION) -> list[np.ndarray]:
-    """Some generations on one island; the best ``keep`` solutions, best first. An empty population is filled first."""
+    """Some generations on one island; the best ``keep`` solutions, best first. An empty population is filled first, by best fit and
+    by exact filling."""
     rng = np.random.default_rng(seed)
-    everything = np.arange(len(sizes))
     while len(population) < keep:
-        bins, room = np.zeros(len(sizes), dtype=np.int64), []
-        weights = sizes if not population else np.minimum(capacity, sizes * (1 + 0.1 * rng.random(len(sizes)))).astype(np.int64)
-        rank = everything[np.argsort(-weights, kind="stable")]
-        if population:  # a disturbed order: best-fit in runs
-            for part in np.array_split(rank, 8):
-                best_fit(sizes, part, bins, room, capacity)
+        if population:
+            population.append(exact_fill(sizes, capacity, rng if len(population) > 1 else None))
         else:
-            best_fit(sizes, rank, bins, room, capacity)
-        population.append(bins)
+            bins: np.ndarray = np.zeros(len(sizes), dtype=np.int64)
+            best_fit(sizes, np.arange(len(sizes)), bins, [], capacity)
+            population.append(bins)
     least = -(-int(sizes.sum()) // capacity)
     population = sorted(population, key=lambda p: fitness(sizes, p))[:keep]
     for _ in range(generations):
