@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from catalog.registry import CUBE, FORECAST, query, r6
-from drygrid.operators import align as al, samples as sa, spatial as sp, temporal as tm
+from drygrid.operators import align as al, samples as sa, spatial as sp
 from drygrid.plans import datasets
 from drygrid.sources import sinks, tables as tb
 from drygrid.streaming.incremental import days_to_retry, ingest_new_days, ingested
