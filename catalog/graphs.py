@@ -110,3 +110,20 @@ def feature_graph_jensen_shannon(t):
 @query("feature_graph_mahalanobis")
 def feature_graph_mahalanobis(t):
     return feature_graph(t, "mahalanobis")
+
+
+SHORT_VECTORS = """WITH e AS (SELECT l_suppkey AS id, AVG(l_quantity) AS x, AVG(l_extendedprice) / 1000 AS y, AVG(l_discount) * 100 AS z FROM lineitem GROUP BY 1),
+ c AS (SELECT 2.0::DOUBLE * COUNT(*) / (2 * COUNT(*) - 1) AS f, VAR_POP(x) * f AS xx, VAR_POP(y) * f AS yy, VAR_POP(z) * f AS zz, COVAR_POP(x, y) * f AS xy, COVAR_POP(x, z) * f AS xz, COVAR_POP(y, z) * f AS yz FROM e),
+ d AS (SELECT *, xx * (yy * zz - yz * yz) - xy * (xy * zz - yz * xz) + xz * (xy * yz - yy * xz) AS det FROM c),
+ g AS (SELECT a.id AS src, b.id AS dst, a.x - b.x AS p, a.y - b.y AS q, a.z - b.z AS r FROM e a JOIN e b ON a.id < b.id),
+ p AS (SELECT src, dst, 1 / SQRT(((yy * zz - yz * yz) * p * p + (xx * zz - xz * xz) * q * q + (xx * yy - xy * xy) * r * r + 2 * ((xz * yz - xy * zz) * p * q + (xy * yz - xz * yy) * p * r + (xy * xz - xx * yz) * q * r)) / det) AS iv FROM g, d),
+ s AS (SELECT src, dst, iv / (SELECT MAX(iv) FROM p) AS w FROM p), al AS (SELECT w FROM s UNION ALL SELECT 0 FROM s UNION ALL SELECT 1 FROM e), t AS (SELECT QUANTILE_CONT(w, 0.9) AS t FROM al), k AS (SELECT src, dst, w FROM s, t WHERE w >= t)
+SELECT src, dst, ROUND(w, 6) AS w, 1 AS a FROM k UNION ALL SELECT dst, src, ROUND(w, 6), 1 FROM k UNION ALL SELECT id, id, 1, 1 FROM e"""
+
+
+@query("supplier_graph_mahalanobis", SHORT_VECTORS)
+def supplier_graph_mahalanobis(t):
+    """Suppliers by three averages of their lines; short enough for a closed inverse in SQL."""
+    means = t.lineitem.groupBy(F.col("l_suppkey").alias("node")).agg(
+        F.array(F.avg("l_quantity"), F.avg("l_extendedprice") / 1000, F.avg("l_discount") * 100).alias("vector"))
+    return gr.feature_adjacency(means, 90.0, "mahalanobis").select("src", "dst", r6("w"), "a")
