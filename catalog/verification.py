@@ -152,7 +152,7 @@ BANDS_SQL = f"""{FORECAST}, q AS (SELECT QUANTILE_CONT(y, [0.0, 0.1, 0.2, 0.3, 0
 
 @query("error_by_percentile", f"""WITH {BANDS_SQL} SELECT ROUND(band / 10, 6) AS percentile, ROUND(ANY_VALUE(b)[ANY_VALUE(band) + 1], 6) AS lower, ROUND(SQRT(AVG(POW(y - y_pred, 2))), 6) AS rmse FROM k GROUP BY band""")
 def error_by_percentile(t):
-    return vf.error_by_percentile(t.forecast(), "rmse").select("percentile", r6("lower"), r6("rmse"))
+    return vf.error_by_percentile(t.forecast(), "rmse", bounded=True).select("percentile", r6("lower"), r6("rmse"))
 
 
 @query("efficiency_by_percentile", f"""WITH {BANDS_SQL}, s AS (SELECT band, ANY_VALUE(b)[ANY_VALUE(band) + 1] AS lower, 1 - SUM(POW(y - y_pred, 2)) / NULLIF(VAR_POP(y) * COUNT(y), 0) AS n FROM k GROUP BY band)

@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 ACCURACY = 5000
-GRID = 500
-SLICES = 256
+GRID = 2000
+SLICES = 64
 
 
 def exact_quantiles(
@@ -44,6 +44,9 @@ def exact_quantiles(
         keys = ["_all"]
         data = data.withColumn("_all", F.pmod(F.hash("_v"), F.lit(1)))
 
+    # Without keys every table below has one row, or one for each wanted rank: that bound makes them safe to broadcast.
+    small = F.broadcast if not groups else lambda table: table
+
     def point(index: Column, end: str) -> Column:
         """Grid value, or the group's true end beyond the grid."""
         inside = (index > 0) & (index < GRID)
@@ -54,7 +57,7 @@ def exact_quantiles(
     highs = [point(F.ceil((F.ceil(r) + 1) / F.col("_n") * GRID) + 1, "_max") for r in positions]
     edges = [F.col(f"_b{i}") for i in range(2 * len(probs))]
     brackets = data.groupBy(*keys).agg(*stats).select(*keys, "_n", *[e.alias(f"_b{i}") for i, e in enumerate([x for pair in zip(lows, highs) for x in pair])])
-    joined = data.join(brackets, keys)
+    joined = data.join(small(brackets), keys)
 
     # Plain comparisons, one per bracket: they compile, lambdas over arrays do not.
     highs = edges[1::2]
@@ -72,8 +75,9 @@ def exact_quantiles(
     # Equi-depth splitters cut that order into slices. Slice totals give each slice its starting rank, and
     # only slices that hold a wanted rank are sorted, each in its own task.
     even = F.array(*[F.lit(i / SLICES) for i in range(1, SLICES)])
-    splitters = counted.groupBy(*keys).agg(F.percentile_approx("_at", even, ACCURACY).alias("_s"))
-    sliced = counted.join(splitters, keys)
+    # The total makes both uses of the counts need the same columns, so one shuffle of them serves both.
+    splitters = counted.groupBy(*keys).agg(F.percentile_approx("_at", even, ACCURACY).alias("_s"), F.sum("_c").alias("_w")).where("_w > 0").drop("_w")
+    sliced = counted.join(small(splitters), keys)
     inner = F.coalesce(F.size(F.filter("_s", lambda c: c < F.col("_at"))), F.lit(0))
     sliced = sliced.withColumn("_slice", F.when(F.col("_at").isNull(), F.lit(-1)).otherwise(inner)).drop("_s")
     totals = sliced.groupBy(*keys, "_slice").agg(F.sum("_c").alias("_total"), F.first("_n").alias("_n"))
@@ -84,7 +88,7 @@ def exact_quantiles(
     holds = [(F.col("_before") <= r) & (r < F.col("_before") + F.col("_total")) for r in ranks]
     wanted = totals.where(reduce(lambda x, y: x | y, holds)).select(*keys, "_slice", "_before")
     on = [*keys, "_slice"]
-    chosen = sliced.join(wanted, on)
+    chosen = sliced.join(small(wanted), on)
     running = Window.partitionBy(*on).orderBy(F.col("_at").asc_nulls_first(), F.col("_keep").desc())
     chosen = chosen.withColumn("_cum", F.col("_before") + F.sum("_c").over(running.rowsBetween(Window.unboundedPreceding, 0)))
 
