@@ -1,14 +1,15 @@
-"""Line de-duplication by pairwise patience alignment.
+"""Line de-duplication by common blocks of lines.
 
-Documents overlap if they share a rare line (at most ``rare`` times in the corpus). A line that is more frequent counts as evidence
-together with its successor, whatever the frequency of the two, so large groups of copies are found as well. Each piece of evidence
-pairs its documents with the earliest holder only: pairs grow with the number of lines, not with the square of a group. What a later
-document shares with any earlier one is in the earliest holder too, and that copy is never removed.
+A block is a run of consecutive lines with at least ``least_words`` words. A line leaves the later document if it lies in a block that
+an earlier document holds as well. That is what aligning every pair of documents gives when the alignment is repeated until the pair
+has no common block left, so passages that recur in a document, or stand in another order, go as well.
 
-A pair's common lines are aligned with patience diff: lines unique in both anchor the alignment by their longest increasing
-subsequence, ranges between anchors are treated alike, equal lines at the ends of a range are matched. Blocks of consecutive aligned
-lines with at least ``least_words`` words leave the later document. Lines are compared by their words; lines without words are never
-compared nor removed.
+No pairs are made. Each line names the shortest block that begins with it and the shortest one that ends with it. A line of a longer
+block lies in one of these that the longer block contains, so a document holds a common block exactly if it shares the shortest ones,
+whatever the frequency or length of the lines. Each shortest block is compared with its earliest holder: rows grow with the number of
+lines. The earliest holder of a line keeps it, so that copy is never removed.
+
+Lines are compared by their words; lines without words are never compared nor removed.
 """
 
 from __future__ import annotations
@@ -21,31 +22,46 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from drygrid.llm.common import TAG, Prefix, find_words, lean, mix, null_safe, pieces, release, row_tag, written
-
-RARE, EVIDENCE_WORDS, LEAST_WORDS = 100, 5, 10
-
-
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows key, tag, place among the lines with words, hash of the line, of it and its successor, number of words."""
-    for rows, data, offsets in pieces(batches, "_text"):
-        words = find_words(data, offsets)
-        breaks = np.flatnonzero(data[offsets[0] : offsets[-1]] == 10) + offsets[0]
-        line = np.searchsorted(breaks, words.start) + words.doc * (len(breaks) + 1)
-        begin = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))) if len(line) else np.zeros(0, np.int64)
-        end = np.append(begin[1:], len(line)) if len(begin) else begin
-        doc = words.doc[begin]
-        name = Prefix(words.name).span(begin, end)
-        first = np.searchsorted(doc, np.arange(rows.num_rows))
-        pair = np.zeros(len(name), dtype=np.uint64)
-        if len(name):
-            pair[:-1] = mix(name[:-1] + mix(name[1:] ^ np.uint64(5)))
-            last = np.append(doc[1:] != doc[:-1], True)
-            pair[last] = mix(name[last] ^ np.uint64(9))  # the document's end is the successor of its last line
-        at = pa.array(doc)
-        yield pa.RecordBatch.from_arrays(
-            [rows.column(0).take(at), rows.column(1).take(at), pa.array((np.arange(len(doc)) - first[doc]).astype(np.int32)), pa.array(name.view(np.int64)),
-             pa.array(pair.view(np.int64)), pa.array((end - begin).astype(np.int32))], names=["_key", TAG, "place", "line", "pair", "words"])
+from drygrid.llm.common import TAG, Prefix, find_words, lean, null_safe, pieces, release, row_tag, written
+
+LEAST_WORDS = 10
+
+
+def shortest(words: np.ndarray, doc: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end (exclusive) of the shortest blocks that begin or end with a line, each once; ``words`` and ``doc`` of all lines."""
+    total = np.concatenate(([0], np.cumsum(words)))
+    first, last = np.searchsorted(doc, doc), np.searchsorted(doc, doc, side="right")
+    place = np.arange(len(words))
+    stop = np.searchsorted(total, total[:-1] + least_words)  # forward: least end with enough words
+    start = np.searchsorted(total, total[1:] - least_words, side="right") - 1  # backward: greatest begin
+    ahead, back = stop <= last, start >= first
+    begins, ends = np.concatenate((place[ahead], start[back])), np.concatenate((stop[ahead], place[back] + 1))
+    order = np.lexsort((ends, begins))
+    begins, ends = begins[order], ends[order]
+    once = np.ones(len(begins), dtype=bool)
+    once[1:] = (begins[1:] != begins[:-1]) | (ends[1:] != ends[:-1])
+    return begins[once], ends[once]
+
+
+def _blocks(least_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows key, tag, hash of a shortest block, place of its first line among the lines with words, number of lines."""
+        for rows, data, offsets in pieces(batches, "_text"):
+            words = find_words(data, offsets)
+            breaks = np.flatnonzero(data[offsets[0] : offsets[-1]] == 10) + offsets[0]
+            line = np.searchsorted(breaks, words.start) + words.doc * (len(breaks) + 1)
+            begin = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))) if len(line) else np.zeros(0, np.int64)
+            end = np.append(begin[1:], len(line)) if len(begin) else begin
+            doc = words.doc[begin]
+            first = np.searchsorted(doc, np.arange(rows.num_rows))
+            start, stop = shortest(end - begin, doc, least_words)
+            name = Prefix(Prefix(words.name).span(begin, end)).span(start, stop)
+            of = doc[start]
+            at = pa.array(of)
+            yield pa.RecordBatch.from_arrays(
+                [rows.column(0).take(at), rows.column(1).take(at), pa.array(name.view(np.int64)), pa.array((start - first[of]).astype(np.int32)),
+                 pa.array((stop - start).astype(np.int32))], names=["_key", TAG, "block", "place", "size"])
+    return run
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -106,34 +122,14 @@ def common_blocks(later: list[tuple[int, int]], earlier: list[tuple[int, int]],
     return out + (block if size >= least_words else [])
 
 
-def _aligned(least_words: int):
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def align(common: pa.Array) -> pa.Array:
-        out = []
-        for row in common.to_pylist():
-            later = sorted((p, x["line"]) for x in row for p in x["here"])
-            earlier = sorted((p, x["line"]) for x in row for p in x["there"])
-            out.append(common_blocks(later, earlier, {x["line"]: x["words"] for x in row}, least_words))
-        return pa.array(out, pa.list_(pa.int32()))
-    return align
-
-
-def _removed(rows: DataFrame, kind: str, rare: int, least_words: int) -> DataFrame:
+def _removed(rows: DataFrame, kind: str, least_words: int) -> DataFrame:
     """Key, tag and the places of the lines that go, as a written table."""
-    lines = written(rows.filter("_key is not null").mapInArrow(_lines, f"_key {kind}, {TAG} long, place int, line long, pair long, words int"))
-    # aggregates are written before they are joined: a join of two plain shuffles can be split where a line is very frequent
-    counts = written(lines.groupBy("line").agg(F.count("*").alias("n")).filter("n > 1"))
-    evidence = F.when(F.col("n") <= rare, F.col("line")).otherwise(F.col("pair"))
-    shared = written(lines.join(counts, "line").select("_key", TAG, "place", "line", "words", evidence.alias("evidence")))
-    leads = written(shared.filter(F.col("words") >= EVIDENCE_WORDS).groupBy("evidence").agg(F.min(F.struct("_key", TAG)).alias("lead"), F.count("*").alias("m")).filter("m > 1").drop("m"))
-    found = shared.filter(F.col("words") >= EVIDENCE_WORDS).join(leads, "evidence").filter(F.col("lead._key") < F.col("_key"))
-    pairs = written(found.select("_key", TAG, F.col("lead._key").alias("l_key"), F.col(f"lead.{TAG}").alias("l_tag")).distinct())
-    places = written(shared.groupBy("_key", TAG, "line").agg(F.array_sort(F.collect_set("place")).alias("here"), F.first("words").alias("words")))
-    there = places.select(F.col("_key").alias("l_key"), F.col(TAG).alias("l_tag"), "line", F.col("here").alias("there"))
-    common = pairs.join(places, ["_key", TAG]).join(there, ["l_key", "l_tag", "line"])
-    aligned = common.groupBy("_key", TAG, "l_key", "l_tag").agg(F.collect_list(F.struct("line", "here", "there", "words")).alias("common"))
-    gone = aligned.select("_key", TAG, _aligned(least_words)("common").alias("_gone")).filter(F.size("_gone") > 0)
-    return written(gone.groupBy("_key", TAG).agg(F.array_distinct(F.flatten(F.collect_list("_gone"))).alias("_gone")))
+    blocks = written(rows.filter("_key is not null").mapInArrow(_blocks(least_words), f"_key {kind}, {TAG} long, block long, place int, size int"))
+    # written before it is joined: a join of two plain shuffles can be split where a block is very frequent
+    leads = written(blocks.groupBy("block").agg(F.min("_key").alias("lead"), F.max("_key").alias("last")).filter("lead < last").drop("last"))
+    found = blocks.join(leads, "block").filter("lead < _key").select("_key", TAG, F.struct("place", "size").alias("run"))
+    places = F.flatten(F.transform("runs", lambda x: F.sequence(x["place"], x["place"] + x["size"] - 1)))
+    return written(found.groupBy("_key", TAG).agg(F.collect_set("run").alias("runs")).select("_key", TAG, F.array_distinct(places).alias("_gone")))
 
 
 @F.arrow_udf(T.StructType([T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]))
@@ -155,17 +151,17 @@ def _without(texts: pa.Array, gone: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(lines, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["n_lines", "n_removed", "kept"])
 
 
-def line_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", rare: int = RARE, least_words: int = LEAST_WORDS) -> DataFrame:
-    """The rows of ``docs`` with ``text`` freed of aligned common blocks, and ``n_lines`` (with words, before) and ``n_removed``.
+def line_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", rare: int | None = None, least_words: int = LEAST_WORDS) -> DataFrame:
+    """The rows of ``docs`` with ``text`` freed of common blocks, and ``n_lines`` (with words, before) and ``n_removed``.
 
-    "Later" means the greater key. Rows with a NULL key, NULL or empty text stay as they are, rows with the same key are not compared
+    ``rare`` has no effect and is kept for callers: lines of any frequency are compared. "Later" means the greater key. Rows with a NULL key, NULL or empty text stay as they are, rows with the same key are not compared
     with each other, repeated rows share their result. A document all of whose lines go keeps its row, with an empty text.
     Columns of ``docs`` called ``n_lines`` or ``n_removed`` are replaced. Empty tables give no rows.
     """
     lean(docs.sparkSession)
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     rows = docs.select(F.col(key).alias("_key"), row_tag(text).alias(TAG), F.col(text).alias("_text"))
-    gone = _removed(rows, docs.schema[key].dataType.simpleString(), rare, least_words)
+    gone = _removed(rows, docs.schema[key].dataType.simpleString(), least_words)
     release(docs.sparkSession)
     tagged = docs.select(*columns).withColumn("_key", F.col(key)).withColumn(TAG, row_tag(text))
     out = null_safe(tagged, gone, ("_key", TAG)).withColumn("_cut", _without(F.col(text), F.col("_gone")))
@@ -177,32 +173,30 @@ def op5(spark, folder: str) -> DataFrame:
     return line_dedup(docs).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-def brute_force(texts: list[tuple[int, str | None]], rare: int = RARE, least_words: int = LEAST_WORDS) -> list[tuple[int, int, int, str]]:
-    """The same in plain dictionaries; for tests. Returns key, lines, removed lines, kept text."""
+def brute_force(texts: list[tuple[int, str | None]], rare: int | None = None, least_words: int = LEAST_WORDS) -> list[tuple[int, int, int, str]]:
+    """The same from all pairs of equal lines, each extended as far as both documents agree; for tests. Returns key, lines, removed lines, kept text."""
     split = {k: [(p.encode().split(), p) for p in (t or "").split("\n")] for k, t in texts}
     names = {k: [tuple(w) for w, _ in lines if w] for k, lines in split.items()}
-    count = Counter(x for lines in names.values() for x in lines)
-    lead: dict = {}
+    holders: dict = {}
+    result = {}
     for k in sorted(names):
-        for i, x in enumerate(names[k]):
-            follows = (x, names[k][i + 1] if i + 1 < len(names[k]) else None)
-            lead.setdefault(x if count[x] <= rare else follows, k)
-    result = []
-    for k, t in texts:
         mine, out = names[k], set()
-        partners = set()
         for i, x in enumerate(mine):
-            if len(x) >= EVIDENCE_WORDS:
-                partners.add(lead[x if count[x] <= rare else (x, mine[i + 1] if i + 1 < len(mine) else None)])
-        for other in sorted(p for p in partners if p < k):
-            both = set(mine) & set(names[other])
-            ids = {x: n for n, x in enumerate(both)}
-            out |= set(common_blocks([(i, ids[x]) for i, x in enumerate(mine) if x in ids], [(i, ids[x]) for i, x in enumerate(names[other]) if x in ids],
-                                     {n: len(x) for x, n in ids.items()}, least_words))
+            for other, j in holders.get(x, ()):
+                theirs = names[other]
+                if i and j and mine[i - 1] == theirs[j - 1]:
+                    continue
+                n = 0
+                while i + n < len(mine) and j + n < len(theirs) and mine[i + n] == theirs[j + n]:
+                    n += 1
+                if sum(map(len, mine[i : i + n])) >= least_words:
+                    out.update(range(i, i + n))
+        for j, x in enumerate(mine):
+            holders.setdefault(x, []).append((k, j))
         place, stay = -1, []
         for w, p in split[k]:
             place += bool(w)
             if not (w and place in out):
                 stay.append(p)
-        result.append((k, len(mine), len(out), (t or "") if not out else "\n".join(stay)))
-    return result
+        result[k] = (k, len(mine), len(out), "\n".join(stay))
+    return [(k, *result[k][1:3], result[k][3] if result[k][2] else t or "") for k, t in texts]

@@ -251,6 +251,22 @@ def test_patience_aligns_equal_lines_in_order(a, b):
         assert len(pairs) == len(a)
 
 
+def line(seed, words):
+    return " ".join(f"v{seed}x{i}" for i in range(words))
+
+
+def removed_lines(spark, texts):
+    """Removed lines by key, the same from the operator and from the plain version."""
+    got = {r.doc_id: (r.n_removed, r.text) for r in line_alignment.line_dedup(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {k: (m, t) for k, _, m, t in line_alignment.brute_force(texts)}
+    return {k: m for k, (m, _) in got.items()}
+
+
+def test_a_frequent_line_goes_whatever_follows(spark):
+    gone = removed_lines(spark, [(k, f"{line(0, 12)}\n{line(k + 1, 11)}") for k in range(130)])
+    assert gone == {k: int(k > 0) for k in range(130)}
+
+
 # --- 6 -------------------------------------------------------------------------------------------------
 
 
