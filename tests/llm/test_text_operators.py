@@ -267,6 +267,21 @@ def test_a_frequent_line_goes_whatever_follows(spark):
     assert gone == {k: int(k > 0) for k in range(130)}
 
 
+def test_passages_that_recur_go_as_often_as_they_stand(spark):
+    passage = f"{line(1, 11)}\n{line(2, 12)}"
+    gone = removed_lines(spark, [(1, passage), (2, f"{line(3, 11)}\n{passage}\n{line(4, 11)}\n{passage}\n{line(5, 11)}\n{passage}\n{line(6, 11)}")])
+    assert gone == {1: 0, 2: 6}
+
+
+@given(st.lists(st.integers(0, 5), max_size=25), st.lists(st.integers(0, 5), max_size=25))
+@settings(max_examples=100, deadline=None)
+def test_what_patience_aligns_is_removed(a, b):
+    words = {x: x + 2 for x in range(6)}
+    early, late = ("\n".join(line(x, words[x]) for x in s) for s in (a, b))
+    aligned = line_alignment.common_blocks(list(enumerate(b)), list(enumerate(a)), words, 10)
+    assert line_alignment.brute_force([(1, early), (2, late)])[1][2] >= len(set(aligned))
+
+
 # --- 6 -------------------------------------------------------------------------------------------------
 
 
