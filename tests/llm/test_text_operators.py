@@ -282,6 +282,12 @@ def test_what_patience_aligns_is_removed(a, b):
     assert line_alignment.brute_force([(1, early), (2, late)])[1][2] >= len(set(aligned))
 
 
+def test_blocks_of_short_lines_go(spark):
+    verse = "\n".join(line(k, 4) for k in range(40))
+    gone = removed_lines(spark, [(1, verse), (2, verse), (3, f"{line(90, 3)}\n{line(5, 4)}\n{line(6, 4)}\n{line(91, 3)}")])
+    assert gone == {1: 0, 2: 40, 3: 0}
+
+
 # --- 6 -------------------------------------------------------------------------------------------------
 
 
