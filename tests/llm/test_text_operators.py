@@ -288,6 +288,25 @@ def test_blocks_of_short_lines_go(spark):
     assert gone == {1: 0, 2: 40, 3: 0}
 
 
+def test_blocks_whose_lines_have_different_earliest_holders(spark):
+    one, two, three = line(1, 12), line(2, 7), line(3, 6)
+    gone = removed_lines(spark, [(1, f"{one}\n{line(4, 11)}"), (2, f"{two}\n{line(5, 11)}"), (3, f"{three}\n{line(6, 11)}"),
+                                 (4, f"{line(7, 11)}\n{one}\n{two}"), (5, f"{line(8, 11)}\n{two}\n{three}"), (6, f"{one}\n{two}"), (7, f"{two}\n{three}")])
+    assert gone == {1: 0, 2: 0, 3: 0, 4: 1, 5: 0, 6: 2, 7: 2}
+
+
+@given(st.lists(st.integers(1, 14), max_size=30), st.integers(1, 15))
+@settings(max_examples=100, deadline=None)
+def test_shortest_blocks_cover_every_block(sizes, least):
+    begins, ends = line_alignment.shortest(np.array(sizes, dtype=np.int64), np.zeros(len(sizes), dtype=np.int64), least)
+    runs = list(zip(begins.tolist(), ends.tolist()))
+    assert len(set(runs)) == len(runs) and all(sum(sizes[i:j]) >= least for i, j in runs)
+    for i in range(len(sizes)):
+        for j in range(i + 1, len(sizes) + 1):
+            if sum(sizes[i:j]) >= least:
+                assert {p for a, b in runs if i <= a and b <= j for p in range(a, b)} == set(range(i, j))
+
+
 # --- 6 -------------------------------------------------------------------------------------------------
 
 
