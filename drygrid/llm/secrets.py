@@ -3,8 +3,8 @@
 Strong findings (assignments, access identifiers, long hex runs) are reported as they are. Weak parts (user names, token-like words,
 endpoints) are reported only if a complementary part lies in the same scope: an identifier needs a secret, a secret needs an
 identifier or an endpoint, an endpoint needs a secret. A scope is a block of text between blank lines; parts link over at most
-``reach`` code points. Linking is an interval join: every part offers itself to its own bucket of ``reach`` code points and to both
-neighbours, a weak part looks up its bucket, and a semi-join stops at the first partner, so no pairs arise.
+``reach`` code points. Linking is an interval join: every part offers itself to the buckets of ``reach`` code points that it or its reach
+touches, a weak part looks up every bucket of its own span, and a semi-join stops at the first partner, so no pairs arise.
 
 Start positions come from the gaps between matches: ``split`` returns the gaps, and a running sum of gap and match lengths per
 document and kind gives code-point positions in time linear in the number of matches.
@@ -76,18 +76,17 @@ def find_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", reach:
     spans = placed.withColumn("scope", breaks).filter(F.col("kind") < len(KINDS) - 1).withColumn("role", _role(F.col("kind"), F.col("end") - F.col("start")))
     spans = written(spans)  # small, and texts are scanned once
 
-    bucket = F.floor(F.col("start") / reach)
     offers = spans.filter("role is not null").select(
         F.col("_key").alias("k"), F.col(TAG).alias("t"), F.col("scope").alias("s"), F.col("role").alias("r"), F.col("start").alias("a"), F.col("end").alias("b"),
         F.explode(F.sequence(F.floor((F.col("start") - reach) / reach), F.floor((F.col("end") + reach) / reach))).alias("bucket"))
-    weak = spans.filter(F.col("kind") >= BASE).withColumn("bucket", bucket)
+    weak = spans.filter(F.col("kind") >= BASE).withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / reach), F.floor(F.col("end") / reach))))
     complementary = F.lit(False)
     for role, needs in NEEDS.items():
         complementary = complementary | ((weak["role"] == role) & offers["r"].isin(*needs))
     linked = weak.join(offers, weak["_key"].eqNullSafe(offers["k"]) & (weak[TAG] == offers["t"]) & (weak["scope"] == offers["s"]) & (weak["bucket"] == offers["bucket"])
                        & complementary & (F.greatest(weak["start"] - offers["b"], offers["a"] - weak["end"]) <= reach), "left_semi")
     keep = ["_key", TAG, "kind", "start", "end"]
-    return spans.filter(F.col("kind") < BASE).select(*keep).unionByName(linked.select(*keep))
+    return spans.filter(F.col("kind") < BASE).select(*keep).unionByName(linked.select(*keep).distinct())
 
 
 def _joined(spans: Column) -> Column:
@@ -124,3 +123,19 @@ def brute_force(text: str | None) -> tuple[int, int, int, str]:
         counts.append(len(hits))
         spans += [(m.start(), order, f"{name}:{m.start()}:{m.end()}") for m in hits]
     return (*counts, ",".join(s[2] for s in sorted(spans)))
+
+
+def brute_force_linked(text: str | None, reach: int = 200) -> set[tuple[str, int, int]]:
+    """Weak spans (kind, start, end) that are reported, from all pairs of parts; for tests."""
+    parts = []
+    for order, (name, pattern, group) in enumerate(KINDS):
+        for m in re.finditer(pattern, text or "", re.ASCII):
+            size = m.end() - m.start()
+            if name == "assign" and len(m.group(group)) < 12 or name == "secret" and not all(re.search(c, m.group()) for c in ("[0-9]", "[a-z]", "[A-Z]")):
+                continue
+            role = {0: "secret", 1: "identifier", 2: "secret" if size >= 32 else None, 3: "identifier", 4: "secret", 5: "endpoint"}.get(order)
+            parts.append((m.start(), m.end(), order, role))
+    breaks = [a for a, _, order, _ in parts if order == len(KINDS) - 1]
+    weak = [p for p in parts if BASE <= p[2] < len(KINDS) - 1]
+    return {(KINDS[o][0], a, b) for a, b, o, r in weak for c, d, _, q in parts
+            if q in NEEDS[r] and max(a - d, c - b) <= reach and not any(min(a, c) < x <= max(a, c) for x in breaks)}

@@ -216,6 +216,24 @@ def test_secrets(spark, docs, messy, empty, texts):
     assert Counter(doubled) == Counter({tuple(r): 2 for r in got.values()})
 
 
+def test_linked_spans_against_all_pairs(spark):
+    """Long parts, gaps around the reach, every kind of position in the buckets."""
+    token = lambda n: ("Zx9Kd82hQmP0aB7cYtR3" * n)[:n]
+    texts = []
+    for before in range(0, 400, 37):
+        for size in (20, 40, 300, 500, 1300):
+            for gap in (1, 20, 180, 199, 200, 201, 230):
+                space = " " * gap
+                texts += ["." * before + " " + token(size) + space + "https://db.example.org/x", "." * before + " login: alice99" + space + token(size),
+                          "." * before + " https://db.example.org/" + "x" * size + space + token(20) + " \n\n login: bob77"]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.spans for r in secrets.secret_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    weak = {name for name, *_ in secrets.KINDS[secrets.BASE :]}
+    for k, t in rows:
+        listed = [(x[0], int(x[1]), int(x[2])) for x in (s.rsplit(":", 2) for s in got[k].split(",") if s)]
+        assert len(listed) == len(set(listed)) and {x for x in listed if x[0] in weak} == secrets.brute_force_linked(t), t
+
+
 def test_secret_scan_runs_no_python(spark):
     plan = secrets.secret_report(spark.createDataFrame(SECRETS, "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "NestedLoop" not in plan
