@@ -1,7 +1,7 @@
 """Quality rules with a hashed n-gram log-likelihood ratio.
 
-Words and pairs of words are hashed to slots. Two multinomials over the slots are counted: one over the whole corpus, one over trusted
-documents. A document's score is the mean over its n-grams of ``log(trusted / corpus)``, less the corpus's own mean (its divergence from
+Words and pairs of words are hashed to slots, whose number grows with the square root of the corpus, about as its vocabulary does. Two
+multinomials over the slots are counted: one over the whole corpus, one over all trusted documents. A document's score is the mean over its n-grams of ``log(trusted / corpus)``, less the corpus's own mean (its divergence from
 the trusted distribution), so the same limit suits corpora of any size and mixture. Every document scoring at least ``LIMIT`` passes,
 without random draws. Simple base rules reject before.
 """
@@ -14,10 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from drygrid.llm.common import Prefix, Words, find_words, lean, mix, pieces
+from drygrid.llm.common import Prefix, Words, find_words, lean, mix, pieces, written
 
-SLOTS = 1 << 17  # half for words, half for pairs
-TRUSTED = 16384
+SLOTS = 1 << 17  # half for words, half for pairs; for up to SLOT_DOCS documents
+SLOT_DOCS = 1 << 16
 PRIOR = 0.1  # share of the corpus distribution mixed into the trusted one, against slots that no trusted document has
 LIMIT = -0.35
 WINDOW = 8
@@ -26,44 +26,55 @@ _SYMBOLS[list(b"#*$%&|<>")] = 1
 _LEADS = (np.arange(256) & 0xC0) != 0x80
 
 
-def slots(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Slot and document of every word and every pair of neighbours."""
-    doc, half = words.doc, SLOTS // 2
-    one = (words.name >> np.uint64(48)).astype(np.int64)
+def slot_count(documents: int) -> int:
+    """``SLOTS``, doubled with every fourfold of ``SLOT_DOCS``."""
+    size = SLOTS
+    while documents > SLOT_DOCS * (size // SLOTS) ** 2:
+        size *= 2
+    return size
+
+
+def slots(words: Words, size: int = SLOTS) -> tuple[np.ndarray, np.ndarray]:
+    """Slot (of ``size``, a power of two) and document of every word and every pair of neighbours."""
+    doc, half = words.doc, size // 2
+    shift = np.uint64(65 - half.bit_length())
+    one = (words.name >> shift).astype(np.int64)
     joined = doc[1:] == doc[:-1]
-    two = half + (mix(words.name[:-1] + mix(words.name[1:] ^ np.uint64(3)))[joined] >> np.uint64(48)).astype(np.int64)
+    two = half + (mix(words.name[:-1] + mix(words.name[1:] ^ np.uint64(3)))[joined] >> shift).astype(np.int64)
     return np.concatenate((one, two)), np.concatenate((doc, doc[1:][joined]))
 
 
-def trusted_keys(labels: DataFrame, key: str = "doc_id", label: str = "quality", most: int = TRUSTED) -> DataFrame:
-    """Keys labelled 1, at most ``most`` of them, chosen by hash."""
-    good = labels.filter((F.col(label) == 1) & F.col(key).isNotNull()).select(F.col(key).alias("_id")).distinct()
-    return good.orderBy(F.xxhash64("_id"), "_id").limit(most)
+def trusted_keys(labels: DataFrame, key: str = "doc_id", label: str = "quality") -> DataFrame:
+    """All keys labelled 1, each once."""
+    return labels.filter((F.col(label) == 1) & F.col(key).isNotNull()).select(F.col(key).alias("_id")).distinct()
 
 
 def log_ratio(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id") -> np.ndarray:
-    """Centred log ratio of every slot (``SLOTS`` numbers) from counts over all of ``docs``; ``trusted`` (``_id``) is a bounded list of keys."""
+    """Centred log ratio of every slot (:func:`slot_count` numbers) from counts over all of ``docs``; ``trusted`` (``_id``) has distinct keys."""
     lean(docs.sparkSession)
-    marked = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(trusted.withColumn("_good", F.lit(True))), F.col("_key") == F.col("_id"), "left")
+    size = slot_count(docs.count())
+    # written before it is joined: a join of two plain shuffles can be split where a key is very frequent; few keys are broadcast by size
+    good_keys = written(trusted.withColumn("_good", F.lit(True)))
+    marked = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(good_keys, F.col("_key") == F.col("_id"), "left")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, good = np.zeros(SLOTS, dtype=np.int64), np.zeros(SLOTS, dtype=np.int64)
+        raw, good = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
         for rows, data, offsets in pieces(batches, "_text"):
-            slot, doc = slots(find_words(data, offsets))
-            raw += np.bincount(slot, minlength=SLOTS)
-            good += np.bincount(slot[rows.column(1).fill_null(False).to_numpy(zero_copy_only=False)[doc]], minlength=SLOTS)
+            slot, doc = slots(find_words(data, offsets), size)
+            raw += np.bincount(slot, minlength=size)
+            good += np.bincount(slot[rows.column(1).fill_null(False).to_numpy(zero_copy_only=False)[doc]], minlength=size)
         some = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(good[some])], names=["slot", "raw", "good"])
 
     totals = marked.select("_text", "_good").mapInArrow(count, "slot long, raw long, good long").groupBy("slot").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
-    table = totals.toArrow()  # at most SLOTS rows
-    raw, good = np.full(SLOTS, 0.5), np.zeros(SLOTS)
+    table = totals.toArrow()  # at most size rows
+    raw, good = np.full(size, 0.5), np.zeros(size)
     at = table.column("slot").to_numpy()
     raw[at] += table.column("raw").to_numpy()
     good[at] += table.column("good").to_numpy()
     share = raw / raw.sum()
     if not good.sum():
-        return np.zeros(SLOTS)  # nothing to compare with: all scores are 0
+        return np.zeros(size)  # nothing to compare with: all scores are 0
     ratio = np.log((good / good.sum() + PRIOR * share) / (1 + PRIOR) / share)
     return ratio - (share * ratio).sum()
 
@@ -102,7 +113,7 @@ def measures(words: Words, data: np.ndarray, offsets: np.ndarray, ratio: np.ndar
             else:
                 seen.add(line)
         lines[d] = again
-    slot, slot_doc = slots(words)
+    slot, slot_doc = slots(words, len(ratio))
     grams = np.bincount(slot_doc, minlength=len(n))
     score = np.bincount(slot_doc, weights=ratio[slot], minlength=len(n)) / np.maximum(grams, 1)
     failed = (n < 20) | (100 * repeat > 30 * n)

@@ -394,6 +394,32 @@ def test_quality_rules(spark, docs, messy, empty, texts):
     assert all(r.score == 0 for r in target_ratio.quality_rules(docs, labels.limit(0)).collect())
 
 
+def test_all_trusted_documents_count(spark):
+    """More trusted documents than were once taken; those of every topic give their own words a high ratio."""
+    n = 20000
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('t', id % 7, ' u', id) AS text")
+    labels = docs.selectExpr("doc_id", "1 AS quality")
+    assert target_ratio.trusted_keys(labels).count() == n
+    ratio = target_ratio.log_ratio(docs, target_ratio.trusted_keys(labels))
+    held, _ = target_ratio.slots(common.find_words(*common.text_bytes(pa.array([f"t{k % 7} u{k}" for k in range(n)]))))
+    assert ratio[held].min() > -0.7
+
+
+def test_slots_grow_with_the_corpus(monkeypatch, spark, docs, texts):
+    assert [target_ratio.slot_count(n) // target_ratio.SLOTS for n in (0, 1 << 16, (1 << 16) + 1, 1 << 18, 1 << 20)] == [1, 1, 2, 2, 4]
+    monkeypatch.setattr(target_ratio, "SLOT_DOCS", 8)
+    labels = spark.createDataFrame([(k, 1) for k in range(5, 12)], "doc_id long, quality int")
+    size = target_ratio.slot_count(len(texts))
+    ratio = target_ratio.log_ratio(docs, target_ratio.trusted_keys(labels))
+    assert len(ratio) == size > target_ratio.SLOTS
+    counts = np.full(size, 0.5)
+    for _, t in texts:
+        slot, _ = target_ratio.slots(common.find_words(*common.text_bytes(pa.array([t], pa.string()))), size)
+        np.add.at(counts, slot, 1)
+    share = counts / counts.sum()
+    assert (share * ratio).sum() == pytest.approx(0) and all(r.score is not None for r in target_ratio.judged(docs, ratio).collect())
+
+
 # --- 8 -------------------------------------------------------------------------------------------------
 
 
