@@ -5,8 +5,9 @@ truncated to 16 bits. Registers of a union are the register-wise maximum, so ske
 the similarity, so bands of them serve as search keys; and from the counts of smaller, equal and larger registers the similarity of
 two sets of known sizes is estimated jointly by maximum likelihood.
 
-1. Documents with equal shingle sets form classes; the smallest id stands for its class.
-2. In every band bucket the smallest id is paired with each other member (never all pairs of a bucket).
+1. Documents with equal shingle sets form classes, named by size and hashes of the set, so NULL and repeated keys are searched like
+   others. One row of each class gives its text.
+2. In every band bucket the smallest name is paired with each other member (never all pairs of a bucket).
 3. Pairs whose estimate is five standard errors below the threshold are dropped, the rest compared on their full sets.
 4. Buckets whose members are still in several components hold texts that share a common passage, or copies just below the
    threshold. Their members are searched exactly: sets are ordered from rare to frequent shingles, and two sets that reach the
@@ -24,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from drygrid.llm.common import TAG, distinct_per_document, find_words, lean, lists, mix, pieces, row_tag, shingles, written
+from drygrid.llm.common import TAG, distinct_per_document, find_words, lean, lists, mix, null_safe, pieces, row_tag, shingles, written
 from drygrid.llm.components import components
 
 WORDS, BANDS, ROWS = 5, 32, 6
@@ -81,18 +82,33 @@ def _sets(batches: Iterator[pa.RecordBatch]):
         yield rows, *distinct_per_document(hashes, doc, rows.num_rows)
 
 
+def _names(values: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Names of shingle sets, 24 bytes each: size and two sums of hashes."""
+    total, other = (np.concatenate(([np.uint64(0)], np.cumsum(x, dtype=np.uint64))) for x in (values, mix(values ^ np.uint64(77))))
+    name = np.stack([np.diff(first).astype(np.uint64), *(x[first[1:]] - x[first[:-1]] for x in (total, other))], axis=1)
+    return pa.array([row.tobytes() for row in name], pa.binary())
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, values, first in _sets(batches):
-        total, other = (np.concatenate(([np.uint64(0)], np.cumsum(x, dtype=np.uint64))) for x in (values, mix(values ^ np.uint64(77))))
-        sums = [(x[first[1:]] - x[first[:-1]]).view(np.int64) for x in (total, other)]
         signs = [r.tobytes() for r in registers(values, first)]
-        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.diff(first)), pa.array(sums[0]), pa.array(sums[1]), pa.array(signs, pa.binary())],
-                                         names=["doc_id", TAG, "n", "h1", "h2", "registers"])
+        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.diff(first)), _names(values, first), pa.array(signs, pa.binary())],
+                                         names=["doc_id", TAG, "n", "id", "registers"])
 
 
 def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, values, first in _sets(batches):
-        yield pa.RecordBatch.from_arrays([rows.column(0), lists(pa.array(values.view(np.int64)), first)], names=["id", "items"])
+    for _, values, first in _sets(batches):
+        yield pa.RecordBatch.from_arrays([_names(values, first), lists(pa.array(values.view(np.int64)), first)], names=["id", "items"])
+
+
+def _items(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows ``id`` and ``items`` (the full set) of the classes ``wanted``: ``rep`` is the row that gives the text, ``copies`` its number of rows."""
+    wanted = written(wanted.select("id", F.col("rep.doc_id").alias("doc_id"), F.col(f"rep.{TAG}").alias(TAG), F.col("rep.copies").alias("copies")))
+    found = null_safe(rows, wanted.filter("copies = 1").select("doc_id", TAG), ("doc_id", TAG), "left_semi")
+    again = wanted.filter("copies > 1").select("doc_id", TAG)
+    if not again.isEmpty():
+        found = found.unionByName(null_safe(rows, again, ("doc_id", TAG), "left_semi").dropDuplicates(["doc_id", TAG]))
+    return found.select("text").mapInArrow(_full, "id binary, items array<long>")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 85, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -100,19 +116,21 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, text: str = "text", ke
 
     Words are lower-cased (A-Z) runs of non-space; a document is the set of its distinct runs of five words (with fewer words: all of
     them as one). Documents are linked if 100 * intersection >= ``threshold`` * union, confirmed on full sets. ``component_id`` is
-    the smallest key that links reach; ``kept`` says that it is the row's own. Empty and NULL texts are linked with nothing. A row with
-    a NULL key joins its component but never names one; alone, its component is NULL. Repeated rows share their result; two texts
-    under one key are one node where that key stands for both. Thresholds of 80 and more keep the stated recall.
+    the smallest key that links reach; one text of it is ``kept``, that of the smallest key (of several texts under that key, the one with
+    the least tag). Empty and NULL texts are linked with nothing and kept. A row with a NULL key joins its component but never names one;
+    a component of NULL keys only is NULL and keeps one text too. Repeated rows share their result; texts under one key are compared like
+    any others. Thresholds of 80 and more keep the stated recall.
     """
     lean(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("doc_id"), row_tag(text).alias(TAG), F.col(text).alias("text"))
-    found = written(rows.mapInArrow(_sketch, f"doc_id {kind}, {TAG} long, n long, h1 long, h2 long, registers binary"))
-    classes = found.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("id"), F.first("registers").alias("registers"))
-    nodes = written(classes)
+    found = written(rows.mapInArrow(_sketch, f"doc_id {kind}, {TAG} long, n long, id binary, registers binary"))
+    alike = found.filter("n > 0").groupBy("id", "doc_id", TAG).agg(F.first("n").alias("n"), F.count("*").alias("copies"), F.first("registers").alias("registers"))
+    row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", TAG, "copies")
+    nodes = written(alike.groupBy("id").agg(F.first("n").alias("n"), F.min(row).alias("rep"), F.first("registers").alias("registers")))
 
     band = F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("registers", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(BANDS)])).alias("bucket")
-    entries = nodes.filter("id is not null").select("id", "n", band)
+    entries = nodes.select("id", "n", band)
     # written before it is joined: a join of two plain shuffles can be split where a bucket is very large
     leaders = written(entries.groupBy("bucket").agg(F.min("id").alias("leader"), F.count("*").alias("size")).filter("size > 1").drop("size"))
     crowded = written(entries.join(leaders, "bucket"))
@@ -122,22 +140,25 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, text: str = "text", ke
     of = components(links)
     placed = crowded.join(of, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
     open_ = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("bucket")
-    extra = written(_rest(rows, placed.join(open_, "bucket").select("id", "n", "component").distinct(), threshold))
+    extra = written(_rest(rows, nodes, placed.join(open_, "bucket").select("id", "n", "component").distinct(), threshold))
     if not extra.isEmpty():
         of = components(links.unionByName(extra))
 
-    member = found.join(nodes.select("n", "h1", "h2", "id"), ["n", "h1", "h2"], "left").join(of, "id", "left")
-    return member.select(
-        F.col("doc_id").alias(key), TAG, F.col("n").alias("n_shingles"), F.coalesce("component", "id", "doc_id").alias("component_id")
-    ).withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
+    # the row that names a component; written before it is joined, so a join can be split at a large component
+    named = nodes.select("id", "rep").join(of, "id")
+    best = written(named.groupBy("component").agg(F.min("rep").alias("best")))
+    first_of = nodes.select("id", "rep").join(named.select("id", "component").join(best, "component").select("id", "best"), "id", "left")
+    first_of = written(first_of.select("id", F.coalesce("best", "rep").alias("best")))
+    member = found.select("doc_id", TAG, "n", "id").join(first_of, "id", "left")
+    own = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col(TAG) == F.col(f"best.{TAG}"))
+    return member.select(F.col("doc_id").alias(key), TAG, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("best.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+                         ((F.col("n") == 0) | own).alias("kept"))
 
 
-def _rest(rows: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
+def _rest(rows: DataFrame, nodes: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
     """Links between different components among ``members`` (id, n, component), by prefixes of their sets from rare to frequent."""
-    kind = rows.schema["doc_id"].dataType.simpleString()
     members = written(members)
-    sets = rows.select("doc_id", "text").join(members.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_full, f"id {kind}, items array<long>")
-    sets = written(sets.join(members.select("id", "component"), "id"))
+    sets = written(_items(rows, nodes.join(members.select("id"), "id", "left_semi")).join(members.select("id", "component"), "id"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, dtype=np.int64)
@@ -163,7 +184,7 @@ def _rest(rows: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(flat[order][keep]), pa.array(size[row[keep]]), pa.array(place[keep])],
                                              names=["id", "component", "item", "n", "place"])
 
-    fronts = sets.mapInArrow(front, f"id {kind}, component {kind}, item long, n long, place long")
+    fronts = sets.mapInArrow(front, "id binary, component binary, item long, n long, place long")
     left, right = fronts.alias("l"), fronts.alias("r")
     most = F.least(F.col("l.n") - F.col("l.place"), F.col("r.n") - F.col("r.place"))
     pairs = left.join(right, (F.col("l.item") == F.col("r.item")) & (F.col("l.component") != F.col("r.component")) & (F.col("l.id") < F.col("r.id"))
@@ -182,10 +203,8 @@ def _verified(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: in
     floor = threshold / 100 - 5 * (threshold / 100 * (1 - threshold / 100) / REGISTERS) ** 0.5
     side = [nodes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}")) for x in "ab"]
     likely = written(pairs.distinct().join(side[0], "a").join(side[1], "b").filter(_similarity("r_a", "r_b", "n_a", "n_b") >= floor).select("a", "b").distinct())
-    wanted = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct()
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    sets = rows.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(_full, f"id {kind}, items array<long>")
-    return _compared(likely, sets, threshold)
+    wanted = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
+    return _compared(likely, _items(rows, nodes.join(wanted, "id", "left_semi")), threshold)
 
 
 def keep_one(docs: DataFrame, threshold: int = 85, text: str = "text", key: str = "doc_id") -> DataFrame:

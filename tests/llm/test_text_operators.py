@@ -358,6 +358,25 @@ def test_crowded_buckets_are_searched_exactly(spark):
     assert got == sorted(setsketch.brute_force(texts))
 
 
+def test_null_and_repeated_keys_are_searched_like_others(spark):
+    base = [[f"q{k}x{i}" for i in range(100)] for k in range(6)]
+    near = lambda k, at: " ".join([*base[k][:at], "changed", *base[k][at + 1 :]])
+    own = lambda k: " ".join(base[k])
+    rows = [(None, own(0)), (None, near(0, 99)), (None, own(0)), (None, own(1)), (7, near(1, 99)), (8, own(2)), (8, near(2, 99)), (8, own(2)),
+            (9, own(3)), (9, own(4)), (3, near(3, 99)), (None, own(5)), (None, ""), (8, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    tags = {(r.doc_id, r._row_tag): r.text for r in table.select("doc_id", "text", common.row_tag("text")).toDF("doc_id", "text", "_row_tag").collect()}
+    got = setsketch.near_duplicates(table).collect()
+    component = {(r.doc_id, tags[r.doc_id, r._row_tag]): r.component_id for r in got}
+    assert len(got) == len(rows)
+    assert component == {(None, own(0)): None, (None, near(0, 99)): None, (None, own(1)): 7, (7, near(1, 99)): 7, (8, own(2)): 8, (8, near(2, 99)): 8,
+                         (9, own(3)): 3, (9, own(4)): 9, (3, near(3, 99)): 3, (None, own(5)): None, (None, ""): None, (8, ""): 8}
+    kept = Counter((r.doc_id, r.text) for r in setsketch.keep_one(table).collect())
+    assert max(kept.values()) == 1
+    assert len({t for k, t in kept if t in (own(0), near(0, 99))}) == 1 and len({t for k, t in kept if t in (own(2), near(2, 99))}) == 1
+    assert {x for x in kept if x[1] not in (own(0), near(0, 99), own(2), near(2, 99))} == {(7, near(1, 99)), (9, own(4)), (3, near(3, 99)), (None, own(5)), (None, ""), (8, "")}
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(3)
     pool = common.mix(rng.integers(1, 1 << 60, 1200).astype(np.uint64))
