@@ -74,3 +74,13 @@ def test_scans_read_only_needed_columns(spark):
 
 def test_entry(spark):
     assert entry_module.entry(spark).count() == 470
+
+
+@pytest.mark.parametrize("name", ["error_by_percentile", "efficiency_by_percentile"])
+def test_quantiles_of_the_whole_table_are_not_taken_as_bounded(spark, monkeypatch, name):
+    from drygrid.operators import verify
+
+    seen, exact = [], verify.exact_quantiles
+    monkeypatch.setattr(verify, "exact_quantiles", lambda df, value, probs, by, out, bounded: seen.append((by, bounded)) or exact(df, value, probs, by, out, bounded))
+    QUERIES[name](spark, FOLDER)
+    assert seen == [([], False)]
