@@ -1,5 +1,6 @@
 """DuckDB SQL for the rows of those queries that SQL can express."""
 
+from drygrid.llm.filter_audit import OP13_SQL
 from drygrid.llm.url_filter import OP10_SQL
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -45,4 +46,4 @@ shared AS (SELECT doc_id, item_id, count(*) AS n_shared FROM sh JOIN items ON it
 SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment FROM shared JOIN n USING (item_id) WHERE 100 * n_shared >= 80 * n_item
 """
 
-ORACLE_SQL = {"op6_near_duplicates": OP6_SQL, "op8_substring_dedup": OP8_SQL, "op9_decontamination": OP9_SQL, "op10_url_filter": OP10_SQL}
+ORACLE_SQL = {"op6_near_duplicates": OP6_SQL, "op8_substring_dedup": OP8_SQL, "op9_decontamination": OP9_SQL, "op10_url_filter": OP10_SQL, "op13_filter_audit": OP13_SQL}

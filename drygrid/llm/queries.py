@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from drygrid.llm import containment, factorisation, line_alignment, oracles, packing, recompression, secrets, setsketch, sharding, target_ratio, url_filter
+from drygrid.llm import (
+    containment, factorisation, filter_audit, lattice, line_alignment, oracles, packing, recompression, secrets, setsketch, sharding, target_ratio, token_alignment, url_filter,
+)
 
 QUERIES = {
     "op1_quality_classifier": factorisation.op1,
@@ -15,5 +17,8 @@ QUERIES = {
     "op8_substring_dedup": recompression.op8,
     "op9_decontamination": containment.op9,
     "op10_url_filter": url_filter.op10,
+    "op11_lattice_scores": lattice.op11,
+    "op12_token_alignment": token_alignment.op12,
+    "op13_filter_audit": filter_audit.op13,
 }
 ORACLE_SQL = oracles.ORACLE_SQL

@@ -68,6 +68,9 @@ def test_stages_survive_odd_tables(spark, messy, empty, tmp_path):
 @pytest.mark.parametrize("name", sorted(n for n in entry_module.queries() if n.startswith("op") and n[2].isdigit()))
 def test_registered_queries_cover_their_tables(spark, name):
     rows = entry_module.queries()[name](spark, FOLDER).collect()
+    if name.startswith("op13_"):
+        assert sum(r.kept + r.removed for r in rows if r.filter_order == "ABCDE" and r.step == 1) == spark.read.parquet(f"{FOLDER}/documents.parquet").count()
+        return
     table, key = ("pages", "page_id") if name.startswith("op10_") else ("documents", "doc_id")
     every = {r[key] for r in spark.read.parquet(f"{FOLDER}/{table}.parquet").collect()}
     assert {r[key] for r in rows} <= every
