@@ -27,7 +27,7 @@ from drygrid.llm.exchange import Part, answered, chunked, fields, tally, totals
 
 ROUNDS = 2
 PRIOR = 1000.0  # expected pieces that the vocabulary's own scores count for
-CELLS = 1 << 20  # cells of a lattice matrix: words of one length at once
+CELLS = 1 << 21  # bytes of words that go through lattices at once
 FOLDS, LEFT_OUT = 7, 2
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -123,7 +123,7 @@ class Lattice:
 
 
 def by_length(words: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers and bytes (behind a space) of words of one length, about ``CELLS`` bytes at a time."""
+    """Row numbers and bytes (behind a space) of words of one length, ``CELLS`` bytes at most unless one word is longer."""
     words = words.cast(pa.large_binary())
     _, offsets, data = words.buffers()
     offsets = np.frombuffer(offsets, dtype=np.int64)[words.offset : words.offset + len(words) + 1]
@@ -141,6 +141,18 @@ def by_length(words: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield rows, block.astype(np.int64)
 
 
+def larger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches joined to about ``CELLS`` bytes, so that many words of each length go through a lattice at once."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= CELLS:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 @dataclass
 class Model:
     """What is learnt: ``training`` tokens and ``distinct`` ones, ends among them, the lattice and the log probability of the end."""
@@ -170,9 +182,9 @@ def fit(words: DataFrame, ends: int, weights: dict[bytes, float], rounds: int =
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = np.zeros(len(sent.value.log))
-            for batch in batches:
-                weight = batch.column(1).to_numpy().astype(float)
-                for rows, block in by_length(batch.column(0)):
+            for table in larger(batches):
+                weight = table.column("n").to_numpy().astype(float)
+                for rows, block in by_length(table.column("entry").combine_chunks()):
                     found += sent.value.expected(block, weight[rows])
             some = np.flatnonzero(found)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(found[some])], names=["piece", "n"])
@@ -221,11 +233,11 @@ def marginals(words: DataFrame, model: Model) -> DataFrame:
     sent = words.sparkSession.sparkContext.broadcast(model.lattice)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.zeros(batch.num_rows)
-            for rows, block in by_length(batch.column(0)):
+        for table in larger(batches):
+            found = np.zeros(table.num_rows)
+            for rows, block in by_length(table.column("entry").combine_chunks()):
                 found[rows] = sent.value.marginal(block)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], names=["entry", "n", "log"])
+            yield from table.append_column("log", pa.array(found)).to_batches()
 
     return words.select("entry", "n").mapInArrow(run, "entry binary, n long, log double")
 
