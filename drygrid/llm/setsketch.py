@@ -11,8 +11,9 @@ two sets of known sizes is estimated jointly by maximum likelihood.
 3. Pairs whose estimate is five standard errors below the threshold are dropped, the rest compared on their full sets.
 4. Buckets whose members are still in several components hold texts that share a common passage, or copies just below the
    threshold. Their members are searched exactly: sets are ordered from rare to frequent shingles, and two sets that reach the
-   threshold share one of the first few, near enough to the front that the rest can still make up the intersection. Such pairs of
-   different components are compared on their full sets. No bucket is capped.
+   threshold share one of the first few, near enough to the front that the rest can still make up the intersection. How many sets have
+   a shingle is counted exactly; one that no other set has can't be shared, so texts that differ by too many own shingles never meet.
+   The most central member of each shingle is compared with the others first; then what is still in different components. No bucket is capped.
 
 A link at the threshold itself shares a bucket with probability 1 - 2.6e-7.
 """
@@ -27,10 +28,10 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from drygrid.llm.common import TAG, distinct_per_document, find_words, lean, lists, mix, null_safe, pieces, row_tag, shingles, written
 from drygrid.llm.components import components
+from drygrid.llm.exchange import Part, answered, chunked, fields, totals
 
 WORDS, BANDS, ROWS = 5, 32, 6
 REGISTERS = BANDS * ROWS
-SLOTS = 1 << 17  # counters of shingle frequencies for ordering
 BASE, RATE, LIMIT = 1.001, 20.0, (1 << 16) - 1
 _FACTORS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
 
@@ -156,40 +157,62 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, text: str = "text", ke
 
 
 def _rest(rows: DataFrame, nodes: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
-    """Links between different components among ``members`` (id, n, component), by prefixes of their sets from rare to frequent."""
+    """Links between different components among ``members`` (id, n, component), by prefixes of their sets from rare to frequent.
+
+    First one member of each prefix item meets the others: the one that has the fewest rarer items, the text which copies stem from if there
+    is one. What is still in different components then is paired.
+    """
     members = written(members)
     sets = written(_items(rows, nodes.join(members.select("id"), "id", "left_semi")).join(members.select("id", "component"), "id"))
+    fronts = written(_fronts(sets, threshold))
+    row = F.struct("place", "id", "component", "n")
+    # written before it is joined: a join of two plain shuffles can be split at a frequent item
+    centres = written(fronts.groupBy("item").agg(F.min(row).alias("c"), F.count("*").alias("size")).filter("size > 1").select("item", *[F.col(f"c.{x}").alias(f"c_{x}") for x in ("id", "component", "n", "place")]))
+    met = fronts.join(centres, "item").filter((F.col("component") != F.col("c_component")) & _reachable(threshold, "n", "place", "c_n", "c_place"))
+    near = written(_compared(met.select(F.least("id", "c_id").alias("a"), F.greatest("id", "c_id").alias("b")).distinct(), sets, threshold))
+
+    label = members.select("id", "component")
+    joined = near.join(label.withColumnsRenamed({"id": "a", "component": "x"}), "a").join(label.withColumnsRenamed({"id": "b", "component": "y"}), "b")
+    wider = components(joined.select("x", "y"), "x", "y").select(F.col("id").alias("component"), F.col("component").alias("wider"))
+    placed = written(fronts.join(wider, "component", "left").withColumn("component", F.coalesce("wider", "component")).drop("wider"))
+    open_ = written(placed.groupBy("item").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("item"))
+    placed = written(placed.join(open_, "item", "left_semi"))
+    left, right = placed.alias("l"), placed.alias("r")
+    pairs = left.join(right, (F.col("l.item") == F.col("r.item")) & (F.col("l.component") != F.col("r.component")) & (F.col("l.id") < F.col("r.id"))
+                      & _reachable(threshold, "l.n", "l.place", "r.n", "r.place")).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
+    return near.unionByName(_compared(pairs, sets, threshold))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, dtype=np.int64)
-        for batch in batches:
-            total += np.bincount(batch.column(0).flatten().to_numpy(zero_copy_only=False) & (SLOTS - 1), minlength=SLOTS)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["slot", "n"])
 
-    common = np.zeros(SLOTS, dtype=np.int64)  # about how frequent a shingle is; any order of shingles gives right results
-    for slot, n in sets.select("items").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n")).toLocalIterator():
-        common[slot] = n
+def _reachable(threshold: int, n: str, place: str, other_n: str, other_place: str):
+    """Whether two sets can reach the threshold when a common item stands at these places and no rarer one is common."""
+    most = F.least(F.col(n) - F.col(place), F.col(other_n) - F.col(other_place))
+    return F.lit(100 + threshold) * most >= F.lit(threshold) * (F.col(n) + F.col(other_n))
 
-    def front(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _fronts(sets: DataFrame, threshold: int) -> DataFrame:
+    """The first items of each set from rare to frequent, as many as two sets that reach the threshold need to share one.
+
+    How many sets have an item is counted exactly, through chunk dictionaries. Items of one set only keep their places but are left out.
+    """
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Part]]:
         for batch in batches:
-            items = batch.column(1)
-            size = items.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = items.flatten().to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(len(size)), size)
-            order = np.lexsort((flat, common[flat & (SLOTS - 1)], row))
-            place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-            keep = place < (size + (-threshold * size) // 100 + 1)[row]
-            at = pa.array(row[keep])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(flat[order][keep]), pa.array(size[row[keep]]), pa.array(place[keep])],
-                                             names=["id", "component", "item", "n", "place"])
-
-    fronts = sets.mapInArrow(front, "id binary, component binary, item long, n long, place long")
-    left, right = fronts.alias("l"), fronts.alias("r")
-    most = F.least(F.col("l.n") - F.col("l.place"), F.col("r.n") - F.col("r.place"))
-    pairs = left.join(right, (F.col("l.item") == F.col("r.item")) & (F.col("l.component") != F.col("r.component")) & (F.col("l.id") < F.col("r.id"))
-                      & (F.lit(100 + threshold) * most >= F.lit(threshold) * (F.col("l.n") + F.col("r.n")))).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
-    return _compared(pairs, sets, threshold)
+            items, size = batch.column(1), batch.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            entries, numbers = np.unique(items.flatten().to_numpy(zero_copy_only=False), return_counts=True)
+            place = np.searchsorted(entries, items.flatten().to_numpy(zero_copy_only=False))
+            yield 8 * len(place), Part(batch.column(0), batch.column(2), entries, entries.view(np.uint64), numbers, np.concatenate(([0], np.cumsum(size))), place, np.ones(len(place), np.int64))
+
+    def front(keys: pa.Array, marks: pa.Array, doc: np.ndarray, place: np.ndarray, times: np.ndarray, table: pa.Table) -> pa.Table:
+        held, item = (table.column(c).to_numpy()[place] for c in ("n", "item"))
+        order = np.lexsort((item, held, doc))
+        size = np.bincount(doc, minlength=len(keys))
+        at = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
+        keep = (at < (size + (-threshold * size) // 100 + 1)[doc]) & (held[order] > 1)
+        of = pa.array(doc[keep])
+        return pa.table({"id": keys.take(of), "component": marks.take(of), "item": item[order][keep], "n": size[doc[keep]], "place": at[keep]})
+
+    chunks = written(sets.select("id", "items", "component").mapInArrow(lambda batches: chunked(parts(batches), pa.int64(), pa.binary()), fields("binary", "long", "binary")))
+    counted = written(totals(chunks).withColumn("item", F.col("entry")))
+    return answered(chunks, counted, front, "id binary, component binary, item long, n long, place long")
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
