@@ -18,6 +18,8 @@ from drygrid.llm.common import Prefix, Words, find_words, lean, mix, pieces, wri
 
 SLOTS = 1 << 17  # half for words, half for pairs; for up to SLOT_DOCS documents
 SLOT_DOCS = 1 << 16
+MOST_SLOTS = 1 << 22  # a worker holds a table of 32 MB at most; beyond 67 million documents rare n-grams share slots more often
+KEY_BITS, KEY_HASHES = 1 << 25, 3  # filter of trusted keys, 4 MB; beyond 5 million keys more texts than the trusted ones move
 PRIOR = 0.1  # share of the corpus distribution mixed into the trusted one, against slots that no trusted document has
 LIMIT = -0.35
 WINDOW = 8
@@ -27,9 +29,9 @@ _LEADS = (np.arange(256) & 0xC0) != 0x80
 
 
 def slot_count(documents: int) -> int:
-    """``SLOTS``, doubled with every fourfold of ``SLOT_DOCS``."""
+    """``SLOTS``, doubled with every fourfold of ``SLOT_DOCS``, up to ``MOST_SLOTS``."""
     size = SLOTS
-    while documents > SLOT_DOCS * (size // SLOTS) ** 2:
+    while size < MOST_SLOTS and documents > SLOT_DOCS * (size // SLOTS) ** 2:
         size *= 2
     return size
 
@@ -49,29 +51,53 @@ def trusted_keys(labels: DataFrame, key: str = "doc_id", label: str = "quality")
     return labels.filter((F.col(label) == 1) & F.col(key).isNotNull()).select(F.col(key).alias("_id")).distinct()
 
 
+def _key_filter(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter of the column ``_id`` as bytes; what comes to the driver is as large as the filter."""
+    spots = F.explode(F.array(*[F.pmod(F.xxhash64("_id", F.lit(k)), F.lit(KEY_BITS)) for k in range(KEY_HASHES)])).alias("spot")
+    words = keys.select(spots).groupBy((F.col("spot") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot % 64 as int))")).alias("bits")).toArrow()
+    bits = np.zeros(KEY_BITS // 64, dtype=np.int64)
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return bits
+
+
+def _trusted_texts(docs: DataFrame, trusted: DataFrame, text: str, key: str) -> DataFrame:
+    """The texts of the rows with a trusted key. Only rows that pass a filter of these keys are shuffled; a merge join then tells exactly, at every size."""
+    bits = docs.sparkSession.sparkContext.broadcast(_key_filter(trusted))
+
+    @F.arrow_udf("boolean")
+    def listed(*spots: pa.Array) -> pa.Array:
+        found = True
+        for spot in (x.to_numpy(zero_copy_only=False) for x in spots):
+            found = found & ((bits.value[spot >> 6] >> (spot & 63)) & 1 > 0)
+        return pa.array(found)
+
+    rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    some = rows.filter(listed(*[F.pmod(F.xxhash64("_key", F.lit(k)), F.lit(KEY_BITS)) for k in range(KEY_HASHES)]))
+    return some.join(trusted.hint("merge"), F.col("_key") == F.col("_id"), "left_semi").select("_text")
+
+
+def _slot_counts(texts: DataFrame, size: int) -> np.ndarray:
+    """How often each slot comes in the column ``_text``; counted inside the tasks, added up by a shuffle."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(size, dtype=np.int64)
+        for _, data, offsets in pieces(batches, "_text"):
+            found += np.bincount(slots(find_words(data, offsets), size)[0], minlength=size)
+        some = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(found[some])], names=["slot", "n"])
+
+    table = texts.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most size rows
+    out = np.zeros(size, dtype=np.int64)
+    out[table.column("slot").to_numpy()] = table.column("n").to_numpy()
+    return out
+
+
 def log_ratio(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id") -> np.ndarray:
     """Centred log ratio of every slot (:func:`slot_count` numbers) from counts over all of ``docs``; ``trusted`` (``_id``) has distinct keys."""
     lean(docs.sparkSession)
     size = slot_count(docs.count())
-    # written before it is joined: a join of two plain shuffles can be split where a key is very frequent; few keys are broadcast by size
-    good_keys = written(trusted.withColumn("_good", F.lit(True)))
-    marked = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(good_keys, F.col("_key") == F.col("_id"), "left")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, good = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
-        for rows, data, offsets in pieces(batches, "_text"):
-            slot, doc = slots(find_words(data, offsets), size)
-            raw += np.bincount(slot, minlength=size)
-            good += np.bincount(slot[rows.column(1).fill_null(False).to_numpy(zero_copy_only=False)[doc]], minlength=size)
-        some = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(good[some])], names=["slot", "raw", "good"])
-
-    totals = marked.select("_text", "_good").mapInArrow(count, "slot long, raw long, good long").groupBy("slot").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
-    table = totals.toArrow()  # at most size rows
-    raw, good = np.full(size, 0.5), np.zeros(size)
-    at = table.column("slot").to_numpy()
-    raw[at] += table.column("raw").to_numpy()
-    good[at] += table.column("good").to_numpy()
+    # written before it is joined: a join of two plain shuffles can be split where a key is very frequent
+    good = _slot_counts(_trusted_texts(docs, written(trusted), text, key), size).astype(float)
+    raw = _slot_counts(docs.select(F.col(text).alias("_text")), size) + 0.5
     share = raw / raw.sum()
     if not good.sum():
         return np.zeros(size)  # nothing to compare with: all scores are 0
