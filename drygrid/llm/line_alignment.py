@@ -1,15 +1,18 @@
-"""Line de-duplication by common blocks of lines.
+"""Line de-duplication by pairwise alignment.
 
 A block is a run of consecutive lines with at least ``least_words`` words. A line leaves the later document if it lies in a block that
-an earlier document holds as well. That is what aligning every pair of documents gives when the alignment is repeated until the pair
-has no common block left, so passages that recur in a document, or stand in another order, go as well.
-
-No pairs are made. Each line names the shortest block that begins with it and the shortest one that ends with it. A line of a longer
-block lies in one of these that the longer block contains, so a document holds a common block exactly if it shares the shortest ones,
-whatever the frequency or length of the lines. Each shortest block is compared with its earliest holder: rows grow with the number of
-lines. The earliest holder of a line keeps it, so that copy is never removed.
-
-Lines are compared by their words; lines without words are never compared nor removed.
+an earlier document holds as well.
+
+1. Evidence: each line names the shortest block that begins with it and the shortest one that ends with it. A line of a longer block lies
+   in one of these that the longer block contains, so two documents hold a common block exactly if they share a shortest one, whatever
+   the frequency or length of the lines.
+2. Pairs: each document meets the earliest holder of each of its shortest blocks, so pairs are at most as many as lines, never all holders of one.
+3. Each pair's line names are aligned with patience diff: lines unique on both sides are anchors, the longest increasing chain of them cuts the
+   pair into ranges, and so on. Where a range has no unique line, a shortest block that both sides hold is the anchor, and the block grows
+   from there as far as both agree; this goes on until no common block is left that isn't marked.
+4. The marked lines leave the later document.
+
+Lines are compared by their words; lines without words are never compared nor removed. Line names travel, texts do not.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from drygrid.llm.common import TAG, Prefix, find_words, lean, null_safe, pieces, release, row_tag, written
+from drygrid.llm.common import TAG, Prefix, find_words, lean, lists, null_safe, pieces, release, row_tag, written
 
 LEAST_WORDS = 10
 
@@ -43,24 +46,27 @@ def shortest(words: np.ndarray, doc: np.ndarray, least_words: int) -> tuple[np.n
     return begins[once], ends[once]
 
 
-def _blocks(least_words: int):
+def line_names(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Name and number of words of every line with words, and its document."""
+    words = find_words(data, offsets)
+    breaks = np.flatnonzero(data[offsets[0] : offsets[-1]] == 10) + offsets[0]
+    line = np.searchsorted(breaks, words.start) + words.doc * (len(breaks) + 1)
+    begin = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))) if len(line) else np.zeros(0, np.int64)
+    end = np.append(begin[1:], len(line)) if len(begin) else begin
+    return Prefix(words.name).span(begin, end), end - begin, words.doc[begin]
+
+
+def _lines(least_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows key, tag, hash of a shortest block, place of its first line among the lines with words, number of lines."""
+        """A row for each document: key, tag, names and words of its lines with words, hashes of its shortest blocks."""
         for rows, data, offsets in pieces(batches, "_text"):
-            words = find_words(data, offsets)
-            breaks = np.flatnonzero(data[offsets[0] : offsets[-1]] == 10) + offsets[0]
-            line = np.searchsorted(breaks, words.start) + words.doc * (len(breaks) + 1)
-            begin = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))) if len(line) else np.zeros(0, np.int64)
-            end = np.append(begin[1:], len(line)) if len(begin) else begin
-            doc = words.doc[begin]
-            first = np.searchsorted(doc, np.arange(rows.num_rows))
-            start, stop = shortest(end - begin, doc, least_words)
-            name = Prefix(Prefix(words.name).span(begin, end)).span(start, stop)
-            of = doc[start]
-            at = pa.array(of)
+            names, words, doc = line_names(data, offsets)
+            start, stop = shortest(words, doc, least_words)
+            block = Prefix(names).span(start, stop)
+            every = np.arange(rows.num_rows + 1)
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0).take(at), rows.column(1).take(at), pa.array(name.view(np.int64)), pa.array((start - first[of]).astype(np.int32)),
-                 pa.array((stop - start).astype(np.int32))], names=["_key", TAG, "block", "place", "size"])
+                [rows.column(0), rows.column(1), lists(pa.array(names.view(np.int64)), np.searchsorted(doc, every)), lists(pa.array(words.astype(np.int32)), np.searchsorted(doc, every)),
+                 lists(pa.array(block.view(np.int64)), np.searchsorted(doc[start], every))], names=["_key", TAG, "names", "words", "blocks"])
     return run
 
 
@@ -122,14 +128,53 @@ def common_blocks(later: list[tuple[int, int]], earlier: list[tuple[int, int]],
     return out + (block if size >= least_words else [])
 
 
+def marked(later: list[int], earlier: list[int], words: list[int], least_words: int) -> list[int]:
+    """Places of the lines of ``later`` (names; ``words`` of each) that lie in a block which ``earlier`` holds too."""
+    size = dict(zip(later, words))
+    out = set(common_blocks(list(enumerate(later)), list(enumerate(earlier)), size, least_words))
+    if len(out) == len(later):
+        return sorted(out)
+    # what patience leaves: blocks that recur or stand in another order have no unique anchor, so shortest blocks of both sides are the anchors
+    begins, ends = (x.tolist() for x in shortest(np.array(words, dtype=np.int64), np.zeros(len(words), dtype=np.int64), least_words))
+    mine, theirs = (Prefix(np.array(x, dtype=np.int64).view(np.uint64)) for x in (later, earlier))
+    runs: dict[int, dict[int, int]] = {}  # for each number of lines: name of a run of the earlier document -> its place
+    for i, stop in zip(begins, ends):
+        if not all(k in out for k in range(i, stop)):
+            n = stop - i
+            if n not in runs:
+                start = np.arange(max(len(earlier) - n + 1, 0))
+                runs[n] = dict(zip(theirs.span(start, start + n).tolist(), start.tolist()))
+            j = runs[n].get(int(mine.span(np.array([i]), np.array([stop]))[0]))
+            j = j if j is not None and earlier[j : j + n] == later[i:stop] else None
+            if j is not None:
+                while i and j and later[i - 1] == earlier[j - 1]:
+                    i, j = i - 1, j - 1
+                while i < len(later) and j < len(earlier) and later[i] == earlier[j]:
+                    out.add(i)
+                    i, j = i + 1, j + 1
+    return sorted(out)
+
+
 def _removed(rows: DataFrame, kind: str, least_words: int) -> DataFrame:
     """Key, tag and the places of the lines that go, as a written table."""
-    blocks = written(rows.filter("_key is not null").mapInArrow(_blocks(least_words), f"_key {kind}, {TAG} long, block long, place int, size int"))
+    lines = written(rows.filter("_key is not null").mapInArrow(_lines(least_words), f"_key {kind}, {TAG} long, names array<long>, words array<int>, blocks array<long>"))
+    lines = lines.filter("size(blocks) > 0")
+    held = written(lines.select("_key", TAG, F.explode("blocks").alias("block")))
     # written before it is joined: a join of two plain shuffles can be split where a block is very frequent
-    leads = written(blocks.groupBy("block").agg(F.min("_key").alias("lead"), F.max("_key").alias("last")).filter("lead < last").drop("last"))
-    found = blocks.join(leads, "block").filter("lead < _key").select("_key", TAG, F.struct("place", "size").alias("run"))
-    places = F.flatten(F.transform("runs", lambda x: F.sequence(x["place"], x["place"] + x["size"] - 1)))
-    return written(found.groupBy("_key", TAG).agg(F.collect_set("run").alias("runs")).select("_key", TAG, F.array_distinct(places).alias("_gone")))
+    leads = written(held.groupBy("block").agg(F.min(F.struct("_key", TAG)).alias("lead"), F.max("_key").alias("last")).filter("lead._key < last").select("block", "lead"))
+    pairs = held.join(leads, "block").filter("lead._key < _key").select("_key", TAG, F.col("lead._key").alias("_lead"), F.col(f"lead.{TAG}").alias("_lead_tag")).distinct()
+    pairs = written(pairs)
+    own = written(lines.select("_key", TAG, "names", "words").dropDuplicates(["_key", TAG]))
+    theirs = own.select(F.col("_key").alias("_lead"), F.col(TAG).alias("_lead_tag"), F.col("names").alias("earlier"))
+    both = pairs.join(theirs, ["_lead", "_lead_tag"]).join(own, ["_key", TAG]).select("_key", TAG, "names", "words", "earlier")
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = [marked(a.as_py(), b.as_py(), w.as_py(), least_words) for a, w, b in zip(batch.column(2), batch.column(3), batch.column(4))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(places, pa.list_(pa.int32()))], names=["_key", TAG, "places"])
+
+    found = both.mapInArrow(align, f"_key {kind}, {TAG} long, places array<int>")
+    return written(found.groupBy("_key", TAG).agg(F.collect_set("places").alias("runs")).select("_key", TAG, F.array_distinct(F.flatten("runs")).alias("_gone")))
 
 
 @F.arrow_udf(T.StructType([T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]))
@@ -151,10 +196,10 @@ def _without(texts: pa.Array, gone: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(lines, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["n_lines", "n_removed", "kept"])
 
 
-def line_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", rare: int | None = None, least_words: int = LEAST_WORDS) -> DataFrame:
+def line_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", least_words: int = LEAST_WORDS) -> DataFrame:
     """The rows of ``docs`` with ``text`` freed of common blocks, and ``n_lines`` (with words, before) and ``n_removed``.
 
-    ``rare`` has no effect and is kept for callers: lines of any frequency are compared. "Later" means the greater key. Rows with a NULL key, NULL or empty text stay as they are, rows with the same key are not compared
+    Lines of any frequency are compared. "Later" means the greater key. Rows with a NULL key, NULL or empty text stay as they are, rows with the same key are not compared
     with each other, repeated rows share their result. A document all of whose lines go keeps its row, with an empty text.
     Columns of ``docs`` called ``n_lines`` or ``n_removed`` are replaced. Empty tables give no rows.
     """
@@ -173,7 +218,7 @@ def op5(spark, folder: str) -> DataFrame:
     return line_dedup(docs).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-def brute_force(texts: list[tuple[int, str | None]], rare: int | None = None, least_words: int = LEAST_WORDS) -> list[tuple[int, int, int, str]]:
+def brute_force(texts: list[tuple[int, str | None]], least_words: int = LEAST_WORDS) -> list[tuple[int, int, int, str]]:
     """The same from all pairs of equal lines, each extended as far as both documents agree; for tests. Returns key, lines, removed lines, kept text."""
     split = {k: [(p.encode().split(), p) for p in (t or "").split("\n")] for k, t in texts}
     names = {k: [tuple(w) for w, _ in lines if w] for k, lines in split.items()}

@@ -247,9 +247,9 @@ def test_line_alignment_against_plain_version(spark, docs, messy, empty, texts):
     want = {k: (n, m, t) for k, n, m, t in line_alignment.brute_force(texts)}
     assert {k: (n, m, t or "") for k, (n, m, t) in got.items()} == want
     assert sum(m for _, m, _ in want.values()) > 10 and got[0][2] is None
-    for rare in (1, 2):
-        got = {r.doc_id: (r.n_lines, r.n_removed) for r in line_alignment.line_dedup(docs, rare=rare).collect()}
-        assert got == {k: (n, m) for k, n, m, _ in line_alignment.brute_force(texts, rare=rare)}
+    for least in (1, 40):
+        got = {r.doc_id: (r.n_lines, r.n_removed) for r in line_alignment.line_dedup(docs, least_words=least).collect()}
+        assert got == {k: (n, m) for k, n, m, _ in line_alignment.brute_force(texts, least_words=least)}
     rows = line_alignment.line_dedup(messy).collect()
     assert len(rows) == messy.count() and line_alignment.line_dedup(empty).collect() == []
     assert all(r.n_removed == 0 for r in rows if r.doc_id is None)
@@ -300,6 +300,23 @@ def test_what_patience_aligns_is_removed(a, b):
     assert line_alignment.brute_force([(1, early), (2, late)])[1][2] >= len(set(aligned))
 
 
+@given(st.lists(st.integers(0, 4), max_size=25), st.lists(st.integers(0, 4), max_size=25))
+@settings(max_examples=200, deadline=None)
+def test_aligned_pairs_have_all_common_blocks_marked(a, b):
+    words = [x + 2 for x in b]
+    early, late = ("\n".join(line(x, x + 2) for x in s) for s in (a, b))
+    gone = line_alignment.marked(b, a, words, 10)
+    assert len(gone) == (line_alignment.brute_force([(1, early), (2, late)])[1][2] if b else 0)
+
+
+def test_patience_aligns_most_of_a_pair(monkeypatch):
+    """The fallback serves only what patience leaves."""
+    calls = []
+    monkeypatch.setattr(line_alignment, "shortest", lambda *x: calls.append(x) or (np.zeros(0, int), np.zeros(0, int)))
+    assert line_alignment.marked([1, 2, 3, 4], [9, 1, 2, 3, 4], [5] * 4, 10) == [0, 1, 2, 3] and not calls
+    assert line_alignment.marked([1, 2, 7, 3, 4], [1, 2, 8, 3, 4], [5] * 5, 10) == [0, 1, 3, 4] and len(calls) == 1
+
+
 def test_blocks_of_short_lines_go(spark):
     verse = "\n".join(line(k, 4) for k in range(40))
     gone = removed_lines(spark, [(1, verse), (2, verse), (3, f"{line(90, 3)}\n{line(5, 4)}\n{line(6, 4)}\n{line(91, 3)}")])
