@@ -47,6 +47,33 @@ def graph_scaled_laplacian(t):
     return out(gr.supports(edges(t), "scalap")[0])
 
 
+LANCZOS_STEPS = 5
+
+
+def lanczos_sql() -> str:
+    """The recursion unrolled: q_k has node, x (this vector) and y (matrix times x, less the last beta times the vector before)."""
+    parts = [f"""WITH {EDGES}, tw AS (SELECT src, dst, w FROM ed UNION ALL SELECT dst, src, w FROM ed), un AS (SELECT src, dst, MAX(w) AS w FROM tw GROUP BY 1, 2), ud AS (SELECT src AS node, SUM(w) AS d FROM un GROUP BY 1),
+ lp AS (SELECT src, dst, SUM(w) AS w FROM (SELECT node AS src, node AS dst, 1.0::DOUBLE AS w FROM nd UNION ALL SELECT un.src, dst, -w / SQRT(a.d) / SQRT(b.d) FROM un JOIN ud a ON a.node = un.src JOIN ud b ON b.node = un.dst) GROUP BY 1, 2),
+ r0 AS (SELECT node, node % 1009 * 7919 % 1009 / 1009 - 0.5::DOUBLE AS x FROM nd), v0 AS (SELECT node, x / (SELECT SQRT(SUM(x * x)) FROM r0) AS x, 0.0::DOUBLE AS p, 0.0::DOUBLE AS b FROM r0)"""]
+    for k in range(LANCZOS_STEPS):
+        parts.append(f"""m{k} AS (SELECT dst AS node, SUM(w * x) AS y FROM lp JOIN v{k} ON v{k}.node = src GROUP BY 1), q{k} AS (SELECT v{k}.node, x, y - b * p AS y FROM v{k} JOIN m{k} ON m{k}.node = v{k}.node),
+ c{k} AS (SELECT SUM(x * y) AS alpha, SQRT(SUM(y * y) - SUM(x * y) * SUM(x * y)) AS beta FROM q{k}),
+ v{k + 1} AS (SELECT node, (y - x * (SELECT alpha FROM c{k})) / (SELECT beta FROM c{k}) AS x, x AS p, (SELECT beta FROM c{k}) AS b FROM q{k})""")
+    return ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT {k} AS step, ROUND(alpha, 6) AS alpha, ROUND(beta, 6) AS beta FROM c{k}" for k in range(LANCZOS_STEPS))
+
+
+@query("graph_lanczos", lanczos_sql())
+def graph_lanczos(t):
+    """The tridiagonal matrix whose largest eigenvalue stands for that of the Laplacian."""
+    alpha, beta = gr.lanczos(gr.normalised_laplacian(gr.undirected(edges(t))), LANCZOS_STEPS)
+    return t.spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(zip(alpha, beta))], "step int, alpha double, beta double").select("step", r6("alpha"), r6("beta"))
+
+
+@query("graph_scaled_laplacian_by_eigenvalue")
+def graph_scaled_laplacian_by_eigenvalue(t):
+    return out(gr.scaled_laplacian(edges(t), lambda_max=None))
+
+
 @query("graph_identity", f"""WITH {EDGES} SELECT node AS src, node AS dst, 1.0::DOUBLE AS w FROM nd""")
 def graph_identity(t):
     return out(gr.supports(edges(t), "identity")[0])
@@ -61,15 +88,17 @@ def graph_diffusion(t):
 
 
 @query("distance_graph", """WITH c AS (SELECT s_suppkey AS id, -5.25 + (s_suppkey // 10) * 0.2::DOUBLE AS lat, 32.25 + (s_suppkey % 10) * 0.25::DOUBLE AS lon FROM supplier),
- p AS (SELECT a.id AS src, b.id AS dst, 2 * 6371.0088::DOUBLE * ASIN(LEAST(SQRT(POW(SIN(RADIANS(b.lat - a.lat) / 2), 2) + COS(RADIANS(a.lat)) * COS(RADIANS(b.lat)) * POW(SIN(RADIANS(b.lon - a.lon) / 2), 2)), 1)) AS d FROM c a CROSS JOIN c b),
- s AS (SELECT STDDEV_POP(d) AS sd FROM p), w AS (SELECT src, dst, EXP(-POW(d / sd, 2)) AS w FROM p, s) SELECT src, dst, ROUND(w, 6) AS w FROM w WHERE w >= 0.05""")
+ a AS (SELECT id, lat, lon, UNNEST((SELECT LIST({'id': id, 'lat': lat, 'lon': lon}) FROM c)) AS b FROM c),
+ p AS (SELECT id AS src, b.id AS dst, 2 * 6371.0088::DOUBLE * ASIN(LEAST(SQRT(POW(SIN(RADIANS(b.lat - lat) / 2), 2) + COS(RADIANS(lat)) * COS(RADIANS(b.lat)) * POW(SIN(RADIANS(b.lon - lon) / 2), 2)), 1)) AS d FROM a),
+ w AS (SELECT src, dst, EXP(-POW(d / (SELECT STDDEV_POP(d) FROM p), 2)) AS w FROM p) SELECT src, dst, ROUND(w, 6) AS w FROM w WHERE w >= 0.05""")
 def distance_graph(t):
     return gr.distance_adjacency(t.cells()).select("src", "dst", r6("w"))
 
 
 @query("distance_graph_of_valid_cells", """WITH c AS (SELECT s_suppkey AS id, -5.25 + (s_suppkey // 10) * 0.2::DOUBLE AS lat, 32.25 + (s_suppkey % 10) * 0.25::DOUBLE AS lon FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem GROUP BY 1 HAVING COUNT(*) FILTER (l_quantity = 50 AND l_linenumber = 7) > 0)),
- p AS (SELECT a.id AS src, b.id AS dst, 2 * 6371.0088::DOUBLE * ASIN(LEAST(SQRT(POW(SIN(RADIANS(b.lat - a.lat) / 2), 2) + COS(RADIANS(a.lat)) * COS(RADIANS(b.lat)) * POW(SIN(RADIANS(b.lon - a.lon) / 2), 2)), 1)) AS d FROM c a CROSS JOIN c b),
- s AS (SELECT STDDEV_POP(d) AS sd FROM p), w AS (SELECT src, dst, EXP(-POW(d / sd, 2)) AS w FROM p, s) SELECT src, dst, ROUND(w, 6) AS w FROM w WHERE w >= 0.05""")
+ a AS (SELECT id, lat, lon, UNNEST((SELECT LIST({'id': id, 'lat': lat, 'lon': lon}) FROM c)) AS b FROM c),
+ p AS (SELECT id AS src, b.id AS dst, 2 * 6371.0088::DOUBLE * ASIN(LEAST(SQRT(POW(SIN(RADIANS(b.lat - lat) / 2), 2) + COS(RADIANS(lat)) * COS(RADIANS(b.lat)) * POW(SIN(RADIANS(b.lon - lon) / 2), 2)), 1)) AS d FROM a),
+ w AS (SELECT src, dst, EXP(-POW(d / (SELECT STDDEV_POP(d) FROM p), 2)) AS w FROM p) SELECT src, dst, ROUND(w, 6) AS w FROM w WHERE w >= 0.05""")
 def distance_graph_of_valid_cells(t):
     from drygrid.operators.subset import keep_cells
 

@@ -187,9 +187,10 @@ def ensemble_by_horizon(t):
 
 
 @query("ensemble_interval", f"""WITH {ENSEMBLE}, m AS (SELECT init_date, member, AVG(y_pred) AS a FROM ej GROUP BY 1, 2), s AS (SELECT init_date, AVG(a) AS mean, STDDEV_SAMP(a) AS std, COUNT(a) AS n FROM m GROUP BY 1)
-SELECT init_date, ROUND(mean, 6) AS mean, n, ROUND(mean - ([12.706, 4.303, 3.182, 2.776, 2.571, 2.447])[n - 1]::DOUBLE * std / SQRT(n), 6) AS lower, ROUND(mean + ([12.706, 4.303, 3.182, 2.776, 2.571, 2.447])[n - 1]::DOUBLE * std / SQRT(n), 6) AS upper FROM s""")
+SELECT init_date, ROUND(mean, 9) AS mean, n, ROUND(mean - ([12.706, 4.303, 3.182, 2.776, 2.571, 2.447])[n - 1]::DOUBLE * std / SQRT(n), 9) AS lower, ROUND(mean + ([12.706, 4.303, 3.182, 2.776, 2.571, 2.447])[n - 1]::DOUBLE * std / SQRT(n), 9) AS upper FROM s""")
 def ensemble_interval(t):
-    return vf.ensemble_interval(ensemble(t)).select("init_date", r6("mean"), "n", r6("lower"), r6("upper"))
+    # nine digits: means of fiftieths over powers of two end at the seventh digit, halfway between two six-digit numbers
+    return vf.ensemble_interval(ensemble(t)).select("init_date", "n", *[F.round(c, 9).alias(c) for c in ("mean", "lower", "upper")])
 
 
 # --- structure and correlation -------------------------------------------------------------------------
@@ -229,7 +230,7 @@ def bias_corrected_forecast(t):
     return vf.bias_corrected(t.forecast(), by=["model"]).select("model", "valid_date", "cell_id", r6("y_corrected"))
 
 
-@query("bias_corrected_together", f"""WITH {FORECAST}, l AS (SELECT REGR_SLOPE(y, y_pred) AS s, REGR_INTERCEPT(y, y_pred) AS i FROM fc) SELECT model, valid_date, cell_id, ROUND(y_pred * s + i, 6) AS y_corrected FROM fc, l""")
+@query("bias_corrected_together", f"""WITH {FORECAST}, l AS (SELECT REGR_SLOPE(y, y_pred) AS s, REGR_INTERCEPT(y, y_pred) AS i FROM fc) SELECT model, valid_date, cell_id, ROUND(y_pred * (SELECT s FROM l) + (SELECT i FROM l), 6) AS y_corrected FROM fc""")
 def bias_corrected_together(t):
     return vf.bias_corrected(t.forecast()).select("model", "valid_date", "cell_id", r6("y_corrected"))
 

@@ -7,6 +7,7 @@ therefore aggregated to the cube before any window runs.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
@@ -80,3 +81,19 @@ def to_wide(df: DataFrame, keys: Keys, name: str, value: str, names: Sequence[st
 
 def to_long(df: DataFrame, keys: Keys, values: Sequence[str], name: str = "variable", value: str = "value") -> DataFrame:
     return df.unpivot(list(keys), list(values), name, value)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept below ``spark.checkpoint.dir``, so a plan that is built step by step doesn't grow.
+
+    Only a local session without that setting gets a folder of its own.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from drygrid.functions.grid import EARTH_RADIUS_KM
+from drygrid.operators.common import checkpointed
 
 BLOCK = 512
 MEASURES = ("euclidean", "mahalanobis", "jensenshannon", "correlation")
@@ -284,11 +285,57 @@ def undirected(edges: DataFrame) -> DataFrame:
     return top.select("src", "dst", F.when(F.col("_n") < 2, F.greatest("w", F.lit(0.0))).otherwise(F.col("w")).alias("w"))
 
 
-def scaled_laplacian(edges: DataFrame, lambda_max: float = 2.0, make_undirected: bool = True, nodes: DataFrame | None = None) -> DataFrame:
-    """(2 / lambda) L - I."""
+def lanczos(matrix: DataFrame, steps: int = 40, tolerance: float = 0.0) -> tuple[list[float], list[float]]:
+    """Diagonal and side diagonal of the tridiagonal matrix that Lanczos steps make of a symmetric one (src, dst, w; integer nodes).
+
+    A step is one join of the entries with the vector and one sum for each node, combined before the shuffle; two sums reach the driver.
+    Vectors are checkpointed, so no plan grows. It stops after ``steps``, when the vectors span all there is, or when the residual of the largest
+    eigenvalue (last beta times the last component of its vector) is at most ``tolerance`` of it. Runs one job a step.
+    """
+    nodes = graph_nodes(matrix)
+    first = F.pmod(F.pmod(F.col("node").cast("long"), F.lit(1009)) * 7919, F.lit(1009)) / 1009 - 0.5
+    state = checkpointed(nodes.select("node", first.alias("x"), F.lit(0.0).alias("p")))
+    norm = state.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0]
+    alpha: list[float] = []
+    beta: list[float] = []
+    if not norm:
+        return alpha, beta
+    state = state.withColumn("x", F.col("x") / norm)
+    for _ in range(steps):
+        last = beta[-1] if beta else 0.0
+        moved = matrix.join(state.select(F.col("node").alias("src"), "x"), "src").select(F.col("dst").alias("node"), (F.col("w") * F.col("x")).alias("y"), F.lit(0.0).alias("x"))
+        own = state.select("node", (F.col("p") * -last).alias("y"), "x")
+        product = checkpointed(moved.unionByName(own).groupBy("node").agg(F.sum("y").alias("y"), F.sum("x").alias("x")))
+        a, square = product.agg(F.sum(F.col("x") * F.col("y")), F.sum(F.col("y") * F.col("y"))).first()
+        b = math.sqrt(max(square - a * a, 0.0))
+        alpha.append(a)
+        beta.append(b)
+        values, vectors = np.linalg.eigh(np.diag(alpha) + np.diag(beta[:-1], 1) + np.diag(beta[:-1], -1))
+        top = int(np.abs(values).argmax())
+        if b <= 1e-8 * max(abs(values[top]), 1e-300) or abs(b * vectors[-1, top]) <= tolerance * abs(values[top]):
+            break
+        state = product.select("node", ((F.col("y") - F.col("x") * a) / b).alias("x"), F.col("x").alias("p"))
+    return alpha, beta
+
+
+def largest_eigenvalue(matrix: DataFrame, steps: int = 60, tolerance: float = 1e-6) -> float:
+    """The eigenvalue of largest magnitude of a symmetric matrix (src, dst, w), by :func:`lanczos`; 0 for an empty one."""
+    alpha, beta = lanczos(matrix, steps, tolerance)
+    if not alpha:
+        return 0.0
+    values = np.linalg.eigvalsh(np.diag(alpha) + np.diag(beta[:-1], 1) + np.diag(beta[:-1], -1))
+    return float(values[np.abs(values).argmax()])
+
+
+def scaled_laplacian(edges: DataFrame, lambda_max: float | None = 2.0, make_undirected: bool = True, nodes: DataFrame | None = None) -> DataFrame:
+    """(2 / lambda) L - I. Without ``lambda_max`` the largest eigenvalue of L is searched first (jobs run); L must be symmetric for that."""
     nodes = graph_nodes(edges) if nodes is None else nodes
     base = undirected(edges) if make_undirected else edges
-    lap = normalised_laplacian(base, nodes).withColumn("w", F.col("w") * F.lit(2.0 / lambda_max))
+    lap = normalised_laplacian(base, nodes)
+    if lambda_max is None:
+        lap = checkpointed(lap)
+        lambda_max = largest_eigenvalue(lap) or 2.0
+    lap = lap.withColumn("w", F.col("w") * F.lit(2.0 / lambda_max))
     minus = identity(nodes).withColumn("w", F.lit(-1.0))
     return lap.unionByName(minus).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 

@@ -112,33 +112,47 @@ def fill_nearest_in_space(
 
     @F.arrow_udf(ArrayType(DoubleType()))
     def fill(y: pa.Array, x: pa.Array, v: pa.Array, cy: pa.Array, cv: pa.Array) -> pa.Array:
-        ends = np.concatenate([[0], np.cumsum(x.value_lengths().to_numpy(zero_copy_only=False))]).astype(int)
-        y = y.to_numpy(zero_copy_only=False)
+        size = x.value_lengths().to_numpy(zero_copy_only=False)
         x, v, cy, cv = (c.flatten().to_numpy(zero_copy_only=False) for c in (x, v, cy, cv))
-        out = v.astype(float, copy=True)
-        for i in range(len(y)):
-            s = slice(ends[i], ends[i + 1])
-            out[s] = _fill_line(out[s], x[s], y[i], cy[s], cv[s], reach)
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out, from_pandas=True))
+        out = _fill_lines(np.repeat(np.arange(len(size)), size), np.repeat(y.to_numpy(zero_copy_only=False), size), x, v, cy, cv, reach)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(out, from_pandas=True))
 
     done = lines.select("_rows", fill("_y", "_x", "_v", "_cy", "_cv").alias("_filled")).select(F.inline(F.arrays_zip("_rows", "_filled")))
     return done.select(*[F.col("_filled").alias(c) if c == value else F.col("_rows")[c].alias(c) for c in df.columns])
 
 
-def _fill_line(v: np.ndarray, x: np.ndarray, y: float, cy: np.ndarray, cv: np.ndarray, reach: float) -> np.ndarray:
-    """Fill the holes of one parallel from the nearest candidate, at most 512 holes at a time."""
-    holes, has = np.flatnonzero(np.isnan(v)), np.flatnonzero(~np.isnan(cv))
-    if not len(holes) or not len(has):
-        return v
-    cy, cv, cx = cy[has], cv[has], x[has]
-    rise = (cy - y) ** 2
-    for start in range(0, len(holes), 512):
-        part = holes[start:start + 512]
-        far = np.round((x[part, None] - cx[None, :]) ** 2 + rise[None, :], 9)
-        near = far.min(axis=1)
-        pick = np.where(far == near[:, None], cy[None, :], np.inf).argmin(axis=1)
-        hit = near <= reach * reach
-        v[part[hit]] = cv[pick[hit]]
+def _fill_lines(line: np.ndarray, y: np.ndarray, x: np.ndarray, v: np.ndarray, cy: np.ndarray, cv: np.ndarray, reach: float) -> np.ndarray:
+    """Fill the holes of many parallels at once; the cells of a line are sorted by longitude.
+
+    From each hole the search walks to the nearest candidates west and east and stops where the longitude alone is farther than the
+    best one: a hole costs as many steps as its nearest value is columns away, however long the line.
+    """
+    v = v.astype(float, copy=True)
+    has = ~np.isnan(cv)
+    px, py, pv = x[has], cy[has], cv[has]
+    rise = (py - y[has]) ** 2
+    before = np.concatenate(([0], np.cumsum(has)))
+    first = np.searchsorted(line[has], np.arange(line[-1] + 2 if len(line) else 1))
+    hole = np.flatnonzero(np.isnan(v))
+    low, high = first[line[hole]], first[line[hole] + 1]
+    best = np.stack([np.full(len(hole), np.inf)] * 3)  # distance, latitude, longitude: the least of them in this order wins
+    pick = np.full(len(hole), -1)
+    for step, at in ((1, before[hole]), (-1, before[hole] - 1)):
+        live, at = np.arange(len(hole)), at.copy()
+        while len(live):
+            inside = (at >= low[live]) & (at < high[live])
+            live, at = live[inside], at[inside]
+            aside = (x[hole[live]] - px[at]) ** 2
+            near = np.round(aside, 9) <= best[0, live]
+            live, at, aside = live[near], at[near], aside[near]
+            found = np.stack([np.round(aside + rise[at], 9), py[at], px[at]])
+            old = best[:, live]
+            wins = (found[0] < old[0]) | (found[0] == old[0]) & ((found[1] < old[1]) | (found[1] == old[1]) & (found[2] < old[2]))
+            best[:, live[wins]] = found[:, wins]
+            pick[live[wins]] = at[wins]
+            at = at + step
+    hit = (pick >= 0) & (best[0] <= reach * reach)
+    v[hole[hit]] = pv[pick[hit]]
     return v
 
 

@@ -116,6 +116,26 @@ def matrix(df, n):
     return out
 
 
+def test_largest_eigenvalue_against_numpy(spark):
+    rng = np.random.default_rng(4)
+    for size, share in ((2, 1.0), (40, 0.1), (25, 1.0)):
+        w = np.triu(rng.random((size, size)) * (rng.random((size, size)) < share), 1)
+        matrix = w + w.T + np.diag(rng.normal(size=size) * 3)
+        entries = spark.createDataFrame([(i, j, float(matrix[i, j])) for i in range(size) for j in range(size) if matrix[i, j] or i == j], "src long, dst long, w double")
+        values = np.linalg.eigvalsh(matrix)
+        assert gr.largest_eigenvalue(entries, tolerance=1e-9) == pytest.approx(values[np.abs(values).argmax()], rel=1e-6)
+    assert gr.largest_eigenvalue(entries.limit(0)) == 0.0
+    one = spark.createDataFrame([(5, 5, -2.5)], "src long, dst long, w double")
+    assert gr.largest_eigenvalue(one) == pytest.approx(-2.5)
+
+
+def test_scaled_laplacian_by_its_eigenvalue(spark):
+    edges = spark.createDataFrame([(1, 2, 1.0), (2, 3, 2.0), (3, 4, 1.0), (1, 4, 0.5)], "src long, dst long, w double")
+    got = {(r.src, r.dst): r.w for r in gr.scaled_laplacian(edges, lambda_max=None).collect()}
+    scaled = np.array([[got.get((i, j), 0.0) for j in range(1, 5)] for i in range(1, 5)])
+    assert np.abs(np.linalg.eigvalsh(scaled)).max() == pytest.approx(1.0, abs=1e-5)
+
+
 def test_graph_normalisations(spark):
     rng = np.random.default_rng(14)
     a = rng.random((6, 6)) * (rng.random((6, 6)) < 0.5)

@@ -2,6 +2,7 @@ import datetime as dt
 
 import numpy as np
 import pytest
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from drygrid.functions.grid import GridSpec
@@ -103,6 +104,23 @@ def test_nearest_fill_against_all_pairs(spark):
     assert near.where("value IS NULL").count() > df.where("time = 0").count()
 
 
+@given(st.integers(1, 4), st.integers(1, 9), st.integers(0, 2**32 - 1))
+@settings(max_examples=60, deadline=None)
+def test_lines_are_filled_from_the_nearest_candidate(lines, cells, seed):
+    """Against all pairs, with many ties and candidates of several latitudes."""
+    rng = np.random.default_rng(seed)
+    line, x = np.repeat(np.arange(lines), cells), np.tile(np.arange(cells) * 0.5, lines)
+    y = np.repeat(rng.integers(0, 4, lines).astype(float), cells)
+    cy = y + rng.integers(-3, 4, len(x))
+    cv = np.where(rng.random(len(x)) < 0.5, rng.integers(0, 99, len(x)).astype(float), np.nan)
+    v = np.where((rng.random(len(x)) < 0.4) & ~np.isnan(cv), cv, np.nan)
+    got = spatial._fill_lines(line, y, x, v, cy, cv, np.inf)
+    for i in range(len(x)):
+        near = [(round((x[i] - x[j]) ** 2 + (cy[j] - y[i]) ** 2, 9), cy[j], x[j], cv[j]) for j in range(len(x)) if line[j] == line[i] and not np.isnan(cv[j])]
+        want = v[i] if not np.isnan(v[i]) else min(near)[3] if near else np.nan
+        assert got[i] == want or (np.isnan(got[i]) and np.isnan(want))
+
+
 def test_align_and_periods(spark):
     d = dt.datetime
     a = spark.createDataFrame([(1, d(2020, 1, 1, 6), 1.0), (1, d(2020, 1, 1, 18), 2.0), (1, d(2020, 1, 2), 3.0)], "cell_id long, time timestamp, a double")
