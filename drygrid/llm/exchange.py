@@ -42,7 +42,7 @@ def unsqueeze(data: bytes) -> np.ndarray:
 def tally(doc: np.ndarray, entry: np.ndarray, documents: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct entries (below 2**31) of each document and how often each comes: first positions, entries, times."""
     both, times = np.unique((doc.astype(np.int64) << 31) | entry, return_counts=True)
-    return np.searchsorted(both >> 31, np.arange(documents + 1)), both & ((1 << 31) - 1), times
+    return np.searchsorted(both >> 31, np.arange(documents + 1)), (both & ((1 << 31) - 1)).astype(np.int32), times.astype(np.int32)
 
 
 @dataclass

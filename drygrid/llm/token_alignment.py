@@ -222,7 +222,7 @@ def _chunks(docs: DataFrame, text: str, key: str, paths: tuple[str, str | None,
             link_doc = doc[found.links_a]
             code = found.a[found.links_a].astype(np.int64) * len(tokens.b) + found.b[found.links_b]
             first, entry, times = tally(link_doc, code, len(keys))
-            entries, place = np.unique(entry, return_inverse=True)
+            entries, place = np.unique(entry.astype(np.int64), return_inverse=True)
             marks = pa.StructArray.from_arrays([
                 pa.array(np.diff(found.a_first)), pa.array(np.diff(found.b_first)), pa.array(np.bincount(doc[found.a_cut], minlength=len(keys))),
                 pa.array(np.bincount(link_doc, minlength=len(keys))), pa.array(group_digests(found), pa.string())], fields=list(_MARKS))
