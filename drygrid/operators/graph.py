@@ -12,34 +12,46 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from drygrid.functions.grid import EARTH_RADIUS_KM
 from drygrid.operators.common import checkpointed
 
 BLOCK = 512
+PIECE = 2_000_000  # numbers held at once by a task, beyond its block pair
+LATTICE = 1e-9  # degrees: longitudes closer than this are one
+ROUNDING = 1e-15  # of a squared sine; half a metre on the ground
 MEASURES = ("euclidean", "mahalanobis", "jensenshannon", "correlation")
 
 
 # --- all pairs by blocks -------------------------------------------------------------------------------
 
 
+def _parts(nodes: DataFrame, block: int) -> Column:
+    """Number of blocks, as a scalar subquery: nothing runs while the plan is built."""
+    return nodes.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block)).cast("int")).scalar()
+
+
+def _meet(packed: DataFrame, parts: Column) -> DataFrame:
+    """One row per unordered pair of blocks ``_b``: the columns of both sides, ending in ``_a`` and ``_b``."""
+    columns = [c for c in packed.columns if c != "_b"]
+    sized = packed.withColumn("_parts", parts)
+    left = sized.select(F.col("_b").alias("i"), F.explode(F.sequence(F.col("_b"), F.col("_parts") - 1)).alias("j"), *[F.col(c).alias(f"{c}_a") for c in columns])
+    right = packed.select(F.explode(F.sequence(F.lit(0), F.col("_b"))).alias("i"), F.col("_b").alias("j"), *[F.col(c).alias(f"{c}_b") for c in columns])
+    return left.join(right, ["i", "j"])
+
+
 def _block_pairs(nodes: DataFrame, node: str, vector: str, block: int) -> DataFrame:
     """One row per unordered pair of blocks, each side holding its ids and flattened vectors."""
-    parts = max(1, math.ceil(nodes.count() / block))
-    tagged = nodes.withColumn("_b", F.pmod(F.xxhash64(node), F.lit(parts)).cast("int"))
+    parts = _parts(nodes, block)
+    tagged = nodes.withColumn("_b", F.pmod(F.xxhash64(node), parts).cast("int"))
     packed = tagged.groupBy("_b").agg(F.array_sort(F.collect_list(F.struct(F.col(node).alias("id"), F.col(vector).alias("v")))).alias("_rows"))
-    packed = packed.select("_b", F.col("_rows.id").alias("ids"), F.flatten(F.col("_rows.v")).alias("vec"))
-    left = packed.select(F.col("_b").alias("i"), F.explode(F.sequence(F.col("_b"), F.lit(parts - 1))).alias("j"), F.col("ids").alias("ids_a"), F.col("vec").alias("vec_a"))
-    right = packed.select(F.explode(F.sequence(F.lit(0), F.col("_b"))).alias("i"), F.col("_b").alias("j"), F.col("ids").alias("ids_b"), F.col("vec").alias("vec_b"))
-    return left.join(right, ["i", "j"])
+    return _meet(packed.select("_b", F.col("_rows.id").alias("ids"), F.flatten(F.col("_rows.v")).alias("vec")), parts)
 
 
 def _distances(a: np.ndarray, b: np.ndarray, measure: str) -> np.ndarray:
     if measure == "geodesic":
-        lat1, lon1, lat2, lon2 = (np.radians(x) for x in (a[:, None, 0], a[:, None, 1], b[None, :, 0], b[None, :, 1]))
-        h = np.sin((lat2 - lat1) / 2) ** 2 + np.cos(lat1) * np.cos(lat2) * np.sin((lon2 - lon1) / 2) ** 2
-        return 2 * EARTH_RADIUS_KM * np.arcsin(np.minimum(1.0, np.sqrt(h)))
+        return _kilometres(a[:, None, 0], b[None, :, 0], b[None, :, 1] - a[:, None, 1])
     out = np.empty((len(a), len(b)))
     step = max(1, 2_000_000 // max(1, b.size))
     for s in range(0, len(a), step):
@@ -71,39 +83,150 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.inline(flipped))
 
 
+# --- distances on the sphere -----------------------------------------------------------------------------
+
+
+def _kilometres(lat_a: np.ndarray, lat_b: np.ndarray, dlon: np.ndarray) -> np.ndarray:
+    lat_a, lat_b, dlon = np.radians(lat_a), np.radians(lat_b), np.radians(dlon)
+    h = np.sin((lat_b - lat_a) / 2) ** 2 + np.cos(lat_a) * np.cos(lat_b) * np.sin(dlon / 2) ** 2
+    return 2 * EARTH_RADIUS_KM * np.arcsin(np.minimum(1.0, np.sqrt(h)))
+
+
+class _Side:
+    """The points of a block, by latitude, then longitude: ``line`` numbers the latitudes."""
+
+    def __init__(self, ids, lat, lon):
+        ids, lat, lon = np.asarray(ids), np.asarray(lat, float), np.asarray(lon, float)
+        order = np.lexsort((lon, lat))
+        self.ids, self.lat, self.lon = ids[order], lat[order], lon[order]
+        self.lats, self.line = np.unique(self.lat, return_inverse=True)
+
+
+def _columns(a: _Side, b: _Side) -> tuple[float, float, int] | None:
+    """First longitude, step and number of columns if the longitudes of both sides stand on one well-filled lattice."""
+    seen = np.unique(np.concatenate((a.lon, b.lon)))
+    gaps = np.diff(seen)
+    gaps = gaps[gaps > LATTICE]
+    step = float(gaps.min()) if len(gaps) else 1.0
+    width = int(np.rint((seen[-1] - seen[0]) / step)) + 1
+    if width > 4 * len(seen) + 64:
+        return None
+    at = np.rint((seen - seen[0]) / step)
+    return (float(seen[0]), step, width) if np.abs(seen[0] + at * step - seen).max() <= LATTICE else None
+
+
+def _moments(a: _Side, b: _Side) -> tuple[float, float]:
+    """Sums of the distances and of their squares over all ordered pairs of a point of ``a`` and one of ``b``.
+
+    On a lattice a pair of latitudes has one distance per column offset, so the pairs per offset are counted (a correlation of the
+    two lines) and each distance is taken once. Longitudes off a lattice are paired one by one, in bounded pieces.
+    """
+    lattice, total, squares = _columns(a, b), 0.0, 0.0
+    if lattice is None:
+        step = max(1, PIECE // len(b.ids))
+        for s in range(0, len(a.ids), step):
+            d = _kilometres(a.lat[s:s + step, None], b.lat[None], b.lon[None] - a.lon[s:s + step, None])
+            total, squares = total + d.sum(), squares + (d**2).sum()
+        return total, squares
+    first, gap, width = lattice
+    size = 1 << (2 * width - 1).bit_length()
+
+    def spectra(side: _Side, lines: slice) -> np.ndarray:
+        lats = side.lats[lines]
+        mine = (side.line >= lines.start) & (side.line < lines.start + len(lats))
+        at = (side.line[mine] - lines.start) * width + np.rint((side.lon[mine] - first) / gap).astype(int)
+        return np.fft.rfft(np.bincount(at, minlength=len(lats) * width).reshape(len(lats), width), size)
+
+    offsets = np.arange(width) * gap
+    some = max(1, PIECE // size)
+    for s in range(0, len(b.lats), some):
+        other = spectra(b, slice(s, s + some))
+        for line, lat in enumerate(a.lats):
+            counts = np.rint(np.fft.irfft(np.conj(spectra(a, slice(line, line + 1))) * other, size))
+            pairs = counts[:, :width].copy()
+            pairs[:, 1:] += counts[:, :-width:-1]  # the offset to the west is as far as that to the east
+            d = _kilometres(np.array(lat), b.lats[s:s + some, None], offsets[None])
+            total, squares = total + (pairs * d).sum(), squares + (pairs * d**2).sum()
+    return total, squares
+
+
+def _within(a: _Side, b: _Side, radius: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Positions and distances of the pairs at most ``radius`` km apart (a rounding error aside).
+
+    Around each point of ``a`` every latitude of ``b`` has an interval of longitudes within the radius; its ends are looked up in the
+    sorted line, so no pair beyond it is formed.
+    """
+    turn = 1000.0  # more than the longitudes span
+    keys = b.line * turn + b.lon
+    reach = np.sin(min(radius / (2 * EARTH_RADIUS_KM), np.pi / 2)) ** 2
+    lat_b = np.radians(b.lats)
+    step = max(1, PIECE // len(b.ids))
+    for s in range(0, len(a.ids), step):
+        lat, lon = np.radians(a.lat[s:s + step, None]), a.lon[s:s + step, None]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            x = (reach + ROUNDING - np.sin((lat_b - lat) / 2) ** 2) / (np.cos(lat) * np.cos(lat_b))
+        near = x >= 0
+        half = np.where(near, np.degrees(2 * np.arcsin(np.sqrt(np.clip(x, 0.0, 1.0)))) + LATTICE, 0.0)
+        for shift in (-360.0, 0.0, 360.0):
+            at = np.arange(len(b.lats)) * turn + lon + shift
+            low = np.searchsorted(keys, np.maximum(at - half, np.arange(len(b.lats)) * turn - turn / 2))
+            high = np.searchsorted(keys, np.minimum(at + half, np.arange(len(b.lats)) * turn + turn / 2), side="right")
+            size = np.where(near, np.maximum(high - low, 0), 0)
+            if not size.any():
+                continue
+            point, line = np.nonzero(size)
+            n = size[point, line]
+            left = np.repeat(point, n) + s
+            right = np.arange(n.sum()) + np.repeat(low[point, line] - (np.cumsum(n) - n), n)
+            dlon = b.lon[right] - a.lon[left] - shift
+            once = (dlon > -180) & (dlon <= 180)  # the other way round belongs to another shift
+            left, right = left[once], right[once]
+            yield left, right, _kilometres(a.lat[left], b.lat[right], dlon[once])
+
+
+def _sides(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    for frame in frames:
+        for row in frame.itertuples(index=False):
+            yield row, _Side(row.ids_a, row.lat_a, row.lon_a), _Side(row.ids_b, row.lat_b, row.lon_b)
+
+
 def distance_adjacency(nodes: DataFrame, node: str = "cell_id", cutoff: float = 0.05, block: int = BLOCK) -> DataFrame:
     """Edges w = exp(-(d / sigma)^2) over geodesic km, w < cutoff removed, self loops 1.
 
-    sigma is the population standard deviation of all n^2 distances, zeros on the diagonal included. It
-    comes from sums per block pair in a scalar subquery, so no distance is stored and no distance job runs
-    while the plan is built; the second pass emits only kept edges.
+    sigma is the population standard deviation of all n^2 distances, zeros on the diagonal included, from sums per pair of
+    blocks. On a grid they cost a correlation per pair of latitudes instead of a distance per pair of cells. The second pass forms
+    only pairs within sigma * sqrt(-ln cutoff). sigma and the number of blocks are scalar subqueries: no job runs while the plan
+    is built. Latitudes stay together in a block, so a block holds at least one grid line. A NULL coordinate gives no edge but the loop.
     """
-    points = nodes.select(F.col(node).cast("long").alias("id"), F.array(F.col("lat").cast("double"), F.col("lon").cast("double")).alias("v"))
-    pairs = _block_pairs(points, "id", "v", block)
+    points = nodes.select(F.col(node).cast("long").alias("id"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
+    known = points.where("lat is not null and lon is not null")
+    parts = _parts(known, block)
+    packed = known.withColumn("_b", F.pmod(F.xxhash64("lat"), parts).cast("int")).groupBy("_b").agg(F.array_sort(F.collect_list(F.struct("id", "lat", "lon"))).alias("_rows"))
+    pairs = _meet(packed.select("_b", F.col("_rows.id").alias("ids"), F.col("_rows.lat").alias("lat"), F.col("_rows.lon").alias("lon")), parts)
 
     def moments(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, _, d, once in _each_block(frames, "geodesic"):
-            kept = d[once]
-            yield pd.DataFrame({"s": [kept.sum()], "q": [(kept**2).sum()], "n": [kept.size]})
+        for row, a, b in _sides(frames):
+            both = 1 if row.i == row.j else 2  # ordered pairs: two blocks meet once
+            s, q = _moments(a, b)
+            yield pd.DataFrame({"s": [both * s], "q": [both * q], "n": [both * len(a.ids) * len(b.ids)]})
 
     sums = pairs.mapInPandas(moments, "s double, q double, n long").agg(*[F.sum(c).cast("double").alias(c) for c in "sqn"])
-    # n pairs stem from (1 + sqrt(1 + 8 n)) / 2 nodes; all ordered pairs and the diagonal count.
-    cells = F.col("n") * 2 + F.floor((1 + F.sqrt(1 + 8 * F.col("n"))) / 2)
-    mean = 2 * F.col("s") / cells
-    sigma = sums.select(F.sqrt(F.greatest(2 * F.col("q") / cells - mean * mean, F.lit(0.0))).alias("_sigma")).scalar()
+    mean = F.col("s") / F.col("n")
+    sigma = sums.select(F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0))).alias("_sigma")).scalar()
+    wide = math.sqrt(-math.log(cutoff)) if 0 < cutoff < 1 else 0.0 if cutoff >= 1 else math.inf
 
     def kept(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            scale = frame["_sigma"].iloc[0] if len(frame) else 0.0
-            if not scale > 0:
+        for row, a, b in _sides(frames):
+            if not row.sigma > 0:
                 continue
-            for ids_a, ids_b, d, once in _each_block([frame.drop(columns="_sigma")], "geodesic"):
-                w = np.exp(-((d / scale) ** 2))
-                x, y = np.nonzero(once & (w >= cutoff))
-                yield pd.DataFrame({"src": ids_a[x], "dst": ids_b[y], "w": w[x, y]})
+            for x, y, d in _within(a, b, row.sigma * wide):
+                w = np.exp(-((d / row.sigma) ** 2))
+                keep = (w >= cutoff) & ((x < y) if row.i == row.j else True)
+                yield pd.DataFrame({"src": a.ids[x[keep]], "dst": b.ids[y[keep]], "w": w[keep]})
 
     loops = points.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("w"))
-    return _both_ways(pairs.withColumn("_sigma", sigma).mapInPandas(kept, "src long, dst long, w double")).unionByName(loops)
+    named = pairs.withColumn("sigma", sigma)
+    return _both_ways(named.mapInPandas(kept, "src long, dst long, w double")).unionByName(loops)
 
 
 def _prepared(vectors: DataFrame, node: str, vector: str, measure: str) -> tuple[DataFrame, str, float]:

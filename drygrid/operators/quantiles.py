@@ -7,8 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-ACCURACY = 5000
-GRID = 2000
+ACCURACY = 1000
+GRID = 200
 SLICES = 64
 
 

@@ -84,3 +84,8 @@ def test_quantiles_of_the_whole_table_are_not_taken_as_bounded(spark, monkeypatc
     monkeypatch.setattr(verify, "exact_quantiles", lambda df, value, probs, by, out, bounded: seen.append((by, bounded)) or exact(df, value, probs, by, out, bounded))
     QUERIES[name](spark, FOLDER)
     assert seen == [([], False)]
+
+
+@pytest.mark.parametrize("name", ["domain_mean_and_median", "day_of_year_distribution", "day_distribution_in_season", "one_year_against_all", "forecast_spread_by_day"])
+def test_quantiles_over_all_cells_of_a_date_are_not_gathered(spark, name):
+    assert " percentile(" not in plan_of(QUERIES[name](spark, FOLDER)).replace("(percentile(", " percentile(")

@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 
 import numpy as np
 import pytest
@@ -129,6 +130,57 @@ def test_largest_eigenvalue_against_numpy(spark):
     assert gr.largest_eigenvalue(one) == pytest.approx(-2.5)
 
 
+def points_of(kind):
+    rng = np.random.default_rng(12)
+    if kind == "grid":  # with holes, a repeated cell and one far line
+        cells = [(la, lo) for la in np.arange(-2, 2, 0.3) for lo in np.arange(30, 33, 0.1) if rng.random() < 0.8]
+        return np.array(cells + [cells[0], (40.0, 31.0)])
+    if kind == "globe":  # across the date line and up to the poles
+        return np.array([(la, lo) for la in range(-90, 91, 15) for lo in range(-180, 180, 30)], float)
+    if kind == "line":
+        return np.array([(10.0, lo) for lo in np.arange(0, 20, 0.5)])
+    return np.column_stack((rng.uniform(-60, 60, 300), rng.uniform(-180, 180, 300)))
+
+
+@pytest.mark.parametrize("kind", ["grid", "globe", "line", "scattered"])
+@pytest.mark.parametrize("cutoff", [0.05, 0.7, 0.0])
+def test_distance_graph_forms_only_pairs_within_its_radius(spark, kind, cutoff):
+    points = points_of(kind)
+    lat, lon = points.T
+    d = gr._kilometres(lat[:, None], lat[None], lon[None] - lon[:, None])
+    whole = gr._Side(np.arange(len(points)), lat, lon)
+    assert (gr._columns(whole, whole) is None) == (kind == "scattered")
+    halves = gr._Side(np.arange(0, len(points), 2), lat[::2], lon[::2]), gr._Side(np.arange(1, len(points), 2), lat[1::2], lon[1::2])
+    assert gr._moments(whole, whole) == pytest.approx((d.sum(), (d**2).sum()), rel=1e-9)
+    assert gr._moments(*halves) == pytest.approx((d[::2, 1::2].sum(), (d[::2, 1::2] ** 2).sum()), rel=1e-9)
+    sigma = d.std()
+    w = np.exp(-((d / sigma) ** 2))
+    radius = sigma * math.sqrt(-math.log(cutoff)) if cutoff else math.inf
+    formed = sum(len(x) for x, _, _ in gr._within(whole, whole, radius))
+    assert (d <= radius).sum() <= formed + 1e-3 * d.size and formed <= (d <= radius + 1e-3).sum()
+
+    nodes = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(points)] + [(9999, None, 1.0)], "cell_id long, lat double, lon double")
+    edges = gr.distance_adjacency(nodes, cutoff=cutoff, block=64).collect()
+    got = {(r.src, r.dst): r.w for r in edges}
+    assert len(got) == len(edges) and got.pop((9999, 9999)) == 1.0
+    sure = {(i, j): w[i, j] for i, j in zip(*np.nonzero(w >= cutoff))}
+    unsure = {k for k in set(got) ^ set(sure) if abs(w[k] - cutoff) > 1e-9}
+    assert not unsure
+    assert all(got[k] == pytest.approx(sure[k], rel=1e-6) for k in set(got) & set(sure))
+
+
+def test_distance_graph_plans_without_a_job(spark):
+    nodes = spark.createDataFrame([(1, 2.0, 3.0), (2, 2.0, 3.5)], "cell_id long, lat double, lon double")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "planning")
+    gr.distance_adjacency(nodes)
+    jobs = tracker.getJobIdsForGroup("planning")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not jobs
+    assert gr.distance_adjacency(nodes.limit(0)).count() == 0
+    assert [tuple(r) for r in gr.distance_adjacency(nodes.limit(1)).collect()] == [(1, 1, 1.0)]
+
+
 def test_scaled_laplacian_by_its_eigenvalue(spark):
     edges = spark.createDataFrame([(1, 2, 1.0), (2, 3, 2.0), (3, 4, 1.0), (1, 4, 0.5)], "src long, dst long, w double")
     got = {(r.src, r.dst): r.w for r in gr.scaled_laplacian(edges, lambda_max=None).collect()}
