@@ -23,6 +23,7 @@ from drygrid.llm.common import lean, written
 
 CAPACITY, END = 1024, 2
 SHARD, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 16384, 3, 3, 5, 4
+LOT = 65536  # copies of one row numbered at once
 _UNUSUAL = re.compile("[^\x09\x0a\x20-ɏ]|<\\|endoftext\\|>")
 
 
@@ -287,7 +288,11 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", capacity: int
     found = written(tokenised(docs, text, key, capacity, with_ids=with_ids, **tokens))
     shards = max(1, -(-found.count() // shard))
     rest, full = (F.col("n") % capacity).cast("int"), F.floor(F.col("n") / capacity).cast("long")
-    dealt = found.withColumn("shard", F.floor(F.rand(7) * shards).cast("long")).withColumn("rest", rest).withColumn("full", full)
+    # Rows are dealt by a hash of what they are, repeated rows also by their number: the deal depends on neither files nor tasks.
+    copies = found.groupBy(*found.columns).agg(F.count(F.lit(1)).alias("copies"))
+    copies = copies.withColumn("lot", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / LOT))))
+    copies = copies.withColumn("copy", F.explode(F.sequence(F.col("lot") * LOT, F.least(F.col("copies"), (F.col("lot") + 1) * LOT) - 1)))
+    dealt = copies.select(*found.columns, F.pmod(F.xxhash64("key", "n", "crcs", "copy"), F.lit(shards)).cast("long").alias("shard"), rest.alias("rest"), full.alias("full"))
     order = Window.partitionBy("shard").orderBy(F.col("rest").desc(), "key", "crcs")
     items = written(dealt.withColumn("slot", F.row_number().over(order) - 1))
 
@@ -303,7 +308,7 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", capacity: int
     schema = "shard long, island int, sizes binary, members array<binary>"
     state = listed.mapInArrow(start, schema)
     for number in range(EPOCHS):
-        moved = state.repartition("shard", "island").mapInArrow(_epoch(number, capacity), schema)
+        moved = state.repartition(shards * ISLANDS, "shard", "island").mapInArrow(_epoch(number, capacity), schema)
         state = moved.groupBy("shard", "island").agg(F.max("sizes").alias("sizes"), F.flatten(F.collect_list("members")).alias("members"))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -127,6 +127,14 @@ def test_both_tokenisers_give_the_same_ids(text):
     assert tokens(text) == tokens.slow.encode(text, add_special_tokens=False).ids
 
 
+def test_packing_does_not_depend_on_partitions(spark, messy, monkeypatch):
+    monkeypatch.setattr(packing, "LOT", 2)
+    one, other = (packing.pack(messy.repartition(n), shard=20) for n in (1, 5))
+    assert Counter(map(tuple, one.collect())) == Counter(map(tuple, other.collect()))
+    plan = one._jdf.queryExecution().toString()
+    assert "RepartitionByExpression [shard#" in plan and f", {packing.ISLANDS * -(-messy.count() // 20)}" in plan
+
+
 @given(st.lists(st.integers(1, 64), min_size=1, max_size=60), st.integers(0, 9))
 @settings(max_examples=40, deadline=None)
 def test_evolution_keeps_valid_groupings(sizes, seed):
