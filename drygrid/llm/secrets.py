@@ -68,7 +68,8 @@ def find_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", reach:
     scopes = F.when(F.exists("_parts", lambda p: p["kind"] >= BASE), _matches(F.col("_text"), len(KINDS) - 1))
     empty = F.array().cast("array<struct<kind:int,number:int,gap:int,size:int,good:boolean>>")
     parts = rows.filter(F.size("_parts") > 0).select("_key", TAG, F.inline(F.concat("_parts", F.coalesce(scopes, empty))))
-    once = parts.repartition("_key", TAG).groupBy("_key", TAG, "kind", "number").agg(F.first("gap").alias("gap"), F.first("size").alias("size"), F.first("good").alias("good"))
+    # Repeated rows collapse on the map side before anything is spread by document.
+    once = parts.groupBy("_key", TAG, "kind", "number").agg(F.first("gap").alias("gap"), F.first("size").alias("size"), F.first("good").alias("good")).repartition("_key", TAG)
     along = Window.partitionBy("_key", TAG, "kind").orderBy("number")
     placed = once.withColumn("end", F.sum(F.col("gap").cast("long") + F.col("size")).over(along)).filter("good").select(
         "_key", TAG, "kind", (F.col("end") - F.col("size")).alias("start"), "end")
