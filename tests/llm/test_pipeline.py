@@ -14,6 +14,15 @@ FOLDER = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables not present")
 
 
+@needs_tables
+def test_stages_leave_clashing_columns_alone(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").selectExpr("*", "-1.5d score", "concat('l', doc_id) n_lines", "-7 n_removed")
+    for stage in (corpus_pipeline.quality, corpus_pipeline.lines):
+        docs = written(stage(spark, docs, FOLDER))
+        rows = docs.select("doc_id", "score", "n_lines", "n_removed").collect()
+        assert rows and {(r.score, r.n_lines, r.n_removed) for r in rows} == {(-1.5, f"l{r.doc_id}", -7) for r in rows}
+
+
 @needs_tables
 def test_stages_keep_what_their_rule_keeps(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
