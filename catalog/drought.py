@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from catalog.formulas import digamma, gamma_ratio, normal_quantile, smoother, trigamma
 from catalog.registry import CUBE, FILLED, query, r6
 from drygrid.operators import climatology as clim, events, series as ser, spi as sp, temporal as tm
 
@@ -79,22 +80,39 @@ def spi_gamma_fit(t):
     return fit.select("cell_id", "time", r6("pr"), r6("prob_zero"), r6(1 / F.col("shape"), "inverse_shape"), r6("scale"))
 
 
-@query("standardised_precipitation")
+# The closed form and four Newton steps to the maximum likelihood shape.
+LIKELY = GAMMA + "".join(f""",
+fit{i + 1} AS (SELECT * EXCLUDE (shape), 1 / (1 / shape + (LN(shape) - {digamma('shape')} - a) / (shape * shape * (1 / shape - {trigamma('shape')}))) AS shape FROM fit{i or ''})""" for i in range(4))
+
+
+def index_sql(fit: str) -> str:
+    """Tables that end in ``s`` (cell_id, time, pr, spi) from a table of fits."""
+    p = "(prob_zero + (1 - prob_zero) * CASE WHEN pr <= 0 THEN 0 ELSE g END)"
+    return f""", c AS ({gamma_ratio(f"(SELECT *, pr / (m / shape) AS x FROM {fit})")}),
+q AS (SELECT cell_id, time, pr, CASE WHEN pr IS NOT NULL AND shape IS NOT NULL THEN {p} END AS p FROM c),
+s AS (SELECT cell_id, time, pr, CASE WHEN p IS NULL THEN NULL WHEN p <= 0 THEN -{sp.SPI_LIMIT} WHEN p >= 1 THEN {sp.SPI_LIMIT} ELSE GREATEST(LEAST({normal_quantile('p')}, {sp.SPI_LIMIT}), -{sp.SPI_LIMIT}) END AS spi FROM q)"""
+
+
+@query("standardised_precipitation", f"""WITH {GAMMA}{index_sql('fit')} SELECT cell_id, time, ROUND(pr, 6) AS pr, ROUND(spi, 6) AS spi FROM s""")
 def standardised_precipitation(t):
     return sp.spi(t.filled(fill=0.0), 30, method="APP").select("cell_id", "time", r6("pr"), r6("spi"))
 
 
-@query("spi_by_maximum_likelihood")
+@query("spi_by_maximum_likelihood", f"""WITH {LIKELY}{index_sql('fit4')} SELECT cell_id, time, ROUND(spi, 6) AS spi FROM s""")
 def spi_by_maximum_likelihood(t):
     return sp.spi(t.filled(fill=0.0), 30, method="ML").select("cell_id", "time", r6("spi"))
 
 
-@query("spi_drought_events")
+@query("spi_drought_events", f"""WITH {LIKELY}{index_sql('fit4')}, k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY cell_id ORDER BY time) AS pos FROM s),
+f AS (SELECT *, CASE WHEN spi >= -1 THEN 1 ELSE 0 END AS calm FROM k WHERE pos > 31), i AS (SELECT *, SUM(calm) OVER (PARTITION BY cell_id ORDER BY time ROWS UNBOUNDED PRECEDING) AS run FROM f),
+e AS (SELECT cell_id, run, MIN(time) AS time, ABS(SUM(spi)) AS severity, COUNT(*) AS duration FROM i WHERE calm = 0 AND spi IS NOT NULL GROUP BY 1, 2)
+SELECT cell_id, time, ROUND(severity, 6) AS severity, duration, ROUND(severity / duration, 6) AS intensity, YEAR(time) AS year, MONTH(time) AS month FROM e""")
 def spi_drought_events(t):
-    return events.drought_runs(sp.spi(t.filled(fill=0.0), 30).select("cell_id", "time", "spi"), warm_up=30)
+    runs = events.drought_runs(sp.spi(t.filled(fill=0.0), 30).select("cell_id", "time", "spi"), warm_up=30)
+    return runs.select("cell_id", "time", r6("severity"), "duration", r6("intensity"), "year", "month")
 
 
-@query("whittaker_fixed_penalty")
+@query("whittaker_fixed_penalty", f"""WITH RECURSIVE {FILLED}, {smoother('filled', 'value', 10.0)} SELECT cell_id, time, value, ROUND(smoothed, 6) AS smoothed FROM filled JOIN curve USING (cell_id, time)""")
 def whittaker_fixed_penalty(t):
     return ser.whittaker(t.filled(), lam=10.0).select("cell_id", "time", "value", r6("smoothed"))
 

@@ -52,9 +52,10 @@ def interpolated_nearest(t):
     return tm.interpolate(t.filled(), method="nearest").select("cell_id", "time", "value")
 
 
-GAPS = f"""{FILLED}, g AS (SELECT *, COUNT(value) OVER (PARTITION BY cell_id ORDER BY time ROWS UNBOUNDED PRECEDING) AS k FROM filled),
+GAP_LENGTHS = """g AS (SELECT *, COUNT(value) OVER (PARTITION BY cell_id ORDER BY time ROWS UNBOUNDED PRECEDING) AS k FROM filled),
 l AS (SELECT *, COUNT(*) FILTER (value IS NULL) OVER (PARTITION BY cell_id, k) AS len FROM g),
 s AS (SELECT *, LAG(CASE WHEN value IS NULL THEN len END) OVER (PARTITION BY cell_id ORDER BY time) AS ended, LEAD(time) OVER (PARTITION BY cell_id ORDER BY time) IS NULL AS last FROM l)"""
+GAPS = f"{FILLED}, {GAP_LENGTHS}"
 
 
 @query("gap_quality_flags", f"""WITH {GAPS} SELECT cell_id, time, CASE WHEN value IS NOT NULL THEN COALESCE(ended, 0) WHEN last THEN len END AS streaks,

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from catalog.alignment import GRID_SPEC, RASTER, targets
 from catalog.columns import COVER_SQL, cover_codes
 from catalog.drought import SCORED, scored
+from catalog.formulas import smoother
 from catalog.registry import CUBE, FILLED, query, r6, with_coordinates
-from catalog.resampling import hourly
-from catalog.selection import cloud_mask
+from catalog.resampling import GAP_LENGTHS, hourly
+from catalog.selection import MASK, cloud_mask
 from drygrid.operators import climatology as clim, temporal as tm
 from drygrid.plans import datasets, hydrology, vegetation, verification
 
@@ -154,20 +155,37 @@ def scenes(t):
     return rows.groupBy("cell_id", "file_path").agg(*[F.min_by(c, F.struct("l_linenumber", "channel_1", "channel_2")).alias(c) for c in ("product_name", "channel_1", "channel_2")])
 
 
-@query("ndvi_from_scenes", """WITH r AS (SELECT l_suppkey AS cell_id, CAST(l_shipdate AS DATE) AS time, 'MSG' || CAST(ln % 4 + 1 AS VARCHAR) AS sat, d, x FROM (SELECT l_suppkey, l_shipdate, UNNEST(MIN({'l': l_linenumber, 'd': l_discount + 1, 'x': l_tax + 1})) FROM lineitem GROUP BY 1, 2) q(l_suppkey, l_shipdate, ln, d, x)),
- irr AS (SELECT * FROM (VALUES ('MSG1', 65.2296::DOUBLE, 73.1869::DOUBLE), ('MSG2', 65.2065, 73.0127), ('MSG3', 65.5148, 73.1807), ('MSG4', 65.2656, 73.1692)) v(sat, i6, i8))
-SELECT cell_id, time, ROUND((x / i8 - d / i6) / (x / i8 + d / i6), 6) AS ndvi FROM r JOIN irr ON irr.sat = r.sat""")
+SCENES = """r AS (SELECT l_suppkey AS cell_id, CAST(l_shipdate AS DATE) AS time, 'MSG' || CAST(ln % 4 + 1 AS VARCHAR) AS sat, d, x FROM (SELECT l_suppkey, l_shipdate, UNNEST(MIN({'l': l_linenumber, 'd': l_discount + 1, 'x': l_tax + 1})) FROM lineitem GROUP BY 1, 2) q(l_suppkey, l_shipdate, ln, d, x)),
+ irr AS (SELECT * FROM (VALUES ('MSG1', 65.2296::DOUBLE, 73.1869::DOUBLE), ('MSG2', 65.2065, 73.0127), ('MSG3', 65.5148, 73.1807), ('MSG4', 65.2656, 73.1692)) v(sat, i6, i8)),
+ ndvi AS (SELECT cell_id, time, (x / i8 - d / i6) / (x / i8 + d / i6) AS ndvi FROM r JOIN irr ON irr.sat = r.sat)"""
+
+
+@query("ndvi_from_scenes", f"""WITH {SCENES} SELECT cell_id, time, ROUND(ndvi, 6) AS ndvi FROM ndvi""")
 def ndvi_from_scenes(t):
     return vegetation.ndvi_from_reflectance(scenes(t)).select("cell_id", F.to_date("time").alias("time"), r6("ndvi"))
 
 
-@query("smoothed_ndvi")
+def calendar_of(source: str) -> str:
+    """A daily calendar ``filled`` of ``value`` from the first to the last row of each cell in ``source``."""
+    return f"""days AS (SELECT cell_id, CAST(UNNEST(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS time FROM (SELECT cell_id, MIN(time) AS a, MAX(time) AS b FROM {source} GROUP BY 1)),
+ filled AS (SELECT d.cell_id, d.time, c.value FROM days d LEFT JOIN {source} c ON c.cell_id = d.cell_id AND c.time = d.time)"""
+
+
+@query("smoothed_ndvi", f"""WITH RECURSIVE {SCENES}, {MASK}, clear AS (SELECT ndvi.cell_id, ndvi.time, CASE WHEN m IS NULL OR m <> 2 THEN ndvi END AS value FROM ndvi JOIN mask ON mask.cell_id = ndvi.cell_id AND mask.time = ndvi.time),
+ {calendar_of('clear')}, {GAP_LENGTHS}, {smoother('filled', 'value', 10.0)}
+SELECT cell_id, time, CASE WHEN value IS NOT NULL THEN COALESCE(ended, 0) WHEN last THEN len END AS streaks, CASE WHEN value IS NULL THEN len ELSE 0 END AS quality_flag,
+ CASE WHEN value IS NOT NULL OR len <= 45 THEN ROUND(smoothed, 6) END AS smoothed FROM s JOIN curve USING (cell_id, time)""")
 def smoothed_ndvi(t):
     out = vegetation.smoothed_ndvi(scenes(t), cloud_mask(t), lam=10.0, max_gap=45)
     return out.select("cell_id", "time", "streaks", "quality_flag", r6("smoothed"))
 
 
-@query("vegetation_condition")
+@query("vegetation_condition", f"""WITH RECURSIVE {CUBE}, {MASK}, {COVER_SQL}, raw AS (SELECT cube.cell_id, cube.time, CASE WHEN m IN (0, 1) AND (code IS NULL OR code NOT IN (80, 200)) THEN (value2 - value) / NULLIF(value2 + value, 0) END AS x
+  FROM cube LEFT JOIN mask ON cube.cell_id = mask.cell_id AND cube.time = mask.time LEFT JOIN codes ON p_partkey = cube.cell_id),
+ clear AS (SELECT cell_id, time, CASE WHEN x BETWEEN -1 AND 1 THEN x END AS value FROM raw), {calendar_of('clear')}, {smoother('filled', 'value', 1.0)},
+ c AS (SELECT cell_id, time, CASE WHEN smoothed BETWEEN -1 AND 1 THEN smoothed END AS x FROM curve),
+ v AS (SELECT *, 100::DOUBLE * ((x - MIN(x) OVER w) / NULLIF(MAX(x) OVER w - MIN(x) OVER w, 0)) AS vci FROM c WINDOW w AS (PARTITION BY cell_id, DAYOFYEAR(time)))
+SELECT cell_id, time, ROUND(x, 6) AS smoothed, ROUND(vci, 6) AS vci, CASE WHEN vci IS NOT NULL THEN CAST(vci < 10 AS INTEGER) END AS low_condition FROM v""")
 def vegetation_condition(t):
     bands = t.cube().withColumnsRenamed({"value": "channel_1", "value2": "channel_2"})
     cover = cover_codes(t).withColumnRenamed("p_partkey", "cell_id")
