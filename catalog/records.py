@@ -56,16 +56,19 @@ def point_service_wide(t):
     return wide.select("lat", "time", *[r6(n) for n in EVENT_TYPES])
 
 
-@query("ascii_grid_cells", """SELECT CAST(p_partkey // 200 AS VARCHAR) AS layer, CAST(p_partkey % 200 // 10 AS INTEGER) AS row, CAST(p_partkey % 10 AS INTEGER) AS col, CAST(p_size AS DOUBLE) AS value FROM part WHERE p_size <> 7""")
-def ascii_grid_cells(t):
-    """Parts written as 20 x 10 ASCII grids, 200 parts each, and parsed again; 7 is the no-data token."""
+def grid_texts(t):
+    """Parts as texts of 20 x 10 ASCII grids, 200 parts each; 7 is the no-data token."""
     k = F.col("p_partkey")
     lines = t.part.groupBy(F.floor(k / 200).alias("g"), F.floor(k % 200 / 10).alias("r")).agg(F.array_sort(F.collect_list(F.struct((k % 10).alias("c"), "p_size"))).alias("v"))
     lines = lines.select("g", "r", F.array_join(F.transform("v", lambda x: x["p_size"].cast("string")), " ").alias("line"))
     grids = lines.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("r", "line"))).alias("l"))
     head = F.lit("ncols 10\nnrows 20\nxllcorner -180\nyllcorner -90\ncellsize 0.25\nNODATA_value 7\n")
-    texts = grids.select(F.col("g").cast("string").alias("layer"), F.concat(head, F.array_join(F.col("l.line"), "\n")).alias("value"))
-    return tx.parse_ascii_grid(texts).select("layer", "row", "col", "value")
+    return grids.select(F.col("g").cast("string").alias("layer"), F.concat(head, F.array_join(F.col("l.line"), "\n")).alias("value"))
+
+
+@query("ascii_grid_cells", """SELECT CAST(p_partkey // 200 AS VARCHAR) AS layer, CAST(p_partkey % 200 // 10 AS INTEGER) AS row, CAST(p_partkey % 10 AS INTEGER) AS col, CAST(p_size AS DOUBLE) AS value FROM part WHERE p_size <> 7""")
+def ascii_grid_cells(t):
+    return tx.parse_ascii_grid(grid_texts(t)).select("layer", "row", "col", "value")
 
 
 @query("times_from_file_names", """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN o_orderdate + INTERVAL 6 HOUR WHEN 1 THEN o_orderdate END AS time, CAST(o_orderdate AS DATE) AS noon_day FROM orders""")

@@ -8,10 +8,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from catalog.records import grid_texts
 from catalog.registry import CUBE, FORECAST, query, r6
 from drygrid.operators import align as al, samples as sa, spatial as sp
 from drygrid.plans import datasets
-from drygrid.sources import sinks, tables as tb
+from drygrid.sources import sinks, tables as tb, text as tx
 from drygrid.streaming.incremental import days_to_retry, ingest_new_days, ingested
 
 PLACE = "-5.25 + (cell_id // 10) * 0.2::DOUBLE AS lat, 32.25 + (cell_id % 10) * 0.25::DOUBLE AS lon"
@@ -43,6 +44,32 @@ def cube_years_replaced(t):
     return t.spark.read.parquet(path).select("cell_id", "time", "value")
 
 
+@query("tiles_stored_and_sliced", f"""WITH {CUBE}, c AS (SELECT *, {PLACE} FROM cube) SELECT cell_id, time, value2 FROM c WHERE time BETWEEN DATE '1996-03-01' AND DATE '1998-02-28' AND lon BETWEEN 32.5 AND 34 AND lat BETWEEN -5.3 AND -4""")
+def tiles_stored_and_sliced(t):
+    """The cube in tiles of half a degree; the box lists the folders of its tiles only."""
+    path = scratch(t, "tiles")
+    sinks.write_tiles(t.cube(coordinates=True), path, tile=0.5)
+    return tb.load_arrays(t.spark, path, ["value2"], "1996-03-01", "1998-02-28", lon=(32.5, 34.0), lat=(-5.3, -4.0), tile=0.5).select("cell_id", "time", "value2")
+
+
+@query("region_replaced", f"""WITH {CUBE}, c AS (SELECT *, {PLACE} FROM cube) SELECT cell_id, time, CASE WHEN YEAR(time) = 1997 AND lon BETWEEN 32.5 AND 33.6 AND lat > -5.3 THEN -value ELSE value END AS value FROM c""")
+def region_replaced(t):
+    """The whole cube, then one year of a box that cuts through tiles anew: all else stays."""
+    path, cube = scratch(t, "tiles"), t.cube(coordinates=True)
+    sinks.write_tiles(cube, path, tile=0.5)
+    box = cube.where("year(time) = 1997 AND lon BETWEEN 32.5 AND 33.6 AND lat > -5.3")
+    sinks.write_region(box.withColumn("value", -F.col("value")), path, tile=0.5)
+    return t.spark.read.parquet(path).select("cell_id", "time", "value")
+
+
+@query("ascii_grid_files", """SELECT CAST(p_partkey // 200 AS VARCHAR) AS layer, CAST(p_partkey % 200 // 10 AS INTEGER) AS row, CAST(p_partkey % 10 AS INTEGER) AS col, CAST(p_size AS DOUBLE) AS value, 0.25::DOUBLE AS cellsize FROM part WHERE p_size <> 7""")
+def ascii_grid_files(t):
+    """Parts as files of 20 x 10 grids, read by blocks."""
+    path = scratch(t, "grids")
+    grid_texts(t).select("layer", "value").withColumnRenamed("layer", "g").write.partitionBy("g").text(path)
+    return tx.read_ascii_grids(t.spark, path, F.regexp_extract("_path", r"/g=(\d+)/", 1)).select("layer", "row", "col", "value", "cellsize")
+
+
 @query("events_as_csv", f"""WITH {CUBE} SELECT cell_id, time, value FROM cube""")
 def events_as_csv(t):
     path = sinks.write_csv(t.cube().select("cell_id", "time", "value"), scratch(t, "tables"), "cube", 1995, 2001, "quantity")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from datetime import date, timedelta
 
@@ -11,6 +12,7 @@ from drygrid.functions.values import declare_missing, sentinel_to_null
 from drygrid.functions.vegetation import half_day_back, unpack_byte_ndvi, unpack_percent_ndvi
 from drygrid.operators.common import Keys
 from drygrid.operators.subset import between_times, corner_crop, in_box
+from drygrid.sources.sinks import TILE_COLUMNS, TILE_DEGREES
 
 KEY_NAMES = ("cell_id", "lat", "lon", "time", "longitude", "latitude", "x", "y", "X", "Y")
 
@@ -56,9 +58,12 @@ def dimensions(df: DataFrame) -> list[str]:
 
 def load_arrays(
     spark: SparkSession, path: str, variables: Sequence[str], start=None, end=None,
-    lon: tuple[float, float] | None = None, lat: tuple[float, float] | None = None,
+    lon: tuple[float, float] | None = None, lat: tuple[float, float] | None = None, tile: float = TILE_DEGREES,
 ) -> DataFrame:
-    """Named variables inside an inclusive box and period; both filters and the column list reach the scan."""
+    """Named variables inside an inclusive box and period; both filters and the column list reach the scan.
+
+    Years of ``write_cube`` and tiles of ``write_tiles`` (of ``tile`` degrees) outside are not listed for the scan.
+    """
     df = spark.read.parquet(path)
     missing = [v for v in variables if v not in df.columns]
     if missing:
@@ -68,6 +73,9 @@ def load_arrays(
         df = df if end is None else df.where(F.col("year") <= int(str(end)[:4]))
     df = between_times(df, start, end)
     if lon is not None and lat is not None:
+        if set(TILE_COLUMNS) <= set(df.columns):
+            for name, ends in zip(TILE_COLUMNS, (lat, lon)):
+                df = df.where(F.col(name).between(*[math.floor(v / tile) for v in sorted(ends)]))
         df = in_box(df, lon, lat)
     return declare_missing(df.select(*[c for c in dimensions(df)], *variables))
 

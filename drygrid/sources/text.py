@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 # Layout of an ASCII grid.
 ASCII_HEADER_LINES = 6
@@ -18,26 +20,69 @@ def parse_ascii_grid(texts: DataFrame, text: str = "value", layer: str | Column
     """
     name = F.col(layer) if isinstance(layer, str) else layer
     lines = texts.select(name.alias("layer"), F.split(F.trim(text), r"\r?\n").alias("_l"))
+    body = F.slice("_l", F.lit(ASCII_HEADER_LINES + 1), F.size("_l") - ASCII_HEADER_LINES)
+    return _cells(lines.select("layer", *_header(lambda i: F.col("_l")[i]), F.posexplode(body).alias("row", "_line")))
 
-    def header(i: int) -> Column:
-        return F.element_at(F.split(F.trim(F.col("_l")[i]), r"\s+"), 2)
 
-    head = lines.select(
-        "layer", header(2).cast("double").alias("x_corner"), header(3).cast("double").alias("y_corner"),
-        header(4).cast("double").alias("cellsize"), header(5).alias("_nodata"),
-        F.posexplode(F.slice("_l", F.lit(ASCII_HEADER_LINES + 1), F.size("_l") - ASCII_HEADER_LINES)).alias("row", "_line"),
-    )
-    cells = head.select("layer", "row", "x_corner", "y_corner", "cellsize", "_nodata", F.posexplode(F.split(F.trim("_line"), r"\s+")).alias("col", "_t"))
+def _header(line: Callable[[int], Column]) -> list[Column]:
+    def field(i: int) -> Column:
+        return F.element_at(F.split(F.trim(line(i)), r"\s+"), 2)
+
+    return [field(2).cast("double").alias("x_corner"), field(3).cast("double").alias("y_corner"), field(4).cast("double").alias("cellsize"), field(5).alias("_nodata")]
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    """Cells of grid lines (``row``, ``_line``) that carry their header."""
+    cells = rows.select("layer", "row", "x_corner", "y_corner", "cellsize", "_nodata", F.posexplode(F.split(F.trim("_line"), r"\s+")).alias("col", "_t"))
     return cells.where((F.col("_t") != F.col("_nodata")) & (F.col("_t") != "")).select(
         "layer", "row", "col", F.col("_t").cast("double").alias("value"), "x_corner", "y_corner", "cellsize"
     )
 
 
-def read_ascii_grids(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Grid files, one task each; the layer is the file name without suffix."""
-    texts = spark.read.text(paths if isinstance(paths, str) else list(paths), wholetext=True)
-    layer = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.\w+$", 1)
-    return parse_ascii_grid(texts.select("value", layer.alias("layer")))
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number the lines of each block of a file from 0; a task reads its blocks one after the other and each in order."""
+    last, seen = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        block = batch.column("_block").to_numpy()
+        path = batch.column("_path").dictionary_encode()
+        name = path.indices.to_numpy()
+        new = np.concatenate(([True], (block[1:] != block[:-1]) | (name[1:] != name[:-1])))
+        start = np.flatnonzero(new)
+        number = np.arange(batch.num_rows) - np.repeat(start, np.diff(np.append(start, batch.num_rows)))
+        if last == (path[0].as_py(), block[0]):
+            number[: start[1] if len(start) > 1 else None] += seen
+        last, seen = (path[-1].as_py(), block[-1]), int(number[-1]) + 1
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(number)], names=["_line", "_path", "_block", "_at"])
+
+
+def text_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Lines of text files with their number in the file: (_path, _number, _line).
+
+    Files are cut into blocks of ``spark.sql.files.maxPartitionBytes``. A line is numbered within its block, and the lines of all blocks
+    before it, one row a block, are added by a join.
+    """
+    text = spark.read.text(paths if isinstance(paths, str) else list(paths))
+    rows = text.select(F.col("value").alias("_line"), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"))
+    lines = rows.mapInArrow(_numbered, "_line string, _path string, _block long, _at long")
+    before = Window.partitionBy("_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("_path", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    blocks = blocks.select("_path", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return lines.join(blocks, ["_path", "_block"]).select("_path", (F.col("_before") + F.col("_at")).alias("_number"), "_line")
+
+
+def read_ascii_grids(spark: SparkSession, paths: str | Sequence[str], layer: Column | None = None) -> DataFrame:
+    """Cells of grid files as ``parse_ascii_grid`` gives them; a file may be larger than a task.
+
+    The layer is the file name without suffix, or ``layer`` of the address in ``_path``. Each file starts with its header.
+    """
+    lines = text_lines(spark, paths)
+    name = F.regexp_extract(F.col("_path"), r"([^/]+)\.\w+$", 1) if layer is None else layer
+    top = lines.where(F.col("_number") < ASCII_HEADER_LINES).groupBy("_path").agg(F.map_from_entries(F.collect_list(F.struct("_number", "_line"))).alias("_h"))
+    top = top.select("_path", *_header(lambda i: F.col("_h")[F.lit(i).cast("long")]))
+    rows = lines.where(F.col("_number") >= ASCII_HEADER_LINES).join(top, "_path")
+    return _cells(rows.select(name.alias("layer"), (F.col("_number") - ASCII_HEADER_LINES).cast("int").alias("row"), "x_corner", "y_corner", "cellsize", "_nodata", "_line"))
 
 
 POINT_SCHEMA = (
