@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.registry import CUBE, FILLED, FORECAST, query, r6
 from drygrid.functions.values import rain_flag
-from drygrid.operators import climatology as clim, series as ser, ssim as sm, verify as vf
+from drygrid.operators import aggregates as ag, climatology as clim, series as ser, ssim as sm, verify as vf
 
 
 def flags(t):
@@ -161,6 +161,12 @@ def efficiency_by_percentile(t):
     return vf.error_by_percentile(t.forecast(), "nse").select("percentile", r6("lower"), r6("nse"))
 
 
+@query("huber_error_by_model", f"""WITH {FORECAST}, e AS (SELECT model, horizon, ABS(y_pred - y) AS e FROM fc), l AS (SELECT model, horizon, CASE WHEN e <= 0.2::DOUBLE THEN e * e / 2 ELSE 0.2::DOUBLE * (e - 0.1::DOUBLE) END AS l FROM e)
+SELECT model, horizon, ROUND(AVG(l), 6) AS huber, ROUND(MAX(l), 6) AS worst, COUNT(l) AS pairs FROM l GROUP BY 1, 2""")
+def huber_error_by_model(t):
+    return ag.huber_error(t.forecast(), ["model", "horizon"]).select("model", "horizon", r6("huber"), r6("worst"), "pairs")
+
+
 # --- ensembles -----------------------------------------------------------------------------------------
 
 ENSEMBLE = f"""{CUBE}, en AS (SELECT l_linenumber AS member, CAST(l_shipdate AS DATE) AS init_date, l_suppkey AS cell_id, SUM(l_quantity) / 50 AS y_pred FROM lineitem GROUP BY 1, 2, 3),
@@ -196,11 +202,12 @@ def ensemble_interval(t):
 # --- structure and correlation -------------------------------------------------------------------------
 
 IMAGES = f"""{CUBE}, im AS (SELECT CAST(DATE_TRUNC('month', time) AS DATE) AS image, cell_id // 10 AS row, cell_id % 10 AS col, AVG(value) / 50 - 1 AS a, AVG(value2) / 10 - 1 AS b FROM cube GROUP BY ALL)"""
-BLURRED = f"""{IMAGES}, k AS (SELECT o - 5 AS o, EXP(-POW(o - 5, 2) / 4.5) / (SELECT SUM(EXP(-POW(i - 5, 2) / 4.5)) FROM range(11) r(i)) AS w FROM range(11) r(o)),
+BLUR = """k AS (SELECT o - 5 AS o, EXP(-POW(o - 5, 2) / 4.5) / (SELECT SUM(EXP(-POW(i - 5, 2) / 4.5)) FROM range(11) r(i)) AS w FROM range(11) r(o)),
 q AS (SELECT image, row, col, a, b, a * a AS aa, b * b AS bb, a * b AS ab FROM im),
 v AS (SELECT p.image, p.row, p.col, SUM(w * n.a) AS a, SUM(w * n.b) AS b, SUM(w * n.aa) AS aa, SUM(w * n.bb) AS bb, SUM(w * n.ab) AS ab FROM q p JOIN q n ON n.image = p.image AND n.col = p.col JOIN k ON k.o = n.row - p.row GROUP BY 1, 2, 3),
 h AS (SELECT p.image, p.row, p.col, SUM(w * n.a) AS a, SUM(w * n.b) AS b, SUM(w * n.aa) AS aa, SUM(w * n.bb) AS bb, SUM(w * n.ab) AS ab FROM v p JOIN v n ON n.image = p.image AND n.row = p.row JOIN k ON k.o = n.col - p.col GROUP BY 1, 2, 3),
 sm AS (SELECT image, row, col, (2 * a * b + 0.0004) * (2 * (ab - a * b) + 0.0036) / ((a * a + b * b + 0.0004) * ((aa - a * a) + (bb - b * b) + 0.0036)) AS s FROM h)"""
+BLURRED = f"{IMAGES}, {BLUR}"
 
 
 def images(t):

@@ -8,9 +8,10 @@ from catalog.alignment import GRID_SPEC, RASTER, targets
 from catalog.columns import COVER_SQL, cover_codes
 from catalog.drought import SCORED, scored
 from catalog.formulas import smoother
-from catalog.registry import CUBE, FILLED, query, r6, with_coordinates
+from catalog.registry import CUBE, FILLED, FORECAST, query, r6, with_coordinates
 from catalog.resampling import GAP_LENGTHS, hourly
 from catalog.selection import MASK, cloud_mask
+from catalog.verification import BLUR
 from drygrid.operators import climatology as clim, temporal as tm
 from drygrid.plans import datasets, hydrology, vegetation, verification
 
@@ -193,7 +194,19 @@ def vegetation_condition(t):
     return out.select("cell_id", "time", r6("smoothed"), r6("vci"), "low_condition")
 
 
-@query("forecast_report")
+REPORT = f"""{FORECAST}, line AS (SELECT horizon, REGR_SLOPE(y, y_pred) AS slope, REGR_INTERCEPT(y, y_pred) AS base FROM fc GROUP BY 1),
+ c AS (SELECT fc.horizon, valid_date, cell_id, y, y_pred * slope + base AS p, mask FROM fc JOIN line ON line.horizon = fc.horizon),
+ single AS (SELECT horizon, SQRT(SUM(COALESCE((p - y) * (p - y), 0) * mask) / SUM(mask)) AS rmse, 1 - SUM((y - p) * (y - p)) / (VAR_POP(y) FILTER (y IS NOT NULL AND p IS NOT NULL) * COUNT(y) FILTER (y IS NOT NULL AND p IS NOT NULL)) AS nse FROM c GROUP BY 1),
+ im AS (SELECT {{'h': horizon, 'd': valid_date}} AS image, cell_id // 10 AS row, cell_id % 10 AS col, COALESCE(p, 0) AS a, COALESCE(y, 0) AS b FROM c), {BLUR},
+ per AS (SELECT image.h AS horizon, AVG(s) AS s FROM sm GROUP BY image), alike AS (SELECT horizon, AVG(s) AS ssim FROM per GROUP BY 1),
+ ranks AS (SELECT horizon, QUANTILE_CONT(y, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS b FROM c GROUP BY 1),
+ placed AS (SELECT c.horizon, y, p, b, LEAST(len(list_filter(b, lambda x: x <= y)) - 1, 9) AS band FROM c JOIN ranks ON ranks.horizon = c.horizon WHERE y IS NOT NULL),
+ bands AS (SELECT horizon, band / 10 AS percentile, ANY_VALUE(b)[ANY_VALUE(band) + 1] AS lower, SQRT(AVG((y - p) * (y - p))) AS rmse, 1 / (2 - (1 - SUM((y - p) * (y - p)) / NULLIF(VAR_POP(y) * COUNT(y), 0))) AS nse, AVG(y - p) AS bias FROM placed GROUP BY horizon, band)"""
+
+
+@query("forecast_report", f"""WITH {REPORT}, o AS (SELECT horizon, 'rmse' AS metric, NULL::DOUBLE AS percentile, NULL::DOUBLE AS lower, rmse AS value FROM single UNION ALL SELECT horizon, 'nse', NULL, NULL, nse FROM single UNION ALL SELECT horizon, 'ssim', NULL, NULL, ssim FROM alike
+ UNION ALL SELECT horizon, 'rmse', percentile, lower, rmse FROM bands UNION ALL SELECT horizon, 'nse', percentile, lower, nse FROM bands UNION ALL SELECT horizon, 'bias', percentile, lower, bias FROM bands)
+SELECT horizon, metric, ROUND(percentile, 6) AS percentile, ROUND(lower, 6) AS lower, ROUND(value, 6) AS value FROM o""")
 def forecast_report(t):
     fc = t.forecast().withColumn("row", F.floor(F.col("cell_id") / 10)).withColumn("col", F.col("cell_id") % 10)
     out = verification.forecast_report(fc, [10, 15])
