@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from drygrid.operators.common import checkpointed
+
 ACCURACY = 1000
 GRID = 200
 SLICES = 64
@@ -27,6 +29,10 @@ def exact_quantiles(
     value, rows between brackets only count, and both collapse on the map side. The exact rank is then read from the bracket rows, cut
     into slices of which only those holding a wanted rank are sorted. A rank without a row is an error, never a NULL.
 
+    A sketch depends on the order in which tasks deliver, so it may differ each time it is computed. The sliced counts are therefore
+    computed once and kept (:func:`checkpointed`, a job when called); slice totals and ranks both come from that copy. Brackets at a
+    group's ends are open, so values that move by a rounding error between scans are not lost.
+
     ``bounded`` is the caller's word that the distinct values of a group fit in memory (one cell's calendar, a short list of dates):
     then Spark's exact ``percentile`` does the same in one aggregate.
     """
@@ -38,7 +44,7 @@ def exact_quantiles(
         found = data.groupBy(*keys).agg(exact)
         return found if keys else found.where(F.col(name).isNotNull())
     grid = F.percentile_approx("_v", F.array(*[F.lit(i / GRID) for i in range(GRID + 1)]), ACCURACY)
-    stats = [F.count("_v").alias("_n"), grid.alias("_e"), F.min("_v").alias("_min"), F.max("_v").alias("_max")]
+    stats = [F.count("_v").alias("_n"), grid.alias("_e")]
     if not keys:
         # One group for the whole table. The key is computed, because joining on a literal is a cross join.
         keys = ["_all"]
@@ -47,14 +53,14 @@ def exact_quantiles(
     # Without keys every table below has one row, or one for each wanted rank: that bound makes them safe to broadcast.
     small = F.broadcast if not groups else lambda table: table
 
-    def point(index: Column, end: str) -> Column:
-        """Grid value, or the group's true end beyond the grid."""
+    def point(index: Column, end: float) -> Column:
+        """Grid value, or no bound beyond the grid. NaN is the largest value."""
         inside = (index > 0) & (index < GRID)
-        return F.when(inside, F.get("_e", index.cast("int"))).otherwise(F.col(end))
+        return F.when(inside, F.get("_e", index.cast("int"))).otherwise(F.lit(end))
 
     positions = [F.lit(p) * (F.col("_n") - 1) for p in probs]
-    lows = [point(F.floor(F.floor(r) / F.col("_n") * GRID) - 1, "_min") for r in positions]
-    highs = [point(F.ceil((F.ceil(r) + 1) / F.col("_n") * GRID) + 1, "_max") for r in positions]
+    lows = [point(F.floor(F.floor(r) / F.col("_n") * GRID) - 1, float("-inf")) for r in positions]
+    highs = [point(F.ceil((F.ceil(r) + 1) / F.col("_n") * GRID) + 1, float("nan")) for r in positions]
     edges = [F.col(f"_b{i}") for i in range(2 * len(probs))]
     brackets = data.groupBy(*keys).agg(*stats).select(*keys, "_n", *[e.alias(f"_b{i}") for i, e in enumerate([x for pair in zip(lows, highs) for x in pair])])
     joined = data.join(small(brackets), keys)
@@ -75,11 +81,12 @@ def exact_quantiles(
     # Equi-depth splitters cut that order into slices. Slice totals give each slice its starting rank, and
     # only slices that hold a wanted rank are sorted, each in its own task.
     even = F.array(*[F.lit(i / SLICES) for i in range(1, SLICES)])
-    # The total makes both uses of the counts need the same columns, so one shuffle of them serves both.
+    # The total makes both uses of the counts need the same columns, so one shuffle of them can serve both.
     splitters = counted.groupBy(*keys).agg(F.percentile_approx("_at", even, ACCURACY).alias("_s"), F.sum("_c").alias("_w")).where("_w > 0").drop("_w")
     sliced = counted.join(small(splitters), keys)
     inner = F.coalesce(F.size(F.filter("_s", lambda c: c < F.col("_at"))), F.lit(0))
     sliced = sliced.withColumn("_slice", F.when(F.col("_at").isNull(), F.lit(-1)).otherwise(inner)).drop("_s")
+    sliced = checkpointed(sliced)  # the splitters are a sketch too: a second computation may cut elsewhere
     totals = sliced.groupBy(*keys, "_slice").agg(F.sum("_c").alias("_total"), F.first("_n").alias("_n"))
     ends = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
     totals = totals.withColumn("_before", F.sum("_total").over(ends) - F.col("_total"))

@@ -141,3 +141,26 @@ def test_first_per_key_breaks_ties(spark):
     df = spark.createDataFrame([(1, 5, "b"), (1, 5, "a"), (1, 9, "c")], "k long, o long, v string")
     assert first_per_key(df, ["k"], "o").first().v == "a"
     assert first_per_key(df, ["k"], "o", last=True).first().v == "c"
+
+
+def test_quantiles_when_each_scan_deals_rows_otherwise(spark, monkeypatch):
+    """A sketch depends on which rows a task gets; without shared exchanges every use of it is another one."""
+    rng = np.random.default_rng(4)
+    vs = rng.normal(size=60_000)
+    df = spark.createDataFrame([(int(i % 3), float(v)) for i, v in enumerate(vs)], "k int, v double").repartition(6)
+
+    def stir(frames):
+        rng = np.random.default_rng()
+        for f in frames:
+            yield f.assign(p=rng.integers(0, 1_000_000, len(f)))
+
+    dealt = df.mapInPandas(stir, "k int, v double, p long").repartition(6, "p").drop("p")
+    monkeypatch.setattr(quantiles, "ACCURACY", 100)
+    monkeypatch.setattr(quantiles, "GRID", 20)
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = {r.k: r.q for r in quantiles.exact_quantiles(dealt, "v", [0.0, 0.25, 0.5, 0.75, 1.0], ["k"], "q").collect()}
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    for k in range(3):
+        assert got[k] == pytest.approx(list(np.quantile(vs[k::3], [0.0, 0.25, 0.5, 0.75, 1.0])), rel=1e-12)
