@@ -276,3 +276,47 @@ def test_feature_adjacency_with_a_near_copy_and_undefined_vectors(spark):
     pairs = {k: v for k, v in got.items() if k[0] < k[1]}
     assert pairs.keys() == want.keys() and all(pairs[k] == pytest.approx(want[k]) for k in want)
     assert got[60, 60] == 1.0 and len(got) == 2 * len(want) + 61
+
+
+@pytest.mark.parametrize("measure", ["euclidean", "jensenshannon"])
+def test_feature_adjacency_by_products_of_long_vectors(spark, measure):
+    """Several blocks of several tiles, exact and near copies, zeros: edges are those of the distances themselves."""
+    rng = np.random.default_rng(31)
+    x = rng.random((1300, 12)) * (rng.random((1300, 12)) > 0.2) + 1e-3 * np.eye(12)[rng.integers(0, 12, 1300)]
+    x[1], x[2] = x[0], x[0] + 1e-9
+    p = x / x.sum(1, keepdims=True) if measure == "jensenshannon" else x
+    i, j = np.triu_indices(1300, 1)
+    d = gr._paired(p[i], p[j], measure)
+    near = gr._distances(p[:40], p[40:90], measure)
+    assert np.allclose(near, d[(i < 40) & (j >= 40) & (j < 90)].reshape(40, 50), rtol=1e-12)
+    w = np.minimum(1 / np.where(d > 0, d, 1e-300), 1 / d[d > 0].min()) * d[d > 0].min()
+    threshold = np.quantile(np.concatenate((w, np.zeros(1300 * 1299 // 2), np.ones(1300))), 0.99)
+    want = dict(zip(zip(i[w >= threshold].tolist(), j[w >= threshold].tolist()), w[w >= threshold]))
+    nodes = spark.createDataFrame([(k, [float(a) for a in row]) for k, row in enumerate(x)], "node long, vector array<double>")
+    got = {(r.src, r.dst): r.w for r in gr.feature_adjacency(nodes, 99.0, measure, block=700).collect() if r.src < r.dst}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
+    assert got[0, 1] == 1.0
+
+
+def test_cosines_give_the_divergence_within_their_slack():
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.random((40, 30)) ** 8, np.exp(-30 * rng.random((40, 30))), np.eye(30)])
+    p = x / x.sum(1, keepdims=True)
+    s, left, right = gr._factors(p, "jensenshannon")
+    assert np.abs(s[:, None] + s[None] - left @ right.T - gr._distances(p, p, "jensenshannon") ** 2).max() < gr.JS_SLACK
+
+
+def test_feature_blocks_copy_a_vector_to_few_tasks(spark):
+    """Sixteen blocks hold 20,000 nodes as they hold 10,000, and the nodes are computed once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    nodes = spark.range(20_000).select(F.col("id").alias("node"), F.array(F.col("id") % 97 + 0.5, F.sqrt("id")).alias("vector"))
+    pairs = gr._block_pairs(nodes.select(F.col("node").alias("id"), F.col("vector").alias("v")), 20_000, 512)
+    assert pairs.count() == 16 * 17 // 2
+    few = nodes.where("node < 50").mapInPandas(counted, nodes.schema)
+    assert gr.feature_adjacency(few, 90.0).count() > 50 and seen.value == 50
