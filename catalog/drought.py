@@ -108,7 +108,7 @@ f AS (SELECT *, CASE WHEN spi >= -1 THEN 1 ELSE 0 END AS calm FROM k WHERE pos >
 e AS (SELECT cell_id, run, MIN(time) AS time, ABS(SUM(spi)) AS severity, COUNT(*) AS duration FROM i WHERE calm = 0 AND spi IS NOT NULL GROUP BY 1, 2)
 SELECT cell_id, time, ROUND(severity, 6) AS severity, duration, ROUND(severity / duration, 6) AS intensity, YEAR(time) AS year, MONTH(time) AS month FROM e""")
 def spi_drought_events(t):
-    runs = events.drought_runs(sp.spi(t.filled(fill=0.0), 30).select("cell_id", "time", "spi"), warm_up=30)
+    runs = events.drought_runs(sp.spi(t.filled(fill=0.0), 30).select("cell_id", "time", "spi"), warm_up=30, tasks=t.tasks())
     return runs.select("cell_id", "time", r6("severity"), "duration", r6("intensity"), "year", "month")
 
 

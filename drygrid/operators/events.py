@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from drygrid.functions import calendar as cal
 from drygrid.functions.values import dry_flag, wet_flag
-from drygrid.operators.common import CELL, Keys
+from drygrid.operators.common import CELL, Keys, by_series
 from drygrid.operators.temporal import drop_warm_up, rolling, running_sum
 
 
@@ -38,13 +38,16 @@ def drought_runs(
     threshold: float = -1.0,
     warm_up: int | None = None,
     strict: bool = False,
+    tasks: int | None = None,
 ) -> DataFrame:
     """One row per run of values below ``threshold``: onset, severity, duration, intensity.
 
     A row at or above the threshold opens a new run index; NULL rows neither break nor lengthen a run.
     ``strict`` reports the row that opened the index (the last day before onset) as the event time.
-    The final aggregate groups by (series, index) and keeps the window's partitioning: one shuffle.
+    The final aggregate groups by (series, index) and keeps the window's partitioning: one shuffle. An index that came from Python is no longer
+    partitioned by series; ``tasks`` (see ``series_tasks``) then sizes the tasks of that shuffle.
     """
+    df = by_series(df, keys, tasks)
     work = df if warm_up is None else drop_warm_up(df, warm_up, keys, time)
     calm = F.when(F.col(value) >= threshold, 1).otherwise(0)
     work = work.withColumn("_calm", calm)

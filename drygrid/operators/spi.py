@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from drygrid.functions.special import digamma, gamma_cdf, normal_quantile, trigamma
+from drygrid.functions.special import gamma_score, likely_shape
 from drygrid.operators.common import CELL, Keys
 from drygrid.operators.temporal import rolling
 
@@ -33,12 +33,10 @@ def gamma_parameters(
     }).withColumn("_a", F.ln("_mean") - F.col("_log"))
     # No spread gives A = 0: no shape. Rounding can leave a tiny positive or negative A there.
     a = F.when(F.col("_a") > 1e-12, F.col("_a"))
-    work = work.withColumn("shape", (1 + F.sqrt(1 + 4 * a / 3)) / (4 * a))
-    if method == "ML":
-        for _ in range(4):
-            k = F.col("shape")
-            step = (F.ln(k) - digamma(k) - F.col("_a")) / (k * k * (F.lit(1.0) / k - trigamma(k)))
-            work = work.withColumn("shape", F.lit(1.0) / (F.lit(1.0) / k + step))
+    if method == "APP":
+        work = work.withColumn("shape", (1 + F.sqrt(1 + 4 * a / 3)) / (4 * a))
+    else:
+        work = work.withColumn("shape", likely_shape(a))
     return work.withColumn("scale", F.col("_mean") / F.col("shape")).drop("_doy", "_mean", "_log", "_a")
 
 
@@ -47,13 +45,5 @@ def spi(
 ) -> DataFrame:
     """Add ``spi``: the normal quantile of p0 + (1 - p0) G(x), NULL until the window is full."""
     fitted = gamma_parameters(df, window, keys, time, value, method)
-    cdf = F.when(F.col("pr") <= 0, F.lit(0.0)).otherwise(gamma_cdf("pr", "shape", "scale"))
-    p = F.col("prob_zero") + (1 - F.col("prob_zero")) * F.col("_g")
-    index = F.when(p <= 0, F.lit(-SPI_LIMIT)).when(p >= 1, F.lit(SPI_LIMIT)).otherwise(normal_quantile(p))
-    index = F.when(index.isNotNull(), F.greatest(F.least(index, F.lit(SPI_LIMIT)), F.lit(-SPI_LIMIT)))
-    known = F.col("pr").isNotNull() & F.col("shape").isNotNull()
-    return (
-        fitted.withColumn("_g", F.when(known, cdf))
-        .withColumn("spi", index)
-        .select(*df.columns, "pr", "spi")
-    )
+    index = gamma_score("pr", "shape", "scale", "prob_zero", F.lit(SPI_LIMIT))
+    return fitted.withColumn("spi", index).select(*df.columns, "pr", "spi")

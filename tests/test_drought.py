@@ -158,3 +158,37 @@ def test_whittaker_on_cubes(spark, daily):
 def test_apply_series_sorts(spark, daily):
     out = ser.apply_series(daily.orderBy(F.col("time").desc()), lambda p: p.head(1)[["cell_id", "time"]], "cell_id long, time date")
     assert {r.time for r in out.collect()} == {dt.date(2020, 2, 25)}
+
+
+def test_index_in_numpy_is_that_of_the_formulas(spark):
+    """The shape by four Newton steps and the clipped index against the column expressions they replace."""
+    from drygrid.functions import special as sp
+
+    rows = [(float(x), a, z) for x in (0.0, 0.4, 3.0, 40.0, 1e6) for a in (0.003, 0.05, 0.4, 2.0, None) for z in (0.0, 0.3, 1.0)] + [(None, 0.4, 0.2)]
+    df = spark.createDataFrame(rows, "x double, a double, zero double").withColumn("shape", (1 + F.sqrt(1 + 4 * F.col("a") / 3)) / (4 * F.col("a")))
+    for _ in range(4):
+        k = F.col("shape")
+        df = df.withColumn("shape", 1 / (1 / k + (F.ln(k) - sp.digamma(k) - F.col("a")) / (k * k * (1 / k - sp.trigamma(k)))))
+    df = df.withColumn("shape", F.when(F.col("a").isNotNull(), F.col("shape"))).withColumn("scale", F.lit(2.5))
+    g = F.when(F.col("x") <= 0, F.lit(0.0)).otherwise(sp.gamma_cdf("x", "shape", "scale"))
+    p = F.col("zero") + (1 - F.col("zero")) * F.when(F.col("x").isNotNull() & F.col("shape").isNotNull(), g)
+    q = F.when(p <= 0, F.lit(-8.21)).when(p >= 1, F.lit(8.21)).otherwise(F.greatest(F.least(sp.normal_quantile(p), F.lit(8.21)), F.lit(-8.21)))
+    want = F.when(p.isNotNull(), q)
+    got = df.select("shape", sp.likely_shape("a").alias("k"), want.alias("want"), sp.gamma_score("x", "shape", "scale", "zero", F.lit(8.21)).alias("got")).collect()
+    for r in got:
+        assert (r.k is None) == (r.shape is None) and (r.k is None or r.k == pytest.approx(r.shape, rel=1e-10))
+        assert (r.got is None) == (r.want is None) and (r.got is None or r.got == pytest.approx(r.want, abs=1e-9)), r
+
+
+def test_series_are_dealt_by_the_size_of_their_calendar(spark):
+    """Two rows a cell, but 4,000 days each: as many tasks as the calendar needs, not as the rows do."""
+    from drygrid.operators import common, temporal as tm
+
+    df = spark.range(200).select(F.col("id").alias("cell_id"), F.explode(F.array(F.to_date(F.lit("2000-01-01")), F.to_date(F.lit("2010-12-13")))).alias("time"), F.lit(1.0).alias("value"))
+    tasks = common.series_tasks(df, rows=50_000, least=50_000)
+    assert 13 <= tasks <= 19
+    filled = tm.fill_calendar(df, tasks=tasks)
+    assert filled.count() == 200 * 4000
+    sizes = filled.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) > 10 and max(r["count"] for r in sizes) < 200_000
+    assert common.series_tasks(df.where("cell_id < 0")) == 2
