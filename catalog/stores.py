@@ -82,7 +82,7 @@ def events_as_csv(t):
 SELECT cell_id, i - 5 AS sample_id, time AS origin, (i - 5) // 16 AS batch_id FROM w, (SELECT DISTINCT cell_id FROM cube) WHERE split = 'train' AND i >= 5 AND i + 3 < n""")
 def stored_training_samples(t):
     path = scratch(t, "samples")
-    out = datasets.training_tables(t.cube(), ["value2"], "value", 5, 3).where("position = sample_id").drop("position", "batch_id")
+    out = datasets.training_tables(t.cube(), ["value2"], "value", 5, 3, tasks=t.tasks()).where("position = sample_id").drop("position", "batch_id")
     sinks.write_samples(out, path, 16)
     return tb.samples(t.spark, path, "train").select("cell_id", "sample_id", "origin", "batch_id")
 

@@ -92,7 +92,7 @@ BATCH = f"""WITH {CUBE}, d AS (SELECT time, ROW_NUMBER() OVER (ORDER BY time) -
 
 def dated_samples(t):
     """Windows on one calendar for all cells, so a sample number is one date."""
-    return sa.supervised_windows(tm.common_calendar(t.cube(), values=("value", "value2")), ["value"], "value", 4, 3).select("cell_id", "sample_id", "origin")
+    return sa.supervised_windows(tm.common_calendar(t.cube(), values=("value", "value2"), tasks=t.tasks()), ["value"], "value", 4, 3).select("cell_id", "sample_id", "origin")
 
 
 @query("padded_batches", f"""{BATCH} SELECT cell_id, sample_id, origin, position, position // 32 AS batch_id FROM p""")

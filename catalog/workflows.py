@@ -132,7 +132,7 @@ DATES = """v AS (SELECT * FROM cube WHERE {valid}), d AS (SELECT time, ROW_NUMBE
 SELECT cell_id, split, sample_id, origin, position, position // 32 AS batch_id, ROUND(y, 6) AS y FROM p""")
 def training_tables(t):
     water = t.cells().where("cell_id % 11 = 4")
-    out = datasets.training_tables(t.cube(), ["value2"], "value", 10, 5, water=water)
+    out = datasets.training_tables(t.cube(), ["value2"], "value", 10, 5, water=water, tasks=t.tasks())
     return out.select("cell_id", "split", "sample_id", "origin", "position", "batch_id", r6(F.col("y")[0].cast("double"), "y"))
 
 
@@ -143,7 +143,7 @@ def training_tables(t):
  p AS (SELECT *, sample_id AS position FROM l UNION ALL SELECT l.*, sample_id + k FROM l, range(1, 32) g(k) WHERE sample_id = last AND k <= (32 - (last + 1) % 32) % 32)
 SELECT cell_id, fold, part, sample_id, origin, position, position // 32 AS batch_id FROM p""")
 def training_tables_by_fold(t):
-    out = datasets.training_tables(t.cube(), ["value2"], "value", 10, 5, folds=(730, 365, 365))
+    out = datasets.training_tables(t.cube(), ["value2"], "value", 10, 5, folds=(730, 365, 365), tasks=t.tasks())
     return out.select("cell_id", "fold", "part", "sample_id", "origin", "position", "batch_id")
 
 
@@ -177,7 +177,7 @@ def calendar_of(source: str) -> str:
 SELECT cell_id, time, CASE WHEN value IS NOT NULL THEN COALESCE(ended, 0) WHEN last THEN len END AS streaks, CASE WHEN value IS NULL THEN len ELSE 0 END AS quality_flag,
  CASE WHEN value IS NOT NULL OR len <= 45 THEN ROUND(smoothed, 6) END AS smoothed FROM s JOIN curve USING (cell_id, time)""")
 def smoothed_ndvi(t):
-    out = vegetation.smoothed_ndvi(scenes(t), cloud_mask(t), lam=10.0, max_gap=45)
+    out = vegetation.smoothed_ndvi(scenes(t), cloud_mask(t), lam=10.0, max_gap=45, tasks=t.tasks())
     return out.select("cell_id", "time", "streaks", "quality_flag", r6("smoothed"))
 
 
@@ -190,7 +190,7 @@ SELECT cell_id, time, ROUND(x, 6) AS smoothed, ROUND(vci, 6) AS vci, CASE WHEN v
 def vegetation_condition(t):
     bands = t.cube().withColumnsRenamed({"value": "channel_1", "value2": "channel_2"})
     cover = cover_codes(t).withColumnRenamed("p_partkey", "cell_id")
-    out = vegetation.vegetation_condition(bands, cloud_mask(t), cover)
+    out = vegetation.vegetation_condition(bands, cloud_mask(t), cover, tasks=t.tasks())
     return out.select("cell_id", "time", r6("smoothed"), r6("vci"), "low_condition")
 
 

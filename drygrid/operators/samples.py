@@ -122,7 +122,7 @@ def _time_rank(df: DataFrame, time: str) -> DataFrame:
 def chronological_split(df: DataFrame, train: float = 0.7, val: float = 0.5, time: str = "time", by_ratio: bool = False) -> DataFrame:
     """Add ``split``: the first round(p N) dates train, the next round((1-p) v N) val, the rest test.
 
-    With ``by_ratio`` ``val`` is itself a share of all dates. Halves round to even.
+    With ``by_ratio`` ``val`` is itself a share of all dates. Halves round to even. The list of dates is broadcast.
     """
     share = val if by_ratio else (1 - train) * val
     if not 0 < train <= 1 or share < 0 or train + share > 1 + 1e-12:
@@ -131,7 +131,7 @@ def chronological_split(df: DataFrame, train: float = 0.7, val: float = 0.5, tim
     n_train = F.bround(F.lit(train) * F.col("_n"), 0)
     n_val = F.bround(F.lit(share) * F.col("_n"), 0)
     label = F.when(F.col("_r") <= n_train, "train").when(F.col("_r") <= n_train + n_val, "val").otherwise("test")
-    return df.join(days.select(time, label.alias("split")), time)
+    return df.join(F.broadcast(days.select(time, label.alias("split"))), time)
 
 
 def sliding_folds(df: DataFrame, window: int, horizon: int, stride: int = 365, time: str = "time") -> DataFrame:
@@ -155,7 +155,7 @@ def fold_rows(df: DataFrame, window: int, horizon: int, stride: int = 365, time:
     last = F.least(F.floor(F.col("_p") / F.lit(stride)), F.floor((F.col("_n") - window - horizon) / F.lit(stride)))
     tagged = days.where(first <= last).withColumn("fold", F.explode(F.sequence(first, last)))
     part = F.when(F.col("_p") - F.col("fold") * stride < window, "train").otherwise("test")
-    return df.join(tagged.select(time, F.col("fold").cast("int").alias("fold"), part.alias("part")), time)
+    return df.join(F.broadcast(tagged.select(time, F.col("fold").cast("int").alias("fold"), part.alias("part"))), time)
 
 
 def batches(
@@ -166,7 +166,7 @@ def batches(
     ``sample`` is the running number of the window's origin, shared by all cells. ``pad`` repeats the
     last sample to fill its batch; ``last`` gives its number where it is known, else it is looked up,
     which computes the samples once more. ``shuffle_seed`` permutes the numbers by a seeded hash; only
-    the distinct numbers (one per date) are sorted for it.
+    the distinct numbers (one per date) are sorted and broadcast for it.
     """
     work = samples.withColumn("position", F.col(sample).cast("long"))
     if pad:
@@ -178,7 +178,7 @@ def batches(
     if shuffle_seed is not None:
         order = Window.orderBy(F.md5(F.concat_ws(":", "position", F.lit(shuffle_seed)).cast("binary")), "position")
         places = work.select("position").distinct().withColumn("_p", (F.row_number().over(order) - 1).cast("long"))
-        work = work.join(places, "position").withColumn("position", F.col("_p")).drop("_p")
+        work = work.join(F.broadcast(places), "position").withColumn("position", F.col("_p")).drop("_p")
     return work.withColumn("batch_id", F.floor(F.col("position") / F.lit(size)).cast("long"))
 
 

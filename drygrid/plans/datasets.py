@@ -47,18 +47,20 @@ def events_per_product(indices: DataFrame, edges: DataFrame | None = None, count
 
 def training_tables(
     cube: DataFrame, features: Sequence[str], target: str, length: int, horizon: int, out: int = 1, batch_size: int = 32, train: float = 0.7, val: float = 0.333,
-    water: DataFrame | None = None, keys: Keys = CELL, folds: tuple[int, int, int] | None = None, fill: float | None = -1.0, **windows,
+    water: DataFrame | None = None, keys: Keys = CELL, folds: tuple[int, int, int] | None = None, fill: float | None = -1.0,
+    tasks: int | None = None, **windows,
 ) -> DataFrame:
     """Valid cells, chronological split, windows inside each part of each series, batch numbers per part.
 
     All cells are put on one daily calendar first (added days hold ``fill``), so a sample number is one date in every cell. The split
     comes before the windows, so none crosses its border. ``folds`` = (window, test length, stride)
     cuts sliding folds instead; every fold and part is then its own series. The last sample of a part
-    follows from its number of dates, so the windows are computed once.
+    follows from its number of dates (one row a part, broadcast), so the windows are computed once and no row leaves its series. ``tasks``:
+    see ``fill_calendar``.
     """
     cells = valid_cells(cube, target, features, keys, water=water)
     values = list(dict.fromkeys([*features, target]))
-    kept = common_calendar(cube.join(cells, list(keys), "left_semi").select(*keys, "time", *values), keys, values=values, fill=fill)
+    kept = common_calendar(cube.join(cells, list(keys), "left_semi").select(*keys, "time", *values), keys, values=values, fill=fill, tasks=tasks)
     if folds is None:
         parts, tagged = ["split"], chronological_split(kept, train, val)
     else:
@@ -66,5 +68,5 @@ def training_tables(
     longest = tagged.groupBy(*keys, *parts).agg(F.count(F.lit(1)).alias("_n")).groupBy(*parts).agg(F.max("_n").alias("_n"))
     samples = supervised_windows(tagged, features, target, length, horizon, out, keys=[*keys, *parts], **windows)
     before = windows.get("diffusion_days") or length
-    numbered = samples.join(longest, parts)
+    numbered = samples.join(F.broadcast(longest), parts)
     return batches(numbered, batch_size, last=F.col("_n") - (before + horizon + out)).drop("_n")

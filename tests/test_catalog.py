@@ -89,3 +89,10 @@ def test_quantiles_of_the_whole_table_are_not_taken_as_bounded(spark, monkeypatc
 @pytest.mark.parametrize("name", ["domain_mean_and_median", "day_of_year_distribution", "day_distribution_in_season", "one_year_against_all", "forecast_spread_by_day"])
 def test_quantiles_over_all_cells_of_a_date_are_not_gathered(spark, name):
     assert " percentile(" not in plan_of(QUERIES[name](spark, FOLDER)).replace("(percentile(", " percentile(")
+
+
+@pytest.mark.parametrize("name", ["training_tables", "training_tables_by_fold", "shuffled_batches", "chronological_split"])
+def test_samples_are_not_shuffled_by_date_or_part(spark, name):
+    """A part holds a large share of all samples, and a date one of each cell: tables of dates and parts come to the samples."""
+    plan = plan_of(QUERIES[name](spark, FOLDER))
+    assert "BroadcastHashJoin" in plan and not any(f"SortMergeJoin [{c}#" in plan for c in ("time", "position", "split", "fold", "part"))
