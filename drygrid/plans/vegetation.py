@@ -26,15 +26,15 @@ def ndvi_from_reflectance(scenes: DataFrame, edges: DataFrame | None = None, cou
 
 
 def smoothed_ndvi(
-    scenes: DataFrame, mask: DataFrame, keys: Keys = CELL, max_gap: int | None = None, lam: float | None = None, **smoother
+    scenes: DataFrame, mask: DataFrame, keys: Keys = CELL, max_gap: int | None = None, lam: float | None = None, tasks: int | None = None, **smoother
 ) -> DataFrame:
     """NDVI under the cloud mask on a daily calendar, gap flags, smoother.
 
-    The calendar, the gap flags and the smoother share one partitioning by cell.
+    The calendar, the gap flags and the smoother share one partitioning by cell. ``tasks``: see ``fill_calendar``.
     """
     ndvi = ndvi_from_reflectance(scenes, keys=keys).select(*keys, "time", "ndvi")
     clear = apply_cloud_mask(ndvi, mask, ["ndvi"], keys)
-    daily = gap_streaks(fill_calendar(clear, keys, values=["ndvi"]), keys, value="ndvi")
+    daily = gap_streaks(fill_calendar(clear, keys, values=["ndvi"], tasks=tasks), keys, value="ndvi")
     out = whittaker(daily, keys, value="ndvi", lam=lam, carry=("streaks", "quality_flag"), **smoother)
     if max_gap is not None:
         out = out.withColumn("smoothed", drop_long_gaps(F.col("smoothed"), F.col("quality_flag"), max_gap))
@@ -44,6 +44,7 @@ def smoothed_ndvi(
 def vegetation_condition(
     bands: DataFrame, mask: DataFrame, cover: DataFrame | None = None, water_share: DataFrame | None = None,
     edges: DataFrame | None = None, countries: list | None = None, keys: Keys = CELL, lam: float | None = 1.0, low: float = 10.0,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Clear-sky NDVI without water, smoothed on a calendar, condition index, flag of low condition."""
     work = bands if edges is None else clip_to_regions(bands, edges, countries=countries, keys=keys)
@@ -52,7 +53,7 @@ def vegetation_condition(
         ndvi = drop_water(ndvi, cover, "ndvi", keys)
     if water_share is not None:
         ndvi = keep_dry_share(ndvi, water_share, "ndvi", keys)
-    smooth = whittaker(fill_calendar(ndvi, keys, values=["ndvi"]), keys, value="ndvi", lam=lam)
+    smooth = whittaker(fill_calendar(ndvi, keys, values=["ndvi"], tasks=tasks), keys, value="ndvi", lam=lam)
     smooth = smooth.withColumn("smoothed", null_outside(F.col("smoothed")))
     vci = condition_index(smooth, keys, value="smoothed")
     return vci.withColumn("low_condition", low_flag(F.col("vci"), low))
