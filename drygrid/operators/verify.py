@@ -274,7 +274,7 @@ def error_by_percentile(
     by = list(by)
     data = df.where(F.col(truth).isNotNull()).select(*by, F.col(truth).alias("_r"), F.col(pred).alias("_p"))
     bounds = exact_quantiles(data, "_r", [i / bands for i in range(bands + 1)], by, "_b", bounded)
-    work = data.join(bounds, by) if by else data.withColumn("_b", bounds.scalar())
+    work = data.join(F.broadcast(bounds), by) if by else data.withColumn("_b", bounds.scalar())
     band = reduce(lambda x, y: x + y, [(F.col("_b")[i] <= F.col("_r")).cast("int") for i in range(bands + 1)]) - 1
     work = work.withColumn("band", band if strict else F.least(band, F.lit(bands - 1)))
     if strict:
@@ -349,12 +349,12 @@ def nse(pred: Column, truth: Column) -> Column:
 def bias_corrected(df: DataFrame, pred: str = "y_pred", truth: str = "y", out: str = "y_corrected", by: Sequence[str] = ()) -> DataFrame:
     """Add slope * pred + intercept of the least-squares line truth ~ pred fitted on the whole table.
 
-    ``by`` fits one line per short label (model, horizon).
+    ``by`` fits one line per short label (model, horizon); the lines are broadcast, since a label has a large share of the rows.
     """
     t, p = F.col(truth), F.col(pred)
     line = F.struct(F.regr_slope(t, p).alias("slope"), F.regr_intercept(t, p).alias("intercept"))
     if by:
-        work = df.join(df.groupBy(*by).agg(line.alias("_l")), list(by))
+        work = df.join(F.broadcast(df.groupBy(*by).agg(line.alias("_l"))), list(by))
     else:
         work = df.withColumn("_l", one_value(df, line))
     return work.withColumn(out, p * F.col("_l")["slope"] + F.col("_l")["intercept"]).drop("_l")
