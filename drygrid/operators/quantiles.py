@@ -12,6 +12,7 @@ from drygrid.operators.common import checkpointed
 ACCURACY = 1000
 GRID = 200
 SLICES = 64
+FEW = 4096  # groups whose small tables are broadcast
 
 
 def exact_quantiles(
@@ -50,8 +51,6 @@ def exact_quantiles(
         keys = ["_all"]
         data = data.withColumn("_all", F.pmod(F.hash("_v"), F.lit(1)))
 
-    # Without keys every table below has one row, or one for each wanted rank: that bound makes them safe to broadcast.
-    small = F.broadcast if not groups else lambda table: table
 
     def point(index: Column, end: float) -> Column:
         """Grid value, or no bound beyond the grid. NaN is the largest value."""
@@ -63,6 +62,10 @@ def exact_quantiles(
     highs = [point(F.ceil((F.ceil(r) + 1) / F.col("_n") * GRID) + 1, float("nan")) for r in positions]
     edges = [F.col(f"_b{i}") for i in range(2 * len(probs))]
     brackets = data.groupBy(*keys).agg(*stats).select(*keys, "_n", *[e.alias(f"_b{i}") for i, e in enumerate([x for pair in zip(lows, highs) for x in pair])])
+    # Few groups hold many rows each: their brackets, cuts and wanted slices, some rows a group, come to the rows by broadcast.
+    brackets = checkpointed(brackets)
+    few = not groups or len(brackets.limit(FEW + 1).select(*keys).collect()) <= FEW
+    small = F.broadcast if few else lambda table: table
     joined = data.join(small(brackets), keys)
 
     # Plain comparisons, one per bracket: they compile, lambdas over arrays do not.

@@ -164,3 +164,14 @@ def test_quantiles_when_each_scan_deals_rows_otherwise(spark, monkeypatch):
         spark.conf.unset("spark.sql.exchange.reuse")
     for k in range(3):
         assert got[k] == pytest.approx(list(np.quantile(vs[k::3], [0.0, 0.25, 0.5, 0.75, 1.0])), rel=1e-12)
+
+
+def test_rows_of_few_hot_groups_stay_where_they_are(spark, monkeypatch):
+    """Two groups hold all rows: their brackets and cuts come to the rows, so no task sorts half of the table."""
+    seen = []
+    monkeypatch.setattr(quantiles, "checkpointed", lambda df: seen.append(df) or df)
+    df = spark.range(50_000).select((F.col("id") % 2).alias("k"), F.sqrt("id").alias("v"))
+    quantiles.exact_quantiles(df, "v", [0.1, 0.5], ["k"], "q")
+    assert sum(r._c for r in seen[-1].collect()) == 50_000
+    plan = seen[-1]._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("BroadcastHashJoin") >= 2 and "SortMergeJoin" not in plan
