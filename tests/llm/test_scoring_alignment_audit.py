@@ -3,7 +3,9 @@
 import hashlib
 import math
 import random
+import zipfile
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +13,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from drygrid.llm import exchange, filter_audit, lattice, token_alignment
-from drygrid.llm.common import written
+from drygrid.llm.common import shared_folder, written
 
 WEIGHTS = {b" ": 0.1, b" a": 0.2, b"a": 0.1, b"ab": 0.15, b" ab": 0.1, b"b": 0.05, b"ba": 0.1, b"bab": 0.1, b"c": 0.1}
 
@@ -206,6 +208,16 @@ def test_audit_of_tables(spark, messy, empty):
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", "unset") == spark.newSession().conf.get("spark.sql.streaming.stateStore.providerClass", "unset")
 
 
+def test_state_partitions_reserve_no_disk(spark):
+    """A store writes the settings it ran with beside its state."""
+    before = set(Path(shared_folder(spark)).glob("audit-*"))
+    rows, said = spark.createDataFrame([(1, "a b", "p")], "doc_id long, text string, source string"), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    filter_audit.counters(rows, said).collect()
+    [folder] = set(Path(shared_folder(spark)).glob("audit-*")) - before
+    options = [z.read(n).decode() for z in map(zipfile.ZipFile, folder.glob("progress/state/*/*/*.zip")) for n in z.namelist() if n.startswith("OPTIONS")]
+    assert options and all("allow_fallocate=false" in x for x in options)
+
+
 def test_a_frequent_text_is_combined_before_the_shuffle(spark):
     rows = pa.RecordBatch.from_pylist([{"id": 1000 - k, "part": "s", "name": hashlib.sha256(b"x").digest(), "mask": 1} for k in range(500)],
                                       schema=pa.schema([("id", pa.int64()), ("part", pa.string()), ("name", pa.binary()), ("mask", pa.int32())]))
