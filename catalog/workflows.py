@@ -65,7 +65,7 @@ def two_indices(t):
 SELECT cell_id, ROUND(AVG(a / NULLIF(a + c, 0)), 6) AS pod, ROUND(AVG(b / NULLIF(b + a, 0)), 6) AS far, ROUND(AVG(2 * a / NULLIF(2 * a + b + c, 0)), 6) AS accuracy FROM e GROUP BY 1""")
 def products_matched(t):
     reference, product = two_indices(t)
-    out = verification.match_products(product, reference, GRID_SPEC, 30, dry_limit=-1.0)
+    out = verification.match_products(product, reference, GRID_SPEC, 30, dry_limit=-1.0, tasks=t.tasks())
     return out.select("cell_id", r6("pod"), r6("far"), r6("accuracy"))
 
 

@@ -10,7 +10,7 @@ from drygrid.functions.cover import NOT_LAND, level_1
 from drygrid.functions.grid import GridSpec
 from drygrid.functions.values import drought_flag, low_flag
 from drygrid.operators.align import common_period, copy_missing
-from drygrid.operators.common import CELL, Keys, union_all
+from drygrid.operators.common import CELL, Keys, by_series, union_all
 from drygrid.operators.events import transitions
 from drygrid.operators.regrid import regrid_bilinear, regrid_nearest
 from drygrid.operators.ssim import ssim
@@ -19,14 +19,20 @@ from drygrid.operators.verify import agreement, bias_corrected, contingency, err
 
 def match_products(
     product: DataFrame, reference: DataFrame, grid: GridSpec, steps: int, extreme: str = "drought", keys: Keys = CELL, value: str = "spi",
-    dry_limit: float = -2.0, wet_limit: float = 2.0, by: Sequence[str] = CELL,
+    dry_limit: float = -2.0, wet_limit: float = 2.0, by: Sequence[str] = CELL, tasks: int | None = None,
 ) -> DataFrame:
-    """Product onto the reference cells, common dates, common gaps, flags, agreement indices per ``by``."""
+    """Product onto the reference cells, common dates, common gaps, flags, agreement indices per ``by``.
+
+    The planner sizes joins by what it knows of the raw tables. ``tasks`` (see ``series_tasks``) sizes them by the calendar: both sides are dealt
+    by cell and date once, and no calendar is broadcast.
+    """
     if extreme not in ("drought", "flood"):
         raise ValueError("extreme must be 'drought' or 'flood'")
     cells = reference.select(*keys, "lat", "lon").distinct()
     moved = regrid_nearest(product, cells, grid, [value], keys).select(*keys, "time", value)
     moved, kept = common_period(moved, reference.select(*keys, "time", value), strict=False)
+    if tasks is not None:
+        moved, kept = (by_series(side, [*keys, "time"], tasks).hint("merge") for side in (moved, kept))
     moved = copy_missing(moved, kept, value, keys=keys)
     flag = "dry" if extreme == "drought" else "wet"
     a = transitions(moved, steps, keys, value=value, dry_limit=dry_limit, wet_limit=wet_limit).select(*keys, "time", F.col(flag).alias("target"))

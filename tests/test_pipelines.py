@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import numpy as np
 import pytest
@@ -246,3 +247,15 @@ def test_prepare_inputs_scales_fills_and_crops(spark):
 def test_match_products_guard(spark, daily):
     with pytest.raises(ValueError):
         verification.match_products(daily, daily, GridSpec(0, 0, 1, 1), 3, extreme="heat")
+
+
+def test_products_are_matched_in_tasks_of_the_calendar(spark):
+    """Both sides are dealt once to the tasks given, and neither is broadcast, however small the planner takes them to be."""
+    rows = [(r * 3 + c, float(r), float(c), dt.date(2020, 1, 1) + dt.timedelta(days=d), None if (r, d) == (1, 2) else float((r + c * d) % 5 - 3)) for r in range(2) for c in range(3) for d in range(6)]
+    reference = spark.createDataFrame(rows, "cell_id long, lat double, lon double, time date, spi double")
+    product = reference.where("time > '2020-01-01'").withColumn("spi", -1 - F.col("spi"))
+    plain, sized = (verification.match_products(product, reference, GridSpec(0, 0, 1, 1), 3, dry_limit=-1.0, tasks=n) for n in (None, 5))
+    assert sorted(sized.collect()) == sorted(plain.collect()) and sized.count() == 6
+    plan = sized._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(cell_id#\d+L, time#\d+, 5\)", plan)
+    assert not re.search(r"hashpartitioning\(cell_id#\d+L, time#\d+, (?!5\))", plan) and not re.search(r"BroadcastHashJoin \[cell_id", plan)
