@@ -298,6 +298,14 @@ def test_feature_adjacency_by_products_of_long_vectors(spark, measure):
     assert got[0, 1] == 1.0
 
 
+def test_distance_blocks_meet_by_a_shuffle_and_copy_a_cell_to_few_tasks(spark):
+    """Sixteen blocks hold 20,000 cells; their copies are not broadcast, though the cells alone are few bytes."""
+    nodes = spark.range(20_000).select(F.col("id").alias("cell_id"), (F.floor(F.col("id") / 10) * 0.01).alias("lat"), (F.col("id") % 10 * 0.25).alias("lon"))
+    assert spark.range(1).select(gr._parts(nodes, 512)).first()[0] == 16
+    plan = gr.distance_adjacency(nodes)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_cosines_give_the_divergence_within_their_slack():
     rng = np.random.default_rng(5)
     x = np.vstack([rng.random((40, 30)) ** 8, np.exp(-30 * rng.random((40, 30))), np.eye(30)])
