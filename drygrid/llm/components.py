@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from drygrid.llm.common import written
+from drygrid.llm.common import sized, written
 
 
-def _star(edges: DataFrame, larger: bool) -> DataFrame:
-    """Link the larger (or smaller) neighbours of every node to the least of its neighbourhood. Edges are (u, v) with u > v."""
+def _star(edges: DataFrame, larger: bool, within: DataFrame) -> DataFrame:
+    """Link the larger (or smaller) neighbours of every node to the least of its neighbourhood. Edges are (u, v) with u > v, no more than ``within`` has twice."""
     turned = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
     around = edges.unionByName(turned) if larger else edges
-    least = around.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+    least = sized(around.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), within)
     if larger:
         moved = turned.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         return moved.filter("u > v").distinct()
@@ -32,6 +32,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if state == seen or not row[0]:
             break
         seen = state
-        edges = written(_star(_star(edges, larger=True), larger=False))
+        edges = written(_star(_star(edges, True, edges), False, edges))
     both = edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")))
     return written(both.distinct())

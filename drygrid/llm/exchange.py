@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from drygrid.llm.common import written
+from drygrid.llm.common import shuffled, written
 
 CHUNK = 1 << 24
 FIELDS = ["chunk", "keys", "marks", "entries", "numbers", "first", "places", "times"]
@@ -110,7 +110,7 @@ def answered(chunks: DataFrame, values: DataFrame, judge: Callable, schema: str)
     ``judge(keys, marks, document, place, times, table)`` gets the documents' keys and marks, for each entry of a document its number,
     place and times, and the columns of ``values`` in the order of places; it returns a table with ``schema``.
     """
-    answers = asked(chunks).select(F.col("chunk").alias("_of"), "place", "entry").join(values, "entry").drop("entry")
+    answers = asked(chunks).select(F.col("chunk").alias("_of"), "place", "entry").join(shuffled(values), "entry").drop("entry")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         row = {c: left.column(c)[0] for c in left.column_names}

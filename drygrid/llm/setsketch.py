@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from drygrid.llm.common import TAG, distinct_per_document, find_words, lean, lists, mix, null_safe, pieces, row_tag, shingles, written
+from drygrid.llm.common import TAG, distinct_per_document, find_words, lean, lists, mix, null_safe, pieces, row_tag, shingles, shuffled, sized, written
 from drygrid.llm.components import components
 from drygrid.llm.exchange import Part, answered, chunked, fields, totals
 
@@ -105,8 +105,8 @@ def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _items(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows ``id`` and ``items`` (the full set) of the classes ``wanted``: ``rep`` is the row that gives the text, ``copies`` its number of rows."""
     wanted = written(wanted.select("id", F.col("rep.doc_id").alias("doc_id"), F.col(f"rep.{TAG}").alias(TAG), F.col("rep.copies").alias("copies")))
-    found = null_safe(rows, wanted.filter("copies = 1").select("doc_id", TAG), ("doc_id", TAG), "left_semi")
-    again = wanted.filter("copies > 1").select("doc_id", TAG)
+    found = null_safe(rows, sized(wanted.filter("copies = 1").select("doc_id", TAG), wanted), ("doc_id", TAG), "left_semi")
+    again = sized(wanted.filter("copies > 1").select("doc_id", TAG), wanted)
     if not again.isEmpty():
         found = found.unionByName(null_safe(rows, again, ("doc_id", TAG), "left_semi").dropDuplicates(["doc_id", TAG]))
     return found.select("text").mapInArrow(_full, "id binary, items array<long>")
@@ -134,23 +134,23 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, text: str = "text", ke
     entries = nodes.select("id", "n", band)
     # written before it is joined: a join of two plain shuffles can be split where a bucket is very large
     leaders = written(entries.groupBy("bucket").agg(F.min("id").alias("leader"), F.count("*").alias("size")).filter("size > 1").drop("size"))
-    crowded = written(entries.join(leaders, "bucket"))
+    crowded = written(entries.join(sized(leaders), "bucket"))
     first = _verified(rows, nodes, crowded.filter("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")), threshold)
     links = written(first)
 
     of = components(links)
-    placed = crowded.join(of, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
+    placed = crowded.join(sized(of), "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
     open_ = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("bucket")
-    extra = written(_rest(rows, nodes, placed.join(open_, "bucket").select("id", "n", "component").distinct(), threshold))
+    extra = written(_rest(rows, nodes, placed.join(sized(open_, leaders), "bucket").select("id", "n", "component").distinct(), threshold))
     if not extra.isEmpty():
         of = components(links.unionByName(extra))
 
     # the row that names a component; written before it is joined, so a join can be split at a large component
-    named = nodes.select("id", "rep").join(of, "id")
+    named = nodes.select("id", "rep").join(sized(of), "id")
     best = written(named.groupBy("component").agg(F.min("rep").alias("best")))
-    first_of = nodes.select("id", "rep").join(named.select("id", "component").join(best, "component").select("id", "best"), "id", "left")
+    first_of = nodes.select("id", "rep").join(sized(named.select("id", "component").join(sized(best), "component").select("id", "best"), of), "id", "left")
     first_of = written(first_of.select("id", F.coalesce("best", "rep").alias("best")))
-    member = found.select("doc_id", TAG, "n", "id").join(first_of, "id", "left")
+    member = found.select("doc_id", TAG, "n", "id").join(shuffled(first_of), "id", "left")
     own = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col(TAG) == F.col(f"best.{TAG}"))
     return member.select(F.col("doc_id").alias(key), TAG, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("best.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
                          ((F.col("n") == 0) | own).alias("kept"))
@@ -163,21 +163,21 @@ def _rest(rows: DataFrame, nodes: DataFrame, members: DataFrame, threshold: int)
     is one. What is still in different components then is paired.
     """
     members = written(members)
-    sets = written(_items(rows, nodes.join(members.select("id"), "id", "left_semi")).join(members.select("id", "component"), "id"))
+    sets = written(_items(rows, nodes.join(sized(members.select("id")), "id", "left_semi")).join(sized(members.select("id", "component")), "id"))
     fronts = written(_fronts(sets, threshold))
     row = F.struct("place", "id", "component", "n")
     # written before it is joined: a join of two plain shuffles can be split at a frequent item
     centres = written(fronts.groupBy("item").agg(F.min(row).alias("c"), F.count("*").alias("size")).filter("size > 1").select("item", *[F.col(f"c.{x}").alias(f"c_{x}") for x in ("id", "component", "n", "place")]))
-    met = fronts.join(centres, "item").filter((F.col("component") != F.col("c_component")) & _reachable(threshold, "n", "place", "c_n", "c_place"))
+    met = fronts.join(sized(centres), "item").filter((F.col("component") != F.col("c_component")) & _reachable(threshold, "n", "place", "c_n", "c_place"))
     near = written(_compared(met.select(F.least("id", "c_id").alias("a"), F.greatest("id", "c_id").alias("b")).distinct(), sets, threshold))
 
-    label = members.select("id", "component")
+    label = sized(members.select("id", "component"))
     joined = near.join(label.withColumnsRenamed({"id": "a", "component": "x"}), "a").join(label.withColumnsRenamed({"id": "b", "component": "y"}), "b")
     wider = components(joined.select("x", "y"), "x", "y").select(F.col("id").alias("component"), F.col("component").alias("wider"))
-    placed = written(fronts.join(wider, "component", "left").withColumn("component", F.coalesce("wider", "component")).drop("wider"))
+    placed = written(fronts.join(sized(wider), "component", "left").withColumn("component", F.coalesce("wider", "component")).drop("wider"))
     open_ = written(placed.groupBy("item").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("item"))
-    placed = written(placed.join(open_, "item", "left_semi"))
-    left, right = placed.alias("l"), placed.alias("r")
+    placed = written(placed.join(sized(open_), "item", "left_semi"))
+    left, right = placed.alias("l"), sized(placed).alias("r")
     pairs = left.join(right, (F.col("l.item") == F.col("r.item")) & (F.col("l.component") != F.col("r.component")) & (F.col("l.id") < F.col("r.id"))
                       & _reachable(threshold, "l.n", "l.place", "r.n", "r.place")).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
     return near.unionByName(_compared(pairs, sets, threshold))
@@ -216,7 +216,8 @@ def _fronts(sets: DataFrame, threshold: int) -> DataFrame:
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
+    first, second = (shuffled(sets.select(F.col("id").alias(x), F.col("items").alias(y))) for x, y in ("ax", "by"))
+    both = pairs.join(first, "a").join(second, "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.filter(F.lit(100) * common >= F.lit(threshold) * (F.size("x") + F.size("y") - common)).select("a", "b").distinct()
 
@@ -224,10 +225,10 @@ def _compared(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 def _verified(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
     """Pairs (a, b) that are links: first by the joint estimate of their sketches, then on full sets."""
     floor = threshold / 100 - 5 * (threshold / 100 * (1 - threshold / 100) / REGISTERS) ** 0.5
-    side = [nodes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}")) for x in "ab"]
+    side = [shuffled(nodes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))) for x in "ab"]
     likely = written(pairs.distinct().join(side[0], "a").join(side[1], "b").filter(_similarity("r_a", "r_b", "n_a", "n_b") >= floor).select("a", "b").distinct())
     wanted = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
-    return _compared(likely, _items(rows, nodes.join(wanted, "id", "left_semi")), threshold)
+    return _compared(likely, _items(rows, nodes.join(sized(wanted, likely), "id", "left_semi")), threshold)
 
 
 def keep_one(docs: DataFrame, threshold: int = 85, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -235,7 +236,7 @@ def keep_one(docs: DataFrame, threshold: int = 85, text: str = "text", key: str
     columns = docs.columns
     kept = near_duplicates(docs, threshold, text, key).filter("kept").select(F.col(key).alias("_key"), F.col(TAG).alias("_kept_tag")).distinct()
     tagged = docs.withColumn(TAG, row_tag(text))
-    found = tagged.join(kept, tagged[key].eqNullSafe(kept["_key"]) & (tagged[TAG] == kept["_kept_tag"]), "left_semi")
+    found = tagged.join(shuffled(kept), tagged[key].eqNullSafe(kept["_key"]) & (tagged[TAG] == kept["_kept_tag"]), "left_semi")
     return found.dropDuplicates([key, TAG]).select(*columns)
 
 
