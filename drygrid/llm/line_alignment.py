@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from drygrid.llm.common import TAG, Prefix, find_words, lean, lists, null_safe, pieces, release, row_tag, written
+from drygrid.llm.common import TAG, Prefix, find_words, lean, lists, null_safe, pieces, release, row_tag, shuffled, sized, written
 
 LEAST_WORDS = 10
 
@@ -162,11 +162,11 @@ def _removed(rows: DataFrame, kind: str, least_words: int) -> DataFrame:
     held = written(lines.select("_key", TAG, F.explode("blocks").alias("block")))
     # written before it is joined: a join of two plain shuffles can be split where a block is very frequent
     leads = written(held.groupBy("block").agg(F.min(F.struct("_key", TAG)).alias("lead"), F.max("_key").alias("last")).filter("lead._key < last").select("block", "lead"))
-    pairs = held.join(leads, "block").filter("lead._key < _key").select("_key", TAG, F.col("lead._key").alias("_lead"), F.col(f"lead.{TAG}").alias("_lead_tag")).distinct()
+    pairs = held.join(sized(leads), "block").filter("lead._key < _key").select("_key", TAG, F.col("lead._key").alias("_lead"), F.col(f"lead.{TAG}").alias("_lead_tag")).distinct()
     pairs = written(pairs)
     own = written(lines.select("_key", TAG, "names", "words").dropDuplicates(["_key", TAG]))
     theirs = own.select(F.col("_key").alias("_lead"), F.col(TAG).alias("_lead_tag"), F.col("names").alias("earlier"))
-    both = pairs.join(theirs, ["_lead", "_lead_tag"]).join(own, ["_key", TAG]).select("_key", TAG, "names", "words", "earlier")
+    both = pairs.join(shuffled(theirs), ["_lead", "_lead_tag"]).join(shuffled(own), ["_key", TAG]).select("_key", TAG, "names", "words", "earlier")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,7 +209,7 @@ def line_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", least_w
     gone = _removed(rows, docs.schema[key].dataType.simpleString(), least_words)
     release(docs.sparkSession)
     tagged = docs.select(*columns).withColumn("_key", F.col(key)).withColumn(TAG, row_tag(text))
-    out = null_safe(tagged, gone, ("_key", TAG)).withColumn("_cut", _without(F.col(text), F.col("_gone")))
+    out = null_safe(tagged, shuffled(gone), ("_key", TAG)).withColumn("_cut", _without(F.col(text), F.col("_gone")))
     return out.select(*[F.col("_cut.kept").alias(c) if c == text else F.col(c) for c in columns], "_cut.n_lines", "_cut.n_removed")
 
 

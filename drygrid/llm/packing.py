@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from drygrid.llm.common import lean, written
+from drygrid.llm.common import lean, shuffled, written
 
 CAPACITY, END = 1024, 2
 SHARD, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 16384, 3, 3, 5, 4
@@ -326,7 +326,7 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", capacity: int
     best = state.groupBy("shard").agg(F.max("sizes").alias("sizes"), F.flatten(F.collect_list("members")).alias("members"))
     placed = best.mapInArrow(places, "shard long, slot int, bin long, place long")
     before = F.coalesce(F.sum("full").over(Window.partitionBy("shard").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    joined = items.withColumn("before", before).join(placed, ["shard", "slot"], "left")
+    joined = items.withColumn("before", before).join(shuffled(placed), ["shard", "slot"], "left")
     lead = (F.col("rest") > 0).cast("long")
     piece = F.explode(F.sequence(F.lit(0), (F.col("full") + lead - 1).cast("int"))).alias("piece")
     rows = joined.select("*", lead.alias("lead"), piece)
